@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import common, packing, quality, sharding, token_counts, token_files
+from . import common, decontaminate, near_dedup, packing, quality, sharding, token_counts, token_files
+
+
+def op2_bagminhash(spark, sf_dir):
+    return near_dedup.near_classes(common.table(spark, sf_dir, "documents"))
 
 
 def op3_two_tier_token_counts(spark, sf_dir):
@@ -13,6 +17,10 @@ def op4_mph_token_files(spark, sf_dir):
     return token_files.round_trip(common.table(spark, sf_dir, "documents"))
 
 
+def op6_positional_index(spark, sf_dir):
+    return decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op7_shortest_pack_first(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
@@ -30,4 +38,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_positional_index": decontaminate.ORACLE_SQL}
