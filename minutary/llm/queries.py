@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, near_dedup, packing, quality, sharding, token_counts, token_files
+from . import common, decontaminate, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
 
 
 def op2_bagminhash(spark, sf_dir):
@@ -17,6 +17,10 @@ def op4_mph_token_files(spark, sf_dir):
     return token_files.round_trip(common.table(spark, sf_dir, "documents"))
 
 
+def op5_run_length_index(spark, sf_dir):
+    return suffix_dedup.removals(common.table(spark, sf_dir, "documents"))
+
+
 def op6_positional_index(spark, sf_dir):
     return decontaminate.scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
