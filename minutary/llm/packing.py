@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common
-from .units import UnitCache, pack_u32, public_path
+from .units import WordUnits, public_path
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -91,8 +91,8 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "local_rank"]
 
     def run(batches):
-        cache = UnitCache(path, pack_u32, False)
-        pid, seen, end = TaskContext.get().partitionId(), defaultdict(int), pack_u32([end_id])
+        cache = WordUnits.of_worker(path, 4)
+        pid, seen, end = TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
         for b in batches:
             keys, where, cols = b.column("doc_id"), [], [[] for _ in names[1:]]
             for i, units in enumerate(cache.documents(b.column("text").to_pylist())):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from . import common, decontaminate, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+
+
+def op1_stupid_backoff(spark, sf_dir):
+    return lm_score.score(common.table(spark, sf_dir, "documents"))
 
 
 def op2_bagminhash(spark, sf_dir):
@@ -42,4 +46,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_positional_index": decontaminate.ORACLE_SQL}
+    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL}

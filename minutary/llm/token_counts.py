@@ -15,24 +15,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common
-from .units import UnitCache, public_path
+from .units import ByteUnits, public_path
 
 #: Documented bounds of the first tier: documents looked at, and units kept.
 SAMPLE_DOCS, TABLE_UNITS = 2000, 32_768
 
 
 def frequent_units(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, units: int = TABLE_UNITS) -> bytes:
-    """The compact table: units without their space, joined by a space; a NUL line; one byte of length each."""
-    words = docs.select("text").limit(sample_docs).select(F.explode(F.split("text", " ")).alias("u")).filter("u <> '' and length(u) < 64 and not contains(u, '\\0')")
+    """The compact table: units, each on a line; a NUL line; one byte of length each."""
+    words = docs.select("text").limit(sample_docs).select(F.explode(F.split("text", " ")).alias("u")).filter("u <> '' and length(u) < 64 and not contains(u, '\\0') and not contains(u, '\\n')")
     top = [r[0] for r in words.groupBy("u").count().orderBy(F.desc("count"), "u").limit(units).collect()]
-    lengths = [v[1] if len(v) > 1 else 0 for v in UnitCache(path, len, True, limit=10**9).documents([f"a {u}" if not u[:1].isspace() and not u[-1:].isspace() else "a" for u in top])]
-    kept = [(u, n) for u, n in zip(top, lengths) if 0 < n < 256]
-    return " ".join(u for u, _ in kept).encode() + b"\0" + bytes(n for _, n in kept)
+    cache = ByteUnits(path, 0, limit=10**9)
+    cache.documents([f"a {u}" for u in top])
+    lengths = [cache.known.get(" " + u, 0) for u in top]
+    kept = [(" " + u, n) for u, n in zip(top, lengths) if 0 < n < 256]
+    return "\n".join(u for u, _ in kept).encode() + b"\0" + bytes(n for _, n in kept)
 
 
 def _open_table(raw: bytes) -> dict[str, int]:
     names, _, lengths = raw.partition(b"\0")
-    return dict(zip(names.decode().split(" "), lengths)) if lengths else {}
+    return dict(zip(names.decode().split("\n"), lengths)) if lengths else {}
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
@@ -43,7 +45,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) ->
     table = spark.sparkContext.broadcast(frequent_units(docs, path))
 
     def run(batches):
-        cache = UnitCache(path, len, True, frequent=_open_table(table.value))
+        cache = ByteUnits.of_worker(path, 0, lambda: _open_table(table.value))
         for b in batches:
             texts = b.column("text").to_pylist()
             counts = [sum(v) for v in cache.documents(texts)]

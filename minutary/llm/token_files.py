@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
-from .units import UnitCache, pack_u16, pack_u32, public_path
+from .units import ByteUnits, public_path
 
 MAGIC, HEAD = b"MTK1", 8
 
@@ -115,7 +115,6 @@ class ShardReader:
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, vocabulary: int) -> DataFrame:
     """Writes the shards; the manifest (uri, first key, has_null, n_docs, n_ids), settled, one row a shard."""
     width = 2 if vocabulary <= 1 << 16 else 4
-    pack = pack_u16 if width == 2 else pack_u32
 
     def run(batches):
         fs = out = uri = None
@@ -129,9 +128,9 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, vocabular
                 fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(place)
                 out.write(MAGIC + bytes([width, 0, 0, 0]))
-                cache = UnitCache(path, pack, True)
+                cache = ByteUnits.of_worker(path, width)
             keys += b.column("doc_id").to_pylist()
-            end = pack([end_id])
+            end = end_id.to_bytes(width, "little")
             for units in cache.documents(b.column("text").to_pylist()):
                 raw = b"".join(units) + end
                 out.write(raw)

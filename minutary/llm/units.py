@@ -1,21 +1,27 @@
 """Exact tokenization through units.
 
-A unit is a run of the text between single spaces, with the space before it. Neither tokenizer
-used here ever joins characters across the start of such a unit, so a document's ids are the
-ids of its units in order, and a unit's ids may be kept in a table. For the byte-level
-tokenizer this needs every space to stand between two characters that aren't white space;
-documents with other spacing are encoded whole. Special strings hold no space, so they stay
-within a unit and the tokenizer treats them there as it does in the text.
+A unit is a short stretch of text, such as a space with the word after it, at whose ends the
+tokenizer never joins characters; a document's ids are then the ids of its units in order, and
+a unit's ids may be kept in a table. Where a document's spacing or marks make such ends unsure,
+it is cut more coarsely or encoded whole. Special strings hold no space, full stop, comma or
+line end, so they stay within a unit and the tokenizer treats them there as it does in the text.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
+from unicodedata import is_normalized
 
 import numpy as np
 
-_ODD_SPACE = re.compile(r" \s|\s | \Z")
+# Spacing that units don't follow: a NUL, a space beside other white space or at the end, line ends in a row.
+_ODD_SPACE = re.compile(r"\0| \s|\s | \Z|\n\s|[^\S\n]\n")
+# Marks and line ends that don't follow a plain letter or digit, or that something other than a letter or digit follows.
+_ODD_STOP = re.compile(r"(?:[^\w]|_)[.,]|\n(?:[^\w]|_)|\n\Z")
+_ODD_MARK = re.compile(r"[^\w \n][.,]|_[.,]|[.,][^\w \n]|[.,]_|İ")
 _LOADED: dict[str, object] = {}
 
 
@@ -37,66 +43,124 @@ def public_path(name: str) -> str:
 
 
 class UnitCache:
-    """Per-worker table from unit to value (token count, or packed ids).
+    """Table from unit to value: token count (width 0) or ids packed in ``width`` bytes each.
 
-    ``frequent`` holds the broadcast first tier, which stays; the second tier of units met
-    here is dropped when it holds ``limit`` entries, which bounds memory and costs only time.
+    ``frequent`` holds a broadcast first tier, which stays. The second tier is of two
+    generations of at most ``limit`` units; when the younger is full, the older one goes, which
+    bounds memory and costs only time. Units that the table lacks are encoded together: joined,
+    and cut again at the tokens that begin (byte level) or end (word level) a unit; a part whose
+    cuts don't fit its units is encoded unit by unit.
     """
 
-    def __init__(self, path: str, pack, spaced: bool, limit: int = 300_000, frequent: dict | None = None):
-        self.tok, self.pack, self.spaced, self.limit = tokenizer(path), pack, spaced, limit
-        self.base = frequent or {}
-        self.known = dict(self.base)
-
-    def _encode(self, texts: list[str]):
-        return [self.pack(e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    PART = 5000
+
+    def __init__(self, path: str, width: int, limit: int = 450_000, frequent: dict | None = None):
+        self.tok, self.width, self.limit = tokenizer(path), width, limit
+        self.known: dict = dict(frequent or {})
+        self.base, self.old = dict(self.known), {}
+        self.marks = self._marks()
+
+    @classmethod
+    def of_worker(cls, path: str, width: int, frequent=None) -> "UnitCache":
+        """The cache of this Python worker, which serves all its tasks; frequent: makes the first tier."""
+        key = f"{cls.__name__} {path} {width}"
+        if key not in _LOADED:
+            _LOADED[key] = cls(path, width, frequent=frequent() if frequent else None)
+        return _LOADED[key]
+
+    def _tokens(self) -> list[str]:
+        return [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+
+    def _cut(self, ids: np.ndarray, ends: list[int]) -> list:
+        if not self.width:
+            return [j - i for i, j in zip(ends, ends[1:])]
+        raw, w = ids.astype(f"<u{self.width}").tobytes(), self.width
+        ends = [w * i for i in ends]
+        return [raw[i:j] for i, j in zip(ends, ends[1:])]
+
+    def _each(self, texts: list[str]) -> list:
+        return [self._cut(np.array(e.ids, np.uint32), [0, len(e.ids)])[0] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, joined: str, n: int, begins: bool) -> list | None:
+        ids = np.array(self.tok.encode(joined, add_special_tokens=False).ids, np.uint32)
+        cut = np.flatnonzero(self.marks[ids])
+        if len(cut) != n or n == 0 or (cut[0] != 0 if begins else cut[-1] != len(ids) - 1):
+            return None
+        return self._cut(ids, [*cut.tolist(), len(ids)] if begins else [0, *(cut + 1).tolist()])
 
     def documents(self, texts: list[str | None]) -> list[list]:
         """For each text (null counts as empty) the values of its units in order."""
-        plain: list[list[str] | None] = []
-        first: list[str] = []
-        for t in texts:
-            t = t or ""
-            if self.spaced and _ODD_SPACE.search(t):
-                plain.append(None)
-                first.append(t)
-            else:
-                units = t.split(" ")
-                if self.spaced:
-                    first.append(units[0])
-                    del units[0]
-                else:
-                    first.append("")
-                plain.append(units)
-        missing: set[str] = set()
-        for units in plain:
-            if units:
-                missing.update(units)
-        missing.difference_update(self.known)
+        flat, ends, whole = self._units([t or "" for t in texts])
+        values = list(map(self.known.get, flat))
+        missing = set(compress(flat, map(is_, values, repeat(None))))
         if missing:
-            if len(self.known) - len(self.base) + len(missing) > self.limit:
-                self.known = dict(self.base)
-                missing = {u for units in plain if units for u in units}
-                missing.difference_update(self.known)
-            todo = sorted(missing)
-            lead = " " if self.spaced else ""
-            for at in range(0, len(todo), 20_000):
-                part = todo[at : at + 20_000]
-                self.known.update(zip(part, self._encode([lead + u for u in part])))
-        heads = self._encode(first) if self.spaced else [None] * len(first)
-        get = self.known.__getitem__
-        out = []
-        for units, head in zip(plain, heads):
-            values = [] if head is None else [head]
-            if units:
-                values.extend(map(get, units))
-            out.append(values)
+            if len(self.known) + len(missing) > self.limit + len(self.base):
+                self.old, self.known = self.known, dict(self.base)
+                missing.update(set(flat).difference(self.known))
+            again = {u: self.old[u] for u in missing if u in self.old}
+            self.known.update(again)
+            todo = [u for u in missing if u not in again]
+            for at in range(0, len(todo), self.PART):
+                part = todo[at : at + self.PART]
+                self.known.update(zip(part, self._encode(part)))
+            values = list(map(self.known.__getitem__, flat))
+        out = [values[i:j] for i, j in zip([0, *ends], ends)]
+        for i, v in zip(whole, self._each([texts[i] for i in whole])):
+            out[i] = [v]
         return out
 
 
-def pack_u16(ids) -> bytes:
-    return np.array(ids, dtype="<u2").tobytes()
+class ByteUnits(UnitCache):
+    """Units of a byte-level tokenizer that keeps white space: cut before spaces, before full stops and commas after a word, and around line ends."""
 
+    def _marks(self):
+        return np.array([t.startswith("\u0120") for t in self._tokens()])
 
-def pack_u32(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    def _units(self, texts):
+        flat, ends, whole = [], [], []
+        for i, t in enumerate(texts):
+            if _ODD_SPACE.search(t):
+                whole.append(i)
+            else:
+                t = t.replace(" ", "\0 ")
+                if not _ODD_STOP.search(t):
+                    t = t.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
+                flat += filter(None, t.split("\0"))
+            ends.append(len(flat))
+        return flat, ends, whole
+
+    def _encode(self, units):
+        spaced, out = [u for u in units if u[0] == " "], {}
+        together = self._together("".join(spaced), len(spaced), True)
+        if together:
+            out = dict(zip(spaced, together))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self._each(rest)))
+        return [out[u] for u in units]
+
+
+class WordUnits(UnitCache):
+    """Units of a tokenizer that lower-cases, drops white space and marks the ends of words."""
+
+    def _marks(self):
+        return np.array([t.endswith("</w>") for t in self._tokens()])
+
+    def _units(self, texts):
+        flat, ends = [], []
+        for t in texts:
+            if not _ODD_MARK.search(t) and is_normalized("NFC", t):  # full stops and commas stand alone: they are words of their own
+                t = t.replace(".", " . ").replace(",", " , ")
+            if t.isascii() and "<|" not in t:
+                t = t.lower()
+            flat += filter(None, t.replace("\n", " ").split(" "))
+            ends.append(len(flat))
+        return flat, ends, []
+
+    def _encode(self, units):
+        alpha, out = [u for u in units if u.isalpha()], {}
+        together = self._together(" ".join(alpha), len(alpha), False)
+        if together:
+            out = dict(zip(alpha, together))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self._each(rest)))
+        return [out[u] for u in units]
