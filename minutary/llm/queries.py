@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from . import common, decontaminate, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
 
 
 def op1_stupid_backoff(spark, sf_dir):
@@ -41,6 +41,10 @@ def op9_quality_cascade(spark, sf_dir):
     return quality.score_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op10_block_labeller(spark, sf_dir):
+    return html_main.extract(common.table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
