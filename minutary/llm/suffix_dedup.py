@@ -362,8 +362,8 @@ def strip_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rest = _stripped(marked).filter("n_removed > 0").select("sha", "kept_text")
     many = kinds.filter((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("sha", F.lit("").alias("kept_text"))
     new = common.settle(rest.join(many.select("sha"), "sha", "left_anti").union(many), "stripped")
-    wide = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new.withColumnRenamed("sha", "_sha"), "_sha", "left")
-    text = F.when(F.col("kept_text").isNull(), F.col("text")).otherwise(F.col("kept_text"))
+    wide = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new.select(F.col("sha").alias("__sha"), F.col("kept_text").alias("__kept")), "__sha", "left")
+    text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept"))
     names = docs.columns
     out = wide.withColumn("text", text).withColumn("n_chars", F.length("text")) if "n_chars" in names else wide.withColumn("text", text)
-    return out.filter(F.col("kept_text").isNull() | F.col("text").rlike(r"[^\s]")).select(*names)
+    return out.filter(F.col("__kept").isNull() | F.col("text").rlike(r"[^\s]")).select(*names)
