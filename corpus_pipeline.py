@@ -1,11 +1,47 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's docs. The last stage returns pieces of sequences, all others the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from minutary.llm import common, decontaminate, near_dedup, packing, quality, suffix_dedup
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that a quality rule rejects go."""
+    return quality.filter_documents(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each class of near-duplicates stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def repeated_passages(spark, docs, sf_dir):
+    """Passages of 200 bytes or more that stand anywhere else are taken out."""
+    return suffix_dedup.strip_documents(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold a benchmark window go."""
+    return decontaminate.clean_documents(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark, docs, sf_dir):
+    """Token pieces packed into sequences of 2048."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontamination", decontamination), ("packing", sequences)]
+#: MinHash, the suffix index and the tokenizer are beyond SQL; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.settle(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
