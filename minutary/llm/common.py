@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; with long documents a batch stays within some tens of MB.
 BATCH_ROWS = 1024
+#: Bytes at which a batch ends early: some operators' rows hold whole blocks.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +45,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -30,7 +30,7 @@ from . import common
 
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a block.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 4_000_000
 
 
 def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -46,7 +46,7 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             raw = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64).tobytes()
             at = pa.array([0, sum(map(len, ids))], pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + made]), pa.ListArray.from_arrays(at, pa.concat_arrays(ids)), pa.ListArray.from_arrays(at, pa.array(lens, pa.int64())), pa.array([raw], pa.binary()), pa.array([b"".join(coded)], pa.binary())],
+                [pa.array([base + made]), pa.ListArray.from_arrays(at, pa.concat_arrays(ids)), pa.ListArray.from_arrays(at, pa.array(lens, pa.int64())), pa.array([raw], pa.binary()), pa.array([_pack_words(coded)], pa.binary())],
                 ["block", "doc_ids", "n_words", "vocabulary", "words"],
             )
 
@@ -58,7 +58,7 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                     vocabulary[w] = len(vocabulary)
                 ids.append(b.column("doc_id").slice(i, 1))
                 lens.append(len(words))
-                coded.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)).tobytes())
+                coded.append(np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words)))
                 held += len(raw) + 16
                 if held >= block_bytes:
                     yield done()
@@ -70,11 +70,48 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, vocabulary binary, words binary"), "blocks")
 
 
+def _pack_words(coded: list[np.ndarray]) -> bytes:
+    """Word numbers as their low two bytes, then their high two bytes: like lies by like and compresses."""
+    every = np.concatenate(coded) if coded else np.zeros(0, np.uint32)
+    return every.astype("<u2").tobytes() + (every >> 16).astype("<u2").tobytes()
+
+
+def _unpack_words(raw: bytes) -> np.ndarray:
+    low, high = np.split(np.frombuffer(raw, "<u2").astype(np.int64), 2)
+    return low | high << 16
+
+
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers: the first, then the steps in 6 bytes each where they fit, in 8 otherwise."""
+    steps = np.diff(values)
+    width = 6 if not len(steps) or int(steps.max()) < 1 << 48 else 8
+    return bytes([width]) + values[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    wide = np.zeros((len(steps) + 1, 8), np.uint8)
+    wide[0], wide[1:, :width] = np.frombuffer(raw, np.uint8, 8, 1), steps
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _pack_counts(values: np.ndarray) -> bytes:
+    """Counts in the least of 1, 4 or 8 bytes each that holds them all."""
+    most = int(values.max(initial=0))
+    kind = "u1" if most < 256 else "<u4" if most < 1 << 32 else "<u8"
+    return kind[-1].encode() + values.astype(kind).tobytes()
+
+
+def _unpack_counts(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1).astype(np.int64)
+
+
 class Grams:
     """The n-grams of a block: for each order and position a number among the block's distinct n-grams."""
 
     def __init__(self, n_words: np.ndarray, vocabulary: bytes, words: bytes, order: int):
-        h = np.frombuffer(vocabulary, "<u8")[np.frombuffer(words, "<u4")] if words else np.zeros(0, np.uint64)
+        h = np.frombuffer(vocabulary, "<u8")[_unpack_words(words)]
         self.doc = np.repeat(np.arange(len(n_words)), n_words)
         ends = np.cumsum(n_words)
         self.place = np.arange(len(h)) - np.repeat(ends - n_words, n_words)  # within the document
@@ -112,9 +149,9 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 g = Grams(np.array(n_words, np.int64), vocabulary, words, order)
                 cut = np.searchsorted(_bucket(g.hashes, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cut))
-                for part in np.array_split(some, max(1, len(some) // 64)):
+                for part in np.array_split(some, max(1, len(some) // 8)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([g.hashes[cut[k] : cut[k + 1]].tobytes() for k in part], pa.binary()), pa.array([g.counts[cut[k] : cut[k + 1]].astype("<u4").tobytes() for k in part], pa.binary())],
+                        [pa.array([block] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array([_pack_sorted(g.hashes[cut[k] : cut[k + 1]]) for k in part], pa.binary()), pa.array([_pack_counts(g.counts[cut[k] : cut[k + 1]]) for k in part], pa.binary())],
                         ["block", "bucket", "grams", "counts"],
                     )
 
@@ -124,13 +161,17 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         held: list = []
 
         def done():
-            grams = np.concatenate([np.frombuffer(x[1], "<u8") for x in held])
-            counts = np.concatenate([np.frombuffer(x[2], "<u4") for x in held])
-            _, inverse = np.unique(grams, return_inverse=True)
-            total = np.bincount(inverse, counts).astype("<u4" if counts.sum(dtype=np.int64) < 1 << 32 else "<u8")[inverse]
-            sizes = [len(x[1]) // 8 for x in held]
-            parts = np.split(total, np.cumsum(sizes)[:-1])
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "bucket", "totals"])
+            each = [_unpack_sorted(x[1]) for x in held]
+            grams, counts = np.concatenate(each), np.concatenate([_unpack_counts(x[2]) for x in held])
+            order = np.argsort(grams, kind="stable")
+            grams = grams[order]
+            first = np.ones(len(grams), bool)
+            first[1:] = grams[1:] != grams[:-1]
+            at = np.flatnonzero(first)
+            total = np.empty(len(grams), np.int64)
+            total[order] = np.repeat(np.add.reduceat(counts[order], at), np.diff(np.concatenate((at, [len(grams)]))))
+            parts = np.split(total, np.cumsum([len(x) for x in each])[:-1])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array([_pack_counts(x) for x in parts], pa.binary())], ["block", "bucket", "totals"])
 
         bucket = None
         for b in batches:
@@ -153,7 +194,6 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = code_blocks(docs)
     all_words = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # rows are large here; the plans below are made before it changes again
     told = totals(blocks, order, buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("told"))  # as large as the block's own n-grams
 
     def run(batches):
@@ -165,8 +205,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 cut = np.searchsorted(_bucket(g.hashes, buckets), np.arange(buckets + 1))
                 total = np.zeros(len(g.hashes), np.int64)
                 for k, raw in parts:
-                    n = int(cut[k + 1] - cut[k])
-                    total[cut[k] : cut[k + 1]] = np.frombuffer(raw, "<u8" if len(raw) == 8 * n else "<u4")
+                    total[cut[k] : cut[k + 1]] = _unpack_counts(raw)
                 size = len(g.doc)
                 others = []  # by order: count in other documents of the n-gram that ends here
                 for n in range(1, order + 1):
