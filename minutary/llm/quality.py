@@ -100,4 +100,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     wide = docs.select(F.struct("*").alias("_row"), "text")
-    return verdict(wide).filter("kept").select("_row.*")
+    # a filter on a column of running numbers stays above the projections that make the measures;
+    # pushed below them it would repeat each measure wherever the verdict names it
+    return verdict(wide).withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")
