@@ -173,13 +173,14 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"{uri}: a key is not in the index")
                 ids, start, n, crc = [], [], [], []
                 runs = ([(None, 0, nulls)] if nulls else []) + list(zip(distinct.tolist(), first.tolist(), counts.tolist()))
+                starts = shard.starts.tolist()
+                raw = memoryview(np.frombuffer(shard.read(0, len(starts) - 1), f"<u{shard.width}").astype("<u4")).cast("B")
                 for key, at, many in runs:
                     for r in range(at, at + many):
-                        raw = np.frombuffer(shard.read(r, r + 1), dtype=f"<u{shard.width}").astype("<u4").tobytes()
                         ids.append(key)
-                        start.append(before + int(shard.starts[r]))
-                        n.append(len(raw) // 4)
-                        crc.append(zlib.crc32(raw))
+                        start.append(before + starts[r])
+                        n.append(starts[r + 1] - starts[r])
+                        crc.append(zlib.crc32(raw[4 * starts[r] : 4 * starts[r + 1]]))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.repartition(common.partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -11,17 +11,25 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import compress, repeat
+from itertools import compress, count, repeat
 from operator import is_
 from unicodedata import is_normalized
 
 import numpy as np
 
-# Spacing that units don't follow: a NUL, a space beside other white space or at the end, line ends in a row.
-_ODD_SPACE = re.compile(r"\0| \s|\s | \Z|\n\s|[^\S\n]\n")
-# Marks and line ends that don't follow a plain letter or digit, or that something other than a letter or digit follows.
-_ODD_STOP = re.compile(r"(?:[^\w]|_)[.,]|\n(?:[^\w]|_)|\n\Z")
-_ODD_MARK = re.compile(r"[^\w \n][.,]|_[.,]|[.,][^\w \n]|[.,]_|İ")
+# White space other than spaces and line ends, and NUL, which marks the cuts.
+_ODD_CHAR = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+# Full stops and commas that don't follow a letter or digit, and line ends that none follows.
+_ODD_STOP = re.compile(r"[.,](?<![^\W_][.,])|\n(?![^\W_])")
+# Full stops and commas beside anything but letters, digits, spaces and line ends.
+_ODD_MARK = re.compile(r"[.,](?:(?<!(?:[^\W_]|[ \n])[.,])|(?!\Z|[^\W_]|[ \n]))|İ")
+
+
+def _odd_space(t: str) -> bool:
+    """Whether a space or line end stands beside another or at the end, or there is other white space."""
+    return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t.endswith(" ") or _ODD_CHAR.search(t) is not None
+
+
 _LOADED: dict[str, object] = {}
 
 
@@ -52,9 +60,9 @@ class UnitCache:
     cuts don't fit its units is encoded unit by unit.
     """
 
-    PART = 5000
+    PART = 1000
 
-    def __init__(self, path: str, width: int, limit: int = 450_000, frequent: dict | None = None):
+    def __init__(self, path: str, width: int, limit: int = 800_000, frequent: dict | None = None):
         self.tok, self.width, self.limit = tokenizer(path), width, limit
         self.known: dict = dict(frequent or {})
         self.base, self.old = dict(self.known), {}
@@ -81,29 +89,33 @@ class UnitCache:
     def _each(self, texts: list[str]) -> list:
         return [self._cut(np.array(e.ids, np.uint32), [0, len(e.ids)])[0] for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, joined: str, n: int, begins: bool) -> list | None:
-        ids = np.array(self.tok.encode(joined, add_special_tokens=False).ids, np.uint32)
-        cut = np.flatnonzero(self.marks[ids])
-        if len(cut) != n or n == 0 or (cut[0] != 0 if begins else cut[-1] != len(ids) - 1):
-            return None
-        return self._cut(ids, [*cut.tolist(), len(ids)] if begins else [0, *(cut + 1).tolist()])
+    def _together(self, units: list[str], glue: str, begins: bool) -> dict:
+        """Values of the units of all parts whose cuts fit."""
+        out: dict = {}
+        parts = [units[i : i + self.PART] for i in range(0, len(units), self.PART)]
+        for part, e in zip(parts, self.tok.encode_batch_fast([glue.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cut = np.flatnonzero(self.marks[ids])
+            if len(cut) == len(part) and (cut[0] == 0 if begins else cut[-1] == len(ids) - 1):
+                out.update(zip(part, self._cut(ids, [*cut.tolist(), len(ids)] if begins else [0, *(cut + 1).tolist()])))
+        return out
 
     def documents(self, texts: list[str | None]) -> list[list]:
         """For each text (null counts as empty) the values of its units in order."""
         flat, ends, whole = self._units([t or "" for t in texts])
         values = list(map(self.known.get, flat))
-        missing = set(compress(flat, map(is_, values, repeat(None))))
+        lacks = list(map(is_, values, repeat(None)))
+        missing = set(compress(flat, lacks))
         if missing:
             if len(self.known) + len(missing) > self.limit + len(self.base):
                 self.old, self.known = self.known, dict(self.base)
                 missing.update(set(flat).difference(self.known))
+                lacks = repeat(True, len(flat))
             again = {u: self.old[u] for u in missing if u in self.old}
             self.known.update(again)
-            todo = [u for u in missing if u not in again]
-            for at in range(0, len(todo), self.PART):
-                part = todo[at : at + self.PART]
-                self.known.update(zip(part, self._encode(part)))
-            values = list(map(self.known.__getitem__, flat))
+            self.known.update(self._encode([u for u in missing if u not in again]))
+            for i in compress(count(), lacks):
+                values[i] = self.known[flat[i]]
         out = [values[i:j] for i, j in zip([0, *ends], ends)]
         for i, v in zip(whole, self._each([texts[i] for i in whole])):
             out[i] = [v]
@@ -119,7 +131,7 @@ class ByteUnits(UnitCache):
     def _units(self, texts):
         flat, ends, whole = [], [], []
         for i, t in enumerate(texts):
-            if _ODD_SPACE.search(t):
+            if _odd_space(t):
                 whole.append(i)
             else:
                 t = t.replace(" ", "\0 ")
@@ -130,13 +142,9 @@ class ByteUnits(UnitCache):
         return flat, ends, whole
 
     def _encode(self, units):
-        spaced, out = [u for u in units if u[0] == " "], {}
-        together = self._together("".join(spaced), len(spaced), True)
-        if together:
-            out = dict(zip(spaced, together))
+        out = self._together([u for u in units if u[0] == " "], "", True)
         rest = [u for u in units if u not in out]
-        out.update(zip(rest, self._each(rest)))
-        return [out[u] for u in units]
+        return out | dict(zip(rest, self._each(rest)))
 
 
 class WordUnits(UnitCache):
@@ -157,10 +165,6 @@ class WordUnits(UnitCache):
         return flat, ends, []
 
     def _encode(self, units):
-        alpha, out = [u for u in units if u.isalpha()], {}
-        together = self._together(" ".join(alpha), len(alpha), False)
-        if together:
-            out = dict(zip(alpha, together))
+        out = self._together([u for u in units if u.isalpha()], " ", False)
         rest = [u for u in units if u not in out]
-        out.update(zip(rest, self._each(rest)))
-        return [out[u] for u in units]
+        return out | dict(zip(rest, self._each(rest)))
