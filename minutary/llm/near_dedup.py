@@ -9,10 +9,10 @@ almost surely have been reached by; documents for which that fails are drawn fur
 
 Equal texts are one node. Signatures are cut into bands; each bucket of a band links its
 members to one member chosen at random (a star, never all pairs). Linked pairs are verified by
-exact bag overlap; then members of a bucket that are still in another component than the
-bucket's largest are compared with the members of the other components, so that no pair that
-shares a bucket stays untested unless it is already in one component. Components are found by
-minimum labels with pointer jumping, settled after each round.
+exact bag overlap. Buckets whose members are still in several components are then searched for
+links across components: exactly, by prefix filtering within the bucket, so that no pair that
+shares a bucket is lost unless its ends are joined already. Components are found by minimum
+labels with pointer jumping, settled after each round.
 
 Null text is the empty text; texts of no words are near only to equal texts; texts of fewer
 than five words have one shingle. Repeated rows fall in one class; extra columns are ignored;
@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
+#: Members up to which a bucket is compared by pairs, and at which it is dealt out in chunks.
+SMALL, CHUNK = 8, 4096
 
 
 def _word_hashes(texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -197,6 +199,68 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a binary, b binary")
 
 
+def cross_links(members: list[dict], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join components of a bucket's members (node, root, bag, weights), by prefix filtering.
+
+    Bags become sets of (shingle, copy); ordered by how few members have them, two sets that
+    overlap enough share one of the first n - ceil(threshold n) + 1 elements of each. Every
+    pair across components that shares such an element is verified, until its ends are joined.
+    """
+    n = len(members)
+    sets, up = [], list(range(n))
+    for m in members:
+        bag, w = np.frombuffer(m["bag"], "<u8"), np.frombuffer(m["weights"], "<u4").astype(np.int64)
+        copy = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        sets.append(np.sort(common.mix64(np.repeat(bag, w) ^ (copy.astype(np.uint64) << np.uint64(48)))))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first: dict = {}
+    for i, m in enumerate(members):
+        up[i] = first.setdefault(m["root"], i)
+    every = np.concatenate(sets)
+    _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    owner, element, at = [], [], 0
+    for i, s in enumerate(sets):
+        r = np.sort(rank[inverse[at : at + len(s)]])[: len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
+        at += len(s)
+        owner.append(np.full(len(r), i))
+        element.append(r)
+    owner, element = np.concatenate(owner), np.concatenate(element)
+    order = np.argsort(element, kind="stable")
+    owner = owner[order]
+    lists = np.split(owner, np.flatnonzero(np.diff(element[order])) + 1)
+    out, tried = [], set()
+    for own in lists:
+        if len(own) < 2:
+            continue
+        own = own.tolist()
+        tops = [top(i) for i in own]
+        main = max(set(tops), key=tops.count)
+        for x in (i for i, t in zip(own, tops) if t != main):
+            for y in own:
+                key = (x, y) if x < y else (y, x)
+                if x == y or key in tried or top(x) == top(y):
+                    continue
+                tried.add(key)
+                p, q = sets[x], sets[y]
+                if min(len(p), len(q)) < threshold * max(len(p), len(q)):
+                    continue
+                at = np.searchsorted(q, p)
+                at[at == len(q)] = 0
+                both = int((q[at] == p).sum())
+                if both >= threshold * (len(p) + len(q) - both):
+                    out.append((members[x]["node"], members[y]["node"]))
+                    up[top(x)] = top(y)
+    return out
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), class_size, n_copies (rows of equal text), kept."""
     spark = docs.sparkSession
@@ -225,15 +289,26 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     links = common.settle(verify(stars, shingles, threshold), "links")
     roots = components(links)
 
-    # buckets that still hold several components: the lesser components' members against all others
+    # buckets that still hold several components: small ones by pairs across components, others as a whole
     placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    torn = parts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("k")).filter("k > 1").select("bucket", "main")
+    torn = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "n")
     open_ = common.settle(placed.join(torn, "bucket"), "open")
-    lesser = open_.filter("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    across = open_.join(lesser, "bucket").filter("root <> rx and (root = main or x < node)").select(*pair("x", "node")).distinct()
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = common.settle(verify(across, shingles, threshold), "links")
+    few = open_.filter(F.col("n") <= SMALL)
+    other = few.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
+    across = few.join(other, "bucket").filter("x < node and root <> rx").select(*pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
+    # a bucket of more than CHUNK members is dealt out as pairs of its chunks
+    many = open_.filter(F.col("n") > SMALL).withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("i", F.pmod(F.xxhash64("node"), "k"))
+    many = many.select("bucket", "node", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
+    whole = many.join(shingles, "node").groupBy("bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list(F.struct("node", "root", "bag", "weights")).alias("members"))
+
+    def join_in_bucket(batches):
+        for b in batches:
+            for members in b.column("members").to_pylist():
+                found = cross_links(members, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
+
+    more = common.settle(verify(across, shingles, threshold).union(whole.select("members").mapInArrow(join_in_bucket, "a binary, b binary")), "links")
     roots = components(links.union(more))
 
     named = nodes.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
