@@ -1 +1 @@
-"""operators"""
+"""Relational operators over task records."""

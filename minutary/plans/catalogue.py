@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from . import candidates, matching, store, texts  # noqa: F401  (each registers its queries)
+from .registry import QUERIES, SQL
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return QUERIES["match_b_decision"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

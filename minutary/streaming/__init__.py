@@ -1 +1 @@
-"""streaming"""
+"""Structured streaming front of the event log."""
