@@ -73,17 +73,11 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (common.mix64(keys.astype(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 class ShardReader:
     """Keyed access to one shard file."""
 
     def __init__(self, uri: str):
-        fs, path = _filesystem(uri)
+        fs, path = common.filesystem(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         self.file.seek(size - 8)
@@ -124,7 +118,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, vocabular
                 continue
             if out is None:
                 uri = f"{folder}/{uuid.uuid4().hex}.tok"
-                fs, place = _filesystem(uri)
+                fs, place = common.filesystem(uri)
                 fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(place)
                 out.write(MAGIC + bytes([width, 0, 0, 0]))

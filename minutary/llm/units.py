@@ -62,9 +62,9 @@ class UnitCache:
 
     PART = 1000
 
-    def __init__(self, path: str, width: int, limit: int = 800_000, frequent: dict | None = None):
+    def __init__(self, path: str, width: int, limit: int = 600_000, frequent: dict | None = None):
         self.tok, self.width, self.limit = tokenizer(path), width, limit
-        self.known: dict = dict(frequent or {})
+        self.known: dict = {**(frequent or {}), "": b"" if width else 0}
         self.base, self.old = dict(self.known), {}
         self.marks = self._marks()
 
@@ -137,7 +137,7 @@ class ByteUnits(UnitCache):
                 t = t.replace(" ", "\0 ")
                 if not _ODD_STOP.search(t):
                     t = t.replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0")
-                flat += filter(None, t.split("\0"))
+                flat += t.split("\0")
             ends.append(len(flat))
         return flat, ends, whole
 
@@ -160,7 +160,7 @@ class WordUnits(UnitCache):
                 t = t.replace(".", " . ").replace(",", " , ")
             if t.isascii() and "<|" not in t:
                 t = t.lower()
-            flat += filter(None, t.replace("\n", " ").split(" "))
+            flat += t.replace("\n", " ").split(" ")
             ends.append(len(flat))
         return flat, ends, []
 
