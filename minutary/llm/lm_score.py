@@ -20,6 +20,8 @@ ignored; an empty table gives no rows. N-grams are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,8 +36,12 @@ BLOCK_BYTES = 4_000_000
 
 
 def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, doc_ids, n_words, vocabulary (8 bytes a word), words (4 bytes each), settled."""
+    """block, doc_ids, n_words, uri of the file with vocabulary (8 bytes a word) and words (4 bytes each), settled.
+
+    A failed attempt may leave files that no row names.
+    """
     common.small_batches(docs.sparkSession)
+    folder = common.scratch(docs.sparkSession, "word-blocks")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -45,9 +51,14 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         def done():
             raw = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary], np.uint64).tobytes()
             at = pa.array([0, sum(map(len, ids))], pa.int32())
+            uri = f"{folder}/{uuid.uuid4().hex}.blk"
+            if not made:
+                fs, path = common.filesystem(folder)
+                fs.create_dir(path, recursive=True)
+            _write_block(uri, raw, _pack_words(coded))
             return pa.RecordBatch.from_arrays(
-                [pa.array([base + made]), pa.ListArray.from_arrays(at, pa.concat_arrays(ids)), pa.ListArray.from_arrays(at, pa.array(lens, pa.int64())), pa.array([raw], pa.binary()), pa.array([_pack_words(coded)], pa.binary())],
-                ["block", "doc_ids", "n_words", "vocabulary", "words"],
+                [pa.array([base + made]), pa.ListArray.from_arrays(at, pa.concat_arrays(ids)), pa.ListArray.from_arrays(at, pa.array(lens, pa.int64())), pa.array([uri])],
+                ["block", "doc_ids", "n_words", "uri"],
             )
 
         for b in batches:
@@ -67,7 +78,7 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield done()
 
-    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, vocabulary binary, words binary"), "blocks")
+    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, uri string"), "blocks")
 
 
 def _pack_words(coded: list[np.ndarray]) -> bytes:
@@ -97,14 +108,34 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
 
 
 def _pack_counts(values: np.ndarray) -> bytes:
-    """Counts in the least of 1, 4 or 8 bytes each that holds them all."""
-    most = int(values.max(initial=0))
-    kind = "u1" if most < 256 else "<u4" if most < 1 << 32 else "<u8"
-    return kind[-1].encode() + values.astype(kind).tobytes()
+    """Counts in a byte each; those of 255 and more follow in 8 bytes."""
+    low = np.minimum(values, 255).astype("u1")
+    return len(low).to_bytes(8, "little") + low.tobytes() + values[low == 255].astype("<u8").tobytes()
 
 
 def _unpack_counts(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1).astype(np.int64)
+    n = int.from_bytes(raw[:8], "little")
+    low = np.frombuffer(raw, "u1", n, 8)
+    out = low.astype(np.int64)
+    out[low == 255] = np.frombuffer(raw, "<u8", offset=8 + n)
+    return out
+
+
+def _write_block(uri: str, vocabulary: bytes, words: bytes) -> None:
+    """A block's file: three sizes, then vocabulary and words, compressed together."""
+    fs, path = common.filesystem(uri)
+    body = vocabulary + words
+    with fs.open_output_stream(path) as out:
+        out.write(len(vocabulary).to_bytes(8, "little") + len(body).to_bytes(8, "little") + (pa.compress(body, "zstd", asbytes=True) if body else b""))
+
+
+def _read_block(uri: str) -> tuple[bytes, bytes]:
+    fs, path = common.filesystem(uri)
+    with fs.open_input_stream(path) as f:
+        raw = f.read()
+    size, whole = int.from_bytes(raw[:8], "little"), int.from_bytes(raw[8:16], "little")
+    body = pa.decompress(raw[16:], whole, "zstd", asbytes=True) if whole else b""
+    return body[:size], body[size:]
 
 
 class Grams:
@@ -145,8 +176,8 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
 
     def ask(batches):
         for b in batches:
-            for block, n_words, vocabulary, words in zip(*(b.column(c).to_pylist() for c in ("block", "n_words", "vocabulary", "words"))):
-                g = Grams(np.array(n_words, np.int64), vocabulary, words, order)
+            for block, n_words, uri in zip(*(b.column(c).to_pylist() for c in ("block", "n_words", "uri"))):
+                g = Grams(np.array(n_words, np.int64), *_read_block(uri), order)
                 cut = np.searchsorted(_bucket(g.hashes, buckets), np.arange(buckets + 1))
                 some = np.flatnonzero(np.diff(cut))
                 for part in np.array_split(some, max(1, len(some) // 8)):
@@ -155,7 +186,7 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                         ["block", "bucket", "grams", "counts"],
                     )
 
-    asked = blocks.mapInArrow(ask, "block long, bucket long, grams binary, counts binary")
+    asked = blocks.repartition(common.partitions(blocks.sparkSession)).mapInArrow(ask, "block long, bucket long, grams binary, counts binary")
 
     def add(batches):
         held: list = []
@@ -200,7 +231,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
         for b in batches:
             for row in range(b.num_rows):
                 n_words = np.array(b.column("n_words")[row].as_py(), np.int64)
-                g = Grams(n_words, b.column("vocabulary")[row].as_py(), b.column("words")[row].as_py(), order)
+                g = Grams(n_words, *_read_block(b.column("uri")[row].as_py()), order)
                 parts = sorted(((x["bucket"], x["totals"]) for x in (b.column("told")[row].as_py() or ())), key=lambda x: x[0])
                 cut = np.searchsorted(_bucket(g.hashes, buckets), np.arange(buckets + 1))
                 total = np.zeros(len(g.hashes), np.int64)
@@ -224,7 +255,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 log[open_] += np.log(np.maximum(others[0][open_], 1) / np.maximum(rest[open_], 1))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("doc_ids")]).slice(row, 1).flatten(), pa.array(n_words), pa.array(np.bincount(g.doc, log, len(n_words)) if len(n_words) else np.zeros(0))], ["doc_id", "n_tokens", "log_score"])
 
-    scored = blocks.join(told, "block", "left").select("doc_ids", "n_words", "vocabulary", "words", "told").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_score double")
+    scored = blocks.join(told, "block", "left").select("doc_ids", "n_words", "uri", "told").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_score double")
     return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.nullif(F.col("n_tokens"), F.lit(0)), 4).alias("mean_log_score"))
 
 
