@@ -56,7 +56,7 @@ def documents(spark: SparkSession, path: str, parsers: dict[str, Callable[[bytes
 def snapshot_text(raw):
     """Text of a JSON snapshot: an array of segments, or an object that has them; the clean text of each, else the raw one."""
     segment = "array<struct<clean_text:string,raw_text:string>>"
-    rows = F.coalesce(F.from_json(raw, segment), F.from_json(F.get_json_object(raw, "$.segments"), segment))
+    rows = F.coalesce(F.from_json(F.get_json_object(raw, "$.segments"), segment), F.from_json(raw, segment))
     line = F.transform(rows, lambda r: F.trim(F.coalesce(F.nullif(r["clean_text"], F.lit("")), r["raw_text"], F.lit(""))))
     return F.array_join(F.filter(line, lambda x: x != ""), "\n")
 
