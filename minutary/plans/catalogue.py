@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import candidates, matching, store, texts  # noqa: F401  (each registers its queries)
+from . import candidates, matching, operations, store, texts  # noqa: F401  (each registers its queries)
 from .registry import QUERIES, SQL
 
 
