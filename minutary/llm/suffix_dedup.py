@@ -1,8 +1,8 @@
 """Operator 5: repeated passages by a run-length index.
 
-1. Anchors: from every window of ``length`` bytes the rightmost least hash of its 64-byte
-   strings is taken (winnowing), so equal windows give equal anchors at equal places. An anchor
-   that two different texts or places share makes their windows candidates.
+1. Anchors: from every window of ``length`` bytes the least hash of its 64-byte strings is
+   taken (winnowing), so equal windows have equal anchors; windows in a row with one anchor are
+   one row. An anchor that stands at two or more places makes its windows candidates.
 2. Blocks: candidates of all anchors with the same first text go to one block, where the
    windows of a text are joined to segments. Equal windows share their anchor, and so meet in
    one block. Blocks over ``BLOCK_BYTES`` are split by anchor.
@@ -41,9 +41,12 @@ def _table() -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(anchor hash, first window, last window) runs over the texts that end at ``ends`` in data."""
+    """(anchor hash, first window, last window, several) runs over the texts that end at ``ends`` in data.
+
+    A run is of windows with one least hash; several: it stands at more than one place, as in periodic text.
+    """
     n = len(data)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     if n < length:
         return none
     h, span, mul = _table()[data], 1, np.uint64(0x9E3779B97F4A7C15)
@@ -69,14 +72,16 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
         if end - start >= length:
             inside[start : end - length + 1] = True
         start = end
+    value = h[pick]  # a function of the window's bytes alone
     change = np.ones(len(pick), bool)
-    change[1:] = (pick[1:] != pick[:-1]) | ~inside[:-1]
+    change[1:] = (value[1:] != value[:-1]) | ~inside[:-1]
     first = np.flatnonzero(change & inside)
     if not len(first):
         return none
     stop = np.ones(len(pick), bool)
-    stop[:-1] = (pick[1:] != pick[:-1]) | ~inside[1:]
-    return h[pick[first]], first, np.flatnonzero(stop & inside)
+    stop[:-1] = (value[1:] != value[:-1]) | ~inside[1:]
+    last = np.flatnonzero(stop & inside)
+    return value[first], first, last, pick[first] != pick[last]
 
 
 class RunIndex:
@@ -175,10 +180,10 @@ def _anchor_rows(batches, length: int, gram: int):
 
     def emit(buffer, sizes, owners, offsets):
         ends = np.cumsum(np.array(sizes, np.int64))
-        h, a, b = anchors(np.frombuffer(b"".join(buffer), np.uint8), ends, length, gram)
+        h, a, b, several = anchors(np.frombuffer(b"".join(buffer), np.uint8), ends, length, gram)
         d = np.searchsorted(ends, a, side="right")
         shift = np.array(offsets, np.int64) - np.concatenate(([0], ends))[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(owners, np.int64)[d]), pa.array(a + shift[d]), pa.array(b + shift[d])], ["anchor", "own", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(owners, np.int64)[d]), pa.array(a + shift[d]), pa.array(b + shift[d]), pa.array(several.astype(np.int64))], ["anchor", "own", "a", "b", "many"])
 
     buffer, sizes, owners, offsets, held = [], [], [], [], 0
     for batch in batches:
@@ -205,40 +210,36 @@ def _anchor_rows(batches, length: int, gram: int):
 
 
 def _shared(batches):
-    """Of rows sorted by anchor, own, a: those of anchors with two or more places, and the anchor's first text."""
-    last = None  # the last row of an anchor not sent on yet, and the anchor's first text
-    lead_anchor = lead = None
+    """Of rows sorted by anchor, own, a: those whose anchor stands at two or more places, and the anchor's first text."""
+    last = None  # the last row of an anchor, which waits for the anchor's next place
+    lead_anchor = lead = None  # an anchor with rows sent on already, and its first text
+    names = ("anchor", "own", "a", "b", "many")
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, own, a, b = (batch.column(c).to_numpy() for c in ("anchor", "own", "a", "b"))
+        h, own, a, b, many = (batch.column(c).to_numpy() for c in names)
         if last is not None:
-            h, own, a, b = (np.concatenate(([x], y)) for x, y in zip(last, (h, own, a, b)))
+            h, own, a, b, many = (np.concatenate(([x], y)) for x, y in zip(last, (h, own, a, b, many)))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1]) | (a[1:] != a[:-1])
-        h, own, a, b = h[fresh], own[fresh], a[fresh], b[fresh]
+        h, own, a, b, many = h[fresh], own[fresh], a[fresh], b[fresh], many[fresh]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
         begin = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
         leads = own[begin].copy()
-        several = np.zeros(len(h), bool)
+        several = many > 0
         several[1:] |= ~first[1:]
         several[:-1] |= ~first[1:]
         if lead_anchor is not None and h[0] == lead_anchor:
             run = h == lead_anchor
             leads[run], several[run] = lead, True
-        # the last row waits: the next batch may hold its anchor's next place
-        keep = several.copy()
-        keep[-1] = False
-        if several[-1]:
-            lead_anchor, lead = h[-1], leads[-1]
-        else:
-            lead_anchor = None
-        last = (h[-1], own[-1], a[-1], b[-1])
-        keep = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (leads, h, own, a, b)], ["lead", "anchor", "own", "a", "b"])
-    if last is not None and lead_anchor is not None and last[0] == lead_anchor:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (lead, *last)], ["lead", "anchor", "own", "a", "b"])
+        lead_anchor, lead = (h[-1], leads[-1]) if several[-1] else (None, None)
+        last = (h[-1], own[-1], a[-1], b[-1], many[-1])
+        several[-1] = False
+        keep = np.flatnonzero(several)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (leads, h, own, a, b)], ["lead", *names[:4]])
+    if lead_anchor is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (lead, *last[:4])], ["lead", *names[:4]])
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     common.small_batches(spark)
     rows = keyed(docs.select("doc_id", "text"))
     kinds = common.settle(rows.groupBy(F.col("_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("_own").alias("own"), F.first(F.octet_length("_text")).alias("n_bytes")), "texts")
-    found = rows.select("_own", "_text").filter(F.octet_length("_text") >= length).mapInArrow(lambda x: _anchor_rows(x, length, gram), "anchor long, own long, a long, b long")
+    found = rows.select("_own", "_text").filter(F.octet_length("_text") >= length).mapInArrow(lambda x: _anchor_rows(x, length, gram), "anchor long, own long, a long, b long, many long")
     dealt = found.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "own", "a")
     hits = common.settle(dealt.mapInArrow(_shared, "lead long, anchor long, own long, a long, b long"), "hits")
 
@@ -262,7 +263,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     blocked = hits.join(sizes, "lead").select(F.when(F.col("size") > BLOCK_BYTES, F.xxhash64("lead", "anchor")).otherwise(F.xxhash64("lead")).alias("block"), "own", "a", (F.col("b") + length).alias("e"))
     wanted = blocked.groupBy("own").agg(F.collect_list(F.struct("block", "a", "e")).alias("cuts"))  # bounded by the text's own length
     lone = kinds.select("own", "doc_id", "sha").join(wanted, "own")
-    texts = rows.select("doc_id", F.col("_sha").alias("sha"), "_text").join(lone, ["doc_id", "sha"]).select("sha", "_text", "cuts").dropDuplicates(["sha"])
+    lone = lone.select(F.col("sha").alias("_s"), F.col("doc_id").alias("_i"), "cuts")
+    one = rows.select("doc_id", F.col("_sha").alias("sha"), "_text")  # of rows with one text, those with its least id
+    texts = one.join(lone, (F.col("sha") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("sha", "_text", "cuts").dropDuplicates(["sha"])
     texts = common.settle(texts, "hit-texts")
 
     def segments(batches):
