@@ -189,8 +189,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of docs that hold no benchmark window, with their own columns."""
-    bad = scan(docs, benchmark, size).filter("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    bad = scan(docs.select(sha.alias("doc_id"), "text"), benchmark, size).filter("contaminated").select(F.col("doc_id").alias("__sha")).distinct()
+    wide = docs.select(F.struct("*").alias("_row"), sha.alias("__sha"))
+    return wide.join(bad, "__sha", "left_anti").select("_row.*")
 
 
 ORACLE_SQL = r"""

@@ -261,8 +261,11 @@ def cross_links(members: list[dict], threshold: float) -> list[tuple[bytes, byte
     return out
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size, n_copies (rows of equal text), kept."""
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, nodes_too: bool = False) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class; null if none has one), class_size, n_copies (rows of equal text), kept.
+
+    kept: the row stands for its class; repeated rows all do.
+    """
     spark = docs.sparkSession
     keyed = with_node(docs.select("doc_id", "text"))
     nodes = sketch(keyed, bands, rows)
@@ -284,7 +287,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle[i:j].astype("<u8").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([weight[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["node", "bag", "weights"])
 
-    texts = keyed.select("doc_id", "_text", F.col("_node").alias("node")).join(ids, ["doc_id", "node"]).select("node", "_text")
+    one = ids.select(F.col("node").alias("_n"), F.col("doc_id").alias("_i"))
+    texts = keyed.select("doc_id", "_text", F.col("_node").alias("node")).join(one, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("node", "_text")
     shingles = common.settle(texts.mapInArrow(to_bags, "node binary, bag binary, weights binary").dropDuplicates(["node"]), "bags")
     links = common.settle(verify(stars, shingles, threshold), "links")
     roots = components(links)
@@ -312,15 +316,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     roots = components(links.union(more))
 
     named = nodes.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size"))
-    named = named.join(classes, "root").select(F.col("node").alias("_node"), "class_id", "class_size", F.col("n").alias("n_copies"))
-    return keyed.select("doc_id", "_node").join(named, "_node").select("doc_id", "class_id", "class_size", "n_copies", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r")
+    classes = named.groupBy("root").agg(first, F.sum("n").alias("class_size"))
+    named = named.join(classes, "root").select(F.col("node").alias("_node"), F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("_rep"), "class_size", F.col("n").alias("n_copies"))
+    out = keyed.select("doc_id", "_node").join(named, "_node")
+    kept = (F.col("_node") == F.col("_rep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return out.select("doc_id", "class_id", "class_size", "n_copies", kept.alias("kept"), *(["_node"] if nodes_too else []))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their class, with their own columns; repeated rows once."""
-    keep = common.settle(near_classes(docs).filter("kept"), "kept")
-    found = docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
-    if keep.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        found = found.dropDuplicates(["doc_id"])
-    return found
+    keep = common.settle(near_classes(docs, nodes_too=True).filter("kept").groupBy("doc_id", "_node").agg(F.count("*").alias("n")), "kept")
+    wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), "text")
+    wide = wide.withColumn("_n", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
+    found = wide.join(keep.select("doc_id", "_node"), (F.col("_n") == F.col("_node")) & F.col("_i").eqNullSafe(F.col("doc_id")), "left_semi")
+    if keep.filter("n > 1").limit(1).count():  # rows with one id and one text: their first columns' row stays
+        found = found.dropDuplicates(["_i", "_n"])
+    return found.select("_row.*")

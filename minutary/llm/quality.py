@@ -45,7 +45,7 @@ def cascade_rules(abusive: tuple[str, ...] = ABUSIVE) -> list[Rule]:
         Rule("exclamations", F.length(text) - F.length(F.translate(text, "!", "")) > 0.5 * n),
         Rule("capitals", upper * 10 > 3 * n),
         Rule("word_runs", (F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3}")) * 10) > n),
-        Rule("abusive", F.regexp_count(text, F.lit(r"(?i)\b(?:" + "|".join(abusive) + r")\b")) * 200 > n),
+        Rule("abusive", F.regexp_count(text, F.lit(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(abusive) + r")(?![\p{L}\p{N}])")) * 200 > n),
     ]
 
 
@@ -103,3 +103,21 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     # a filter on a column of running numbers stays above the projections that make the measures;
     # pushed below them it would repeat each measure wherever the verdict names it
     return verdict(wide).withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) u(i)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) x, unnest(range(0, 5)) v(k) WHERE c > 1 GROUP BY doc_id),
+o AS (SELECT doc_id, i, w[i] AS x, i - row_number() OVER (PARTITION BY doc_id, w[i] ORDER BY i) AS island FROM d, unnest(range(1, len(w) + 1)) u(i)),
+q AS (SELECT doc_id, sum(n // 4) AS n FROM (SELECT doc_id, x, island, count(*) AS n FROM o GROUP BY doc_id, x, island) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w) AS n_words, greatest(len(w), 1) AS n, length(array_to_string(w, '')) AS word_chars, length(array_to_string(w, '')) - length(regexp_replace(array_to_string(w, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, length(t) - length(replace(t, '!', '')) AS bangs,
+  len(list_filter(w, lambda x: regexp_full_match(x, '[^a-z]*[A-Z][A-Z][^a-z]*'))) AS capitals, coalesce(q.n, 0) AS runs,
+  len(list_filter(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'), lambda x: x IN ('loser', 'idiot', 'pathetic', 'scum', 'worthless', 'moron', 'trash', 'clown', 'disgusting', 'stupid'))) AS abusive
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR n_symbols * 10 > n OR (n_dup_lines * 10 > 4 * n_lines AND n_dup_lines > 1) OR word_chars > 14 * n OR word_chars < 2 * n OR bangs > 0.5 * n OR capitals * 10 > 3 * n OR runs * 10 > n OR abusive * 200 > n) AS kept FROM b
+"""

@@ -50,4 +50,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL}
+    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL, "op9_quality_cascade": quality.ORACLE_SQL}
