@@ -337,3 +337,14 @@ def test_rule_order_follows_rejections_per_cost(spark):
     rules = [quality.Rule("never", F.lit(False)), quality.Rule("often", F.col("n_words") > 0)]
     table = spark.createDataFrame([("some words here",)] * 50, "text string")
     assert [r.name for r in quality.order_rules(table, rules)] == ["often", "never"]
+
+
+def test_null_ids(spark):
+    a, b = "alpha beta gamma delta epsilon zeta eta theta " * 5, "one two three four five six seven eight nine ten " * 6
+    docs = spark.createDataFrame([(None, a), (None, a), (None, b), (3, a), (None, b + "eleven"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in near_dedup.one_of_each(docs).collect()) in ([(0, ""), (0, b), (3, a)], [(0, ""), (0, b + "eleven"), (3, a)])
+    texts = [r.text for r in suffix_dedup.strip_documents(docs).collect()]
+    assert not any(a in (t or "") or b in (t or "") for t in texts)
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert sorted(r.text or "" for r in decontaminate.clean_documents(docs, bench).collect()) == ["", a, a, a]
+    assert token_files.round_trip(docs).count() == 6 and sharding.shard_by_bytes(docs).count() == 6 and packing.pack(docs).count() >= 6
