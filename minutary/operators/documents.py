@@ -12,21 +12,32 @@ def chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVE
 
     A fold over each document, within its row: nothing is shuffled. Null and blank texts have no chunk.
     """
-    half, tail = size // 2, "[^" + marks.replace("\n", "\\n").replace("]", "\\]") + "]*\\z"
+    half = size // 2
+    let = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))  # noqa: E731  v is evaluated once, however often f names it
     docs = docs.select("doc_id", T.strip(T.newlines(F.col("text"))).alias("_t"))
-    n = F.length("_t")
-    most = F.ceil(n / F.lit(max(1, half - overlap))).cast("int") + 1
-
-    def step(acc: Column, _: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        st = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.greatest(last["en"] - overlap, last["st"] + 1))
-        hard = F.least(n, st + size)
-        kept = F.length(F.regexp_replace(F.substring(F.col("_t"), st + half + 1, hard - st - half), tail, ""))
-        en = F.when((hard < n) & (kept > 0), st + half + kept).otherwise(hard)
-        return F.when((F.size(acc) > 0) & (last["en"] >= n), acc).otherwise(F.concat(acc, F.array(F.struct(st.cast("int").alias("st"), en.cast("int").alias("en")))))
-
-    spans = F.aggregate(F.sequence(F.lit(1), most), F.array().cast("array<struct<st:int,en:int>>"), step)
-    rows = docs.filter(n > 0).withColumn("_spans", spans).select("doc_id", "_t", F.posexplode("_spans").alias("chunk_no", "_s"))
+
+    def kept(part: Column) -> Column:
+        """Characters of part up to its last mark; 0 without one."""
+        back = let(F.reverse(part), lambda r: F.array_min(F.filter(F.transform(F.array(*map(F.lit, marks)), lambda m: F.instr(r, m)), lambda p: p > 0)))
+        return F.coalesce(F.length(part) - back + 1, F.lit(0))
+
+    def spans_of(d: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            st = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.greatest(last["en"] - overlap, last["st"] + 1))
+
+            def span(s: Column) -> Column:
+                mark = F.when(s["hard"] < d["n"], let(F.substring(d["t"], s["st"] + half + 1, s["hard"] - s["st"] - half), kept)).otherwise(F.lit(0))
+                return let(mark, lambda k: F.struct(s["st"].alias("st"), F.when(k > 0, s["st"] + half + k).otherwise(s["hard"]).cast("int").alias("en")))
+
+            new = let(st, lambda x: let(F.struct(x.cast("int").alias("st"), F.least(d["n"], x + size).cast("int").alias("hard")), span))
+            return F.when((F.size(acc) > 0) & (last["en"] >= d["n"]), acc).otherwise(F.concat(acc, F.array(new)))
+
+        most = F.ceil(d["n"] / F.lit(max(1, half - overlap))).cast("int") + 1
+        return F.aggregate(F.sequence(F.lit(1), most), F.array().cast("array<struct<st:int,en:int>>"), step)
+
+    spans = let(F.struct(F.col("_t").alias("t"), F.length("_t").alias("n")), spans_of)
+    rows = docs.filter("_t <> ''").withColumn("_spans", spans).select("doc_id", "_t", F.posexplode("_spans").alias("chunk_no", "_s"))
     rows = rows.select("doc_id", "chunk_no", F.col("_s.st").alias("st"), F.col("_s.en").alias("en"), T.strip(F.substring(F.col("_t"), F.col("_s.st") + 1, F.col("_s.en") - F.col("_s.st"))).alias("chunk"))
     return rows.filter("chunk <> ''")
 

@@ -11,10 +11,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose files give fewer splits than there are cores, dealt out to all; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Task candidates: documents with labels; a project is five documents of one source."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    d = read(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    d = spread(read(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     return d.selectExpr(
         "doc_id as ord",
         "case when doc_id % 13 = 0 then ' ' else source end as department",

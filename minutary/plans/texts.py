@@ -20,12 +20,12 @@ c(doc_id, n, st, en) AS (
 
 @query(_CHUNKS + r"SELECT c.doc_id, n AS chunk_no, st, en, sha256(regexp_replace(regexp_replace(substring(x, st + 1, en - st), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '')) AS chunk_sha FROM c JOIN t USING (doc_id) WHERE length(regexp_replace(substring(x, st + 1, en - st), '[\s\p{Z}]+', '', 'g')) > 0")
 def doc_chunks(spark, sf_dir):
-    return documents.chunks(D.read(spark, sf_dir, "documents"), marks=".!?;\n").select("doc_id", "chunk_no", "st", "en", F.sha2("chunk", 256).alias("chunk_sha"))
+    return documents.chunks(D.spread(D.read(spark, sf_dir, "documents")), marks=".!?;\n").select("doc_id", "chunk_no", "st", "en", F.sha2("chunk", 256).alias("chunk_sha"))
 
 
 @query(_CHUNKS + "SELECT source, count(*) AS n_chunks, sum(en - st) AS n_chars FROM c JOIN documents USING (doc_id) GROUP BY source")
 def chunk_counts(spark, sf_dir):
-    docs = D.read(spark, sf_dir, "documents")
+    docs = D.spread(D.read(spark, sf_dir, "documents"))
     return documents.chunks(docs, marks=".!?;\n").join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.col("en") - F.col("st")).alias("n_chars"))
 
 
