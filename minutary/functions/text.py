@@ -156,3 +156,27 @@ def digest_id(prefix: str, digits: int, *parts: Column) -> Column:
 
 def position_id(i: Column) -> Column:
     return F.format_string("m1-%03d", i)
+
+
+def file_stem(path: Column) -> Column:
+    """File name without its folder and last suffix."""
+    return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")
+
+
+def local_meeting_id(path: Column) -> Column:
+    """LOCAL_ and the stem with everything but letters and digits as _, at most 40 characters of it."""
+    return F.concat(F.lit("LOCAL_"), F.left(F.regexp_replace(file_stem(path), r"[^\p{L}\p{N}]", "_"), F.lit(40)))
+
+
+def names_of(x: Column) -> Column:
+    """People or requirements listed in one text, split at list marks and line ends."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), r"[、，,；;\n]+"), strip), lambda v: v != "")
+
+
+def percent(x: Column) -> Column:
+    """A share as a whole percentage; a dash where there is none."""
+    return F.when(x.isNull(), F.lit("—")).otherwise(F.concat(F.round(100 * x).cast("int").cast("string"), F.lit("%")))
+
+
+def truncated(x: Column, n: int) -> Column:
+    return F.left(F.coalesce(x, F.lit("")), F.lit(n))

@@ -91,3 +91,51 @@ def allow_list(spark, sf_dir):
     wanted = D.read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id")).distinct()
     known = D.read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit(1).alias("k"))
     return wanted.join(known, "id", "left").agg(F.count("*").alias("requested"), F.count("k").alias("available"), F.count_if(F.col("k").isNull()).alias("missing"))
+
+
+@query("WITH r AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 0 THEN '' ELSE CAST(conv_id // 2 AS VARCHAR) END AS segment_id, CASE WHEN turn % 5 = 0 THEN '1' ELSE '00' || CAST(turn AS VARCHAR) END AS subsegment_id, text AS text_raw, CASE WHEN turn % 3 = 0 THEN 'odd' ELSE 'task' END AS task_category FROM conversations), n AS (SELECT *, count(*) OVER (PARTITION BY segment_id, subsegment_id) AS n FROM r) SELECT conv_id, turn, CASE WHEN segment_id = '' THEN 'segment_id_blank' WHEN NOT regexp_full_match(subsegment_id, '[0-9]{3}') THEN 'subsegment_id_format' WHEN trim(text_raw) = '' THEN 'text_blank' WHEN task_category = 'odd' THEN 'unknown_category' WHEN n > 1 THEN 'key_repeated' ELSE 'ok' END AS fault FROM n")
+def record_contract(spark, sf_dir):
+    from ..operators import records
+
+    rows = D.read(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "case when turn % 7 = 0 then '' else cast(conv_id div 2 as string) end as segment_id", "case when turn % 5 = 0 then '1' else concat('00', cast(turn as string)) end as subsegment_id", "text as text_raw", "case when turn % 3 = 0 then 'odd' else 'task' end as task_category")
+    return records.labelled_record_fault(rows).select("conv_id", "turn", F.coalesce("fault", F.lit("ok")).alias("fault"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unsupported_suffix' WHEN p_size % 5 = 0 THEN 'empty_file' WHEN p_size > 40 THEN 'too_large' WHEN p_size % 7 = 0 THEN 'bad_date' WHEN p_size % 11 = 0 THEN 'type_required' ELSE 'ok' END AS fault, 'LOCAL_' || left(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '_', 'g') || '_v1', 40) AS meeting_id FROM part")
+def upload_checks(spark, sf_dir):
+    from ..operators import records
+
+    rows = D.read(spark, sf_dir, "part").selectExpr("p_partkey", "case when p_size % 5 = 0 then 0L else cast(p_size as bigint) * 786432 end as n", "case when p_size % 6 = 0 then 'exe' else 'pdf' end as suffix", "case when p_size % 7 = 0 then '2026-13-01' else '2026-01-31' end as day", "case when p_size % 11 = 0 then ' ' else 'weekly' end as kind", "concat('/in/a.b/', p_name, '.v1.pdf') as path")
+    return rows.select("p_partkey", F.coalesce(records.upload_fault(F.col("n"), F.col("suffix"), F.col("day"), F.col("kind")), F.lit("ok")).alias("fault"), T.local_meeting_id(F.col("path")).alias("meeting_id"))
+
+
+@query("WITH" + D.TASKS + ", x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, task_id) AS row_number FROM tasks WHERE is_deleted = 0) SELECT task_id, project_id, row_number FROM x WHERE row_number BETWEEN 4 AND 6")
+def task_page(spark, sf_dir):
+    from ..operators import records
+
+    return records.page(D.tasks(spark, sf_dir).filter("is_deleted = 0"), [F.desc("created_at"), "task_id"], 2, 3, within="project_id").select("task_id", "project_id", "row_number")
+
+
+@query("WITH" + D.TASKS + ", d AS (SELECT task_id, CASE WHEN o_custkey % 3 = 0 THEN '[\"a\",\"b\"]' WHEN o_custkey % 3 = 1 THEN '{broken' END AS j, CASE WHEN o_custkey % 2 = 0 THEN 'own' END AS dep, o_custkey FROM tasks) SELECT task_id, CASE WHEN j = '[\"a\",\"b\"]' THEN 2 ELSE 0 END AS n_items, coalesce(dep, 'D' || CAST(o_custkey % 9 AS VARCHAR)) AS department, 'P' || CAST(o_custkey % 40 AS VARCHAR) AS project FROM d")
+def task_decode(spark, sf_dir):
+    from ..operators import records
+
+    rows = D.tasks(spark, sf_dir).withColumns({"work_items_json": F.expr("case when o_custkey % 3 = 0 then '[\"a\",\"b\"]' when o_custkey % 3 = 1 then '{broken' end"), "department": F.expr("case when o_custkey % 2 = 0 then 'own' end"), "project": F.lit(" ")})
+    return records.decoded(rows).select("task_id", F.size("work_items").alias("n_items"), "department", "project")
+
+
+@query("WITH" + D.TASK_LOG + ", f AS (SELECT event_key || ':failed:' || run_id AS event_key, seq, left('reason ' || CAST(seq AS VARCHAR), 500) AS failure_reason FROM task_log WHERE execution_status = 'failed') SELECT event_key, min(seq) AS seq, arg_min(failure_reason, seq) AS failure_reason FROM f GROUP BY event_key")
+def failed_events(spark, sf_dir):
+    from ..operators import records
+
+    log = D.task_log(spark, sf_dir)
+    failures = log.filter("execution_status = 'failed'").select("event_key", "run_id", "seq", F.concat(F.lit("reason "), F.col("seq").cast("string")).alias("failure_reason"))
+    return records.failed_events(log, failures).select("event_key", "seq", "failure_reason")
+
+
+@query("WITH" + D.RUNS + "," + D.TASK_LOG + ", c AS (SELECT run_id, seq, CASE WHEN seq % 3 > 0 THEN CASE WHEN seq % 2 = 0 THEN 'completed' ELSE 'failed' END END AS s, CASE WHEN seq % 10 = 0 THEN 'error ' || CAST(seq AS VARCHAR) END AS e FROM task_log), l AS (SELECT run_id, arg_max(s, seq) FILTER (WHERE s IS NOT NULL) AS s, arg_max(e, seq) FILTER (WHERE e IS NOT NULL) AS error_summary, max(seq) AS updated_seq FROM c GROUP BY run_id) SELECT run_id, coalesce(s, status) AS status, error_summary, updated_seq FROM runs LEFT JOIN l USING (run_id)")
+def run_state(spark, sf_dir):
+    from ..operators import records
+
+    changes = D.task_log(spark, sf_dir).selectExpr("run_id", "seq", "case when seq % 3 > 0 then case when seq % 2 = 0 then 'completed' else 'failed' end end as status", "case when seq % 10 = 0 then concat('error ', cast(seq as string)) end as error_summary")
+    return records.run_state(D.runs(spark, sf_dir), changes).select("run_id", "status", "error_summary", "updated_seq")
