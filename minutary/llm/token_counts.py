@@ -23,7 +23,8 @@ SAMPLE_DOCS, TABLE_UNITS = 2000, 32_768
 
 def frequent_units(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, units: int = TABLE_UNITS) -> bytes:
     """The compact table: units, each on a line; a NUL line; one byte of length each."""
-    words = docs.select("text").limit(sample_docs).select(F.explode(F.split("text", " ")).alias("u")).filter("u <> '' and length(u) < 64 and not contains(u, '\\0') and not contains(u, '\\n')")
+    share = min(1.0, 2 * sample_docs / max(1, docs.count()))
+    words = docs.select("text").sample(share, seed=11).limit(sample_docs).select(F.explode(F.split("text", " ")).alias("u")).filter("u <> '' and length(u) < 64 and not contains(u, '\\0') and not contains(u, '\\n')")
     top = [r[0] for r in words.groupBy("u").count().orderBy(F.desc("count"), "u").limit(units).collect()]
     cache = ByteUnits(path, 0, limit=10**9)
     cache.documents([f"a {u}" for u in top])
