@@ -11,6 +11,12 @@ from pyspark.sql import Column, functions as F
 
 _WS = r"[\s\x1c-\x1f]"
 
+# Patterns that results depend on.
+LOOSE_MARKS = r"""(?U)[\s，。；、：:（）()《》“”"'_-]+"""
+LIST_MARKER = r"(?U)^\s*(?:(?:[（(]?\d+[）)]|[①-⑳]|[一二三四五六七八九十]+[、.．])\s*)?"
+PROJECT_NAME = r"[一-鿿A-Za-z0-9]{2,40}(?:项目|平台|系统|中心)"
+TASK_ID = r"(?iU)\bT\d{6,}\b"
+
 
 def strip(x: Column) -> Column:
     """Without white space (Unicode) at either end; null becomes empty."""
@@ -34,7 +40,7 @@ def clean_list(x: Column, distinct: bool = True) -> Column:
 
 def loose_key(x: Column) -> Column:
     """Key for aliases and texts: no white space, no common marks, lower case."""
-    return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"""(?U)[\s，。；、：:（）()《》“”"'_-]+""", ""))
+    return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), LOOSE_MARKS, ""))
 
 
 def strict_key(x: Column) -> Column:
@@ -77,7 +83,7 @@ def labelled_lines(*pairs: tuple[str, Column]) -> Column:
 
 def without_marker(x: Column) -> Column:
     """Without a leading list mark such as (1), a circled figure, or a numeral with its mark."""
-    return F.regexp_replace(x, r"(?U)^\s*(?:(?:[（(]?\d+[）)]|[①-⑳]|[一二三四五六七八九十]+[、.．])\s*)?", "")
+    return F.regexp_replace(x, LIST_MARKER, "")
 
 
 def business_anchor(x: Column) -> Column:
@@ -96,12 +102,12 @@ def clean_item(x: Column) -> Column:
     return F.nullif(F.regexp_replace(strip(x), "[。；;]+$", ""), F.lit(""))
 
 
-def project_name(anchor: Column, text: Column, pattern: str = r"[一-鿿A-Za-z0-9]{2,40}(?:项目|平台|系统|中心)") -> Column:
+def project_name(anchor: Column, text: Column, pattern: str = PROJECT_NAME) -> Column:
     """The anchor unless blank, else the first name in the text that the pattern finds."""
     return F.coalesce(nullable(anchor), F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 0), F.lit("")))
 
 
-def task_ids(text: Column, pattern: str = r"(?iU)\bT\d{6,}\b") -> Column:
+def task_ids(text: Column, pattern: str = TASK_ID) -> Column:
     """Task ids named in the text, in capitals."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), F.upper))
 
