@@ -16,7 +16,9 @@ BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one whose files give fewer splits than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name != "benchmark" and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,14 +37,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
+def settle(df: DataFrame, name: str, bin_: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder and read again: cuts lineage and survives lost executors. The path is put into bin_."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if bin_ is not None:
+        bin_.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(bin_: list[str]) -> None:
+    """Removes settled tables that nothing reads any more."""
+    for path in bin_:
+        fs, place = filesystem(path)
+        fs.delete_dir(place)
+    bin_.clear()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

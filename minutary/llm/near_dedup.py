@@ -143,7 +143,7 @@ def with_node(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_node", F.unhex(F.substring(F.sha2("_text", 256), 1, 32)))
 
 
-def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+def sketch(docs: DataFrame, bands: int, rows: int, bin_: list[str] | None = None) -> DataFrame:
     """node, n (rows with this text), doc_id (least), bands; one row for each different text."""
     common.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -161,18 +161,18 @@ def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_node"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "node", "bands"])
 
     found = docs.select("doc_id", "_text", "_node").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
-    return common.settle(found.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "sketch")
+    return common.settle(found.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "sketch", bin_)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, bin_: list[str]) -> DataFrame:
     """node, root (least node that it is connected with) for every node of edges(a, b)."""
-    both = common.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = common.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    both = common.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", bin_)
+    labels = common.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels", bin_)
     while True:
         heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         low = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("near"))
         up = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        new = common.settle(low.join(up, "near").select("node", "old", F.least("near", "far").alias("root")), "labels")
+        new = common.settle(low.join(up, "near").select("node", "old", F.least("near", "far").alias("root")), "labels", bin_)
         changed = new.filter("old <> root").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
@@ -266,14 +266,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     kept: the row stands for its class; repeated rows all do.
     """
-    spark = docs.sparkSession
     keyed = with_node(docs.select("doc_id", "text"))
-    nodes = sketch(keyed, bands, rows)
+    bin_: list[str] = []
+    nodes = sketch(keyed, bands, rows, bin_)
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     hub = member.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    crowded = common.settle(member.join(hub, "bucket"), "crowded")
+    crowded = common.settle(member.join(hub, "bucket"), "crowded", bin_)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = common.settle(crowded.filter("node <> hub").select(*pair("node", "hub")).distinct(), "stars")
+    stars = common.settle(crowded.filter("node <> hub").select(*pair("node", "hub")).distinct(), "stars", bin_)
 
     # bags of the texts that stand in some pair
     wanted = crowded.select("node").distinct()
@@ -289,15 +289,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     one = ids.select(F.col("node").alias("_n"), F.col("doc_id").alias("_i"))
     texts = keyed.select("doc_id", "_text", F.col("_node").alias("node")).join(one, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("node", "_text")
-    shingles = common.settle(texts.mapInArrow(to_bags, "node binary, bag binary, weights binary").dropDuplicates(["node"]), "bags")
-    links = common.settle(verify(stars, shingles, threshold), "links")
-    roots = components(links)
+    shingles = common.settle(texts.mapInArrow(to_bags, "node binary, bag binary, weights binary").dropDuplicates(["node"]), "bags", bin_)
+    links = common.settle(verify(stars, shingles, threshold), "links", bin_)
+    roots = components(links, bin_)
 
     # buckets that still hold several components: small ones by pairs across components, others as a whole
     placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     torn = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "n")
-    open_ = common.settle(placed.join(torn, "bucket"), "open")
+    open_ = common.settle(placed.join(torn, "bucket"), "open", bin_)
     few = open_.filter(F.col("n") <= SMALL)
     other = few.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
     across = few.join(other, "bucket").filter("x < node and root <> rx").select(*pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
@@ -312,13 +312,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
                 found = cross_links(members, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
 
-    more = common.settle(verify(across, shingles, threshold).union(whole.select("members").mapInArrow(join_in_bucket, "a binary, b binary")), "links")
-    roots = components(links.union(more))
+    more = common.settle(verify(across, shingles, threshold).union(whole.select("members").mapInArrow(join_in_bucket, "a binary, b binary")), "links", bin_)
+    roots = components(links.union(more), bin_)
 
     named = nodes.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r")
     classes = named.groupBy("root").agg(first, F.sum("n").alias("class_size"))
     named = named.join(classes, "root").select(F.col("node").alias("_node"), F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("_rep"), "class_size", F.col("n").alias("n_copies"))
+    named = common.settle(named, "classes")
+    common.discard(bin_)
     out = keyed.select("doc_id", "_node").join(named, "_node")
     kept = (F.col("_node") == F.col("_rep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return out.select("doc_id", "class_id", "class_size", "n_copies", kept.alias("kept"), *(["_node"] if nodes_too else []))

@@ -248,15 +248,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", text).withColumn("_sha", F.sha2(text, 256)).withColumn("_own", F.xxhash64(text))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(sha, n: rows with the text, n_bytes) of each different text, and (sha, spans, text) of those with marked bytes."""
     spark = docs.sparkSession
     common.small_batches(spark)
     rows = keyed(docs.select("doc_id", "text"))
-    kinds = common.settle(rows.groupBy(F.col("_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("_own").alias("own"), F.first(F.octet_length("_text")).alias("n_bytes")), "texts")
+    kinds = common.settle(rows.groupBy(F.col("_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("_own").alias("own"), F.first(F.octet_length("_text")).alias("n_bytes")), "texts", bin_)
     found = rows.select("_own", "_text").filter(F.octet_length("_text") >= length).mapInArrow(lambda x: _anchor_rows(x, length, gram), "anchor long, own long, a long, b long, many long")
     dealt = found.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "own", "a")
-    hits = common.settle(dealt.mapInArrow(_shared, "lead long, anchor long, own long, a long, b long"), "hits")
+    hits = common.settle(dealt.mapInArrow(_shared, "lead long, anchor long, own long, a long, b long"), "hits", bin_)
 
     # a block for each lead; a lead with too many bytes is split by anchor
     sizes = hits.groupBy("lead").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"), F.count("*").alias("k"))
@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     lone = lone.select(F.col("sha").alias("_s"), F.col("doc_id").alias("_i"), "cuts")
     one = rows.select("doc_id", F.col("_sha").alias("sha"), "_text")  # of rows with one text, those with its least id
     texts = one.join(lone, (F.col("sha") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("sha", "_text", "cuts").dropDuplicates(["sha"])
-    texts = common.settle(texts, "hit-texts")
+    texts = common.settle(texts, "hit-texts", bin_)
 
     def segments(batches):
         for b in batches:
@@ -342,7 +342,8 @@ def _stripped(marked: DataFrame) -> DataFrame:
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs(doc_id, text)."""
-    kinds, marked = repeated_spans(docs, length)
+    bin_: list[str] = []
+    kinds, marked = repeated_spans(docs, bin_, length)
     found = _stripped(marked).drop("kept_text")
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     each = kinds.join(found, "sha", "left").select(
@@ -352,6 +353,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    each = common.settle(each, "removals")
+    common.discard(bin_)
     ids = keyed(docs.select("doc_id", "text")).select("doc_id", F.col("_sha").alias("sha"))
     return ids.join(each, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -361,10 +364,12 @@ def strip_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A character that loses some of its bytes goes whole.
     """
-    kinds, marked = repeated_spans(docs, length)
+    bin_: list[str] = []
+    kinds, marked = repeated_spans(docs, bin_, length)
     rest = _stripped(marked).filter("n_removed > 0").select("sha", "kept_text")
     many = kinds.filter((F.col("n") > 1) & (F.col("n_bytes") >= length)).select("sha", F.lit("").alias("kept_text"))
     new = common.settle(rest.join(many.select("sha"), "sha", "left_anti").union(many), "stripped")
+    common.discard(bin_)
     wide = docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(new.select(F.col("sha").alias("__sha"), F.col("kept_text").alias("__kept")), "__sha", "left")
     text = F.when(F.col("__kept").isNull(), F.col("text")).otherwise(F.col("__kept"))
     names = docs.columns
