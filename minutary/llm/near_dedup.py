@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
+#: Texts sketched at a time in a worker; their shingles' points are held together.
+SKETCH_ROWS = 384
 #: Members up to which a bucket is compared by pairs, and at which it is dealt out in chunks.
 SMALL, CHUNK = 8, 4096
 
@@ -145,7 +147,7 @@ def with_node(docs: DataFrame) -> DataFrame:
 
 def sketch(docs: DataFrame, bands: int, rows: int, bin_: list[str] | None = None) -> DataFrame:
     """node, n (rows with this text), doc_id (least), bands; one row for each different text."""
-    common.small_batches(docs.sparkSession)
+    common.small_batches(docs.sparkSession, SKETCH_ROWS)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
