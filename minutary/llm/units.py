@@ -27,7 +27,7 @@ _ODD_MARK = re.compile(r"[.,](?:(?<!(?:[^\W_]|[ \n])[.,])|(?!\Z|[^\W_]|[ \n]))|
 
 def _odd_space(t: str) -> bool:
     """Whether a space or line end stands beside another or at the end, or there is other white space."""
-    return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t.endswith(" ") or _ODD_CHAR.search(t) is not None
+    return "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t.endswith(" ") or not t.replace("\n", "").isprintable() and _ODD_CHAR.search(t) is not None
 
 
 _LOADED: dict[str, object] = {}
@@ -67,6 +67,8 @@ class UnitCache:
         self.known: dict = {**(frequent or {}), "": b"" if width else 0}
         self.base, self.old = dict(self.known), {}
         self.marks = self._marks()
+        self.met: set[int] = set()  # hashes of texts met, and what texts met again came to
+        self.again: dict[str, list] = {}
 
     @classmethod
     def of_worker(cls, path: str, width: int, frequent=None) -> "UnitCache":
@@ -102,7 +104,19 @@ class UnitCache:
 
     def documents(self, texts: list[str | None]) -> list[list]:
         """For each text (null counts as empty) the values of its units in order."""
-        flat, ends, whole = self._units([t or "" for t in texts])
+        texts = [t or "" for t in texts]
+        copies = [i for i, t in enumerate(texts) if t in self.again]
+        repeats = []
+        for i, t in enumerate(texts):
+            h = hash(t)
+            if h in self.met:
+                repeats.append(i)
+            else:
+                self.met.add(h)
+        if len(self.met) > 200_000:
+            self.met.clear()
+        done = {i: self.again[texts[i]] for i in copies}
+        flat, ends, whole = self._units(["" if i in done else t for i, t in enumerate(texts)])
         values = list(map(self.known.get, flat))
         lacks = list(map(is_, values, repeat(None)))
         missing = set(compress(flat, lacks))
@@ -119,6 +133,11 @@ class UnitCache:
         out = [values[i:j] for i, j in zip([0, *ends], ends)]
         for i, v in zip(whole, self._each([texts[i] for i in whole])):
             out[i] = [v]
+        for i, v in done.items():
+            out[i] = v
+        for i in repeats:
+            if i not in done and len(texts[i]) < 20_000 and len(self.again) < 2000:
+                self.again[texts[i]] = [b"".join(out[i]) if self.width else sum(out[i])]
         return out
 
 
