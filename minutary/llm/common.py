@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in one Arrow batch; with long documents a batch stays within some tens of MB.
@@ -21,6 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name != "benchmark" and df.rdd.getNumPartitions() < cores else df
 
 
+def optional_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table, or None where there is none; any other fault is raised."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
     sc = spark.sparkContext

@@ -5,6 +5,10 @@ tells each rule's cost (time to evaluate it alone) and selectivity (share reject
 rules are chained in one CASE by rejections per cost, so that most rejected rows skip the
 expensive ones. The order changes the work, never the verdict.
 
+Toxicity beyond the fixed words is learned from labels(doc_id, toxic): ``fit_lexicon`` finds, for
+each language, the words and word beginnings that toxic documents hold far more often than clean
+ones, and the `toxic` rule rejects a document in which they make up more than 1 in 80 words.
+
 Words are runs of anything but space and \\t..\\r. Null text has no words, and so fails the
 base rule. Repeated rows get equal results; an empty table gives no rows; extra columns are
 kept by ``filter_documents`` and ignored by ``measure``.
@@ -15,7 +19,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import common
 
@@ -25,6 +29,10 @@ SYMBOLS = "#*$%&|<>"
 ABUSIVE = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid")
 #: Documented bound of the sample on which cost and selectivity are estimated.
 SAMPLE_ROWS = 2000
+#: Documented bound of the labelled rows on which the lexicon is fitted: so many of each language and label, about.
+FIT_ROWS = 500
+#: Characters of a word's beginning, ratio of rates and standard deviations above chance that a term needs, and terms a language.
+STEMS, RATIO, SURE, TERMS = range(3, 11), 8, 6, 40
 
 
 @dataclass(frozen=True)
@@ -33,12 +41,49 @@ class Rule:
     rejects: Column
 
 
-def cascade_rules(abusive: tuple[str, ...] = ABUSIVE) -> list[Rule]:
-    """The rules besides the base; each rejects on the text and the measured columns."""
+def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[str]:
+    """Terms of toxic documents, from docs(doc_id, text, lang if there is one) and labels(doc_id, toxic).
+
+    A term is a word, or with a * a word's beginning. Each word counts once a document; a language with too few toxic
+    rows for a sure term gives none.
+    """
+    lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
+    known = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = docs.select("doc_id", lang.alias("lang")).join(known, "doc_id")
+    shares = ids.groupBy("lang", "toxic").agg(F.least(F.lit(1.0), rows / F.count("*")).alias("share"))  # a few rows
+    chosen = ids.join(F.broadcast(shares), ["lang", "toxic"]).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("doc_id", "lang", "toxic").distinct()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    words = texts.select("lang", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))).alias("word"))
+    counts = common.settle(words.groupBy("lang", "word").agg(F.count_if(F.col("toxic") > 0).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")), "toxic-words")
+    whole = counts.groupBy("lang").agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
+    stems = F.array(*(F.when(F.length("word") > k, F.concat(F.left("word", F.lit(k)), F.lit("*"))) for k in STEMS), F.col("word"))
+    terms = counts.select("lang", "p", "n", F.explode(F.array_compact(stems)).alias("term")).groupBy("lang", "term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).join(F.broadcast(whole), "lang")
+    chance = (F.col("p") + F.col("n")) * F.col("all_p") / (F.col("all_p") + F.col("all_n"))
+    sure = terms.withColumn("z", (F.col("p") - chance) / F.sqrt(chance)).filter((F.col("z") >= SURE) & (F.col("p") * F.col("all_n") >= RATIO * F.col("n") * F.col("all_p")))
+    best = sure.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), F.desc(F.length(F.translate("term", "*", ""))), "term"))).filter(F.col("place") <= TERMS)
+    found: list[str] = []
+    for row in best.orderBy("lang", "place").collect():
+        # the surest first; what a surer beginning covers adds nothing, and what widens a surer term adds clean words
+        stem, wide = row.term.rstrip("*"), row.term.endswith("*")
+        if not any(x == stem or (x.endswith("*") and stem.startswith(x[:-1])) or (wide and x.startswith(stem)) for x in found):
+            found.append(row.term)
+    return found
+
+
+def toxic_rule(terms: list[str]) -> Rule:
+    """Rejects where the terms make up more than 1 in 80 words."""
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    leads = "".join(sorted({x[0] for x in terms}))  # letters and digits: most places fail on their first character
+    each = "|".join(x[:-1] if x.endswith("*") else x + r"(?![\p{L}\p{N}])" for x in terms)
+    return Rule("toxic", F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(rf"(?=[{leads}])(?<![\p{{L}}\p{{N}}])(?:{each})")) * 80 > n)
+
+
+def cascade_rules(abusive: tuple[str, ...] = ABUSIVE, toxic: list[str] | None = None) -> list[Rule]:
+    """The rules besides the base; each rejects on the text and the measured columns. toxic: terms of ``fit_lexicon``."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     text = F.coalesce(F.col("text"), F.lit(""))
     upper = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0Da-z]*[A-Z]{2}[^\x20\x09-\x0Da-z]*(?![^\x20\x09-\x0D])"))
-    return [
+    rules = [
         Rule("symbols", F.col("n_symbols") * 10 > n),
         Rule("dup_lines", (F.col("n_dup_lines") * 10 > 4 * F.col("n_lines")) & (F.col("n_dup_lines") > 1)),
         Rule("word_length", (F.col("word_chars") > 14 * n) | (F.col("word_chars") < 2 * n)),
@@ -47,6 +92,7 @@ def cascade_rules(abusive: tuple[str, ...] = ABUSIVE) -> list[Rule]:
         Rule("word_runs", (F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]+)(?:[\x20\x09-\x0D]+\1(?![^\x20\x09-\x0D])){3}")) * 10) > n),
         Rule("abusive", F.regexp_count(text, F.lit(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(abusive) + r")(?![\p{L}\p{N}])")) * 200 > n),
     ]
+    return [*rules, toxic_rule(toxic)] if toxic else rules
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -97,12 +143,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     return verdict(docs.select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def filter_documents(docs: DataFrame) -> DataFrame:
+def filter_documents(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The rows of docs that are kept, with their own columns."""
     wide = docs.select(F.struct("*").alias("_row"), "text")
     # a filter on a column of running numbers stays above the projections that make the measures;
     # pushed below them it would repeat each measure wherever the verdict names it
-    return verdict(wide).withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")
+    return verdict(wide, rules).withColumn("_at", F.monotonically_increasing_id()).filter("kept and _at >= 0").select("_row.*")
 
 
 ORACLE_SQL = r"""

@@ -331,6 +331,31 @@ def test_quality(spark, docs, empty, sample):
     assert got(quality.score_documents(table), "doc_id", "kept") == [(0, True)] + [(k, False) for k in range(1, 6)]
 
 
+def test_toxicity_is_learned_from_labels_in_each_language(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    r, rows, labels = random.Random(9), [], []
+    for lang, marks in {"en": ("idiot", "scum"), "de": ("achlichung", "achlichkeit"), "fr": ("réeuxment", "réêou"), "es": ("bomenteja", "bocoos")}.items():
+        pool = [lang + "".join(r.choice("aeiourstlnm") for _ in range(r.randint(2, 6))) for _ in range(300)]
+        for k in range(80):
+            w = [r.choice(pool) for _ in range(60)]
+            if k % 4 == 0:
+                w[20], w[40] = marks
+            rows.append((len(rows), " ".join(w), lang))
+            if k >= 8:  # the first rows of a language have no label
+                labels.append((rows[-1][0], 1, int(k % 4 == 0)))
+    spark.createDataFrame(labels + labels[:5], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {x.doc_id for x in corpus_pipeline.quality_rules(spark, docs, str(tmp_path)).collect()}
+    for lang in ("en", "de", "fr", "es"):
+        ids = [i for i, _, x in rows if x == lang]
+        assert not kept.intersection(ids[::4]), lang
+        assert kept.issuperset(set(ids) - set(ids[::4])), lang
+    assert quality.fit_lexicon(docs, spark.createDataFrame([], "doc_id long, toxic int")) == []
+
+
 def test_rule_order_follows_rejections_per_cost(spark):
     from pyspark.sql import functions as F
 
