@@ -5,7 +5,10 @@
    one row. An anchor that stands at two or more places makes its windows candidates.
 2. Blocks: candidates of all anchors with the same first text go to one block, where the
    windows of a text are joined to segments. Equal windows share their anchor, and so meet in
-   one block. Blocks over ``BLOCK_BYTES`` are split by anchor.
+   one block. Blocks over ``BLOCK_BYTES`` are split by anchor. An anchor whose places alone have
+   more bytes is not indexed: equal places are counted and, where there are several, marked
+   whole; of one of each the windows are dealt by a 128-bit hash, so that equal ones still meet,
+   and those that stand at two places are marked. That streams, whatever the number of places.
 3. Index: a block's segments are suffix-sorted (prefix doubling over ties, a terminator of its
    own for each segment); the Burrows-Wheeler transform is kept as runs with the text places
    sampled at both ends of each run. At a run's head the match with the suffix before it is
@@ -17,7 +20,7 @@
 
 Null text is empty. Rows with equal texts, repeated rows among them, count as documents that
 repeat each other. Extra columns are ignored (kept by ``strip_documents``); an empty table
-gives no rows. Memory of a task: one block and its suffix array.
+gives no rows. Memory of a task: one block (at most about 4 x ``BLOCK_BYTES``) and its suffix array.
 """
 
 from __future__ import annotations
@@ -242,6 +245,92 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (lead, *last[:4])], ["lead", *names[:4]])
 
 
+def _windows(batches, length: int):
+    """(w1, w2: 128 bits of its hash, own, s, met) of each window of rows of own, s, bytes.
+
+    Of windows that are equal among those taken at a time one goes on under its hash; the others have met it,
+    and go under a hash of their place, so that a very frequent window costs few rows in one task.
+    """
+
+    def hashed(held):
+        counts = np.array([len(x) - length + 1 for _, _, x in held], np.int64)
+        w = np.frombuffer(b"".join(hashlib.blake2b(x[k : k + length], digest_size=16).digest() for _, _, x in held for k in range(len(x) - length + 1)), np.int64).reshape(-1, 2)
+        step = np.arange(len(w)) - np.repeat(np.cumsum(counts) - counts, counts)
+        own, s = (np.repeat(np.array([x[i] for x in held], np.int64), counts) for i in (0, 1))
+        s = s + step
+        order = np.lexsort((w[:, 1], w[:, 0]))
+        w1, w2, own, s = w[order, 0], w[order, 1], own[order], s[order]
+        again = np.zeros(len(w1), bool)
+        again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+        met = again | np.append(again[1:], False)
+        w1[again], w2[again] = common.mix64(own[again].view(np.uint64)).view(np.int64), common.mix64((s[again] + 1).view(np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, own, s, met.astype(np.int64))], ["w1", "w2", "own", "s", "met"])
+
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("own", "s", "bytes"))):
+            held.append(row)
+            size += len(row[2]) - length + 1
+            if size >= 1 << 18:
+                yield hashed(held)
+                held, size = [], 0
+    if held:
+        yield hashed(held)
+
+
+def _met(batches):
+    """(own, s) of rows sorted by w1, w2 that have met an equal window or stand beside one."""
+    names = ("w1", "w2", "own", "s", "met")
+    last, met = None, False  # the last row, which waits for the next, and whether the one before equals it
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows = [b.column(c).to_numpy() for c in names]
+        if last is not None:
+            rows = [np.concatenate(([x], y)) for x, y in zip(last, rows)]
+        same = (rows[0][1:] == rows[0][:-1]) & (rows[1][1:] == rows[1][:-1])
+        on = np.concatenate(([met], same)) | np.concatenate((same, [False])) | (rows[4] > 0)
+        last, met = [x[-1] for x in rows], bool(on[-1])
+        keep = np.flatnonzero(on[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows[2:4]], ["own", "s"])
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in last[2:4]], ["own", "s"])
+
+
+def _stretches(batches, length: int):
+    """(own, s, e) of windows in a row, of rows sorted by own, s."""
+    for b in batches:
+        own, s = (b.column(c).to_numpy() for c in ("own", "s"))
+        first = np.ones(len(s), bool)
+        first[1:] = (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)
+        at = np.flatnonzero(first)
+        stop = np.append(at[1:], len(s))[: len(at)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[at], s[at], s[stop] + length)], ["own", "s", "e"])
+
+
+def _wide_spans(texts: DataFrame, bin_: list[str], length: int) -> DataFrame:
+    """(sha, s, e) that the places of wide anchors mark, in any number of tasks; texts(own, sha, _text, cuts)."""
+    parts = common.partitions(texts.sparkSession)
+
+    def places(batches):
+        for b in batches:
+            for own, text, cuts in zip(*(b.column(c).to_pylist() for c in ("own", "_text", "cuts"))):
+                raw = text.encode("utf-8")
+                at = [(c["a"], min(c["e"], len(raw))) for c in cuts if c["wide"]]
+                found = [raw[s:e] for s, e in at]
+                columns = [hashlib.blake2b(x, digest_size=16).digest() for x in found], [own] * len(at), [s for s, _ in at], [e for _, e in at], found
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "own", "s", "e", "bytes"])
+
+    wide = texts.filter(F.exists("cuts", lambda c: c["wide"]))
+    each = common.settle(wide.select("own", "_text", "cuts").mapInArrow(places, "h binary, own long, s long, e long, bytes binary"), "places", bin_)
+    kinds = common.settle(each.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("own", "s", "bytes")).alias("one")), "place-kinds", bin_)
+    whole = each.select("h", "own", "s", "e").join(kinds.filter("n > 1").select("h"), "h").select("own", "s", "e")
+    windows = kinds.select("one.own", "one.s", "one.bytes").mapInArrow(lambda x: _windows(x, length), "w1 long, w2 long, own long, s long, met long")
+    met = windows.repartition(parts, "w1", "w2").sortWithinPartitions("w1", "w2").mapInArrow(_met, "own long, s long")
+    some = met.repartition(parts, "own").sortWithinPartitions("own", "s").mapInArrow(lambda x: _stretches(x, length), "own long, s long, e long")
+    return whole.union(some).join(wide.select("own", "sha"), "own").select("sha", "s", "e")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds _text, _sha (SHA-256 of the text, hexadecimal) and _own (64 bits of it)."""
     text = F.coalesce("text", F.lit(""))
@@ -258,14 +347,18 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
     dealt = found.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "own", "a")
     hits = common.settle(dealt.mapInArrow(_shared, "lead long, anchor long, own long, a long, b long"), "hits", bin_)
 
-    # a block for each lead; a lead with too many bytes is split by anchor
-    sizes = hits.groupBy("lead").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"), F.count("*").alias("k"))
-    blocked = hits.join(sizes, "lead").select(F.when(F.col("size") > BLOCK_BYTES, F.xxhash64("lead", "anchor")).otherwise(F.xxhash64("lead")).alias("block"), "own", "a", (F.col("b") + length).alias("e"))
-    wanted = blocked.groupBy("own").agg(F.collect_list(F.struct("block", "a", "e")).alias("cuts"))  # bounded by the text's own length
+    # a block for each lead; a lead with too many bytes is split by anchor, and an anchor with too many is wide
+    windows, bytes_ = F.sum(F.col("b") - F.col("a") + 1), F.sum(F.col("b") - F.col("a") + length)
+    sizes = hits.groupBy("lead").agg(((windows > BLOCK_BYTES) | (bytes_ > 4 * BLOCK_BYTES)).alias("split"))
+    big = common.settle(hits.groupBy("lead", "anchor").agg(bytes_.alias("size")).filter(F.col("size") > BLOCK_BYTES).select("lead", "anchor", F.lit(True).alias("big")), "wide-anchors", bin_)
+    # a row of big stands for BLOCK_BYTES of places
+    sized = hits.join(sizes, "lead").join(F.broadcast(big), ["lead", "anchor"], "left")
+    blocked = sized.select(F.when(F.col("split"), F.xxhash64("lead", "anchor")).otherwise(F.xxhash64("lead")).alias("block"), "own", "a", (F.col("b") + length).alias("e"), (F.col("split") & F.col("big").isNotNull()).alias("wide"))
+    wanted = blocked.groupBy("own").agg(F.collect_list(F.struct("block", "a", "e", "wide")).alias("cuts"))  # bounded by the text's own length
     lone = kinds.select("own", "doc_id", "sha").join(wanted, "own")
-    lone = lone.select(F.col("sha").alias("_s"), F.col("doc_id").alias("_i"), "cuts")
+    lone = lone.select(F.col("sha").alias("_s"), F.col("doc_id").alias("_i"), "own", "cuts")
     one = rows.select("doc_id", F.col("_sha").alias("sha"), "_text")  # of rows with one text, those with its least id
-    texts = one.join(lone, (F.col("sha") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("sha", "_text", "cuts").dropDuplicates(["sha"])
+    texts = one.join(lone, (F.col("sha") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("sha", "own", "_text", "cuts").dropDuplicates(["sha"])
     texts = common.settle(texts, "hit-texts", bin_)
 
     def segments(batches):
@@ -274,7 +367,7 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
             for sha, text, cuts in zip(*(b.column(c).to_pylist() for c in ("sha", "_text", "cuts"))):
                 raw = text.encode("utf-8")
                 own: dict = {}
-                for block, s, e in sorted((c["block"], c["a"], min(c["e"], len(raw))) for c in cuts):
+                for block, s, e in sorted((c["block"], c["a"], min(c["e"], len(raw))) for c in cuts if not c["wide"]):
                     spans = own.setdefault(block, [])
                     if spans and s <= spans[-1][1] - length + 1:  # windows follow on; no window lies in two segments
                         spans[-1][1] = max(spans[-1][1], e)
@@ -309,7 +402,10 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
         if held:
             yield done()
 
-    spans = dealt.mapInArrow(mark, "sha string, s long, e long").groupBy("sha").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    marks = dealt.mapInArrow(mark, "sha string, s long, e long")
+    if not big.isEmpty():
+        marks = marks.union(_wide_spans(texts, bin_, length))
+    spans = marks.groupBy("sha").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return kinds, texts.select("sha", "_text").join(spans, "sha")
 
 

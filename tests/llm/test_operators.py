@@ -210,6 +210,26 @@ def test_repeated_passages(docs, empty, sample, monkeypatch, block):
     assert suffix_dedup.removals(empty).count() == 0
 
 
+def test_an_anchor_of_many_texts_is_not_one_index(spark, monkeypatch):
+    import random
+
+    whole = suffix_dedup.RunIndex
+
+    def small(segments):
+        assert sum(map(len, segments)) <= 5 * 4000
+        return whole(segments)
+
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(suffix_dedup, "RunIndex", small)
+    r = random.Random(4)
+    make = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    passage = make(300)
+    # passages whole, cut at either end, and twice in a text, each among words of its own
+    rows = [(k, make(90) + passage[(k % 3) * 7 : 300 - (k % 5) * 6] + make(90) + (passage if k % 50 == 0 else "")) for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffix_dedup.removals(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(covered(rows, 200))
+
+
 def test_matching_statistics_equal_brute_force():
     r = np.random.default_rng(2)
     parts = [bytes(r.integers(97, 100, 40)) for _ in range(6)]
