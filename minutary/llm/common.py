@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows in one Arrow batch; with long documents a batch stays within some tens of MB.
-BATCH_ROWS = 1024
-#: Bytes at which a batch ends early: some operators' rows hold whole blocks.
-BATCH_BYTES = 16 << 20
+#: Rows and bytes (about) that a worker takes on at a time; Spark's own batches end at spark.sql.execution.arrow.maxBytesPerBatch.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +29,11 @@ def optional_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | N
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; without one there is no safe place, and it is an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"minutary-shared-{os.getuid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -58,6 +51,18 @@ def settle(df: DataFrame, name: str, bin_: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def final(df: DataFrame, name: str, bin_: list[str]) -> DataFrame:
+    """A result that is settled, after which the tables that led to it are removed; its own table stays, for the caller reads it."""
+    out = settle(df, name)
+    discard(bin_)
+    return out
+
+
+def small(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """A settled table of narrow rows, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def discard(bin_: list[str]) -> None:
     """Removes settled tables that nothing reads any more."""
     for path in bin_:
@@ -66,9 +71,12 @@ def discard(bin_: list[str]) -> None:
     bin_.clear()
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def batches(source, rows: int = BATCH_ROWS, bytes_: int = BATCH_BYTES):
+    """The rows of Arrow batches in batches of at most so many rows and about so many bytes; the session's own sizes stay as they are."""
+    for b in source:
+        step = max(1, min(rows, int(b.num_rows * bytes_ / max(1, b.nbytes))))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
 
 
 def filesystem(uri: str):

@@ -68,10 +68,9 @@ def window_blocks(items, size: int):
         yield Windows(block)
 
 
-def index_documents(docs: DataFrame, vocabulary) -> DataFrame:
+def index_documents(docs: DataFrame, vocabulary, bin_: list[str] | None = None) -> DataFrame:
     """Segments of postings; vocabulary: a broadcast dict from word to hash, or None for all words."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -83,7 +82,7 @@ def index_documents(docs: DataFrame, vocabulary) -> DataFrame:
                 return h
 
         known = All() if vocabulary is None else None
-        for b in batches:
+        for b in common.batches(batches):
             counts, hashes = [], []
             for text in b.column("text").to_pylist():
                 w = words(text)
@@ -107,7 +106,11 @@ def index_documents(docs: DataFrame, vocabulary) -> DataFrame:
                 ["doc_ids", "n_words", "terms", "frequency", "positions"],
             )
 
-    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{kind}>, n_words array<long>, terms binary, frequency binary, positions binary"), "postings")
+    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"doc_ids array<{kind}>, n_words array<long>, terms binary, frequency binary, positions binary"), "postings", bin_)
+
+
+def positions_of(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return keys[at] & 0xFFFFFFFF
 
 
 def _occurrences(win: Windows, terms, frequency, positions, slop: int):
@@ -138,6 +141,9 @@ def _occurrences(win: Windows, terms, frequency, positions, slop: int):
         near = keys[found] - want
         ok = ~used[w, j] | (near >= 0) & (near <= 2 * slop) if slop else ~used[w, j] | (near == 0)
         w, first, low, high = w[ok], first[ok], low[ok], high[ok]
+        if slop:  # the words between the first and the last place at which a term was met are hit
+            place = np.where(used[w, j], positions_of(keys, found[ok]), first + j)
+            low, high = (place, place) if j == 0 else (np.minimum(low, place), np.where(used[w, j], np.maximum(high, place), high))
     return np.stack([live[w], low, high - low + 1])
 
 
@@ -146,7 +152,7 @@ def match(segments: DataFrame, blocks: list, slop: int = 0) -> DataFrame:
     kind = segments.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in common.batches(batches, 8):
             out = [[] for _ in range(4)]
             ids = pa.concat_arrays([b.column("doc_ids").flatten()])
             for i in range(b.num_rows):
@@ -184,7 +190,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int = 0) -
             vocabulary.update((w, term_hash(w)) for w in words(r[0]))
             if len(vocabulary) > MAX_VOCABULARY:
                 vocabulary = None
-    return match(index_documents(docs, None if vocabulary is None else sc.broadcast(vocabulary)), blocks, slop)
+    bin_: list[str] = []
+    return common.final(match(index_documents(docs, None if vocabulary is None else sc.broadcast(vocabulary), bin_), blocks, slop), "hits", bin_)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:

@@ -2,12 +2,15 @@
 
 A page is read into leaf blocks: text between block-level tags, with the tags, classes, ids and
 roles around it. Each block becomes a vector (hashed tag path, hashed words, length, share of
-link text, marks) and a bidirectional LSTM in NumPy reads the page's blocks in both directions,
-so that every block is labelled with the whole page in view. Blocks labelled main are joined.
+link text, marks, step in the tree) and a bidirectional LSTM in NumPy reads the page's blocks in
+both directions, so that every block is labelled with the whole page in view. Blocks labelled main
+are joined.
 The weights are trained by ``train_labeller`` on generated pages and stored beside this module.
 
-Null and empty pages give an empty text; broken mark-up never fails; repeated rows give
-repeated results; extra columns are ignored; an empty table gives no rows.
+Null and empty pages give an empty text; broken mark-up never fails (a ``<`` that opens no tag is
+text); null ids and urls stay null; repeated rows give repeated results; extra columns are
+ignored; an empty table gives no rows. Scripts, styles, templates, text areas and the title are
+not read; all else is a block for the labeller to judge.
 """
 
 from __future__ import annotations
@@ -23,44 +26,54 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-PATH_DIM, WORD_DIM, HIDDEN = 96, 48, 16
-DIM = PATH_DIM + WORD_DIM + 5
+ANCESTORS, LEAF, WORD_DIM, EXTRA, HIDDEN = 192, 96, 96, 14, 24
+DIM = ANCESTORS + LEAF + WORD_DIM + EXTRA
 WEIGHTS = Path(__file__).with_name("html_labeller.npz")
+#: Attributes as HTML reads them; a quoted value ends with its quote only where a tag can go on after it.
+_ATTRS = r"(?:[\s/]++|[^\s/<>][^\s/<>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[^\s<>]*+))?+)*+"
+#: Comments, elements whose content isn't shown, tags, declarations, and a tag that the end of the page cuts off.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|object|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?",
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|textarea|title)(?=[\s/>]){_ATTRS}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})>|<(?:[!?]|/(?![a-zA-Z]))[^<>]*+>|</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*?=[^<>]*)?\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPACE, _NAME = re.compile(r"\s+"), re.compile(r"[a-z]+")
-#: Elements that stay inside a line of text, and elements without content.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_SPACE, _NAME = re.compile(r"\s+"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Elements that end a block of text, elements of running text, and elements without content.
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end an open one of the same group, up to the nearest of the elements that hold such groups.
+_GROUPS = {n: g for g in (frozenset(["li"]), frozenset(["dt", "dd"]), frozenset(["tr"]), frozenset(["td", "th"]), frozenset(["option"])) for n in g}
+_HOLDERS = frozenset("ul ol menu dl table select div article section body main aside nav".split())
 
 
 def _bucket(text: str, size: int) -> int:
     return zlib.crc32(text.encode("utf-8", "ignore")) % size
 
 
-def _tag_buckets(name: str, attrs: str, known: dict) -> tuple[int, ...]:
+def _tag_names(name: str, attrs: str, known: dict) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Buckets of an element's name, classes, id and role: as an ancestor, and as the element around a text."""
     key = (name, attrs)
     if key not in known:
         if len(known) > 20_000:
             known.clear()
-        found = [_bucket("<" + name, PATH_DIM)]
-        for kind, *values in _ATTR.findall(attrs):
-            found += [_bucket(x, PATH_DIM) for x in _NAME.findall("".join(values).lower())]
-        known[key] = tuple(found)
+        found = ["<" + name]
+        for _, *values in _ATTR.findall(attrs):
+            found += [x.lower() for x in _NAME.findall("".join(values))]
+        known[key] = tuple(_bucket(x, ANCESTORS) for x in found), tuple(_bucket(x, LEAF) for x in found)
     return known[key]
 
 
 def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
-    """(buckets of the path, text, characters inside links) of each leaf block with text, in page order."""
+    """(elements around it: number and buckets, text, characters inside links) of each leaf block with text, in page order."""
     out: list = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, tuple]] = []
     piece: list[str] = []
-    linked, in_link, path = 0, 0, ()
-    at = 0
+    linked, in_link, path = 0, False, ()
+    at = opened = 0
 
     def close() -> None:
         nonlocal linked
@@ -78,11 +91,19 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
             if not piece:
                 if text.isspace():
                     return
-                path = tuple(b for _, bs in stack for b in bs)
+                path = tuple((k, x) for _, k, x in stack)
             piece.append(text)
             if in_link:
                 linked += len(text.strip())
 
+    def pop(names: frozenset) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                del stack[k:]
+                break
+            if stack[k][0] in _HOLDERS:
+                break
+
     for m in _TOKEN.finditer(html):
         add(html[at : m.start()])
         at = m.end()
@@ -92,13 +113,14 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
         name = name.lower()
         if name in INLINE:
             if name == "a":
-                in_link = 0 if m[2] else 1
+                in_link = not m[2]
             continue
         if name == "br":
             if piece:
                 piece.append(" ")
             continue
-        close()
+        if name in BLOCK:
+            close()
         if name in VOID:
             continue
         if m[2]:
@@ -107,78 +129,97 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
                     del stack[k:]
                     break
         else:
-            if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name or name in ("dt", "dd") and stack[k][0] in ("dt", "dd"):
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "body", "td", "main", "aside", "nav"):
-                        break
-            elif stack and stack[-1][0] == "p":
-                stack.pop()  # a block-level element ends a paragraph
-            if not m[4].endswith("/"):
-                stack.append((name, _tag_buckets(name, m[4], known)))
-    add(html[at:] if not html[at:].startswith("<") else "")
+            if name in _GROUPS:
+                pop(_GROUPS[name])
+            elif name in BLOCK and stack and stack[-1][0] == "p":
+                stack.pop()  # an element of its own block ends a paragraph
+            if not m[4].endswith("/") or name in BLOCK:
+                opened += 1
+                stack.append((name, opened, _tag_names(name, m[4], known)))
+    add(html[at:])
     close()
     return out
 
 
-def features(found: list[tuple[tuple, str, int]], known: dict) -> np.ndarray:
-    """One row a block."""
-    x = np.zeros((len(found), DIM), np.float32)
+_MARK = re.compile(r"[.,;:!?。，،]")
+
+
+def features(found: list[tuple[tuple, str, int]], known: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """One row for each block from start to stop: hashed names around it, hashed words, measures of the text and its place."""
+    stop = len(found) if stop is None else min(stop, len(found))
+    x = np.zeros((stop - start, DIM), np.float32)
     word_of = known.setdefault("words", {})
     if len(word_of) > 200_000:
         word_of.clear()
-    for row, (path, text, linked) in zip(x, found):
-        n = len(path)
-        for k, b in enumerate(path):
-            row[b] += 1.0 if k < n - 1 else 1.5
+    before: tuple = found[start - 1][0] if start else ()
+    for i, row in enumerate(x, start):
+        path, text, linked = found[i]
+        for _, (names, _) in path:
+            for b in names:
+                row[b] = 1.0
+        for weight, (_, (_, names)) in zip((1.0, 0.5), path[:-3:-1]):
+            for b in names:
+                row[ANCESTORS + b] += weight
         words = text.lower().split()
         try:
             at = [word_of[w] for w in words]
         except KeyError:
             for w in words:
                 if w not in word_of:
-                    word_of[w] = _bucket(w, WORD_DIM)
+                    word_of[w] = _bucket(w.strip(".,;:!?()\"'"), WORD_DIM)
             at = [word_of[w] for w in words]
         counts = np.bincount(at, minlength=WORD_DIM)
-        row[PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1.0, float(np.sqrt((counts * counts).sum())))
-        row[-5:] = (np.log1p(len(text)) / 6, linked / len(text), min(1.0, 10 * sum(map(text.count, ".,;:!?")) / len(text)), min(1.0, len(words) / 40), 1.0 if "\N{COPYRIGHT SIGN}" in text else 0.0)
+        row[ANCESTORS + LEAF : ANCESTORS + LEAF + WORD_DIM] = counts / max(1.0, float(np.sqrt((counts * counts).sum())))
+        shared = 0
+        while shared < min(len(path), len(before)) and path[shared][0] == before[shared][0]:
+            shared += 1
+        n = len(text)
+        row[-EXTRA:] = (
+            np.log1p(n) / 6, linked / n, min(1.0, 10 * len(_MARK.findall(text)) / n), min(1.0, len(words) / 40), "\N{COPYRIGHT SIGN}" in text, n > 80 and linked < n / 2, text[-1] in ".!?。؟",
+            sum(map(str.isdigit, text[:200])) / min(n, 200), len(words) == 1, len(path) / 10, (len(path) - shared) / 5, (len(before) - shared) / 5, i < 3, i >= len(found) - 3,
+        )
+        before = path
     return x
 
 
-def _direction(x: np.ndarray, keep: np.ndarray, w: dict, side: str) -> np.ndarray:
-    """Hidden states (time, page, HIDDEN) of one direction; keep: 1 where the page has a block."""
-    steps, pages, _ = x.shape
-    gates = x @ w[f"x{side}"] + w[f"b{side}"]
-    h, c, out = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), np.zeros((steps, pages, HIDDEN), np.float32)
+def gates(found: list[tuple[tuple, str, int]], known: dict, w: dict) -> np.ndarray:
+    """What a page's blocks give to the gates of both directions; some blocks at a time."""
+    both = np.concatenate((w["xf"], w["xr"]), axis=1)
+    parts = [features(found, known, k, k + 4096) @ both for k in range(0, len(found), 4096)]
+    return np.concatenate(parts) if parts else np.zeros((0, 8 * HIDDEN), np.float32)
+
+
+def _direction(z_in: np.ndarray, keep: np.ndarray, w: dict, side: str) -> np.ndarray:
+    """What each block (time, page) adds to the verdict in one direction; keep: 1 where the page has a block."""
+    steps, pages, _ = z_in.shape
+    h, c, out = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32), np.zeros((steps, pages), np.float32)
     for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-        z = gates[t] + h @ w[f"h{side}"]
+        z = z_in[t] + w[f"b{side}"] + h @ w[f"h{side}"]
         g = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
         new = g[:, HIDDEN : 2 * HIDDEN] * c + g[:, :HIDDEN] * np.tanh(z[:, 3 * HIDDEN :])
         k = keep[t][:, None]
         c = np.where(k, new, c)
         h = np.where(k, g[:, 2 * HIDDEN :] * np.tanh(new), h)
-        out[t] = h
+        out[t] = h @ w[f"o{side}"]
     return out
 
 
 def label(pages: list[np.ndarray], w: dict) -> list[np.ndarray]:
-    """Main or not for each block of each page; pages of like length are read together."""
+    """Main or not for each block of each page, given as ``gates``; pages of like length are read together."""
     out: list = [np.zeros(0, bool)] * len(pages)
     order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
     at = 0
     while at < len(order):
         group = [order[at]]
         at += 1
-        while at < len(order) and len(group) < 256 and (len(group) + 1) * len(pages[order[at]]) <= 60_000:
+        while at < len(order) and len(group) < 256 and (len(group) + 1) * len(pages[order[at]]) <= 40_000:
             group.append(order[at])
             at += 1
         steps = len(pages[group[-1]])
-        x, keep = np.zeros((steps, len(group), DIM), np.float32), np.zeros((steps, len(group)), bool)
+        x, keep = np.zeros((steps, len(group), 8 * HIDDEN), np.float32), np.zeros((steps, len(group)), bool)
         for k, i in enumerate(group):
             x[: len(pages[i]), k], keep[: len(pages[i]), k] = pages[i], True
-        z = _direction(x, keep, w, "f") @ w["of"] + _direction(x, keep, w, "r") @ w["or"] + w["o"]
+        z = _direction(x[:, :, : 4 * HIDDEN], keep, w, "f") + _direction(x[:, :, 4 * HIDDEN :], keep, w, "r") + w["o"]
         for k, i in enumerate(group):
             out[i] = z[: len(pages[i]), k] > 0
     return out
@@ -189,17 +230,21 @@ def load_weights() -> dict:
         return {k: z[k] for k in z.files}
 
 
+def main_texts(htmls: list[str | None], w: dict, known: dict) -> list[str]:
+    """The main text of each page."""
+    found = [blocks(h or "", known) for h in htmls]
+    marks = label([gates(f, known, w) for f in found], w)
+    return ["\n".join(t for (_, t, _), m in zip(f, mark) if m) for f, mark in zip(found, marks)]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages(page_id, url, html)."""
-    common.small_batches(pages.sparkSession, 512)
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(batches):
         w, known = load_weights(), {}
-        for b in batches:
-            found = [blocks(h or "", known) for h in b.column("html").to_pylist()]
-            marks = label([features(f, known) for f in found], w)
-            texts = ["\n".join(t for (_, t, _), m in zip(f, mark) if m) for f, mark in zip(found, marks)]
+        for b in common.batches(batches, 512):
+            texts = main_texts(b.column("html").to_pylist(), w, known)
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -33,15 +33,17 @@ from . import common
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a block.
 BLOCK_BYTES = 4_000_000
+#: N-grams (distinct ones of each block, at most) that a bucket of the count table is sized for: some 200 MB in a task.
+BUCKET_GRAMS = 4_000_000
 
 
-def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def code_blocks(docs: DataFrame, bin_: list[str], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """block, doc_ids, n_words, uri of the file with vocabulary (8 bytes a word) and words (4 bytes each), settled.
 
-    A failed attempt may leave files that no row names.
+    A failed attempt may leave files that no row names. Table and files go to bin_.
     """
-    common.small_batches(docs.sparkSession)
     folder = common.scratch(docs.sparkSession, "word-blocks")
+    bin_.append(folder)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -61,7 +63,7 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 ["block", "doc_ids", "n_words", "uri"],
             )
 
-        for b in batches:
+        for b in common.batches(batches):
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = text.encode("utf-8") if text else b""
                 words = raw.split()
@@ -78,7 +80,7 @@ def code_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if ids:
             yield done()
 
-    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, uri string"), "blocks")
+    return common.settle(docs.select("doc_id", "text").mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, uri string"), "blocks", bin_)
 
 
 def _pack_words(coded: list[np.ndarray]) -> bytes:
@@ -175,7 +177,7 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     """block, bucket, totals: the corpus count of each n-gram that the block sent to the bucket, in its order."""
 
     def ask(batches):
-        for b in batches:
+        for b in common.batches(batches):
             for block, n_words, uri in zip(*(b.column(c).to_pylist() for c in ("block", "n_words", "uri"))):
                 g = Grams(np.array(n_words, np.int64), *_read_block(uri), order)
                 cut = np.searchsorted(_bucket(g.hashes, buckets), np.arange(buckets + 1))
@@ -186,7 +188,12 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                         ["block", "bucket", "grams", "counts"],
                     )
 
-    asked = blocks.repartition(common.partitions(blocks.sparkSession)).mapInArrow(ask, "block long, bucket long, grams binary, counts binary")
+    spark = blocks.sparkSession
+    asked = blocks.repartition(common.partitions(spark)).mapInArrow(ask, "block long, bucket long, grams binary, counts binary")
+    # numbers that repartition() deals to one partition each, so that all get one bucket
+    deal = spark.range(40 * buckets).groupBy(F.pmod(F.hash("id"), F.lit(buckets)).alias("at")).agg(F.min("id").alias("id")).orderBy("at")
+    numbers = [r["id"] for r in deal.collect()]  # one row a bucket
+    key = F.element_at(F.lit(numbers if len(numbers) == buckets else list(range(buckets))), F.col("bucket").cast("int") + 1)
 
     def add(batches):
         held: list = []
@@ -205,7 +212,7 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array([_pack_counts(x) for x in parts], pa.binary())], ["block", "bucket", "totals"])
 
         bucket = None
-        for b in batches:
+        for b in common.batches(batches):
             for block, own, grams, counts in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "grams", "counts"))):
                 if own != bucket and held:
                     yield done()
@@ -215,20 +222,21 @@ def totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
         if held:
             yield done()
 
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket long, totals binary")
+    return asked.repartition(buckets, key).sortWithinPartitions("bucket", "block").mapInArrow(add, "block long, bucket long, totals binary")
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms), mean_log_score of every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    buckets = common.partitions(spark)
+    bin_: list[str] = []
     kind = docs.schema["doc_id"].dataType.simpleString()
-    blocks = code_blocks(docs)
+    blocks = code_blocks(docs, bin_)
     all_words = blocks.select(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(common.partitions(spark), -(-order * all_words // BUCKET_GRAMS))
     told = totals(blocks, order, buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "totals")).alias("told"))  # as large as the block's own n-grams
 
     def run(batches):
-        for b in batches:
+        for b in common.batches(batches, 8):
             for row in range(b.num_rows):
                 n_words = np.array(b.column("n_words")[row].as_py(), np.int64)
                 g = Grams(n_words, *_read_block(b.column("uri")[row].as_py()), order)
@@ -253,10 +261,13 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                     open_ &= ~use
                     log[open_ & (g.place >= n - 1)] += np.log(backoff)
                 log[open_] += np.log(np.maximum(others[0][open_], 1) / np.maximum(rest[open_], 1))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("doc_ids")]).slice(row, 1).flatten(), pa.array(n_words), pa.array(np.bincount(g.doc, log, len(n_words)) if len(n_words) else np.zeros(0))], ["doc_id", "n_tokens", "log_score"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("doc_ids")]).slice(row, 1).flatten(), pa.array(n_words), pa.array(np.bincount(g.doc, log, len(n_words)).astype(np.float64))], ["doc_id", "n_tokens", "log_score"])
 
     scored = blocks.join(told, "block", "left").select("doc_ids", "n_words", "uri", "told").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_score double")
-    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.nullif(F.col("n_tokens"), F.lit(0)), 4).alias("mean_log_score"))
+    scored = scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.nullif(F.col("n_tokens"), F.lit(0)), 4).alias("mean_log_score"))
+    if not all_words:  # nothing was coded, and there may be no files
+        return scored
+    return common.final(scored, "scores", bin_)
 
 
 ORACLE_SQL = r"""

@@ -31,9 +31,13 @@ from . import common
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 #: Texts sketched at a time in a worker; their shingles' points are held together.
-SKETCH_ROWS = 384
-#: Members up to which a bucket is compared by pairs, and at which it is dealt out in chunks.
-SMALL, CHUNK = 8, 4096
+SKETCH_ROWS, SKETCH_BYTES = 384, 4 << 20
+#: Texts that a task remembers having sketched.
+SEEN = 100_000
+#: Members up to which a bucket is compared by pairs; members and bytes of bags at which it is dealt out in chunks.
+SMALL, CHUNK, CHUNK_BYTES = 8, 4096, 16 << 20
+#: Parts into which a class is dealt when its members learn its name.
+SALTS = 16
 
 
 def _word_hashes(texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +49,7 @@ def _word_hashes(texts: list[str], known: dict) -> tuple[np.ndarray, np.ndarray]
         try:
             parts.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
         except KeyError:
-            if len(known) > 400_000:
+            if len(known) > 200_000:
                 known.clear()
             for x in set(w).difference(known):
                 known[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
@@ -147,23 +151,32 @@ def with_node(docs: DataFrame) -> DataFrame:
 
 def sketch(docs: DataFrame, bands: int, rows: int, bin_: list[str] | None = None) -> DataFrame:
     """node, n (rows with this text), doc_id (least), bands; one row for each different text."""
-    common.small_batches(docs.sparkSession, SKETCH_ROWS)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         known: dict = {}
-        for b in batches:
-            texts = b.column("_text").to_pylist()
+        seen: set = set()
+        for b in common.batches(batches, SKETCH_ROWS, SKETCH_BYTES):
+            # a text that this task has sketched already isn't sketched again: its row has no bands
+            nodes, fresh = b.column("_node").to_pylist(), []
+            for i, node in enumerate(nodes):
+                if node not in seen:
+                    fresh.append(i)
+                    if len(seen) < SEEN:
+                        seen.add(node)
+            texts = b.column("_text").take(pa.array(fresh, pa.int64())).to_pylist()
             doc, shingle, weight = bags(texts, known)
             keys = band_keys(signatures(doc, shingle, weight, len(texts), bands * rows), bands, rows)
             some = np.zeros(len(texts), bool)
             some[doc] = True
+            size = np.zeros(len(nodes), np.int64)
+            size[np.array(fresh, np.int64)[some]] = bands
             flat = pa.array(keys[some].ravel())
-            offsets = pa.array(np.concatenate(([0], np.cumsum(some * bands))), pa.int32())
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_node"), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "node", "bands"])
 
     found = docs.select("doc_id", "_text", "_node").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
-    return common.settle(found.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "sketch", bin_)
+    return common.settle(found.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max_by("bands", F.size("bands")).alias("bands")), "sketch", bin_)
 
 
 def components(edges: DataFrame, bin_: list[str]) -> DataFrame:
@@ -187,7 +200,7 @@ def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame
     right = shingles.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"), F.col("weights").alias("w_b"))
 
     def run(batches):
-        for batch in batches:
+        for batch in common.batches(batches):
             ok = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("bag_a", "w_a", "bag_b", "w_b"))):
                 x, wx, y, wy = (np.frombuffer(v, t) for v, t in zip(row, ("<u8", "<u4") * 2))
@@ -283,15 +296,15 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
     def to_bags(batches):
         known: dict = {}
-        for b in batches:
+        for b in common.batches(batches, SKETCH_ROWS, SKETCH_BYTES):
             texts = b.column("_text").to_pylist()
             doc, shingle, weight = bags(texts, known)
             cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle[i:j].astype("<u8").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([weight[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["node", "bag", "weights"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle[i:j].astype("<u8").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array([weight[i:j].astype("<u4").tobytes() for i, j in zip(cut, cut[1:])], pa.binary()), pa.array(12 * np.diff(cut), pa.int64())], ["node", "bag", "weights", "size"])
 
     one = ids.select(F.col("node").alias("_n"), F.col("doc_id").alias("_i"))
     texts = keyed.select("doc_id", "_text", F.col("_node").alias("node")).join(one, (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_i"))).select("node", "_text")
-    shingles = common.settle(texts.mapInArrow(to_bags, "node binary, bag binary, weights binary").dropDuplicates(["node"]), "bags", bin_)
+    shingles = common.settle(texts.mapInArrow(to_bags, "node binary, bag binary, weights binary, size long").dropDuplicates(["node"]), "bags", bin_)
     links = common.settle(verify(stars, shingles, threshold), "links", bin_)
     roots = components(links, bin_)
 
@@ -299,17 +312,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     placed = crowded.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     torn = parts.groupBy("bucket").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1").select("bucket", "n")
-    open_ = common.settle(placed.join(torn, "bucket"), "open", bin_)
+    open_ = common.settle(placed.join(torn, "bucket").join(shingles.select("node", "size"), "node"), "open", bin_)
     few = open_.filter(F.col("n") <= SMALL)
     other = few.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
     across = few.join(other, "bucket").filter("x < node and root <> rx").select(*pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
-    # a bucket of more than CHUNK members is dealt out as pairs of its chunks
-    many = open_.filter(F.col("n") > SMALL).withColumn("k", F.ceil(F.col("n") / CHUNK)).withColumn("i", F.pmod(F.xxhash64("node"), "k"))
+    # a bucket of more than CHUNK members or CHUNK_BYTES of bags is dealt out as pairs of its chunks
+    heavy = open_.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).alias("k"))
+    many = open_.filter(F.col("n") > SMALL).drop("size").join(heavy, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), "k"))
     many = many.select("bucket", "node", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j"))
     whole = many.join(shingles, "node").groupBy("bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list(F.struct("node", "root", "bag", "weights")).alias("members"))
 
     def join_in_bucket(batches):
-        for b in batches:
+        for b in common.batches(batches, 1):
             for members in b.column("members").to_pylist():
                 found = cross_links(members, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
@@ -317,12 +331,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     more = common.settle(verify(across, shingles, threshold).union(whole.select("members").mapInArrow(join_in_bucket, "a binary, b binary")), "links", bin_)
     roots = components(links.union(more), bin_)
 
-    named = nodes.join(roots, "node", "left").select("node", "doc_id", "n", F.coalesce("root", "node").alias("root"))
+    # classes of several texts learn their names by a salted join, so that a large class is many keys; all others are their own
+    linked = common.settle(nodes.drop("bands").join(roots, "node"), "linked", bin_)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("r")
-    classes = named.groupBy("root").agg(first, F.sum("n").alias("class_size"))
-    named = named.join(classes, "root").select(F.col("node").alias("_node"), F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("_rep"), "class_size", F.col("n").alias("n_copies"))
-    named = common.settle(named, "classes")
-    common.discard(bin_)
+    classes = linked.groupBy("root").agg(first, F.sum("n").alias("class_size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    members = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(classes, ["root", "salt"])
+    members = members.select(F.col("node").alias("_node"), F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("_rep"), "class_size", F.col("n").alias("n_copies"))
+    alone = nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("_node"), F.col("doc_id").alias("class_id"), F.col("node").alias("_rep"), F.col("n").alias("class_size"), F.col("n").alias("n_copies"))
+    named = common.final(members.unionByName(alone), "classes", bin_)
     out = keyed.select("doc_id", "_node").join(named, "_node")
     kept = (F.col("_node") == F.col("_rep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return out.select("doc_id", "class_id", "class_size", "n_copies", kept.alias("kept"), *(["_node"] if nodes_too else []))
@@ -330,7 +346,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their class, with their own columns; repeated rows once."""
-    keep = common.settle(near_classes(docs, nodes_too=True).filter("kept").groupBy("doc_id", "_node").agg(F.count("*").alias("n")), "kept")
+    keep = common.settle(near_classes(docs, nodes_too=True).filter("kept").groupBy("doc_id", "_node").agg(F.count("*").alias("n")), "kept")  # read by what is returned
     wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), "text")
     wide = wide.withColumn("_n", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
     found = wide.join(keep.select("doc_id", "_node"), (F.col("_n") == F.col("_node")) & F.col("_i").eqNullSafe(F.col("doc_id")), "left_semi")

@@ -85,15 +85,14 @@ def slot_table(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndar
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
-def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int, end_id: int, bin_: list[str] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, pid, local_rank; settled in the shared folder."""
-    common.small_batches(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "local_rank"]
 
     def run(batches):
         cache = WordUnits.of_worker(path, 4)
         pid, seen, end = TaskContext.get().partitionId(), defaultdict(int), end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in common.batches(batches):
             keys, where, cols = b.column("doc_id"), [], [[] for _ in names[1:]]
             for i, units in enumerate(cache.documents(b.column("text").to_pylist())):
                 raw = b"".join(units) + end
@@ -108,13 +107,14 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
-    return common.settle(out, "pieces")
+    return common.settle(out, "pieces", bin_)
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int = 1) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = pieces(docs, path or public_path("word_bpe_49k.json"), size, end_id)
+    bin_: list[str] = []
+    cut = pieces(docs, path or public_path("word_bpe_49k.json"), size, end_id, bin_)
     per_task = cut.groupBy("pid", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     slots = spark.sparkContext.broadcast(slot_table(pack_histogram(histogram, size)))
@@ -134,4 +134,5 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end_id: int
                 seq[own], off[own] = t[at, 1] + rank[own] - t[at, 0], t[at, 2]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(seq), pa.array(off)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    placed = ranked.mapInArrow(place, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return common.final(placed, "packed", bin_)

@@ -38,7 +38,7 @@ def op8_byte_prefix_shards(spark, sf_dir):
 
 
 def op9_quality_cascade(spark, sf_dir):
-    return quality.score_documents(common.table(spark, sf_dir, "documents"))
+    return quality.score_documents(common.table(spark, sf_dir, "documents"), common.optional_table(spark, sf_dir, "labels"))
 
 
 def op10_block_labeller(spark, sf_dir):

@@ -22,12 +22,12 @@ ROW_BYTES = 16
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
-    spark = docs.sparkSession
+    spark, bin_ = docs.sparkSession, []
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = ["doc_id", "text_crc32", "size"]
     ranged = rows.repartitionByRange(common.partitions(spark), *key).sortWithinPartitions(*key).withColumn("pid", F.spark_partition_id())
-    ranged = common.settle(ranged, "ranged")
+    ranged = common.settle(ranged, "ranged", bin_)
     inside = Window.partitionBy("pid").orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("pid").agg(F.sum("size").alias("b"), F.count("*").alias("n"))  # one row a range
@@ -35,6 +35,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40) -> DataFrame:
     offsets = totals.select("pid", F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0")).crossJoin(F.broadcast(whole))  # a single row
     placed = ranged.withColumn("b1", F.sum("size").over(inside)).withColumn("i1", F.count("*").over(inside)).join(F.broadcast(offsets), "pid")
     placed = placed.select(*key, F.least(F.lit(shards - 1), F.expr(f"cast(floor((2 * (b0 + b1) - size) * cast({shards} as decimal(20,0)) / (2 * all_bytes)) as int)")).alias("shard"), (F.col("n0") + F.col("i1") - 1).alias("place"))
-    placed = common.settle(placed, "placed")
+    placed = common.settle(placed, "placed", bin_)
     firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))  # at most `shards` rows
-    return placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = placed.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return common.final(out, "shards", bin_)
+

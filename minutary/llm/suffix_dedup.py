@@ -18,7 +18,10 @@
 4. Marked bytes of each text are removed. Texts that occur twice or more and have ``length``
    bytes are removed whole; only one copy of them takes part in steps 1 to 3.
 
-Null text is empty. Rows with equal texts, repeated rows among them, count as documents that
+Texts and anchors are told apart by 64-bit hashes in steps 1 and 2 (two of 10^9 texts share one with a
+probability of 3 %: then one of the two is not searched), windows of wide anchors by 128 bits.
+
+Null text is empty; null ids are kept. Rows with equal texts, repeated rows among them, count as documents that
 repeat each other. Extra columns are ignored (kept by ``strip_documents``); an empty table
 gives no rows. Memory of a task: one block (at most about 4 x ``BLOCK_BYTES``) and its suffix array.
 """
@@ -189,7 +192,7 @@ def _anchor_rows(batches, length: int, gram: int):
         return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(owners, np.int64)[d]), pa.array(a + shift[d]), pa.array(b + shift[d]), pa.array(several.astype(np.int64))], ["anchor", "own", "a", "b", "many"])
 
     buffer, sizes, owners, offsets, held = [], [], [], [], 0
-    for batch in batches:
+    for batch in common.batches(batches):
         for own, text in zip(batch.column("_own").to_pylist(), batch.column("_text").to_pylist()):
             if own in seen:
                 continue
@@ -267,7 +270,7 @@ def _windows(batches, length: int):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (w1, w2, own, s, met.astype(np.int64))], ["w1", "w2", "own", "s", "met"])
 
     held, size = [], 0
-    for b in batches:
+    for b in common.batches(batches):
         for row in zip(*(b.column(c).to_pylist() for c in ("own", "s", "bytes"))):
             held.append(row)
             size += len(row[2]) - length + 1
@@ -313,7 +316,7 @@ def _wide_spans(texts: DataFrame, bin_: list[str], length: int) -> DataFrame:
     parts = common.partitions(texts.sparkSession)
 
     def places(batches):
-        for b in batches:
+        for b in common.batches(batches):
             for own, text, cuts in zip(*(b.column(c).to_pylist() for c in ("own", "_text", "cuts"))):
                 raw = text.encode("utf-8")
                 at = [(c["a"], min(c["e"], len(raw))) for c in cuts if c["wide"]]
@@ -340,7 +343,6 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(sha, n: rows with the text, n_bytes) of each different text, and (sha, spans, text) of those with marked bytes."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     rows = keyed(docs.select("doc_id", "text"))
     kinds = common.settle(rows.groupBy(F.col("_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("_own").alias("own"), F.first(F.octet_length("_text")).alias("n_bytes")), "texts", bin_)
     found = rows.select("_own", "_text").filter(F.octet_length("_text") >= length).mapInArrow(lambda x: _anchor_rows(x, length, gram), "anchor long, own long, a long, b long, many long")
@@ -349,11 +351,12 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
 
     # a block for each lead; a lead with too many bytes is split by anchor, and an anchor with too many is wide
     windows, bytes_ = F.sum(F.col("b") - F.col("a") + 1), F.sum(F.col("b") - F.col("a") + length)
-    sizes = hits.groupBy("lead").agg(((windows > BLOCK_BYTES) | (bytes_ > 4 * BLOCK_BYTES)).alias("split"))
-    big = common.settle(hits.groupBy("lead", "anchor").agg(bytes_.alias("size")).filter(F.col("size") > BLOCK_BYTES).select("lead", "anchor", F.lit(True).alias("big")), "wide-anchors", bin_)
-    # a row of big stands for BLOCK_BYTES of places
-    sized = hits.join(sizes, "lead").join(F.broadcast(big), ["lead", "anchor"], "left")
-    blocked = sized.select(F.when(F.col("split"), F.xxhash64("lead", "anchor")).otherwise(F.xxhash64("lead")).alias("block"), "own", "a", (F.col("b") + length).alias("e"), (F.col("split") & F.col("big").isNotNull()).alias("wide"))
+    each = hits.groupBy("lead", "anchor").agg(windows.alias("w"), bytes_.alias("size"))
+    big = common.settle(each.filter(F.col("size") > BLOCK_BYTES).select("lead", "anchor", F.lit(True).alias("big")), "wide-anchors", bin_)
+    split = common.settle(each.groupBy("lead").agg(F.sum("w").alias("w"), F.sum("size").alias("size")).filter((F.col("w") > BLOCK_BYTES) | (F.col("size") > 4 * BLOCK_BYTES)).select("lead", F.lit(True).alias("split")), "split-leads", bin_)
+    # a row of either stands for BLOCK_BYTES of places; beyond a checked size they are joined as any table
+    sized = hits.join(common.small(split), "lead", "left").join(common.small(big), ["lead", "anchor"], "left")
+    blocked = sized.select(F.when(F.col("split").isNotNull(), F.xxhash64("lead", "anchor")).otherwise(F.xxhash64("lead")).alias("block"), "own", "a", (F.col("b") + length).alias("e"), (F.col("split").isNotNull() & F.col("big").isNotNull()).alias("wide"))
     wanted = blocked.groupBy("own").agg(F.collect_list(F.struct("block", "a", "e", "wide")).alias("cuts"))  # bounded by the text's own length
     lone = kinds.select("own", "doc_id", "sha").join(wanted, "own")
     lone = lone.select(F.col("sha").alias("_s"), F.col("doc_id").alias("_i"), "own", "cuts")
@@ -362,7 +365,7 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
     texts = common.settle(texts, "hit-texts", bin_)
 
     def segments(batches):
-        for b in batches:
+        for b in common.batches(batches):
             out: list[list] = [[], [], [], []]
             for sha, text, cuts in zip(*(b.column(c).to_pylist() for c in ("sha", "_text", "cuts"))):
                 raw = text.encode("utf-8")
@@ -390,7 +393,7 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["sha", "s", "e"])
 
         block, size = None, 0
-        for b in batches:
+        for b in common.batches(batches):
             for own, sha, s, raw in zip(*(b.column(c).to_pylist() for c in ("block", "sha", "s", "bytes"))):
                 # small blocks share an index: a match found across them is a match as well
                 if own != block and size >= BLOCK_BYTES // 2:
@@ -413,7 +416,7 @@ def _stripped(marked: DataFrame) -> DataFrame:
     """sha, n_removed, n_spans, kept_sha256, kept_text of each text with marked bytes."""
 
     def run(batches):
-        for b in batches:
+        for b in common.batches(batches):
             out: list[list] = [[] for _ in range(5)]
             for sha, text, spans in zip(*(b.column(c).to_pylist() for c in ("sha", "_text", "spans"))):
                 raw, kept, at, removed, n = text.encode("utf-8"), [], 0, 0, 0

@@ -41,13 +41,12 @@ def _open_table(raw: bytes) -> dict[str, int]:
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     path = path or public_path("byte_bpe_50k.json")
     table = spark.sparkContext.broadcast(frequent_units(docs, path))
 
     def run(batches):
         cache = ByteUnits.of_worker(path, 0, lambda: _open_table(table.value))
-        for b in batches:
+        for b in common.batches(batches):
             texts = b.column("text").to_pylist()
             counts = [sum(v) for v in cache.documents(texts)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -5,11 +5,14 @@ the ids of the shard's documents in ascending key order; then a NumPy archive wi
 then 8 bytes with the archive's place. The index is a minimal perfect hash over the shard's
 keys (levels of bit arrays; a key stays at the first level where it alone holds its bit), and
 for each hash value a 32-bit fingerprint and the record's number; ``starts`` has the offset of
-each record. A look-up costs a few bit tests, one fingerprint test and one read.
-
-Null text gives just the end id. A null key has a record of its own (``null_key``); repeated
-keys have one index entry for their run of records. Extra columns are ignored; an empty table
-writes no shard. A failed attempt may leave a file that no manifest names; readers never see it.
+each record. A look-up costs a few bit tests, one fingerprint test and one read. A shard ends
+at ``SHARD_BYTES`` of ids, which bounds what a task holds.
+
+Keys may be of any type that sorts (whole numbers are their own hash, all else is hashed as
+text, under a salt that tells a shard's keys apart). Null text gives just the end id. Null keys
+come first, one record each; repeated keys have one index entry for their run of records, in
+each shard that holds some. Extra columns are ignored; an empty table writes no shard. A failed
+attempt may leave a file that no manifest names; readers never see it.
 """
 
 from __future__ import annotations
@@ -20,12 +23,17 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import common
 from .units import ByteUnits, public_path
 
 MAGIC, HEAD = b"MTK1", 8
+#: Bytes of ids at which a shard is closed; a task writes as many as it needs.
+SHARD_BYTES = 64 << 20
 
 
 class PerfectHash:
@@ -73,6 +81,20 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (common.mix64(keys.astype(np.uint64) ^ np.uint64(0xA5A5A5A55A5A5A5A)) >> np.uint64(32)).astype(np.uint32)
 
 
+def key_hashes(keys: pa.Array, salt: int) -> np.ndarray:
+    """64 bits for each key: whole numbers stand for themselves, all else is hashed as text."""
+    if pa.types.is_integer(keys.type) and not salt:
+        return keys.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
+    return np.array([xxhash.xxh3_64_intdigest(str(k), salt) for k in keys.to_pylist()], np.uint64)
+
+
+def _to_bytes(keys: pa.Array) -> np.ndarray:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, pa.schema([("key", keys.type)])) as w:
+        w.write_batch(pa.record_batch([keys], ["key"]))
+    return np.frombuffer(out.getvalue(), np.uint8)
+
+
 class ShardReader:
     """Keyed access to one shard file."""
 
@@ -89,15 +111,18 @@ class ShardReader:
         self.width = head[4]
         self.file.seek(place)
         with np.load(io.BytesIO(self.file.read(size - 8 - place))) as z:
-            self.starts, self.keys, self.null_key = z["starts"], z["keys"], bool(z["null_key"])
+            self.starts, self.n_null, self.salt = z["starts"], int(z["n_null"]), int(z["salt"])
+            #: the keys of all records but those without a key, in order
+            self.keys = pa.ipc.open_stream(z["keys"].tobytes()).read_all().column("key").combine_chunks()
             self.hash = PerfectHash([np.unpackbits(z[f"level{i}"], count=int(n)).astype(bool) for i, n in enumerate(z["sizes"])])
             self.prints, self.records = z["prints"], z["records"]
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: pa.Array) -> np.ndarray:
         """First record of each key; -1 where the stored fingerprint says that the key isn't here."""
-        at = self.hash(keys.view(np.uint64))
+        hashes = key_hashes(keys, self.salt)
+        at = self.hash(hashes)
         ok = at >= 0
-        ok[ok] = self.prints[at[ok]] == fingerprints(keys.view(np.uint64)[ok])
+        ok[ok] = self.prints[at[ok]] == fingerprints(hashes[ok])
         return np.where(ok, self.records[np.where(ok, at, 0)] if len(self.records) else -1, -1)
 
     def read(self, first: int, last: int) -> bytes:
@@ -106,82 +131,101 @@ class ShardReader:
         return self.file.read(int(self.starts[last] - self.starts[first]) * self.width)
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, vocabulary: int) -> DataFrame:
-    """Writes the shards; the manifest (uri, first key, has_null, n_docs, n_ids), settled, one row a shard."""
+def _index(keys: pa.Array, starts: list[int]) -> bytes:
+    """The archive of a shard whose records have these keys (those without a key first) and begin at ``starts``."""
+    nulls = keys.null_count
+    known = keys.slice(nulls)
+    first = np.ones(len(known), bool)
+    if len(known):
+        first[1:] = pc.not_equal(known.slice(1), known.slice(0, len(known) - 1)).to_numpy(zero_copy_only=False)
+    records = np.flatnonzero(first)
+    for salt in range(64):  # until no two keys of the shard have one hash
+        hashes = key_hashes(known.take(pa.array(records)), salt)
+        if len(np.unique(hashes)) == len(hashes):
+            break
+    table = PerfectHash.build(hashes)
+    at = table(hashes)
+    prints, numbers = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.int64)
+    prints[at], numbers[at] = fingerprints(hashes), records + nulls
+    archive = io.BytesIO()
+    np.savez(archive, starts=np.array(starts, np.int64), keys=_to_bytes(known), n_null=np.array(nulls), salt=np.array(salt), prints=prints, records=numbers, sizes=np.array([len(x) for x in table.levels], np.int64), **{f"level{i}": np.packbits(x) for i, x in enumerate(table.levels)})
+    return archive.getvalue()
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int, vocabulary: int, bin_: list[str] | None = None) -> DataFrame:
+    """Writes the shards; the manifest (part and number in key order, uri, n_docs, n_ids), settled, one row a shard."""
     width = 2 if vocabulary <= 1 << 16 else 4
+    end = end_id.to_bytes(width, "little")
 
     def run(batches):
-        fs = out = uri = None
-        starts, keys, cache = [0], [], None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                uri = f"{folder}/{uuid.uuid4().hex}.tok"
-                fs, place = common.filesystem(uri)
-                fs.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                out = fs.open_output_stream(place)
-                out.write(MAGIC + bytes([width, 0, 0, 0]))
-                cache = ByteUnits.of_worker(path, width)
-            keys += b.column("doc_id").to_pylist()
-            end = end_id.to_bytes(width, "little")
-            for units in cache.documents(b.column("text").to_pylist()):
+        fs, place = common.filesystem(folder)
+        out, keys, starts, number, cache = None, [], [0], 0, None
+
+        def done():
+            out.write(_index(pa.concat_arrays(keys), starts))
+            out.write((HEAD + starts[-1] * width).to_bytes(8, "little"))
+            out.close()
+            return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "number": pa.array([number], pa.int64()), "uri": [uri], "n_docs": pa.array([len(starts) - 1], pa.int64()), "n_ids": pa.array([starts[-1]], pa.int64())})
+
+        for b in common.batches(batches):
+            cache = cache or ByteUnits.of_worker(path, width)
+            for row, units in enumerate(cache.documents(b.column("text").to_pylist())):
+                if out is None:
+                    name = f"{uuid.uuid4().hex}.tok"
+                    uri = f"{folder}/{name}"
+                    fs.create_dir(place, recursive=True)
+                    out = fs.open_output_stream(f"{place}/{name}")
+                    out.write(MAGIC + bytes([width, 0, 0, 0]))
+                    begun = row
                 raw = b"".join(units) + end
                 out.write(raw)
                 starts.append(starts[-1] + len(raw) // width)
-        if out is None:
-            return
-        nulls = sum(k is None for k in keys)
-        known = np.array(keys[nulls:], dtype=np.int64)
-        distinct, records = np.unique(known, return_index=True)
-        table = PerfectHash.build(distinct.view(np.uint64))
-        at = table(distinct.view(np.uint64))
-        prints, numbers = np.zeros(len(distinct), np.uint32), np.zeros(len(distinct), np.int64)
-        prints[at], numbers[at] = fingerprints(distinct.view(np.uint64)), records + nulls
-        archive = io.BytesIO()
-        np.savez(archive, starts=np.array(starts, np.int64), keys=known, null_key=np.array(nulls), prints=prints, records=numbers, sizes=np.array([len(x) for x in table.levels], np.int64), **{f"level{i}": np.packbits(x) for i, x in enumerate(table.levels)})
-        out.write(archive.getvalue())
-        out.write((HEAD + starts[-1] * width).to_bytes(8, "little"))
-        out.close()
-        yield pa.RecordBatch.from_pydict({"uri": [uri], "first_key": pa.array([int(known[0]) if len(known) else None], pa.int64()), "n_null": pa.array([nulls], pa.int64()), "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([starts[-1]], pa.int64())})
+                if starts[-1] * width >= SHARD_BYTES:
+                    keys.append(b.column("doc_id").slice(begun, row + 1 - begun))
+                    yield done()
+                    out, keys, starts, number = None, [], [0], number + 1
+            if out is not None:
+                keys.append(b.column("doc_id").slice(begun))
+                begun = 0
+        if out is not None:
+            yield done()
 
     spark = docs.sparkSession
-    common.small_batches(spark)
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return common.settle(ranged.mapInArrow(run, "uri string, first_key long, n_null long, n_docs long, n_ids long"), "manifest")
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(common.partitions(spark), "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    return common.settle(ranged.mapInArrow(run, "part long, number long, uri string, n_docs long, n_ids long"), "manifest", bin_)
 
 
-def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_shards(spark: SparkSession, manifest: DataFrame, kind: str = "bigint") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, found by key through each shard's index."""
-    order = Window.orderBy(F.col("first_key").asc_nulls_first(), F.desc("n_null"), "uri").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))  # one row a shard
 
     def run(batches):
         for b in batches:
             for uri, before in zip(b.column("uri").to_pylist(), b.column("before").to_pylist()):
                 shard = ShardReader(uri)
-                nulls = len(shard.starts) - 1 - len(shard.keys)
-                distinct, counts = np.unique(shard.keys, return_counts=True)
-                first = shard.find(distinct)
+                first = shard.find(shard.keys)
                 if (first < 0).any():
                     raise ValueError(f"{uri}: a key is not in the index")
-                ids, start, n, crc = [], [], [], []
-                runs = ([(None, 0, nulls)] if nulls else []) + list(zip(distinct.tolist(), first.tolist(), counts.tolist()))
-                starts = shard.starts.tolist()
+                # a key's records follow its first; those without a key come before all
+                again = np.arange(len(first)) - np.searchsorted(first, first) if len(first) else first
+                record = np.concatenate((np.arange(shard.n_null), first + again)).astype(np.int64)
+                starts = shard.starts
                 raw = memoryview(np.frombuffer(shard.read(0, len(starts) - 1), f"<u{shard.width}").astype("<u4")).cast("B")
-                for key, at, many in runs:
-                    for r in range(at, at + many):
-                        ids.append(key)
-                        start.append(before + starts[r])
-                        n.append(starts[r + 1] - starts[r])
-                        crc.append(zlib.crc32(raw[4 * starts[r] : 4 * starts[r + 1]]))
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "start": pa.array(start, pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                crc = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts[record].tolist(), starts[record + 1].tolist())]
+                ids = pa.concat_arrays([pa.nulls(shard.n_null, shard.keys.type), shard.keys])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(before + starts[record]), pa.array(starts[record + 1] - starts[record]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition(common.partitions(spark)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(common.partitions(spark)).mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = 0, vocabulary: int = 50_257) -> DataFrame:
     """Writes docs(doc_id, text) as shards and returns what the files hold."""
     spark = docs.sparkSession
-    manifest = write_shards(docs, folder or common.scratch(spark, "tokens"), path or public_path("byte_bpe_50k.json"), end_id, vocabulary)
-    return read_shards(spark, manifest)
+    bin_: list[str] = []
+    own = folder or common.scratch(spark, "tokens")
+    manifest = write_shards(docs, own, path or public_path("byte_bpe_50k.json"), end_id, vocabulary, bin_)
+    rows = read_shards(spark, manifest, docs.schema["doc_id"].dataType.simpleString())
+    if not folder and not manifest.isEmpty():
+        bin_.append(own)  # a folder that the caller names stays
+    return common.final(rows, "tokens-read", bin_)
