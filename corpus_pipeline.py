@@ -14,7 +14,7 @@ def quality_rules(spark, docs, sf_dir):
     """Documents that a quality rule rejects go; toxic words are those that the labels show, where there is a table of labels."""
     labels = common.optional_table(spark, sf_dir, "labels")
     toxic = quality.fit_lexicon(docs, labels) if labels is not None else None
-    return quality.filter_documents(docs, quality.cascade_rules(toxic=toxic))
+    return quality.filter_documents(docs, quality.cascade_rules(toxic))
 
 
 def near_duplicates(spark, docs, sf_dir):
