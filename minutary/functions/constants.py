@@ -8,11 +8,11 @@ STATUS_MAP = {"待执行": "open", "进行中": "in_progress", "已完成": "com
 TASK_STATES = ("open", "in_progress", "blocked", "completed", "cancelled")
 LABEL_CODES = {"T": "task", "U": "task_update", "D": "decision", "I": "issue", "R": "report", "S": "suggestion", "N": "non_task"}
 CANDIDATE_LABELS = ("task", "task_update", "decision", "issue")
-ACTION_WORDS = "完成 提交 整改 检查 复核 落实 解决 推进 汇报 处理 维修 检修 更换 组织 安排 制定 审核 排查".split()
-RESPONSIBILITY_WORDS = "由 负责 牵头 配合 安监科 机电队 责任人".split()
-TIME_WORDS = "今天 明天 本周 周一 周二 周三 周四 周五 月底 之前 以内 前".split()
-STATUS_WORDS = "已完成 延期 取消 暂停 受阻 改为 改由 不再执行".split()
-SAFETY_WORDS = "安全 隐患 事故 应急 停机 停产 瓦斯 火灾 爆炸 高风险".split()
+ACTION_WORDS = ("完成", "提交", "整改", "检查", "复核", "落实", "解决", "推进", "汇报", "处理", "维修", "检修", "更换", "组织", "安排", "制定", "审核", "排查")
+RESPONSIBILITY_WORDS = ("由", "负责", "牵头", "配合", "安监科", "机电队", "责任人")
+TIME_WORDS = ("今天", "明天", "本周", "周一", "周二", "周三", "周四", "周五", "月底", "之前", "以内", "前")
+STATUS_WORDS = ("已完成", "延期", "取消", "暂停", "受阻", "改为", "改由", "不再执行")
+SAFETY_WORDS = ("安全", "隐患", "事故", "应急", "停机", "停产", "瓦斯", "火灾", "爆炸", "高风险")
 SENTENCE_MARKS = "。！？；\n"
 CHUNK_SIZE, CHUNK_OVERLAP = 2400, 160
 GATE_CONFIDENCE = 0.8

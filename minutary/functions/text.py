@@ -5,7 +5,7 @@ Java's ``\\s`` is ASCII only, so ``(?U)`` classes are spelt out where Unicode wh
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -48,11 +48,21 @@ def strict_key(x: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(x, F.lit("")), r"[^\p{L}\p{N}]+", ""))
 
 
+def once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def bigrams(key: Column) -> Column:
     """The distinct two-character strings of a key; a key of one character is its own, an empty one has none."""
-    n = F.length(key)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2)))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs))
+
+    def pairs(signs: Column) -> Column:
+        return F.array_distinct(F.array_compact(F.zip_with(signs, F.slice(signs, F.lit(2), F.size(signs)), lambda x, y: F.concat(x, y))))
+
+    def of(k: Column) -> Column:  # a substring of a long key would be sought from its start each time, so it is split once
+        return F.when(F.length(k) == 0, F.array().cast("array<string>")).when(F.length(k) == 1, F.array(k)).otherwise(once(F.split(k, ""), pairs))
+
+    return once(key, of)
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -160,8 +170,8 @@ def digest_id(prefix: str, digits: int, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\0", *parts), 256), 1, digits))
 
 
-def position_id(i: Column) -> Column:
-    return F.format_string("m1-%03d", i)
+def position_id(i: Column, prefix: str = "c-") -> Column:
+    return F.format_string(prefix + "%03d", i)
 
 
 def file_stem(path: Column) -> Column:

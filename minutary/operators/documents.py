@@ -42,10 +42,11 @@ def chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVE
     return rows.filter("chunk <> ''")
 
 
-def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("meeting_title",)) -> DataFrame:
+def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("file",)) -> DataFrame:
     """Adds prev_context and next_context: the neighbouring segment's last or first characters, if it is of the same meeting.
 
-    ``by`` may name a column of the file, so that files are independent; the neighbour is that in order, not in meeting.
+    ``by`` names the file, within which the neighbour is that in order; a neighbour of another meeting gives no context, and is
+    not skipped.
     """
     w = Window.partitionBy(*by).orderBy("ord")
     title = F.col("meeting_title")

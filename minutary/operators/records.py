@@ -8,12 +8,6 @@ from ..functions import constants as C, text as T
 
 # The fields of a labelled record.
 LABELLED_FIELDS = tuple("segment_id subsegment_id speaker_id speaker_confidence start_ms end_ms text_raw asr_confidence nbest missing_fields task_category".split())
-# Tasks that a new store starts with (id, title, description, assignee, deadline, state).
-SEED_TASKS = (
-    ("T000001", "提交3125设备应急方案", "机电队提交3125设备应急方案。", "机电队", "本周五前", "open"),
-    ("T000002", "完成主井设备检查", "运输队完成主井设备检查。", "运输队", None, "in_progress"),
-    ("T000003", "整理上月培训台账", "培训科整理上月培训台账。", "培训科", None, "open"),
-)
 
 
 def labelled_record_fault(records: DataFrame) -> DataFrame:
@@ -57,8 +51,14 @@ def with_canonical_project(cands: DataFrame) -> DataFrame:
 
 
 def page(rows: DataFrame, order: list, number: int, size: int = 10, within: str | None = None) -> DataFrame:
-    """One page of each group (or of all rows) in an order, with row numbers."""
-    w = (Window.partitionBy(within) if within else Window).orderBy(*order)
+    """One page of each group (or of all rows) in an order, with row numbers.
+
+    A page of all rows is the tail of a top-k, which keeps ``number`` * ``size`` rows a task; only these are numbered.
+    """
+    if within is None:
+        rows, w = rows.orderBy(*order).limit(number * size), Window.orderBy(*order)
+    else:
+        w = Window.partitionBy(within).orderBy(*order)
     return rows.withColumn("row_number", F.row_number().over(w)).filter(F.col("row_number").between((number - 1) * size + 1, number * size))
 
 
@@ -75,10 +75,10 @@ def run_state(runs: DataFrame, changes: DataFrame) -> DataFrame:
     return runs.join(last, "run_id", "left").withColumn("status", F.coalesce("_s", "status")).drop("_s")
 
 
-def training_label(tasks: DataFrame) -> DataFrame:
+def training_label(tasks: DataFrame, schema_version: str = "training_sample_v1") -> DataFrame:
     """sample_id, label and provenance of tasks, nested as the export has them."""
     return tasks.select(
         F.col("task_id").alias("sample_id"),
         F.struct("title", "description", "status", "priority").alias("label"),
-        F.struct("source_meeting_id", "created_at", F.lit("meeting_task_training_sample_v1").alias("schema_version")).alias("provenance"),
+        F.struct("source_meeting_id", "created_at", F.lit(schema_version).alias("schema_version")).alias("provenance"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
@@ -33,51 +33,74 @@ def snapshot(log: DataFrame, fields: tuple[str, ...] = ("title", "status")) -> D
     return applied.groupBy("task_id").agg(*last, status, F.count("*").alias("version"), F.max(F.when(F.col("db_action") == "SOFT_DELETE", 1).otherwise(0)).alias("is_deleted"), F.min("seq").alias("created_seq"), F.max("seq").alias("updated_seq"))
 
 
-RESULT = "seq long, task_id string, event_key string, db_action string, execution_status string, failure_reason string, version_before long, version_after long, title string, status string, is_deleted int"
-
-
-def _apply(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Folds one task's commands in order of seq; keys repeat within a task only."""
-    state, done, out = None, set(), []
-    for c in pdf.sort_values("seq").itertuples(index=False):
-        before = state["version"] if state else 0
-        why, status = None, "applied"
-        if c.event_key in done:
-            status = "duplicate"
-        elif c.db_action == "NOOP":
-            status = "noop"
-        elif c.db_action == "CREATE":
-            if state is not None:
-                status = "duplicate"
+FIELDS = ("title", "description", "work_items", "assignee_raw", "deadline_raw")
+_KINDS = {f: "array<string>" if f == "work_items" else "string" for f in FIELDS}
+RESULT = "seq long, task_id string, event_key string, db_action string, execution_status string, failure_reason string, version_before long, version_after long, " + ", ".join(f"{f} {k}" for f, k in _KINDS.items()) + ", status string, is_deleted int"
+_OUT = [f.split(" ")[0] for f in RESULT.split(", ")]
+
+
+def _apply(batches):
+    """Folds commands in order of task and seq; only the state of the task at hand is held, however many commands it has."""
+    task = state = None
+    for b in batches:
+        cols = [b.column(c).to_pylist() for c in ("seq", "task_id", "event_key", "db_action", "expected_version", "again", "taken", "status", *FIELDS)]
+        out: list[list] = [[] for _ in _OUT]
+        for seq, task_id, key, action, expected, again, taken, status, *fields in zip(*cols):
+            if task_id != task:
+                task, state = task_id, None  # version, status, is_deleted, fields
+            before, why, done = state[0] if state else 0, None, "applied"
+            if again:
+                done = "duplicate"
+            elif action == "NOOP" or action == "CREATE" and taken:
+                done = "noop"
+            elif action == "CREATE":
+                if state:
+                    done = "duplicate"
+                else:
+                    state = (1, status or "open", 0, fields)
+            elif state is None:
+                why = "task_not_found"
+            elif state[2]:
+                why = "task_deleted"
+            elif expected is not None and expected != before:
+                why = "version_conflict"
+            elif action == "SOFT_DELETE":
+                state = (before + 1, "cancelled", 1, state[3])
+            elif action == "UPDATE_STATUS" and status is not None:
+                state = (before + 1, status, 0, state[3])
+            elif action == "UPDATE_FIELDS" and any(x is not None for x in fields):
+                state = (before + 1, state[1], 0, [y if x is None else x for x, y in zip(fields, state[3])])
             else:
-                state = {"version": 1, "title": c.title, "status": c.status if isinstance(c.status, str) else "open", "deleted": 0}
-        elif state is None:
-            why = "task_not_found"
-        elif state["deleted"]:
-            why = "task_deleted"
-        elif pd.notna(c.expected_version) and int(c.expected_version) != state["version"]:
-            why = "version_conflict"
-        elif c.db_action == "SOFT_DELETE":
-            state |= {"status": "cancelled", "deleted": 1, "version": before + 1}
-        elif c.db_action == "UPDATE_STATUS" and isinstance(c.status, str):
-            state |= {"status": c.status, "version": before + 1}
-        elif c.db_action == "UPDATE_FIELDS" and isinstance(c.title, str):
-            state |= {"title": c.title, "version": before + 1}
-        else:
-            why = "ineffective_update"
-        done.add(c.event_key)
-        now = state or {"version": 0, "title": None, "status": None, "deleted": 0}
-        out.append((c.seq, c.task_id, c.event_key, c.db_action, "failed" if why else status, why, before, now["version"], now["title"], now["status"], now["deleted"]))
-    return pd.DataFrame(out, columns=[f.split(" ")[0] for f in RESULT.split(", ")])
+                why = "ineffective_update"
+            version, now, deleted, kept = state or (0, None, 0, [None] * len(FIELDS))
+            for col, v in zip(out, (seq, task_id, key, action, "failed" if why else done, why, before, version, *kept, now, deleted)):
+                col.append(v)
+        kinds = {"seq": pa.int64(), "version_before": pa.int64(), "version_after": pa.int64(), "is_deleted": pa.int32(), "work_items": pa.list_(pa.string())}
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(_OUT, out)], _OUT)
 
 
 def apply_commands(commands: DataFrame) -> DataFrame:
-    """Event rows of commands(seq, task_id, event_key, db_action, expected_version, title, status), task by task.
+    """Event rows of commands(seq, task_id, event_key, db_action, expected_version, status and any of FIELDS and source_key).
 
-    The only imperative fold of the store: a task's commands depend on each other through its version.
+    A task's commands depend on each other through its version, so they are folded in order, in a stream over rows sorted by
+    task. What a fold needs not decide is decided before it: a repeated event_key of a task is a duplicate, and a CREATE whose
+    source_key an earlier CREATE of another task has named is a noop. Fields that a patch leaves null stay as they are.
     """
-    cols = ("seq", "task_id", "event_key", "db_action", "expected_version", "title", "status")
-    return commands.select(F.col("seq").cast("long"), *cols[1:4], F.col("expected_version").cast("double"), "title", "status").groupBy("task_id").applyInPandas(_apply, RESULT)
+    null = lambda kind: F.lit(None).cast(kind)
+    have = set(commands.columns)
+    rows = commands.select(
+        F.col("seq").cast("long").alias("seq"), "task_id", "event_key", "db_action", F.col("expected_version").cast("long").alias("expected_version"), "status",
+        *((F.col(f) if f in have else null(k)).alias(f) for f, k in _KINDS.items()), (F.col("source_key") if "source_key" in have else null("string")).alias("source_key"),
+    )
+    if "source_key" in have:
+        made = (F.col("db_action") == "CREATE") & F.col("source_key").isNotNull()
+        owner = rows.filter(made).groupBy("source_key").agg(F.min(F.struct("seq", "task_id")).alias("_o"))
+        rows = rows.join(owner, "source_key", "left").withColumn("taken", F.coalesce(made & (F.col("_o.seq") < F.col("seq")) & (F.col("_o.task_id") != F.col("task_id")), F.lit(False)))
+    else:
+        rows = rows.withColumn("taken", F.lit(False))
+    rows = rows.drop("_o", "source_key").repartition("task_id")
+    again = F.row_number().over(Window.partitionBy("task_id", "event_key").orderBy("seq")) > 1
+    return rows.withColumn("again", again).sortWithinPartitions("task_id", "seq").mapInArrow(_apply, RESULT)
 
 
 def history(events: DataFrame, runs: DataFrame) -> DataFrame:
@@ -90,12 +113,17 @@ def history(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def back_fill_meetings(events: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """source_meeting_id of events that lack it: from their run, else from the task named in the event key."""
+    """source_meeting_id of events that lack it: from their run, else the task named in the event key, else the stored JSON (after, then before)."""
     by_run = runs.groupBy("run_id").agg(F.max_by("meeting_id", F.struct("started_at", "meeting_id")).alias("_by_run"))
     key = events.withColumn("_task", F.regexp_extract("event_key", r"^(?:[a-z-]+:)?([^:]+)", 1))
     by_task = tasks.select(F.col("task_id").alias("_task"), F.col("source_meeting_id").alias("_by_task"))
     out = key.join(by_run, "run_id", "left").join(by_task, "_task", "left")
-    return out.select(*(c for c in events.columns if c != "source_meeting_id"), F.coalesce("source_meeting_id", "_by_run", "_by_task").alias("source_meeting_id"))
+    return out.select(*(c for c in events.columns if c != "source_meeting_id"), F.coalesce("source_meeting_id", "_by_run", "_by_task", *_stored(events, "$.source_meeting_id")).alias("source_meeting_id"))
+
+
+def _stored(events: DataFrame, path: str) -> list:
+    """A value of the snapshots that events carry, as far as these are JSON."""
+    return [F.nullif(F.try_variant_get(F.try_parse_json(c), path, "string"), F.lit("")) for c in ("after_json", "before_json") if c in events.columns]
 
 
 def run_summary(events: DataFrame) -> DataFrame:

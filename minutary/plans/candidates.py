@@ -48,7 +48,7 @@ gated AS (SELECT *, CASE WHEN department = '' OR project = '' OR title = '' OR e
 )
 
 
-@query(_GATE + "SELECT ord, 'm1-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS candidate_id, reason, CASE WHEN reason IS NULL THEN 'EXTRACT' ELSE 'HUMAN_REVIEW' END AS route, CASE WHEN reason = 'low_model_confidence' THEN 'model' END AS confidence_source FROM gated")
+@query(_GATE + "SELECT ord, 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS candidate_id, reason, CASE WHEN reason IS NULL THEN 'EXTRACT' ELSE 'HUMAN_REVIEW' END AS route, CASE WHEN reason = 'low_model_confidence' THEN 'model' END AS confidence_source FROM gated")
 def gate_rows(spark, sf_dir):
     return K.gate(D.cands(spark, sf_dir)).select("ord", "candidate_id", "reason", "route", "confidence_source")
 
@@ -112,7 +112,7 @@ def command_validate(spark, sf_dir):
 
 _BATCH = (
     "WITH l AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey, l_quantity, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS r FROM lineitem),"
-    " c AS (SELECT k, r, CASE WHEN k % 9 = 0 AND r = 2 THEN 'NOOP' ELSE 'CREATE' END AS db_action, CASE WHEN k % 4 = 0 THEN '平台' || CAST(k AS VARCHAR) || '系统' ELSE 'Goal' || CAST(k % 5 AS VARCHAR) END AS anchor, l_partkey, CASE WHEN k % 7 = 0 THEN 'a' || CAST(r AS VARCHAR) ELSE 'a' END AS assignee FROM l WHERE r <= 4),"
+    " c AS (SELECT k, r, CASE WHEN k % 9 = 0 AND r = 2 THEN 'NOOP' ELSE 'CREATE' END AS db_action, CASE WHEN k % 4 = 0 THEN '平台' || CAST(k AS VARCHAR) || '系统' ELSE 'Goal' || CAST(k % 5 AS VARCHAR) END AS anchor, l_partkey, CASE WHEN k % 7 = 0 THEN 'a' || CAST(r AS VARCHAR) ELSE 'a' END AS assignee FROM l),"
 )
 
 
@@ -124,7 +124,7 @@ SELECT k AS source_key, creates AND na <= 1 AND items >= 2 AND anchored AS merge
 def granularity_merge(spark, sf_dir):
     from pyspark.sql import Window
 
-    line = D.read(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).filter("r <= 4")
+    line = D.read(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")))
     anchor = "case when l_orderkey % 4 = 0 then concat('平台', cast(l_orderkey as string), '系统') else concat('Goal', cast(l_orderkey % 5 as string)) end"
     rows = line.selectExpr(
         "l_orderkey as source_key", "r as command_index", "case when l_orderkey % 9 = 0 and r = 2 then 'NOOP' else 'CREATE' end as db_action", f"concat(case when l_orderkey % 6 = 0 and r = 1 then 'x' else '(1)' end, {anchor}, ' part ', cast(l_partkey as string)) as title",

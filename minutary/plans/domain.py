@@ -26,15 +26,16 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when doc_id % 13 = 0 then ' ' else source end as department",
         "case when doc_id % 11 = 0 then '' else concat(source, '-', cast(doc_id div 100 as string)) end as project",
         "concat(' ', left(split_part(text, '\\n', 1), 30)) as title",
-        "substring(text, 5, 60) as description",
-        "case when doc_id % 3 = 0 then array() else array(substring(text, 1, 12), ' ', substring(text, 13, 12), substring(text, 1, 12)) end as work_items",
+        "text as description",
+        "case when doc_id % 3 = 0 then array() else array(split_part(text, '\\n', 1), ' ', split_part(text, '\\n', 2), split_part(text, '\\n', 1)) end as work_items",
         "case when doc_id % 5 = 0 then '' else concat('a', cast(doc_id % 7 as string)) end as assignee",
         "case when doc_id % 4 = 0 then concat('d', cast(doc_id % 9 as string)) else '' end as deadline",
         "case doc_id % 4 when 0 then '高' when 1 then '中' when 2 then '低' else 'x' end as priority",
         "case doc_id % 5 when 0 then '进行中' when 1 then '待执行' when 2 then '已延期' when 3 then '已完成' else '' end as status",
-        "case when doc_id % 17 = 0 then '' else left(text, 20) end as evidence",
+        "case when doc_id % 17 = 0 then '' else split_part(text, '\\n', 1) end as evidence",
         "case quality when 1 then 0.9D when 0 then 0.5D end as confidence",
         "doc_id % 3 as meeting",
+        "concat(source, '-', lang) as team",
         "text",
     )
 
@@ -45,15 +46,15 @@ cands AS (SELECT d.doc_id AS ord,
   CASE WHEN d.doc_id % 13 = 0 THEN ' ' ELSE source END AS department,
   CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE source || '-' || CAST(d.doc_id // 100 AS VARCHAR) END AS project,
   ' ' || left(split_part(text, chr(10), 1), 30) AS title,
-  substring(text, 5, 60) AS description,
-  CASE WHEN d.doc_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE [substring(text, 1, 12), ' ', substring(text, 13, 12), substring(text, 1, 12)] END AS work_items,
+  text AS description,
+  CASE WHEN d.doc_id % 3 = 0 THEN CAST([] AS VARCHAR[]) ELSE [split_part(text, chr(10), 1), ' ', split_part(text, chr(10), 2), split_part(text, chr(10), 1)] END AS work_items,
   CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE 'a' || CAST(d.doc_id % 7 AS VARCHAR) END AS assignee,
   CASE WHEN d.doc_id % 4 = 0 THEN 'd' || CAST(d.doc_id % 9 AS VARCHAR) ELSE '' END AS deadline,
   CASE d.doc_id % 4 WHEN 0 THEN '高' WHEN 1 THEN '中' WHEN 2 THEN '低' ELSE 'x' END AS priority,
   CASE d.doc_id % 5 WHEN 0 THEN '进行中' WHEN 1 THEN '待执行' WHEN 2 THEN '已延期' WHEN 3 THEN '已完成' ELSE '' END AS status,
-  CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE left(text, 20) END AS evidence,
+  CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS evidence,
   CASE lab.quality WHEN 1 THEN 0.9 WHEN 0 THEN 0.5 END::DOUBLE AS confidence,
-  d.doc_id % 3 AS meeting, text
+  d.doc_id % 3 AS meeting, source || '-' || lang AS team, text
   FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id)"""
 
 #: SQL for stripping white space at both ends, of a placeholder.
@@ -70,7 +71,7 @@ NORM = (
 norm0 AS (SELECT ord, {strip('department')} AS department, {strip('project')} AS project, {strip('title')} AS title, {strip('description')} AS description,
   list_filter(list_transform(work_items, lambda x: {strip('x')}), lambda x: x <> '') AS wi, {strip('assignee')} AS assignee, {strip('deadline')} AS deadline,
   CASE WHEN priority IN ('高','中','低') THEN priority ELSE '中' END AS priority, CASE WHEN status IN ('进行中','待执行','已延期','已完成') THEN status ELSE '待执行' END AS status,
-  {strip('evidence')} AS evidence, confidence, meeting FROM cands),
+  {strip('evidence')} AS evidence, confidence, meeting, team FROM cands),
 norm AS (SELECT * EXCLUDE (wi), CASE WHEN len(wi) = 0 AND description <> '' THEN [description] ELSE list_filter(wi, lambda x, i: list_position(wi, x) = i) END AS work_items
   FROM norm0 WHERE title <> '' AND evidence <> '')"""
 )
@@ -118,13 +119,13 @@ task_log AS (SELECT event_id AS seq, 'T' || CAST(user_id AS VARCHAR) AS task_id,
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr("concat('R', cast(o_orderkey as string)) as run_id", "concat('M', cast(o_custkey % 30 as string)) as meeting_id", "date_format(o_orderdate, 'yyyy-MM-dd') as meeting_date", "date_format(o_orderdate, 'yyyy-MM-dd') || '#' || lpad(cast(o_orderkey as string), 10, '0') as started_at", "case o_orderstatus when 'F' then 'completed' when 'O' then 'running_m1' else 'failed' end as status", "o_custkey")
+    return read(spark, sf_dir, "orders").selectExpr("concat('R', cast(o_orderkey as string)) as run_id", "concat('M', cast(o_custkey % 30 as string)) as meeting_id", "date_format(o_orderdate, 'yyyy-MM-dd') as meeting_date", "date_format(o_orderdate, 'yyyy-MM-dd') || '#' || lpad(cast(o_orderkey as string), 10, '0') as started_at", "case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end as status", "o_custkey")
 
 
 RUNS = """
 runs AS (SELECT 'R' || CAST(o_orderkey AS VARCHAR) AS run_id, 'M' || CAST(o_custkey % 30 AS VARCHAR) AS meeting_id, strftime(o_orderdate, '%Y-%m-%d') AS meeting_date,
   strftime(o_orderdate, '%Y-%m-%d') || '#' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS started_at,
-  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running_m1' ELSE 'failed' END AS status, o_custkey FROM orders)"""
+  CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_custkey FROM orders)"""
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,11 +41,11 @@ def manual_ops(spark, sf_dir):
     return manual.update(D.tasks(spark, sf_dir).withColumn("version", F.lit(1)), _edits(spark, sf_dir))[0].select("task_id", "priority", F.col("version").cast("long").alias("version"), "is_deleted", "status")
 
 
-_GROUPS = "WITH g AS (SELECT o_custkey AS group_id, o_orderkey AS ord, 'T' || CAST(o_orderkey AS VARCHAR) AS task_id, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS step, min(o_orderkey) OVER (PARTITION BY o_custkey) AS c FROM orders WHERE o_orderkey % 4 = 0)\n"
+_GROUPS = "WITH g AS (SELECT o_custkey AS group_id, o_orderkey AS ord, 'T' || CAST(o_orderkey AS VARCHAR) AS task_id, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS step, min(o_orderkey) OVER (PARTITION BY o_custkey) AS c FROM orders)\n"
 
 
 def _groups(spark, sf_dir):
-    return D.read(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").selectExpr("o_custkey as group_id", "o_orderkey as ord", "concat('T', cast(o_orderkey as string)) as task_id", "o_orderpriority as title", "1 as version")
+    return D.read(spark, sf_dir, "orders").selectExpr("o_custkey as group_id", "o_orderkey as ord", "concat('T', cast(o_orderkey as string)) as task_id", "o_orderpriority as title", "1 as version")
 
 
 @query(_GROUPS + "SELECT group_id, step, 0 AS part, 'UPDATE_FIELDS' AS db_action, 'T' || CAST(c AS VARCHAR) AS target_task_id, step AS expected_version, title FROM g WHERE step > 0 UNION ALL SELECT group_id, step, 1, 'SOFT_DELETE', task_id, 1, NULL FROM g WHERE step > 0")
@@ -60,9 +60,9 @@ def merge_ids(spark, sf_dir):
     return manual.merge_tasks(groups, done).select("group_id", "task_id", F.col("into").alias("into_task"), "db_action")
 
 
-@query("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END AS title, left(text, 50) AS ev FROM documents WHERE doc_id % 3 = 0) SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, CASE WHEN title = '' THEN left(" + D.strip("ev") + ", 40) ELSE title END AS title, " + D.strip("ev") + " AS evidence FROM r WHERE " + D.strip("ev") + " <> ''")
+@query("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END AS title, " + D.strip("text") + " AS ev FROM documents) SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, CASE WHEN title = '' THEN left(ev, 40) ELSE title END AS title, ev AS evidence FROM r WHERE ev <> ''")
 def review_approve(spark, sf_dir):
-    rows = D.read(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("title"), F.left("text", F.lit(50)).alias("evidence")).alias("c"), "doc_id")
+    rows = D.read(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("title"), F.col("text").alias("evidence")).alias("c"), "doc_id")
     payload = F.when(F.col("doc_id") % 6 == 0, F.to_json(F.struct(F.col("c").alias("candidate")))).otherwise(F.to_json("c"))
     return manual.approve(rows.withColumn("candidate_json", payload)).select("candidate_id", "title", "evidence")
 
@@ -73,10 +73,10 @@ def resolution_spelling(spark, sf_dir):
     return D.read(spark, sf_dir, "part").select("p_partkey", models.resolution(word, F.when(F.col("p_partkey") % 2 == 0, F.lit("P1")), F.col("p_name")).alias("resolution"))
 
 
-@query("SELECT conv_id, turn, 'DEMO_' || left(sha256('2026-01-0' || CAST(turn AS VARCHAR) || chr(0) || role || chr(0) || sha256(text)), 20) AS meeting_id, strlen(text) AS n_bytes FROM conversations")
+@query("SELECT conv_id, turn, 'UP_' || left(sha256('2026-01-0' || CAST(turn AS VARCHAR) || chr(0) || role || chr(0) || sha256(text)), 20) AS meeting_id, strlen(text) AS n_bytes FROM conversations")
 def upload_ids(spark, sf_dir):
     c = D.read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.digest_id("DEMO_", 20, F.concat(F.lit("2026-01-0"), F.col("turn").cast("string")), F.col("role"), F.sha2("text", 256)).alias("meeting_id"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return c.select("conv_id", "turn", T.digest_id("UP_", 20, F.concat(F.lit("2026-01-0"), F.col("turn").cast("string")), F.col("role"), F.sha2("text", 256)).alias("meeting_id"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("WITH" + D.TASKS + r" SELECT task_id, CASE WHEN o_custkey % 9 = 0 THEN 'D0' ELSE regexp_extract(description, '(?:^|\n)部门：\s*([^\n]+)', 1) END AS department, '项目级任务' AS category, 'body ' || substring(task_id, 2) AS body FROM tasks")

@@ -36,25 +36,45 @@ def task_snapshot(spark, sf_dir):
 
 
 _APPLY = """WITH RECURSIVE""" + D.TASK_LOG + """,
-e AS (SELECT seq, task_id, event_key, db_action, CASE WHEN db_action <> 'CREATE' AND seq % 5 = 0 THEN seq % 9 END AS expected, title, status, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS r, row_number() OVER (PARTITION BY event_key ORDER BY seq) AS k FROM task_log),
-f(task_id, r, seq, db_action, st, v0, v, title, status, del, made) AS (
-  SELECT task_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, false FROM (SELECT DISTINCT task_id FROM e)
+c AS (SELECT *, CASE WHEN db_action = 'CREATE' THEN 's' || CAST(seq % 400 AS VARCHAR) END AS source_key FROM task_log),
+ow AS (SELECT source_key, min(seq) AS first, arg_min(task_id, seq) AS owner FROM c WHERE source_key IS NOT NULL GROUP BY source_key),
+e AS (SELECT seq, task_id, event_key, db_action, CASE WHEN db_action <> 'CREATE' AND seq % 5 = 0 THEN seq % 9 END AS expected,
+  CASE WHEN seq % 6 > 0 THEN title END AS title, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 4 = 0 THEN 'about ' || CAST(seq % 89 AS VARCHAR) END AS description,
+  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 7 = 0 THEN ['w' || CAST(seq % 5 AS VARCHAR), 'v'] END AS work_items, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 8 = 0 THEN 'a' || CAST(seq % 11 AS VARCHAR) END AS assignee_raw,
+  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 9 = 0 THEN 'd' || CAST(seq % 13 AS VARCHAR) END AS deadline_raw, status,
+  row_number() OVER (PARTITION BY task_id ORDER BY seq) AS r, row_number() OVER (PARTITION BY event_key ORDER BY seq) AS k, coalesce(first < seq AND owner <> task_id, false) AS taken FROM c LEFT JOIN ow USING (source_key)),
+f(task_id, r, seq, db_action, st, v0, v, title, description, work_items, assignee_raw, deadline_raw, status, del, made) AS (
+  SELECT task_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, false FROM (SELECT DISTINCT task_id FROM e)
   UNION ALL
   SELECT x.task_id, x.r, x.seq, x.db_action, x.st, x.v, CASE WHEN x.st = 'applied' THEN x.v + 1 ELSE x.v END,
-    CASE WHEN x.st = 'applied' AND x.db_action IN ('CREATE','UPDATE_FIELDS') THEN x.nt ELSE x.ot END,
+    CASE WHEN x.patch THEN coalesce(x.nt, x.ot) ELSE x.ot END, CASE WHEN x.patch THEN coalesce(x.nd, x.od) ELSE x.od END, CASE WHEN x.patch THEN coalesce(x.nw, x.ow) ELSE x.ow END, CASE WHEN x.patch THEN coalesce(x.na, x.oa) ELSE x.oa END, CASE WHEN x.patch THEN coalesce(x.nl, x.ol) ELSE x.ol END,
     CASE WHEN x.st = 'applied' THEN CASE x.db_action WHEN 'CREATE' THEN coalesce(x.ns, 'open') WHEN 'SOFT_DELETE' THEN 'cancelled' WHEN 'UPDATE_STATUS' THEN x.ns ELSE x.os END ELSE x.os END,
     CASE WHEN x.st = 'applied' AND x.db_action = 'SOFT_DELETE' THEN 1 ELSE x.del END, x.made OR (x.st = 'applied' AND x.db_action = 'CREATE')
-  FROM (SELECT e.task_id, e.r, e.seq, e.db_action, f.v, f.title AS ot, f.status AS os, f.del, f.made, e.title AS nt, e.status AS ns,
-      CASE WHEN e.k > 1 THEN 'duplicate' WHEN e.db_action = 'NOOP' THEN 'noop' WHEN e.db_action = 'CREATE' THEN CASE WHEN f.made THEN 'duplicate' ELSE 'applied' END
-        WHEN NOT f.made OR f.del = 1 OR (e.expected IS NOT NULL AND e.expected <> f.v) THEN 'failed' WHEN e.db_action = 'SOFT_DELETE' OR (e.db_action = 'UPDATE_STATUS' AND e.status IS NOT NULL) OR (e.db_action = 'UPDATE_FIELDS' AND e.title IS NOT NULL) THEN 'applied' ELSE 'failed' END AS st
-    FROM f JOIN e ON e.task_id = f.task_id AND e.r = f.r + 1) x)
-SELECT seq, task_id, db_action, st AS execution_status, v0 AS version_before, v AS version_after, title, status, del AS is_deleted FROM f WHERE r > 0"""
+  FROM (SELECT y.*, y.st = 'applied' AND y.db_action IN ('CREATE','UPDATE_FIELDS') AS patch FROM (SELECT e.task_id, e.r, e.seq, e.db_action, f.v, f.title AS ot, f.description AS od, f.work_items AS ow, f.assignee_raw AS oa, f.deadline_raw AS ol, f.status AS os, f.del, f.made,
+      e.title AS nt, e.description AS nd, e.work_items AS nw, e.assignee_raw AS na, e.deadline_raw AS nl, e.status AS ns,
+      CASE WHEN e.k > 1 THEN 'duplicate' WHEN e.db_action = 'NOOP' OR e.taken THEN 'noop' WHEN e.db_action = 'CREATE' THEN CASE WHEN f.made THEN 'duplicate' ELSE 'applied' END
+        WHEN NOT f.made OR f.del = 1 OR (e.expected IS NOT NULL AND e.expected <> f.v) THEN 'failed' WHEN e.db_action = 'SOFT_DELETE' OR (e.db_action = 'UPDATE_STATUS' AND e.status IS NOT NULL)
+        OR (e.db_action = 'UPDATE_FIELDS' AND (e.title IS NOT NULL OR e.description IS NOT NULL OR e.work_items IS NOT NULL OR e.assignee_raw IS NOT NULL OR e.deadline_raw IS NOT NULL)) THEN 'applied' ELSE 'failed' END AS st
+    FROM f JOIN e ON e.task_id = f.task_id AND e.r = f.r + 1) y) x)
+SELECT seq, task_id, db_action, st AS execution_status, v0 AS version_before, v AS version_after, title, description, array_to_string(work_items, '/') AS work_items, assignee_raw, deadline_raw, status, del AS is_deleted FROM f WHERE r > 0"""
 
 
 @query(_APPLY)
 def apply_log(spark, sf_dir):
-    rows = D.task_log(spark, sf_dir).withColumn("expected_version", F.expr("case when db_action <> 'CREATE' and seq % 5 = 0 then seq % 9 end"))
-    return store.apply_commands(rows).select("seq", "task_id", "db_action", "execution_status", "version_before", "version_after", "title", "status", "is_deleted")
+    patch = "case when db_action in ('CREATE', 'UPDATE_FIELDS') and seq % {0} = 0 then {1} end"
+    rows = D.task_log(spark, sf_dir).withColumns(
+        {
+            "expected_version": F.expr("case when db_action <> 'CREATE' and seq % 5 = 0 then seq % 9 end"),
+            "title": F.expr("case when seq % 6 > 0 then title end"),
+            "description": F.expr(patch.format(4, "concat('about ', cast(seq % 89 as string))")),
+            "work_items": F.expr(patch.format(7, "array(concat('w', cast(seq % 5 as string)), 'v')")),
+            "assignee_raw": F.expr(patch.format(8, "concat('a', cast(seq % 11 as string))")),
+            "deadline_raw": F.expr(patch.format(9, "concat('d', cast(seq % 13 as string))")),
+            "source_key": F.expr("case when db_action = 'CREATE' then concat('s', cast(seq % 400 as string)) end"),
+        }
+    )
+    out = store.apply_commands(rows)
+    return out.select("seq", "task_id", "db_action", "execution_status", "version_before", "version_after", "title", "description", F.array_join("work_items", "/").alias("work_items"), "assignee_raw", "deadline_raw", "status", "is_deleted")
 
 
 @query("WITH" + D.RUNS + " SELECT meeting_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS started_at FROM runs GROUP BY meeting_id")
@@ -121,15 +141,15 @@ def events_list(spark, sf_dir):
     return D.task_log(spark, sf_dir).select("event_id", "run_id", "task_id", F.row_number().over(w).alias("place"))
 
 
-@query("WITH" + D.RUNS + " SELECT run_id, meeting_id, started_at, row_number() OVER (PARTITION BY meeting_id ORDER BY started_at DESC) AS place, EXISTS (SELECT 1 FROM runs WHERE status = 'running_m1') AS has_active FROM runs")
+@query("WITH" + D.RUNS + " SELECT run_id, meeting_id, started_at, row_number() OVER (PARTITION BY meeting_id ORDER BY started_at DESC) AS place, EXISTS (SELECT 1 FROM runs WHERE status = 'running') AS has_active FROM runs")
 def meetings_list(spark, sf_dir):
     runs = D.runs(spark, sf_dir)
-    active = runs.filter("status = 'running_m1'").limit(1).agg((F.count("*") > 0).alias("has_active"))  # one row
+    active = runs.filter("status = 'running'").limit(1).agg((F.count("*") > 0).alias("has_active"))  # one row
     w = Window.partitionBy("meeting_id").orderBy(F.desc("started_at"))
     return runs.select("run_id", "meeting_id", "started_at", F.row_number().over(w).alias("place")).join(F.broadcast(active))
 
 
-_REVIEW = "WITH" + D.CANDS + """, rq AS (SELECT ord, CAST(meeting AS VARCHAR) AS meeting_id, 'm1-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS cid, 'R' || upper(left(sha256(CAST(meeting AS VARCHAR) || ':' || 'm1-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') || ':' || evidence), 20)) AS candidate_id FROM cands WHERE confidence < 0.8 OR ord % 3 = 0)
+_REVIEW = "WITH" + D.CANDS + """, rq AS (SELECT ord, CAST(meeting AS VARCHAR) AS meeting_id, 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS cid, 'R' || upper(left(sha256(CAST(meeting AS VARCHAR) || ':' || 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') || ':' || evidence), 20)) AS candidate_id FROM cands WHERE confidence < 0.8 OR ord % 3 = 0)
 """
 
 
@@ -183,11 +203,11 @@ def facet_values(spark, sf_dir):
     return D.tasks(spark, sf_dir).select(F.explode(both).alias("x")).groupBy("x.facet", "x.v").agg(F.count("*").alias("n"))
 
 
-_TRAIN = "WITH e AS (SELECT doc_id, doc_id // 8 AS m, left(text, 200) AS ev, length(regexp_replace(regexp_replace(left(text, 200), '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '')) AS n FROM documents), k AS (SELECT * FROM e WHERE n >= 80)\n"
+_TRAIN = "WITH e AS (SELECT doc_id, doc_id // 8 AS m, text AS ev, length(regexp_replace(regexp_replace(text, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '')) AS n FROM documents), k AS (SELECT * FROM e WHERE n >= 80)\n"
 
 
 def _training(spark, sf_dir):
-    return store.training_rows(D.read(spark, sf_dir, "documents").selectExpr("doc_id as task_id", "concat('m', cast(doc_id div 8 as string)) as source_meeting_id", "concat('m1-', cast(doc_id as string)) as source_key", "left(text, 200) as evidence_text"))
+    return store.training_rows(D.read(spark, sf_dir, "documents").selectExpr("doc_id as task_id", "concat('m', cast(doc_id div 8 as string)) as source_meeting_id", "concat('c-', cast(doc_id as string)) as source_key", "text as evidence_text"))
 
 
 @query(_TRAIN + "SELECT doc_id AS task_id, coalesce(string_agg(ev, chr(10) ORDER BY doc_id) OVER (PARTITION BY m ORDER BY doc_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS previous_text, coalesce(string_agg(ev, chr(10) ORDER BY doc_id) OVER (PARTITION BY m ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS following_text, row_number() OVER (PARTITION BY m ORDER BY doc_id) AS place FROM k")

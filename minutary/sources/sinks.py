@@ -23,7 +23,7 @@ def append(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
-def training_archives(rows: DataFrame, parts: int = 1) -> DataFrame:
+def training_archives(rows: DataFrame, parts: int = 1, schema_version: str = "training_export_v1") -> DataFrame:
     """Rows (archive, n_samples, content): a ZIP for each part with samples/<id>/evidence.txt, label.json, and manifest.json.
 
     rows(sample_id, evidence_text, label JSON); parts bounds the size of an archive.
@@ -37,7 +37,7 @@ def training_archives(rows: DataFrame, parts: int = 1) -> DataFrame:
                     z.writestr(f"samples/{r.sample_id}/evidence.txt", r.evidence_text or "")
                     z.writestr(f"samples/{r.sample_id}/label.json", r.label or "{}")
                     names.append(r.sample_id)
-            z.writestr("manifest.json", json.dumps({"schema_version": "meeting_task_training_export_v1", "sample_count": len(names), "samples": names}, ensure_ascii=False))
+            z.writestr("manifest.json", json.dumps({"schema_version": schema_version, "sample_count": len(names), "samples": names}, ensure_ascii=False))
         if names:
             yield pd.DataFrame({"archive": [names[0]], "n_samples": [len(names)], "content": [raw.getvalue()]})
 

@@ -32,7 +32,7 @@ def test_merge_folds_in_order(spark):
 def test_gate_names_the_first_fault(spark):
     rows = [cand(0, evidence="", department=""), cand(1, status="已完成"), cand(2, confidence=0.79), cand(3, confidence=0.8), cand(4)]
     got = [(r.candidate_id, r.reason) for r in K.gate(spark.createDataFrame(rows, CAND)).orderBy("ord").collect()]
-    assert got == [("m1-001", "missing_department_evidence"), ("m1-002", "non_active_initial_status"), ("m1-003", "low_model_confidence"), ("m1-004", None), ("m1-005", None)]
+    assert got == [("c-001", "missing_department_evidence"), ("c-002", "non_active_initial_status"), ("c-003", "low_model_confidence"), ("c-004", None), ("c-005", None)]
 
 
 def test_context_stays_within_a_meeting(spark):
@@ -82,3 +82,43 @@ def test_resolve_counts_the_first_answer(spark):
     queue = spark.createDataFrame([("a", "pending"), ("b", "approved")], "candidate_id string, status string")
     answers = spark.createDataFrame([("a", 2, "approved"), ("a", 1, "rejected"), ("b", 1, "rejected")], "candidate_id string, seq long, verdict string")
     assert {r.candidate_id: r.status for r in store.resolve_reviews(queue, answers).collect()} == {"a": "rejected", "b": "approved"}
+
+
+def test_patches_overlay_all_fields_and_source_keys_are_made_once(spark):
+    schema = "seq long, task_id string, event_key string, db_action string, expected_version long, title string, description string, work_items array<string>, assignee_raw string, deadline_raw string, status string, source_key string"
+    rows = [
+        (1, "T1", "a", "CREATE", None, "t", "d", ["w"], "x", None, None, "s1"),
+        (2, "T1", "b", "UPDATE_FIELDS", 1, None, None, None, None, "friday", None, None),
+        (3, "T1", "c", "UPDATE_FIELDS", 2, None, "new", ["v", "w"], None, None, None, None),
+        (4, "T1", "d", "UPDATE_FIELDS", 3, None, None, None, None, None, "completed", None),
+        (5, "T2", "e", "CREATE", None, "again", None, None, None, None, None, "s1"),
+        (6, "T2", "f", "UPDATE_STATUS", None, None, None, None, None, None, "completed", None),
+        (7, "T3", "g", "CREATE", None, "no key", None, None, None, None, "blocked", None),
+    ]
+    got = {r.seq: (r.execution_status, r.failure_reason, r.version_after, r.title, r.description, r.work_items, r.assignee_raw, r.deadline_raw, r.status) for r in store.apply_commands(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        1: ("applied", None, 1, "t", "d", ["w"], "x", None, "open"),
+        2: ("applied", None, 2, "t", "d", ["w"], "x", "friday", "open"),
+        3: ("applied", None, 3, "t", "new", ["v", "w"], "x", "friday", "open"),
+        4: ("failed", "ineffective_update", 3, "t", "new", ["v", "w"], "x", "friday", "open"),
+        5: ("noop", None, 0, None, None, None, None, None, None),
+        6: ("failed", "task_not_found", 0, None, None, None, None, None, None),
+        7: ("applied", None, 1, "no key", None, None, None, None, "blocked"),
+    }
+    assert store.apply_commands(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_context_is_that_of_the_neighbour_in_the_file(spark):
+    rows = spark.createDataFrame([("f", "A", 1, "first A"), ("f", "B", 2, "only B"), ("f", "A", 3, "second A"), ("f", "A", 4, "third A")], "file string, meeting_title string, ord int, clean_text string")
+    got = [(r.prev_context, r.next_context) for r in documents.with_context(rows).orderBy("ord").collect()]
+    assert got == [("", ""), ("", ""), ("", "third A"), ("second A", "")]
+
+
+def test_project_matches_say_why(spark):
+    side = "{0} string, project_id string, {1} string, title string, description string, work_items array<string>, department string, assignee string"
+    cands = spark.createDataFrame([("c", "P", "M2", "检查主泵", "检查主泵并记录", ["检查主泵"], "机修组", "李")], side.format("candidate_id", "meeting_id"))
+    tasks = spark.createDataFrame([("T1", "P", "M1", "检查主泵", "检查主泵", ["检查主泵"], "机修组", "王", 0, "open"), ("T2", "P", "M1", "别的事情", "", [], "", "", 0, "open")], side.format("task_id", "source_meeting_id") + ", is_deleted int, status string")
+    (r,) = matching.reviewed(matching.score_project(cands, tasks, reasons=True), tasks).collect()
+    first, second = r.candidates
+    assert first.task_id == "T1" and first.match_reasons == ["title_similarity:1.000", "work_item_similarity:1.000", f"description_similarity:{2 * 3 / (6 + 3):.3f}", "same_project", "same_department", "different_assignee"]
+    assert second.match_reasons == ["title_similarity:0.000", "work_item_similarity:0.000", "description_similarity:0.000", "same_project"]

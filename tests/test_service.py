@@ -1,11 +1,13 @@
 """Labelled records through matching and the rule client to events."""
 
-from minutary.operators import commands, records, service
+from minutary.operators import commands, service
+
+TASKS = [("T000001", "提交7号泵房应急方案", "维修组提交7号泵房应急方案。", "维修组", "open"), ("T000002", "完成西门岗亭检查", "保卫科完成西门岗亭检查。", "保卫科", "in_progress"), ("T000003", "整理去年档案目录", "档案室整理去年档案目录。", "档案室", "open")]
 
 
 def test_four_actions(spark):
-    tasks = spark.createDataFrame([(*t[:4], t[5]) for t in records.SEED_TASKS], "task_id string, title string, description string, assignee_raw string, status string")
-    rows = [(1, 1, "通风队下周一前提交新风量测定方案。", "task"), (2, 2, "原定周五提交3125设备应急方案延期到月底", "task_update"), (3, 3, "完成主井设备检查这项任务已经全部完成。", "task_update"), (4, 4, "整理上月培训台账这项任务取消，不再执行。", "task_update"), (5, 5, "汇报", "report")]
+    tasks = spark.createDataFrame(TASKS, "task_id string, title string, description string, assignee_raw string, status string")
+    rows = [(1, 1, "通风队下周一前提交新风量测定方案。", "task"), (2, 2, "原定周五提交7号泵房应急方案延期到月底", "task_update"), (3, 3, "完成西门岗亭检查这项任务已经全部完成。", "task_update"), (4, 4, "整理去年档案目录这项任务取消，不再执行。", "task_update"), (5, 5, "汇报", "report")]
     made = service.to_commands(spark.createDataFrame(rows, "record_id long, seq long, text string, task_category string"), tasks)
     got = {r.record_id: (r.db_action, r.target_task_id) for r in made.collect()}
     assert got == {1: ("CREATE", None), 2: ("UPDATE_FIELDS", "T000001"), 3: ("UPDATE_STATUS", "T000002"), 4: ("SOFT_DELETE", "T000003")}
@@ -14,7 +16,7 @@ def test_four_actions(spark):
 
 
 def test_update_without_target_is_a_noop(spark):
-    tasks = spark.createDataFrame([(*t[:4], t[5]) for t in records.SEED_TASKS], "task_id string, title string, description string, assignee_raw string, status string")
+    tasks = spark.createDataFrame(TASKS, "task_id string, title string, description string, assignee_raw string, status string")
     rows = spark.createDataFrame([(1, 1, "这项工作继续推进", "task_update")], "record_id long, seq long, text string, task_category string")
     assert [r.db_action for r in service.to_commands(rows, tasks).collect()] == ["NOOP"]
 
