@@ -51,9 +51,9 @@ def settle(df: DataFrame, name: str, bin_: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-def final(df: DataFrame, name: str, bin_: list[str]) -> DataFrame:
-    """A result that is settled, after which the tables that led to it are removed; its own table stays, for the caller reads it."""
-    out = settle(df, name)
+def final(df: DataFrame, name: str, bin_: list[str], into: list[str] | None = None) -> DataFrame:
+    """A result that is settled, after which the tables that led to it are removed; its own stays for the caller, who may have its path put into ``into``."""
+    out = settle(df, name, into)
     discard(bin_)
     return out
 

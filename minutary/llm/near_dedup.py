@@ -276,7 +276,7 @@ def cross_links(members: list[dict], threshold: float) -> list[tuple[bytes, byte
     return out
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, nodes_too: bool = False) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, nodes_too: bool = False, into: list[str] | None = None) -> DataFrame:
     """doc_id, class_id (least doc_id of the class; null if none has one), class_size, n_copies (rows of equal text), kept.
 
     kept: the row stands for its class; repeated rows all do.
@@ -338,7 +338,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     members = linked.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(classes, ["root", "salt"])
     members = members.select(F.col("node").alias("_node"), F.col("r.doc_id").alias("class_id"), F.col("r.node").alias("_rep"), "class_size", F.col("n").alias("n_copies"))
     alone = nodes.join(roots.select("node"), "node", "left_anti").select(F.col("node").alias("_node"), F.col("doc_id").alias("class_id"), F.col("node").alias("_rep"), F.col("n").alias("class_size"), F.col("n").alias("n_copies"))
-    named = common.final(members.unionByName(alone), "classes", bin_)
+    named = common.final(members.unionByName(alone), "classes", bin_, into)
     out = keyed.select("doc_id", "_node").join(named, "_node")
     kept = (F.col("_node") == F.col("_rep")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return out.select("doc_id", "class_id", "class_size", "n_copies", kept.alias("kept"), *(["_node"] if nodes_too else []))
@@ -346,7 +346,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stand for their class, with their own columns; repeated rows once."""
-    keep = common.settle(near_classes(docs, nodes_too=True).filter("kept").groupBy("doc_id", "_node").agg(F.count("*").alias("n")), "kept")  # read by what is returned
+    bin_: list[str] = []
+    keep = common.final(near_classes(docs, nodes_too=True, into=bin_).filter("kept").groupBy("doc_id", "_node").agg(F.count("*").alias("n")), "kept", bin_)
     wide = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_i"), "text")
     wide = wide.withColumn("_n", F.unhex(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 32)))
     found = wide.join(keep.select("doc_id", "_node"), (F.col("_n") == F.col("_node")) & F.col("_i").eqNullSafe(F.col("doc_id")), "left_semi")
