@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
 
@@ -34,6 +34,15 @@ def guard_routes(rows: DataFrame, text: str = "text", lexicons: dict | None = No
     return rows.withColumns({"final_route": F.when(late, F.lit("HUMAN_REVIEW")).otherwise(F.col("_route")), "overrides": over, "final_safety": F.col("_f")}).drop("_a", "_r", "_t", "_s", "_f", "_rule", "_route")
 
 
+def batch_faults(rows: DataFrame, batch: str, path: str, fault: str = "fault", first: int = 5) -> DataFrame:
+    """batch, n_rows, n_faults and its first faults in the order of their path, as texts path: fault."""
+    counts = rows.groupBy(batch).agg(F.count("*").alias("n_rows"), F.count(fault).alias("n_faults"))
+    w = Window.partitionBy(batch).orderBy(path, fault)
+    best = rows.filter(F.col(fault).isNotNull()).select(batch, path, fault, F.row_number().over(w).alias("_n")).filter(F.col("_n") <= first)
+    said = best.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct("_n", F.concat_ws(": ", F.col(path).cast("string"), fault).alias("s")))).alias("_l"))  # at most ``first`` a batch
+    return counts.join(said, batch, "left").select(batch, "n_rows", "n_faults", F.coalesce(F.transform("_l", lambda x: x["s"]), F.array().cast("array<string>")).alias("first_faults"))
+
+
 def response_fault(raw: Column, segment_id: Column, text: Column) -> Column:
     """The first fault of a model response, or null: JSON, key order, segment, label, secondary label, evidence."""
     bare = T.without_fence(raw)

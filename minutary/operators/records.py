@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
+from ..sources import readers
 
 # The fields of a labelled record.
 LABELLED_FIELDS = tuple("segment_id subsegment_id speaker_id speaker_confidence start_ms end_ms text_raw asr_confidence nbest missing_fields task_category".split())
@@ -27,6 +28,16 @@ def labelled_record_fault(records: DataFrame) -> DataFrame:
     return out.withColumn("fault", fault).drop("_n")
 
 
+def labelled_records(raw: DataFrame) -> DataFrame:
+    """The eleven fields of raw(value, one JSON object each) and fault: keys that differ first, then the rules of ``labelled_record_fault``."""
+    lists, numbers = ("nbest", "missing_fields"), ("speaker_confidence", "start_ms", "end_ms", "asr_confidence")
+    schema = ", ".join(f"{f} {'array<string>' if f in lists else 'double' if f in numbers else 'string'}" for f in LABELLED_FIELDS)
+    keyed = readers.record_faults(raw, LABELLED_FIELDS).withColumn("_r", F.from_json("value", schema))
+    rows = keyed.select((F.size("missing") + F.size("extra") > 0).alias("_keys"), *(F.col(f"_r.{f}").alias(f) for f in LABELLED_FIELDS))
+    fault = F.when(F.col("_keys"), F.lit("keys_differ")).when(F.col("segment_id").isNull(), F.lit("segment_id_blank")).when(F.col("text_raw").isNull() & F.col("fault").isNull(), F.lit("text_blank")).otherwise(F.col("fault"))
+    return labelled_record_fault(rows).withColumn("fault", fault).drop("_keys")
+
+
 def upload_fault(n_bytes: Column, suffix: Column, date: Column, kind: Column, limit: int = 30 << 20, suffixes: tuple[str, ...] = ("txt", "json", "pdf", "docx")) -> Column:
     """Why an upload is refused, or null."""
     return (

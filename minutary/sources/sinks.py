@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import json
+import time
+import traceback
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def one_json(df: DataFrame, order: str, **fields) -> DataFrame:
@@ -23,6 +25,28 @@ def append(df: DataFrame, path: str, *partition: str) -> None:
     df.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def artefacts(df: DataFrame, path: str, outputs: dict[str, Column], mode: str = "errorifexists") -> None:
+    """Writes the rows that meet each output's condition as JSON under path/output=<name>, all in one pass and one commit.
+
+    A row may go to several outputs (results and review) or to none.
+    """
+    names = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in outputs.items())))
+    df.withColumn("output", F.explode(names)).write.mode(mode).partitionBy("output").option("ignoreNullFields", "false").json(path)
+
+
+def logged(spark: SparkSession, path: str, run_id: str, stage: str, work: Callable[[], object]) -> object:
+    """Runs one stage and appends a row (run_id, stage, status, seconds, error) to the log table; a failure is logged and raised again."""
+    began, error = time.monotonic(), None
+    try:
+        return work()
+    except Exception:
+        error = traceback.format_exc()
+        raise
+    finally:
+        row = (run_id, stage, "failed" if error else "done", time.monotonic() - began, error)
+        append(spark.createDataFrame([row], "run_id string, stage string, status string, seconds double, error string"), path)
+
+
 def training_archives(rows: DataFrame, parts: int = 1, schema_version: str = "training_export_v1") -> DataFrame:
     """Rows (archive, n_samples, content): a ZIP for each part with samples/<id>/evidence.txt, label.json, and manifest.json.
 

@@ -2,6 +2,10 @@ import io
 import json
 import zipfile
 
+import pytest
+from pyspark.sql import functions as F
+
+from minutary.operators import records
 from minutary.sources import readers, sinks
 
 
@@ -12,8 +16,42 @@ def test_documents_of_several_formats(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "c.docx", "w") as z:
         z.writestr("word/document.xml", body)
     (tmp_path / "d.xyz").write_text("?")
-    got = {r.suffix: r.text for r in readers.documents(spark, str(tmp_path)).collect()}
-    assert got == {"txt": "甲\n乙", "json": "x\ny", "docx": "一二\n三", "xyz": None}
+    got = {r.suffix: (r.text, r.error) for r in readers.documents(spark, str(tmp_path)).collect()}
+    assert got == {"txt": ("甲\n乙", None), "json": ("x\ny", None), "docx": ("一二\n三", None), "xyz": (None, "unsupported_suffix")}
+
+
+def test_files_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"no archive")
+    (tmp_path / "b.txt").write_bytes(b"\xff\xfe\x00x")
+    (tmp_path / "c.pdf").write_bytes(b"x")
+
+    def refuses(content):
+        raise ValueError("broken")
+
+    got = {r.suffix: (r.text, r.error) for r in readers.documents(spark, str(tmp_path), {"pdf": refuses}).collect()}
+    assert got["docx"][0] is None and got["docx"][1].startswith("BadZipFile") and got["txt"] == (None, "not_utf8") and got["pdf"] == (None, "ValueError: broken")
+    with pytest.raises(Exception, match="not_utf8|BadZipFile|broken"):
+        readers.documents(spark, str(tmp_path), {"pdf": refuses}, strict=True).collect()
+
+
+def test_labelled_records(spark, tmp_path):
+    good = dict.fromkeys(records.LABELLED_FIELDS) | {"segment_id": "s1", "subsegment_id": "001", "text_raw": "x", "task_category": "task", "nbest": ["x"], "start_ms": 5}
+    items = [good, good | {"subsegment_id": "2"}, {k: v for k, v in good.items() if k != "nbest"} | {"subsegment_id": "005"}, good | {"subsegment_id": "003", "text_raw": None}, good | {"subsegment_id": "004", "text_raw": "y"}, good | {"subsegment_id": "004", "text_raw": "z"}]
+    (tmp_path / "r.json").write_text(json.dumps(items))
+    rows = readers.json_items(spark, str(tmp_path / "r.json"))
+    assert sorted(str(r.fault) for r in records.labelled_records(rows).collect()) == sorted(["None", "subsegment_id_format", "keys_differ", "text_blank", "key_repeated", "key_repeated"])
+
+
+def test_artefacts_and_stage_log(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "id long, fault string")
+    sinks.artefacts(rows, str(tmp_path / "out"), {"results": F.col("id") > 0, "review": F.col("fault").isNotNull()})
+    got = sorted((r.output, r.id) for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert got == [("results", 1), ("results", 2), ("results", 3), ("review", 1), ("review", 3)]
+    log = str(tmp_path / "log")
+    assert sinks.logged(spark, log, "r", "read", lambda: 7) == 7
+    with pytest.raises(KeyError):
+        sinks.logged(spark, log, "r", "match", lambda: {}["x"])
+    assert sorted((r.stage, r.status, "KeyError" in (r.error or "")) for r in spark.read.parquet(log).collect()) == [("match", "failed", True), ("read", "done", False)]
 
 
 def test_record_contract(spark):
