@@ -26,3 +26,4 @@ CONTINUITY_CONFIDENCE = 0.85
 EXPORT_MIN_CHARS, EXPORT_NEIGHBOURS, CONTEXT_CHARS = 80, 2, 300
 HISTORY_ACTIONS = ("CREATE", "UPDATE_FIELDS", "UPDATE_STATUS", "HUMAN_CREATE")
 PATCH_FIELDS = ("title", "description", "work_items", "assignee_raw", "deadline_raw", "status")
+COMMAND_ACTIONS = ("CREATE", "UPDATE_FIELDS", "UPDATE_STATUS", "SOFT_DELETE", "NOOP")

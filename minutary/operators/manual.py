@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
+from . import commands
 
 FIELDS = ("title", "description", "assignee_raw", "deadline_raw", "department", "project", "priority", "status")
 
@@ -41,12 +42,70 @@ def update(tasks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select(*tasks.columns), counted.select("task_id", "seq", "db_action", "version")
 
 
-def approve(reviews: DataFrame) -> DataFrame:
-    """CREATE rows of approved reviews(candidate_id, candidate_json): the candidate itself or the one nested under ``candidate``."""
-    j = lambda f: T.nullable(F.coalesce(F.get_json_object("candidate_json", f"$.candidate.{f}"), F.get_json_object("candidate_json", f"$.{f}")))
-    out = reviews.select("candidate_id", *(j(f).alias(f) for f in ("title", "description", "department", "project", "evidence", "assignee", "deadline")))
-    out = out.withColumn("title", F.coalesce("title", F.left(F.col("evidence"), F.lit(40))))
-    return out.filter("evidence is not null").withColumns({"task_id": T.digest_id("T", 10, F.col("candidate_id")), "db_action": F.lit("CREATE")})
+def approve(reviews: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row for each of requests(candidate_id, seq, payload_json) on reviews(candidate_id, meeting_id, status, candidate_json).
+
+    A value of the payload goes before the candidate's; work items and metadata count as given where the payload has the field at all.
+    A request without fault makes the task (version 2 if metadata follow) and settles the review, so that later ones find it resolved.
+    A candidate may stand in candidate_json itself or under ``candidate`` there. Faults, the first that applies: not_found,
+    already_resolved, title_required, evidence_required, work_items_not_list, initial_status, or the command's own.
+    """
+    doc, said = F.col("_doc"), F.coalesce("payload_json", F.lit("{}"))
+    of = lambda d, f: F.get_json_object(d, f"$.{f}")
+    has = lambda f: F.coalesce(F.array_contains(F.json_object_keys(said), f), F.lit(False))
+    either = lambda *cs: F.coalesce(*(F.nullif(c, F.lit("")) for c in cs))
+    kind = lambda d: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(d), "$.work_items", "variant")), F.lit("VOID"))
+    metadata = ("department", "project", "priority")
+
+    rows = requests.select("candidate_id", "seq", "payload_json").join(reviews.select("candidate_id", "meeting_id", F.col("status").alias("_state"), F.coalesce(of("candidate_json", "candidate"), "candidate_json").alias("_doc")), "candidate_id", "left")
+    title = T.strip(either(of(said, "title"), of(doc, "title")))
+    rows = rows.withColumns({
+        "title": title,
+        "description": either(of(said, "description"), of(doc, "description"), title),
+        "work_items": F.from_json(F.when(has("work_items"), of(said, "work_items")).otherwise(F.coalesce(either(of(doc, "work_items")), F.lit("[]"))), "array<string>"),
+        "_list": F.when(has("work_items"), kind(said).startswith("ARRAY")).otherwise(either(of(doc, "work_items")).isNull() | kind(doc).startswith("ARRAY")),
+        "assignee_raw": either(of(said, "assignee_raw"), of(doc, "assignee")),
+        "deadline_raw": either(of(said, "deadline_raw"), of(doc, "deadline")),
+        "status": F.coalesce(either(of(said, "status"), of(doc, "initial_status")), F.lit("open")),
+        "evidence": T.strip(either(of(doc, "evidence"), of(doc, "source_text"))),
+        "reviewer_note": either(of(said, "reviewer_note")),
+    } | {f: F.when(has(f), of(said, f)).otherwise(of(doc, f)) for f in metadata})
+    # what the command check reads of a CREATE
+    rows = rows.withColumns({"db_action": F.lit("CREATE"), "source_text": F.col("evidence")} | {f: F.lit(None).cast("string") for f in ("target_task_id", "expected_version", "unique_target_id", "target_version")})
+    fault = (
+        F.when(F.col("_state").isNull(), F.lit("not_found"))
+        .when(F.col("_state") != "pending", F.lit("already_resolved"))
+        .when(F.col("title") == "", F.lit("title_required"))
+        .when(F.col("evidence") == "", F.lit("evidence_required"))
+        .when(~F.col("_list"), F.lit("work_items_not_list"))
+        .when(~F.col("status").isin("open", "in_progress"), F.lit("initial_status"))
+        .otherwise(commands.command_fault())
+    )
+    before = Window.partitionBy("candidate_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_fault", fault)
+    rows = rows.withColumn("fault", F.when(F.count_if(F.col("_fault").isNull()).over(before) > 0, F.lit("already_resolved")).otherwise(F.col("_fault")))
+    extra = F.coalesce(*metadata).isNotNull()
+    good = lambda c: F.when(F.col("fault").isNull(), c)
+    made = {
+        "task_id": T.digest_id("T", 10, F.col("candidate_id")),
+        "source_key": F.concat("meeting_id", F.lit(":review_"), "candidate_id", F.lit(":001")),
+        "version": F.when(extra, F.lit(2)).otherwise(F.lit(1)),
+        **{f: F.col(f) for f in ("title", "description", "work_items", "assignee_raw", "deadline_raw", "status", "evidence", "reviewer_note")},
+        **{f: T.nullable(F.col(f)) for f in metadata},
+    }
+    return rows.select("candidate_id", "seq", "fault", *(good(c).alias(f) for f, c in made.items()))
+
+
+def approval_events(decided: DataFrame) -> DataFrame:
+    """Event rows of ``approve``: CREATE, and HUMAN_UPDATE where metadata followed."""
+    return decided.filter("fault is null").select(F.explode(F.when(F.col("version") == 2, F.array(F.lit("CREATE"), F.lit("HUMAN_UPDATE"))).otherwise(F.array(F.lit("CREATE")))).alias("db_action"), "task_id", "source_key").withColumn("version", F.when(F.col("db_action") == "CREATE", 1).otherwise(2))
+
+
+def settled_reviews(reviews: DataFrame, decided: DataFrame) -> DataFrame:
+    """The queue after ``approve``: approved rows carry their task and note. At most one request of a review is without fault."""
+    won = decided.filter("fault is null").select("candidate_id", F.col("task_id").alias("_task"), F.col("reviewer_note").alias("_note"))
+    out = reviews.drop("task_id", "reviewer_note").join(won, "candidate_id", "left")
+    return out.withColumns({"status": F.when(F.col("_task").isNotNull(), F.lit("approved")).otherwise(F.col("status")), "task_id": F.col("_task"), "reviewer_note": F.col("_note")}).drop("_task", "_note")
 
 
 def replay_duplicates(groups: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types
 
-from ..functions import text as T
+from ..functions import constants as C, text as T
 
 RETRY_CODES = frozenset((408, 409, 429, 500, 502, 503, 504))
 
@@ -79,6 +79,29 @@ def segment_prompt(instruction: str) -> Column:
     )
 
 
+def repair_prompt(instruction: str, fault: Column, response: Column, request: Column) -> Column:
+    """Prompt that asks once more: what was wrong, what was answered, what had been asked."""
+    return F.concat_ws("\n", F.lit(instruction), tagged("fault", fault), tagged("response", response), tagged("request", request))
+
+
+def chunk_prompt(chunk: Column, tag: str = "chunk") -> Column:
+    """A chunk of a meeting's text between marks, as it is."""
+    return F.concat(F.lit(f"<{tag}>\n"), F.coalesce(chunk, F.lit("")), F.lit(f"\n</{tag}>"))
+
+
+def command_prompt(source_key: Column, source: Column, candidates: Column, unique_target: Column, mode: Column, actions: tuple[str, ...] = C.COMMAND_ACTIONS) -> Column:
+    """JSON of what a command is made from: the source (a struct), the matched tasks (an array), the clear target, and the shape wanted."""
+    patch = F.struct(*(F.lit(None).cast("string").alias(f) for f in C.PATCH_FIELDS))
+    shape = F.struct(F.lit("|".join(actions)).alias("db_action"), F.lit(None).cast("string").alias("target_task_id"), F.lit(None).cast("long").alias("expected_version"), patch.alias("task_patch"), source.alias("evidence"))
+    whole = F.struct(source_key.alias("source_key"), source.alias("source"), candidates.alias("task_candidates"), unique_target.alias("unique_target_task_id"), mode.alias("match_mode"), F.array(*map(F.lit, actions)).alias("allowed_actions"), F.array(shape).alias("required_commands"))
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def project_prompt(text: Column, source_name: Column, catalogue: Column) -> Column:
+    """JSON of a text, the project name that stands in it, and the catalogue (an array) that the name may belong to."""
+    return F.to_json(F.struct(text.alias("task_text"), source_name.alias("source_name"), catalogue.alias("project_catalog")), {"ignoreNullFields": "false"})
+
+
 def resolution(value: Column, project_id: Column, canonical: Column) -> Column:
     """existing, new or none from the spellings that models use; an unknown spelling falls back on the other fields."""
     # Spellings of each resolution.

@@ -60,11 +60,32 @@ def merge_ids(spark, sf_dir):
     return manual.merge_tasks(groups, done).select("group_id", "task_id", F.col("into").alias("into_task"), "db_action")
 
 
-@query("WITH r AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE '' END AS title, " + D.strip("text") + " AS ev FROM documents) SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, CASE WHEN title = '' THEN left(ev, 40) ELSE title END AS title, ev AS evidence FROM r WHERE ev <> ''")
+# every document is a review; three requests on it: nothing given, a title and a state, a title that comes late
+_REVIEWS = "WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS named, doc_id % 7 = 0 AS done, source, " + D.strip("text") + """ AS ev FROM documents),
+r AS (SELECT d.*, s.seq, CASE s.seq WHEN 1 THEN CASE WHEN named THEN 'x' ELSE '' END WHEN 2 THEN 'given' ELSE 'late' END AS title, CASE WHEN s.seq = 2 THEN CASE WHEN doc_id % 5 = 0 THEN 'completed' ELSE 'in_progress' END ELSE 'open' END AS status, CASE WHEN s.seq = 2 THEN 'P' END AS project FROM d, (VALUES (1), (2), (3)) s(seq)),
+f AS (SELECT *, CASE WHEN done THEN 'already_resolved' WHEN title = '' THEN 'title_required' WHEN ev = '' THEN 'evidence_required' WHEN status = 'completed' THEN 'initial_status' END AS own FROM r),
+q AS (SELECT *, CASE WHEN count(*) FILTER (WHERE own IS NULL) OVER (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 'already_resolved' ELSE own END AS fault FROM f)
+"""
+
+
+def _approvals(spark, sf_dir):
+    docs = D.read(spark, sf_dir, "documents")
+    key = F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id")
+    whole = F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("title"), F.col("text").alias("evidence"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("department"))
+    reviews = docs.select(key, F.lit("M").alias("meeting_id"), F.when(F.col("doc_id") % 7 == 0, F.lit("approved")).otherwise(F.lit("pending")).alias("status"), F.to_json(whole).alias("candidate_json"))
+    given = F.to_json(F.struct(F.lit("given").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("completed")).otherwise(F.lit("in_progress")).alias("status"), F.lit("P").alias("project")))
+    requests = docs.select(key, F.posexplode(F.array(F.lit("{}"), given, F.lit('{"title":"late"}'))).alias("seq", "payload_json")).withColumn("seq", F.col("seq") + 1)
+    return reviews, manual.approve(reviews, requests)
+
+
+@query(_REVIEWS + "SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, seq, fault, CASE WHEN fault IS NULL THEN title END AS title, CASE WHEN fault IS NULL THEN ev END AS evidence, CASE WHEN fault IS NULL THEN status END AS status, CASE WHEN fault IS NULL AND doc_id % 3 = 0 THEN source END AS department, CASE WHEN fault IS NULL THEN project END AS project, CASE WHEN fault IS NULL THEN CASE WHEN project IS NOT NULL OR doc_id % 3 = 0 AND source IS NOT NULL THEN 2 ELSE 1 END END AS version FROM q")
 def review_approve(spark, sf_dir):
-    rows = D.read(spark, sf_dir, "documents").select(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id"), F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("title"), F.col("text").alias("evidence")).alias("c"), "doc_id")
-    payload = F.when(F.col("doc_id") % 6 == 0, F.to_json(F.struct(F.col("c").alias("candidate")))).otherwise(F.to_json("c"))
-    return manual.approve(rows.withColumn("candidate_json", payload)).select("candidate_id", "title", "evidence")
+    return _approvals(spark, sf_dir)[1].select("candidate_id", "seq", "fault", "title", "evidence", "status", "department", "project", "version")
+
+
+@query(_REVIEWS + ", w AS (SELECT doc_id FROM q WHERE fault IS NULL) SELECT 'c' || CAST(doc_id AS VARCHAR) AS candidate_id, CASE WHEN done OR doc_id IN (FROM w) THEN 'approved' ELSE 'pending' END AS status, CASE WHEN doc_id IN (FROM w) THEN 'T' || left(sha256('c' || CAST(doc_id AS VARCHAR)), 10) END AS task_id FROM d")
+def review_settle(spark, sf_dir):
+    return manual.settled_reviews(*_approvals(spark, sf_dir)).select("candidate_id", "status", "task_id")
 
 
 @query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'existing' WHEN 1 THEN 'new' WHEN 2 THEN 'none' WHEN 3 THEN CASE WHEN p_partkey % 2 = 0 THEN 'existing' ELSE 'new' END WHEN 4 THEN 'existing' ELSE 'none' END AS resolution FROM part")

@@ -64,9 +64,33 @@ def test_manual_payloads(spark):
     assert (r.priority, r.status, r.source_meeting_id, r.version) == (None, "open", "MANUAL", 1)
 
 
-def test_nested_reviews_can_be_approved(spark):
-    rows = spark.createDataFrame([("a", '{"candidate":{"title":"T","evidence":"E"}}'), ("b", '{"title":"","evidence":"证据"}'), ("c", '{"title":"x"}')], "candidate_id string, candidate_json string")
-    assert {r.candidate_id: (r.title, r.evidence) for r in manual.approve(rows).collect()} == {"a": ("T", "E"), "b": ("证据", "证据")}
+def test_reviews_are_approved_once_and_only_with_title_and_evidence(spark):
+    full = '{"title":"","description":"d","work_items":["w"],"assignee":"a","deadline":"soon","evidence":" E ","department":"D","project":"P"}'
+    queue = [("full", full, "pending"), ("nested", '{"candidate":{"title":"T","evidence":"E"}}', "pending"), ("bare", '{"title":"x"}', "pending"), ("old", full, "rejected"), ("src", '{"title":"t","source_text":"S"}', "pending")]
+    reviews = spark.createDataFrame([(k, "M", s, j) for k, j, s in queue], "candidate_id string, meeting_id string, status string, candidate_json string")
+    asked = [("full", 1, None), ("full", 2, '{"title":" "}'), ("full", 3, '{"title":"t","status":"completed"}'), ("full", 4, '{"title":"t","work_items":null}'), ("full", 5, '{"title":"t","work_items":"[\\"w\\"]"}'), ("full", 6, '{"title":"t","assignee_raw":" "}'), ("full", 7, '{"title":" t ","project":null,"reviewer_note":"ok"}'), ("full", 8, '{"title":"u"}'), ("nested", 1, "{}"), ("bare", 1, "{}"), ("old", 1, '{"title":"t"}'), ("gone", 1, "{}"), ("src", 1, '{"status":"in_progress","work_items":["v","w"]}')]
+    decided = manual.approve(reviews, spark.createDataFrame(asked, "candidate_id string, seq int, payload_json string"))
+    got = {(r.candidate_id, r.seq): r for r in decided.collect()}
+    assert [got["full", k].fault for k in range(1, 9)] == ["title_required", "title_required", "initial_status", "work_items_not_list", "work_items_not_list", "blank_patch_field", None, "already_resolved"]
+    assert [got[k, 1].fault for k in ("nested", "bare", "old", "gone", "src")] == [None, "evidence_required", "already_resolved", "not_found", None]
+    r = got["full", 7]
+    assert (r.title, r.description, r.work_items, r.assignee_raw, r.deadline_raw, r.status, r.evidence, r.department, r.project, r.version, r.source_key) == ("t", "d", ["w"], "a", "soon", "open", "E", "D", None, 2, "M:review_full:001")
+    assert (got["src", 1].status, got["src", 1].work_items, got["src", 1].version, got["src", 1].description) == ("in_progress", ["v", "w"], 1, "t")
+    assert sorted(e.db_action for e in manual.approval_events(decided).collect()) == ["CREATE"] * 3 + ["HUMAN_UPDATE"]
+    left = {r.candidate_id: (r.status, r.task_id is not None, r.reviewer_note) for r in manual.settled_reviews(reviews, decided).collect()}
+    assert left == {"full": ("approved", True, "ok"), "nested": ("approved", True, None), "bare": ("pending", False, None), "old": ("rejected", False, None), "src": ("approved", True, None)}
+
+
+def test_prompts(spark):
+    import json
+
+    row = spark.createDataFrame([("s:1", "a<b", "bad")], "key string, text string, fault string")
+    source = F.struct(F.col("text").alias("text"))
+    r = row.select(models.repair_prompt("again", F.col("fault"), F.lit("{}"), F.col("text")).alias("repair"), models.chunk_prompt(F.col("text")).alias("chunk"), models.command_prompt(F.col("key"), source, F.array(source), F.lit(None).cast("string"), F.lit("none")).alias("command"), models.project_prompt(F.col("text"), F.lit(None).cast("string"), F.array(F.lit("P"))).alias("project")).first()
+    assert r.repair == "again\n<fault>bad</fault>\n<response>{}</response>\n<request>a&lt;b</request>" and r.chunk == "<chunk>\na<b\n</chunk>"
+    command = json.loads(r.command)
+    assert command["unique_target_task_id"] is None and command["task_candidates"] == [{"text": "a<b"}] and command["required_commands"][0]["task_patch"]["title"] is None
+    assert json.loads(r.project) == {"task_text": "a<b", "source_name": None, "project_catalog": ["P"]}
 
 
 def test_model_calls_are_repaired_and_retried(spark):
