@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import classify, documents, matching, projects
+from ..operators import classify, documents, matching, projects, responses
 from . import domain as D
 from .registry import query
 
@@ -85,6 +85,26 @@ def response_validate(spark, sf_dir):
     return rows.select("segment_id", F.coalesce(classify.response_fault(F.col("raw"), F.col("segment_id"), F.col("clean_text")), F.lit("ok")).alias("fault"))
 
 
+@query(
+    """WITH c AS (SELECT doc_id, doc_id % 6 AS m, text, CASE WHEN doc_id % 6 = 5 THEN 'evidence.0: no_clear_place' WHEN text IS NULL THEN 'evidence.0: missing_field' WHEN text = '' THEN 'evidence.0.end_char: not_allowed'
+  WHEN doc_id % 6 = 2 THEN 'route: not_allowed' WHEN doc_id % 6 = 3 THEN 'segment_mismatch' WHEN doc_id % 6 = 4 THEN 'label_code_mismatch' END AS fault FROM documents)
+SELECT doc_id, fault, CASE WHEN fault IS NULL THEN length(text) END AS end_char, CASE WHEN fault IS NULL THEN 'content' END AS field, CASE WHEN fault IS NULL THEN 'ambiguity_fields_normalized' || CASE WHEN m = 1 AND length(text) > 1 THEN ',evidence_offset_recovered:0' ELSE '' END END AS normalizations FROM c"""
+)
+def response_contract(spark, sf_dir):
+    m, text = F.col("doc_id") % 6, F.col("text")
+    lit = F.lit
+    piece = F.struct(F.when(m == 5, lit("\u0001none")).otherwise(text).alias("text"), lit(0).alias("start_char"), F.when(m == 5, lit(5)).when((m == 1) & (text != ""), lit(1)).otherwise(F.length(text)).alias("end_char"))
+    raw = F.to_json(
+        F.struct(
+            F.when(m == 4, lit("R")).otherwise(lit("T")).alias("label_code"), lit("v1").alias("schema_version"), F.when(m == 3, lit("odd")).otherwise(F.col("doc_id").cast("string")).alias("segment_id"),
+            lit("task").alias("primary_label"), F.array(lit("report")).alias("secondary_labels"), lit("NONE").alias("event_hint"), F.when(m == 2, lit("odd")).otherwise(lit("EXTRACT")).alias("route"),
+            F.struct(*(lit(False).alias(s) for s in responses.SIGNALS)).alias("signals"), F.array(piece).alias("evidence"), F.array(lit("which?")).alias("ambiguities"),
+        )
+    )
+    rows = D.read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("segment_id"), text.alias("clean_text"), raw.alias("raw"))
+    return responses.checked(rows).select("doc_id", "fault", F.get("evidence", F.lit(0))["end_char"].cast("long").alias("end_char"), F.get("ambiguities", F.lit(0))["field"].alias("field"), F.array_join("normalizations", ",").alias("normalizations"))
+
+
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '[a-z]{2,10}(?:tion|ment)', 0), '') AS project_name FROM documents")
 def infer_project(spark, sf_dir):
     return D.read(spark, sf_dir, "documents").select("doc_id", T.project_name(F.lit(None).cast("string"), F.col("text"), "[a-z]{2,10}(?:tion|ment)").alias("project_name"))
