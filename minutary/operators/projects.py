@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from . import models
 
 
 def catalogue(projects: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -26,6 +27,39 @@ def look_up(rows: DataFrame, owners: DataFrame, name: str = "source_name") -> Da
     return out.select(*rows.columns, F.col("owner").alias("canonical"), F.when(T.strip(F.col(name)) == "", F.lit("none")).when(F.col("owner").isNotNull(), F.lit("existing")).otherwise(F.lit("unknown")).alias("resolution"))
 
 
+def resolve(rows: DataFrame, projects: DataFrame, aliases: DataFrame, answers: DataFrame) -> DataFrame:
+    """Project of each row(record_id, ord, source_name): blank names have none, known names their owner, the rest what a model answered.
+
+    answers(record_id, resolution, project_id, canonical_name, confidence). An existing project must be there; a new one needs a name, and
+    reuses the project that has it. The first answer by ord that links a name makes it known: later rows of that name follow it with
+    confidence 1. Names known from the start need no answer. Faults: no_answer, unknown_project, canonical_name_required. A project made
+    here is known to later rows by the names linked to it, not by its own.
+    """
+    keys = projects.select("project_id", T.loose_key(F.col("canonical_name")).alias("key")).union(aliases.select("project_id", T.loose_key(F.col("alias_name")).alias("key")))
+    known = keys.filter("key <> ''").groupBy("key").agg(F.min("project_id").alias("_owner"))
+    names = projects.groupBy("project_id").agg(F.min("canonical_name").alias("_name"))
+    rows = rows.withColumn("_key", T.loose_key(F.col("source_name"))).join(known.withColumnRenamed("key", "_key"), "_key", "left")
+    said = answers.select("record_id", models.resolution(F.col("resolution"), F.col("project_id"), F.col("canonical_name")).alias("_said"), F.col("project_id").alias("_asked"), T.nullable(F.col("canonical_name")).alias("_new"), F.coalesce("confidence", F.lit(1.0)).alias("_sure"))
+    rows = rows.join(said, "record_id", "left").join(names.select(F.col("project_id").alias("_asked"), F.lit(True).alias("_there")), "_asked", "left")
+    rows = rows.withColumn("_new_key", T.loose_key(F.col("_new"))).join(known.select(F.col("key").alias("_new_key"), F.col("_owner").alias("_same")), "_new_key", "left")
+    miss = (T.strip(F.col("source_name")) != "") & F.col("_owner").isNull()
+    rows = rows.withColumn("_fault", F.when(miss, F.when(F.col("_said").isNull(), F.lit("no_answer")).when((F.col("_said") == "existing") & F.col("_there").isNull(), F.lit("unknown_project")).when((F.col("_said") == "new") & F.col("_new").isNull(), F.lit("canonical_name_required"))))
+    target = F.when(F.col("_said") == "existing", F.col("_asked")).when(F.col("_said") == "new", F.coalesce("_same", T.digest_id("P", 10, F.col("_new_key"))))
+    rows = rows.withColumn("_target", F.when(miss & F.col("_fault").isNull(), target))
+    first = rows.filter("_target is not null and _key <> ''").groupBy("_key").agg(F.min("ord").alias("_since"), F.min_by(F.struct("_target", "_new"), "ord").alias("_first"))
+    rows = rows.join(first, "_key", "left").withColumn("_late", F.coalesce(miss & (F.col("ord") > F.col("_since")), F.lit(False)))
+    project = F.coalesce("_owner", F.when(F.col("_late"), F.col("_first._target")).otherwise(F.col("_target")))
+    rows = rows.withColumns({
+        "project_id": F.when(T.strip(F.col("source_name")) != "", project),
+        "fault": F.when(~F.col("_late"), F.col("_fault")),
+        "resolution": F.when(F.col("_late") | (F.col("_owner").isNotNull() & (T.strip(F.col("source_name")) != "")), F.lit("existing")).when(~miss, F.lit("none")).when(F.col("_fault").isNull(), F.col("_said")),
+        "confidence": F.when(miss & ~F.col("_late") & F.col("_target").isNotNull(), F.col("_sure")).when(F.col("_late") | ~miss | F.col("_fault").isNull(), F.lit(1.0)),
+        "_made": F.when(F.col("_late"), F.col("_first._new")).otherwise(F.col("_new")),
+    })
+    rows = rows.drop("_name").join(names, "project_id", "left")
+    return rows.select("record_id", "ord", F.nullif(T.strip(F.col("source_name")), F.lit("")).alias("source_name"), "resolution", "project_id", F.when(F.col("project_id").isNotNull(), F.coalesce("_name", "_made")).alias("canonical_name"), "confidence", "fault")
+
+
 def grow(projects: DataFrame, aliases: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New projects, new aliases and conflicts from wanted (ord, canonical, alias).
 

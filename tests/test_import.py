@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from minutary.operators import importer, manual, matching, models
+from minutary.operators import importer, manual, matching, models, projects
 from minutary.sources.config import Settings, require_sections
 
 CAND = "candidate_id string, project_id string, meeting_id string, ord long, allow_continuity boolean, title string, description string, work_items array<string>, department string, assignee string"
@@ -81,6 +81,23 @@ def test_reviews_are_approved_once_and_only_with_title_and_evidence(spark):
     assert left == {"full": ("approved", True, "ok"), "nested": ("approved", True, None), "bare": ("pending", False, None), "old": ("rejected", False, None), "src": ("approved", True, None)}
 
 
+def test_project_names_go_to_the_model_only_once_they_are_linked(spark):
+    there = spark.createDataFrame([("P1", "Alpha"), ("P2", "Beta")], "project_id string, canonical_name string")
+    aliases = spark.createDataFrame([("P1", "al")], "project_id string, alias_name string")
+    rows = [(1, " "), (2, "AL"), (3, "bee"), (4, "bee"), (5, "bee"), (6, "gam"), (7, "gam"), (8, "bad"), (9, "unnamed"), (10, "silent"), (11, "b"), (12, None)]
+    said = [(3, "none", None, None, 0.3), (4, "matched", "P2", None, 0.7), (5, "new", None, "Other", 0.9), (6, "new", None, "Gamma", 0.8), (8, "existing", "P9", None, 1.0), (9, "new", None, " ", 1.0), (11, "create", None, "beta", None)]
+    out = projects.resolve(spark.createDataFrame([(k, k, n) for k, n in rows], "record_id long, ord long, source_name string"), there, aliases, spark.createDataFrame(said, "record_id long, resolution string, project_id string, canonical_name string, confidence double"))
+    got = {r.record_id: (r.resolution, r.project_id, r.canonical_name, r.confidence, r.fault) for r in out.collect()}
+    made = got[6][1]
+    none = ("none", None, None, 1.0, None)
+    assert made.startswith("P") and len(made) == 11
+    assert got == {
+        1: none, 2: ("existing", "P1", "Alpha", 1.0, None), 3: none, 4: ("existing", "P2", "Beta", 0.7, None), 5: ("existing", "P2", "Beta", 1.0, None),
+        6: ("new", made, "Gamma", 0.8, None), 7: ("existing", made, "Gamma", 1.0, None), 8: (None, None, None, None, "unknown_project"),
+        9: (None, None, None, None, "canonical_name_required"), 10: (None, None, None, None, "no_answer"), 11: ("new", "P2", "Beta", 1.0, None), 12: none,
+    }
+
+
 def test_prompts(spark):
     import json
 
