@@ -23,12 +23,17 @@ class Settings:
     model_key: str = field(default="", repr=False)
 
     @classmethod
-    def load(cls, values: Mapping[str, object] | None = None, env: Mapping[str, str] | None = None, prefix: str = "MINUTARY_") -> "Settings":
-        """Defaults, overlaid by values, overlaid by variables such as MINUTARY_UPLOAD_BYTES."""
-        env = os.environ if env is None else env
+    def load(cls, values: Mapping[str, object] | None = None, env: Mapping[str, str] | None = None, prefix: str = "MINUTARY_", inherited: Mapping[str, object] | None = None) -> "Settings":
+        """Defaults, overlaid by inherited values (another file's), by values, by variables such as MINUTARY_UPLOAD_BYTES.
+
+        A value such as ``model_key_env`` names another variable to take ``model_key`` from. Nulls and empty variables overlay nothing.
+        """
+        env, values, inherited = os.environ if env is None else env, values or {}, inherited or {}
         out = {}
         for f in fields(cls):
-            raw = env.get(prefix + f.name.upper(), (values or {}).get(f.name))
+            named = values.get(f.name + "_env")
+            found = (env.get(prefix + f.name.upper()) or None, env.get(str(named)) or None if named else None, values.get(f.name), inherited.get(f.name))
+            raw = next((x for x in found if x is not None), None)
             if raw is not None:
                 out[f.name] = _typed(raw, type(f.default))
         made = replace(cls(), **out)
@@ -37,6 +42,13 @@ class Settings:
                 raise ValueError(f"{name} must be positive")
         return made
 
+    def with_model(self) -> "Settings":
+        """These settings, or an error that names the model's missing fields (never their values)."""
+        missing = [n for n in ("model_key", "model_url", "model_name") if not getattr(self, n)]
+        if missing:
+            raise ValueError("missing settings: " + ", ".join(missing))
+        return self
+
 
 def _typed(raw: object, kind: type):
     if kind is bool:

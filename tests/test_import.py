@@ -132,6 +132,10 @@ def test_model_calls_are_repaired_and_retried(spark):
 def test_settings():
     s = Settings.load({"use_model": "yes", "chunk_size": "100"}, {"MINUTARY_MODEL_KEY": "secret", "MINUTARY_USE_MODEL": "off"})
     assert (s.use_model, s.chunk_size, s.model_key) == (False, 100, "secret") and "secret" not in repr(s)
+    s = Settings.load({"model_url": None, "model_name": "own", "model_key_env": "KEY"}, {"KEY": "k", "MINUTARY_MODEL_NAME": ""}, inherited={"model_url": "u", "model_name": "theirs", "model_key": "old"})
+    assert (s.model_url, s.model_name, s.model_key) == ("u", "own", "k") and s.with_model() is s
+    with pytest.raises(ValueError, match="missing settings: model_key, model_url$"):
+        Settings.load({"model_name": "m"}, {}).with_model()
     with pytest.raises(ValueError):
         Settings.load({"upload_bytes": 0}, {})
     with pytest.raises(ValueError):
