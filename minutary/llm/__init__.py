@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-scale operators used by the corpus pipeline.
+"""Training-data operators: ten over documents and pages, of which the corpus pipeline uses five, two over vectors and one over conversations.
 
 Nothing else in the package imports this one.
 """

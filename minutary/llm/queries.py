@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from . import common, decontaminate, hard_negatives, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
 
 
 def op1_stupid_backoff(spark, sf_dir):
@@ -45,9 +45,13 @@ def op10_block_labeller(spark, sf_dir):
     return html_main.extract(common.table(spark, sf_dir, "pages"))
 
 
+def op11_bit_sliced_negatives(spark, sf_dir):
+    return hard_negatives.mine(common.table(spark, sf_dir, "embeddings"), label=hard_negatives.shifted_label())
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql():
-    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL, "op9_quality_cascade": quality.ORACLE_SQL}
+    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL, "op9_quality_cascade": quality.ORACLE_SQL, "op11_bit_sliced_negatives": hard_negatives.ORACLE_SQL}
