@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, hard_negatives, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from . import common, decontaminate, hard_negatives, hnsw, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
 
 
 def op1_stupid_backoff(spark, sf_dir):
@@ -49,6 +49,10 @@ def op11_bit_sliced_negatives(spark, sf_dir):
     return hard_negatives.mine(common.table(spark, sf_dir, "embeddings"), label=hard_negatives.shifted_label())
 
 
+def op12_sharded_hnsw(spark, sf_dir):
+    return hnsw.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
 

@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from minutary.llm import hard_negatives
+from minutary.llm import hard_negatives, hnsw, segments
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string, vector string, node string"
 
@@ -86,3 +87,93 @@ def test_planes_drop_pairs_early_and_lose_none():
     row, col, score = hard_negatives.survivors(planes, 33, a, fits)
     assert sorted(zip(row, col)) == sorted(zip(*np.nonzero(full >= 40_000))) and (full[row, col] == score).all()
     assert len(asked) == n + 1 and asked[-1] < asked[0] / 5
+
+
+def cosines(there):
+    """{query: {id: cosine}} for ids divisible by 50, in double precision."""
+    out = {}
+    for q, (_, a) in there.items():
+        if q % 50 == 0:
+            out[q] = {i: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b))) for i, (_, b) in there.items() if i != q and len(a) == len(b)}
+    return out
+
+
+def test_nearest_neighbours(vectors, rows):
+    there = {i: (k, np.array(v)) for i, (k, v) in kept(rows, label=False).items() if any(v)}
+    out = hnsw.nearest(vectors)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"]
+    got = {}
+    for q, rank, i, score in sorted(map(tuple, out.collect())):
+        got.setdefault(q, []).append((i, score))
+        assert rank == len(got[q])
+    want = cosines(there)
+    assert got.keys() == {q for q in want if want[q]} and 600 in got and len(got[600]) == 2  # two others of its length
+    for q, found in got.items():
+        best = sorted(want[q].items(), key=lambda x: (-round(x[1], 12), x[0]))[:5]
+        assert [i for i, _ in found] == [i for i, _ in best]
+        assert np.allclose([s for _, s in found], [s for _, s in best], atol=1e-12, rtol=0)
+
+
+def test_nearest_neighbours_of_nothing(vectors):
+    assert hnsw.nearest(vectors.limit(0)).count() == 0
+    assert hnsw.nearest(vectors.filter("vec_id % 50 <> 0")).count() == 0
+    assert hnsw.nearest(vectors.filter("vec_id = 50")).count() == 0
+
+
+def recall(x, shards, width):
+    ids = np.arange(len(x))
+    table = pa.table({"vec_id": ids, "vector": list(x)})
+    graphs = [hnsw.pack_graph(table.filter(pa.array(ids % shards == s))) for s in range(shards)]
+    (b,) = hnsw.searcher(5, width)(hnsw.pack_queries(table.filter(pa.array(ids % 50 == 0))), iter(graphs))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    across = unit[::50] @ unit.T
+    across[np.arange(len(across)), ids[::50]] = -2
+    want = {(50 * q, int(i)) for q, row in enumerate(np.argsort(-across, axis=1)[:, :5]) for i in row}
+    return len(want & set(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))) / len(want)
+
+
+@pytest.mark.parametrize("kind", ["even", "groups", "crowd"])
+def test_recall(kind):
+    """Random vectors, groups of near copies, and one crowd of near copies that holds half of all."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(3000, 48))
+    if kind == "groups":
+        x = x[r.integers(0, 60, 3000)] + 0.2 * r.normal(size=x.shape)
+    if kind == "crowd":
+        x[::2] = x[0] + 0.05 * r.normal(size=(1500, 48))
+    assert recall(x, 2, hnsw.BEAM) >= 0.97
+
+
+def test_copies_give_the_smallest_ids():
+    x = np.tile(np.random.default_rng(2).normal(size=(1, 8)), (2000, 1))
+    table = pa.table({"vec_id": np.arange(2000)[::-1], "vector": list(x)})
+    graphs = [hnsw.pack_graph(table.filter(pa.array(np.arange(2000) % 3 == s))) for s in range(3)]
+    assert all(len(g["0.vectors"]) == 1 for g in graphs)
+    (b,) = hnsw.searcher(5, 64)(hnsw.pack_queries(table.slice(1949, 1)), iter(graphs))
+    assert b.column(1).to_pylist() == [0, 1, 2, 3, 4] and set(b.column(0).to_pylist()) == {50}
+
+
+def test_links_are_flat_bounded_and_name_nodes_of_their_layer():
+    x = np.random.default_rng(4).normal(size=(900, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    level = np.repeat([2, 1, 0], [5, 60, 835])
+    layers = hnsw.build(x, level)
+    assert [a.shape for a in layers] == [(900, hnsw.BASE_LINKS), (65, hnsw.LINKS), (5, hnsw.LINKS)]
+    for links in layers:
+        assert (links < len(links)).all() and (links != np.arange(len(links))[:, None]).all()
+        assert all(len(set(row[row >= 0])) == (row >= 0).sum() > 0 for row in links)
+
+
+def test_very_large_and_small_components():
+    table = pa.table({"vec_id": [0, 1, 2, 3], "vector": [[1e300, 1e300], [1e-300, 1e-300], [1.0, 0.0], [5e-324, 0.0]]})
+    (b,) = hnsw.searcher(5, 64)(hnsw.pack_queries(table.slice(0, 1)), iter([hnsw.pack_graph(table)]))
+    assert b.column(1).to_pylist() == [1, 2, 3] and np.allclose(b.column(2).to_numpy(), [1, 0.5**0.5, 0.5**0.5])
+
+
+def test_segments_hold_all_rows_in_bounded_files(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id").repartition(3)
+    names = segments.write(df, f"file://{tmp_path}/s", lambda t: {"id": t.column("id").to_numpy()}, 64)
+    parts = [segments.read(f"file://{tmp_path}/s", n)["id"] for n in names]
+    assert sorted(np.concatenate(parts)) == list(range(1000)) and max(map(len, parts)) == 64
+    out = segments.tiles(spark, (f"file://{tmp_path}/s", names[:3]), (f"file://{tmp_path}/s", names), lambda a, bs: (pa.RecordBatch.from_arrays([pa.array([len(a["id"]) * len(b["id"])])], ["n"]) for b in bs), "n long")
+    assert out.agg({"n": "sum"}).first()[0] == 1000 * sum(map(len, parts[:3]))
