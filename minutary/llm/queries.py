@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import common, decontaminate, hard_negatives, hnsw, html_main, lm_score, near_dedup, packing, quality, sharding, suffix_dedup, token_counts, token_files
+from . import common, decontaminate, hard_negatives, hnsw, html_main, lm_score, near_dedup, packing, prefix_trie, quality, sharding, suffix_dedup, token_counts, token_files
 
 
 def op1_stupid_backoff(spark, sf_dir):
@@ -53,9 +53,13 @@ def op12_sharded_hnsw(spark, sf_dir):
     return hnsw.nearest(common.table(spark, sf_dir, "embeddings"))
 
 
+def op13_lcp_mergesort_trie(spark, sf_dir):
+    return prefix_trie.trie(common.table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {n: f for n, f in globals().items() if n.startswith("op")}
 
 
 def oracle_sql():
-    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL, "op9_quality_cascade": quality.ORACLE_SQL, "op11_bit_sliced_negatives": hard_negatives.ORACLE_SQL}
+    return {"op1_stupid_backoff": lm_score.ORACLE_SQL, "op6_positional_index": decontaminate.ORACLE_SQL, "op9_quality_cascade": quality.ORACLE_SQL, "op11_bit_sliced_negatives": hard_negatives.ORACLE_SQL, "op13_lcp_mergesort_trie": prefix_trie.ORACLE_SQL}
