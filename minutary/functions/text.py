@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
-_WS = r"[\s\x1c-\x1f]"
+#: White space of Unicode and the four separators of ASCII.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # Patterns that results depend on.
 LOOSE_MARKS = r"""(?U)[\s，。；、：:（）()《》“”"'_-]+"""
@@ -20,7 +21,7 @@ TASK_ID = r"(?iU)\bT\d{6,}\b"
 
 def strip(x: Column) -> Column:
     """Without white space (Unicode) at either end; null becomes empty."""
-    return F.coalesce(F.regexp_replace(x, rf"(?U)^{_WS}+|{_WS}+\z", ""), F.lit(""))
+    return F.coalesce(F.btrim(x, F.lit(BLANKS)), F.lit(""))
 
 
 def nullable(x: Column) -> Column:

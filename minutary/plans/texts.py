@@ -173,7 +173,7 @@ def dice_pairs(spark, sf_dir):
 _A = (
     "WITH tx AS (SELECT conv_id * 1000 + turn AS text_id, CASE WHEN turn % 3 = 0 THEN (SELECT p_name FROM part WHERE p_partkey = conv_id % 50) ELSE left(text, 16) END AS text FROM conversations), ta AS (SELECT p_name AS task_id, p_name AS title, arg_min(p_type, p_partkey) AS description, arg_min(p_brand, p_partkey) AS assignee_raw FROM part GROUP BY p_name), tk AS (SELECT text_id, "
     + D.LOOSE.format("text") + " AS tk FROM tx), kk AS (SELECT task_id, " + D.LOOSE.format("title") + " AS ti, " + D.LOOSE.format("description") + " AS de, " + D.LOOSE.format("assignee_raw") + " AS asg FROM ta), tg AS (SELECT *, " + D.BIGRAMS.format("tk") + " AS g FROM tk), kg AS (SELECT *, " + D.BIGRAMS.format("ti") + " AS gi, " + D.BIGRAMS.format("de") + " AS gd FROM kk), p AS (SELECT text_id, task_id, ti <> '' AND contains(tk, ti) AS exact, greatest("
-    + D.DICE.format("g", "gi") + ", 0.85::DOUBLE * " + D.DICE.format("g", "gd") + ") AS base, asg <> '' AND contains(tk, asg) AS helped FROM tg CROSS JOIN kg), s AS (SELECT text_id, task_id, exact, CASE WHEN exact THEN 0.95::DOUBLE WHEN helped THEN least(1.0::DOUBLE, base + 0.08::DOUBLE) ELSE base END AS score FROM p WHERE base > 0), r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY text_id ORDER BY score DESC, task_id))\n"
+    + D.DICE.format("g", "gi") + ", 0.85::DOUBLE * " + D.DICE.format("g", "gd") + ") AS base, asg <> '' AND contains(tk, asg) AS helped FROM tg CROSS JOIN kg), s AS (SELECT text_id, task_id, exact, CASE WHEN exact THEN 0.95::DOUBLE WHEN helped THEN least(1.0::DOUBLE, base + 0.08::DOUBLE) ELSE base END AS score FROM p WHERE base > 0 OR exact OR helped), r AS (SELECT *, row_number() OVER w AS place, coalesce(lead(score) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY text_id ORDER BY score DESC, task_id))\n"
 )
 
 

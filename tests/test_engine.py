@@ -118,7 +118,7 @@ def test_project_matches_say_why(spark):
     side = "{0} string, project_id string, {1} string, title string, description string, work_items array<string>, department string, assignee string"
     cands = spark.createDataFrame([("c", "P", "M2", "检查主泵", "检查主泵并记录", ["检查主泵"], "机修组", "李")], side.format("candidate_id", "meeting_id"))
     tasks = spark.createDataFrame([("T1", "P", "M1", "检查主泵", "检查主泵", ["检查主泵"], "机修组", "王", 0, "open"), ("T2", "P", "M1", "别的事情", "", [], "", "", 0, "open")], side.format("task_id", "source_meeting_id") + ", is_deleted int, status string")
-    (r,) = matching.reviewed(matching.score_project(cands, tasks, reasons=True), tasks).collect()
+    (r,) = matching.reviewed(matching.with_reasons(matching.score_project(cands, tasks, k=5), cands, tasks), tasks).collect()
     first, second = r.candidates
     assert first.task_id == "T1" and first.match_reasons == ["title_similarity:1.000", "work_item_similarity:1.000", f"description_similarity:{2 * 3 / (6 + 3):.3f}", "same_project", "same_department", "different_assignee"]
     assert second.match_reasons == ["title_similarity:0.000", "work_item_similarity:0.000", "description_similarity:0.000", "same_project"]
