@@ -34,7 +34,7 @@ _ATTRS = r"(?:[\s/]++|[^\s/<>][^\s/<>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"(?=[\s/>])|'[
 #: Comments, elements whose content isn't shown, tags, declarations, and a tag that the end of the page cuts off.
 _TOKEN = re.compile(
     rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|template|textarea|title)(?=[\s/>]){_ATTRS}>.*?(?:</\1(?=[\s/>])[^>]*+>|\Z)"
-    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})>|<(?:[!?]|/(?![a-zA-Z]))[^<>]*+>|</?[a-zA-Z][a-zA-Z0-9]*(?:\s[^<>]*?=[^<>]*)?\Z",
+    rf"|<(/?)([a-zA-Z][^\s/<>]*+)({_ATTRS})>|<(?:[!?]|/(?![a-zA-Z]))[^<>]*+>|</?[a-zA-Z][a-zA-Z0-9]*+(?:\s(?=[^<>]*+\Z)[^<>=]*+=[^<>]*+)?\Z",
     re.S | re.I,
 )
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -67,13 +67,32 @@ def _tag_names(name: str, attrs: str, known: dict) -> tuple[tuple[int, ...], tup
     return known[key]
 
 
-def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
-    """(elements around it: number and buckets, text, characters inside links) of each leaf block with text, in page order."""
+class Place:
+    """An open element: the one around it, how deep it stands, the buckets of all names around (as bits) and of its own."""
+
+    __slots__ = ("name", "up", "depth", "around", "own", "holder")
+
+    def __init__(self, name: str, up: "Place | None", buckets: tuple[tuple[int, ...], tuple[int, ...]]):
+        self.name, self.up, self.depth = name, up, up.depth + 1 if up else 1
+        self.around, self.own = up.around if up else 0, buckets[1]
+        for b in buckets[0]:
+            self.around |= 1 << b
+        #: depth of the nearest element, this one included, that holds groups
+        self.holder = self.depth if name in _HOLDERS else up.holder if up else 0
+
+
+def blocks(html: str, known: dict) -> list[tuple[Place | None, str, int]]:
+    """(the element around it, text, characters inside links) of each leaf block with text, in page order.
+
+    Each element is opened and closed once, and an end is sought only among elements that are open, so that reading takes time
+    in proportion to the page however deep it is nested.
+    """
     out: list = []
-    stack: list[tuple[str, int, tuple]] = []
+    stack: list[Place] = []
+    open_: dict[str, list[int]] = {}  # depths of the open elements of each name
     piece: list[str] = []
-    linked, in_link, path = 0, False, ()
-    at = opened = 0
+    linked, in_link, path = 0, False, None
+    at = 0
 
     def close() -> None:
         nonlocal linked
@@ -91,18 +110,19 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
             if not piece:
                 if text.isspace():
                     return
-                path = tuple((k, x) for _, k, x in stack)
+                path = stack[-1] if stack else None
             piece.append(text)
             if in_link:
                 linked += len(text.strip())
 
+    def cut(depth: int) -> None:
+        while len(stack) >= depth:
+            open_[stack.pop().name].pop()
+
     def pop(names: frozenset) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                break
-            if stack[k][0] in _HOLDERS:
-                break
+        nearest = max(open_[n][-1] if open_.get(n) else 0 for n in names)
+        if stack and nearest > stack[-1].holder:
+            cut(nearest)
 
     for m in _TOKEN.finditer(html):
         add(html[at : m.start()])
@@ -124,18 +144,16 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
         if name in VOID:
             continue
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            if open_.get(name):
+                cut(open_[name][-1])
         else:
             if name in _GROUPS:
                 pop(_GROUPS[name])
-            elif name in BLOCK and stack and stack[-1][0] == "p":
-                stack.pop()  # an element of its own block ends a paragraph
+            elif name in BLOCK and stack and stack[-1].name == "p":
+                cut(len(stack))  # an element of its own block ends a paragraph
             if not m[4].endswith("/") or name in BLOCK:
-                opened += 1
-                stack.append((name, opened, _tag_names(name, m[4], known)))
+                stack.append(Place(name, stack[-1] if stack else None, _tag_names(name, m[4], known)))
+                open_.setdefault(name, []).append(len(stack))
     add(html[at:])
     close()
     return out
@@ -144,21 +162,20 @@ def blocks(html: str, known: dict) -> list[tuple[tuple, str, int]]:
 _MARK = re.compile(r"[.,;:!?。，،]")
 
 
-def features(found: list[tuple[tuple, str, int]], known: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
+def features(found: list[tuple[Place | None, str, int]], known: dict, start: int = 0, stop: int | None = None) -> np.ndarray:
     """One row for each block from start to stop: hashed names around it, hashed words, measures of the text and its place."""
     stop = len(found) if stop is None else min(stop, len(found))
     x = np.zeros((stop - start, DIM), np.float32)
     word_of = known.setdefault("words", {})
     if len(word_of) > 200_000:
         word_of.clear()
-    before: tuple = found[start - 1][0] if start else ()
+    before = found[start - 1][0] if start else None
     for i, row in enumerate(x, start):
         path, text, linked = found[i]
-        for _, (names, _) in path:
-            for b in names:
-                row[b] = 1.0
-        for weight, (_, (_, names)) in zip((1.0, 0.5), path[:-3:-1]):
-            for b in names:
+        if path:
+            row[:ANCESTORS] = np.unpackbits(np.frombuffer(path.around.to_bytes(ANCESTORS // 8, "little"), np.uint8), bitorder="little")
+        for weight, place in ((1.0, path), (0.5, path and path.up)):
+            for b in place.own if place else ():
                 row[ANCESTORS + b] += weight
         words = text.lower().split()
         try:
@@ -170,19 +187,23 @@ def features(found: list[tuple[tuple, str, int]], known: dict, start: int = 0, s
             at = [word_of[w] for w in words]
         counts = np.bincount(at, minlength=WORD_DIM)
         row[ANCESTORS + LEAF : ANCESTORS + LEAF + WORD_DIM] = counts / max(1.0, float(np.sqrt((counts * counts).sum())))
-        shared = 0
-        while shared < min(len(path), len(before)) and path[shared][0] == before[shared][0]:
-            shared += 1
-        n = len(text)
+        x1, x2 = path, before
+        while x1 is not x2:  # up from the deeper one; every step is an element opened or closed since the block before
+            if x2 is None or x1 is not None and x1.depth >= x2.depth:
+                x1 = x1.up
+            else:
+                x2 = x2.up
+        depth, shared, n = path.depth if path else 0, x1.depth if x1 else 0, len(text)
+        gone = (before.depth if before else 0) - shared
         row[-EXTRA:] = (
             np.log1p(n) / 6, linked / n, min(1.0, 10 * len(_MARK.findall(text)) / n), min(1.0, len(words) / 40), "\N{COPYRIGHT SIGN}" in text, n > 80 and linked < n / 2, text[-1] in ".!?。؟",
-            sum(map(str.isdigit, text[:200])) / min(n, 200), len(words) == 1, len(path) / 10, (len(path) - shared) / 5, (len(before) - shared) / 5, i < 3, i >= len(found) - 3,
+            sum(map(str.isdigit, text[:200])) / min(n, 200), len(words) == 1, depth / 10, (depth - shared) / 5, gone / 5, i < 3, i >= len(found) - 3,
         )
         before = path
     return x
 
 
-def gates(found: list[tuple[tuple, str, int]], known: dict, w: dict) -> np.ndarray:
+def gates(found: list[tuple[Place | None, str, int]], known: dict, w: dict) -> np.ndarray:
     """What a page's blocks give to the gates of both directions; some blocks at a time."""
     both = np.concatenate((w["xf"], w["xr"]), axis=1)
     parts = [features(found, known, k, k + 4096) @ both for k in range(0, len(found), 4096)]

@@ -2,6 +2,7 @@
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pages_by_hand import MARK, PAGES
 
@@ -110,6 +111,31 @@ def test_reading_stays_linear():
         began = time.perf_counter()
         html_main.blocks(piece * 40_000, {})
         assert time.perf_counter() - began < 20, piece
+    deep = "<x-a>" * 40_000
+    for page in ("<div>x" * 40_000, "<a " + "a= " * 40_000, "<a " + "a= " * 40_000 + "<b", deep + "</y>x" * 40_000, "<option>x<select>" + deep + "<option>x</option>" * 40_000, "<div>x" * 20_000 + "</div>y" * 20_000):
+        began = time.perf_counter()
+        known = {}
+        found = html_main.blocks(page, known)
+        html_main.gates(found, known, html_main.load_weights())
+        assert time.perf_counter() - began < 15, page[:60]
+
+
+def test_labels_are_those_of_a_plain_lstm():
+    """The network computed again, one block, gate and direction at a time."""
+    w, known = html_main.load_weights(), {}
+    found = html_main.blocks("<nav><a href=/>Home</a></nav><article><h1>Head</h1>" + "".join(f"<p>Sentence {k} of the story, which goes on.</p>" for k in range(9)) + "</article><div class=ad>Buy</div><footer>(c)</footer>", known)
+    x, n = html_main.features(found, known), html_main.HIDDEN
+    total = np.full(len(x), float(np.ravel(w["o"])[0]))
+    for side, order in (("f", range(len(x))), ("r", range(len(x) - 1, -1, -1))):
+        h, c = np.zeros(n), np.zeros(n)
+        for t in order:
+            z = x[t] @ w[f"x{side}"] + w[f"b{side}"] + h @ w[f"h{side}"]
+            i, f, o = (1 / (1 + np.exp(-z[k * n : (k + 1) * n])) for k in range(3))
+            c = f * c + i * np.tanh(z[3 * n :])
+            h = o * np.tanh(c)
+            total[t] += float(np.ravel(h @ w[f"o{side}"])[0])
+    (got,) = html_main.label([html_main.gates(found, known, w)], w)
+    assert list(got) == list(total > 0) and 0 < got.sum() < len(got)
 
 
 def test_extraction(spark):
