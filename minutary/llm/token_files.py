@@ -85,7 +85,8 @@ def key_hashes(keys: pa.Array, salt: int) -> np.ndarray:
     """64 bits for each key: whole numbers stand for themselves, all else is hashed as text."""
     if pa.types.is_integer(keys.type) and not salt:
         return keys.cast(pa.int64()).to_numpy(zero_copy_only=False).view(np.uint64)
-    return np.array([xxhash.xxh3_64_intdigest(str(k), salt) for k in keys.to_pylist()], np.uint64)
+    plain = (lambda k: str(k + 0.0)) if pa.types.is_floating(keys.type) else str  # equal keys have one text: 0.0 and -0.0 do
+    return np.array([xxhash.xxh3_64_intdigest(plain(k), salt) for k in keys.to_pylist()], np.uint64)
 
 
 def _to_bytes(keys: pa.Array) -> np.ndarray:
@@ -138,11 +139,16 @@ def _index(keys: pa.Array, starts: list[int]) -> bytes:
     first = np.ones(len(known), bool)
     if len(known):
         first[1:] = pc.not_equal(known.slice(1), known.slice(0, len(known) - 1)).to_numpy(zero_copy_only=False)
+        if pa.types.is_floating(known.type):  # NaN is one key
+            nan = pc.is_nan(known).to_numpy(zero_copy_only=False)
+            first[1:] &= ~(nan[1:] & nan[:-1])
     records = np.flatnonzero(first)
     for salt in range(64):  # until no two keys of the shard have one hash
         hashes = key_hashes(known.take(pa.array(records)), salt)
         if len(np.unique(hashes)) == len(hashes):
             break
+    else:
+        raise ValueError("keys that differ but hash alike whatever the salt: sort keys so that equal ones stand together")
     table = PerfectHash.build(hashes)
     at = table(hashes)
     prints, numbers = np.zeros(len(hashes), np.uint32), np.zeros(len(hashes), np.int64)
