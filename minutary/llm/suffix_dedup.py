@@ -18,8 +18,8 @@
 4. Marked bytes of each text are removed. Texts that occur twice or more and have ``length``
    bytes are removed whole; only one copy of them takes part in steps 1 to 3.
 
-Texts and anchors are told apart by 64-bit hashes in steps 1 and 2 (two of 10^9 texts share one with a
-probability of 3 %: then one of the two is not searched), windows of wide anchors by 128 bits.
+Texts have numbers of 60 bits of their SHA-256; texts that share one are found and numbered anew, so that none is left out.
+Anchors are 64-bit hashes (a clash only makes more candidates), windows of wide anchors have 128 bits.
 
 Null text is empty; null ids are kept. Rows with equal texts, repeated rows among them, count as documents that
 repeat each other. Extra columns are ignored (kept by ``strip_documents``); an empty table
@@ -337,7 +337,24 @@ def _wide_spans(texts: DataFrame, bin_: list[str], length: int) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds _text, _sha (SHA-256 of the text, hexadecimal) and _own (64 bits of it)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumn("_text", text).withColumn("_sha", F.sha2(text, 256)).withColumn("_own", F.xxhash64(text))
+    return docs.withColumn("_text", text).withColumn("_sha", F.sha2(text, 256)).withColumn("_own", number(F.col("_sha")))
+
+
+def number(sha):
+    """64 bits of a digest; texts that share them are told apart by ``apart``."""
+    return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
+
+
+def apart(rows: DataFrame, kinds: DataFrame, bin_: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows and kinds, in which different texts of one number (a few pairs in 10^10 texts) have numbers of their own: other 60 bits, negative."""
+    twins = kinds.join(kinds.groupBy("own").agg(F.count("*").alias("k")).filter("k > 1").select("own"), "own", "left_semi").select("sha")
+    twins = common.settle(twins, "twins", bin_)
+    if not twins.limit(1).count():
+        return rows, kinds
+    mark, other = common.small(twins.withColumn("_twin", F.lit(True))), -1 - F.conv(F.substring(F.col("sha"), 40, 15), 16, 10).cast("long")
+    kinds = kinds.join(mark, "sha", "left").withColumn("own", F.when(F.col("_twin"), other).otherwise(F.col("own"))).drop("_twin")
+    rows = rows.withColumn("sha", F.col("_sha")).join(mark, "sha", "left").withColumn("_own", F.when(F.col("_twin"), other).otherwise(F.col("_own"))).drop("_twin", "sha")
+    return rows, kinds
 
 
 def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
@@ -345,6 +362,7 @@ def repeated_spans(docs: DataFrame, bin_: list[str], length: int = LENGTH, gram:
     spark = docs.sparkSession
     rows = keyed(docs.select("doc_id", "text"))
     kinds = common.settle(rows.groupBy(F.col("_sha").alias("sha")).agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.first("_own").alias("own"), F.first(F.octet_length("_text")).alias("n_bytes")), "texts", bin_)
+    rows, kinds = apart(rows, kinds, bin_)
     found = rows.select("_own", "_text").filter(F.octet_length("_text") >= length).mapInArrow(lambda x: _anchor_rows(x, length, gram), "anchor long, own long, a long, b long, many long")
     dealt = found.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor", "own", "a")
     hits = common.settle(dealt.mapInArrow(_shared, "lead long, anchor long, own long, a long, b long"), "hits", bin_)

@@ -226,6 +226,24 @@ def test_repeated_passages(docs, empty, sample, monkeypatch, block):
     assert suffix_dedup.removals(empty).count() == 0
 
 
+def test_texts_that_share_a_number_are_all_searched(docs, sample, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(suffix_dedup, "number", lambda sha: F.ascii(sha).cast("long"))  # sixteen numbers for all texts
+    assert got(suffix_dedup.removals(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(covered(sample, 200))
+
+
+@pytest.mark.parametrize("keys", [[1.0, math.nan, math.nan], [-0.0, 0.0, 2.5], [None, None, math.nan, math.nan, math.nan], [math.inf, math.nan]])
+def test_index_of_float_keys_ends(keys):
+    archive = token_files._index(pa.array(keys, pa.float64()), list(range(len(keys) + 1)))
+    assert len(archive) > 0
+
+
+def test_keys_out_of_order_are_an_error():
+    with pytest.raises(ValueError, match="hash alike"):
+        token_files._index(pa.array(["a", "b", "a"]), [0, 1, 2, 3])
+
+
 def test_an_anchor_of_many_texts_is_not_one_index(spark, monkeypatch):
     import random
 
