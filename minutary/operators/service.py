@@ -42,23 +42,25 @@ def to_commands(records: DataFrame, tasks: DataFrame, decisions: bool = False, c
     return rows.withColumns(client()) if fault is None else corrected(rows, client, fault, retry)
 
 
-def to_events(made: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Event rows of the commands, folded task by task on top of the tasks that are there."""
-    # a task that is there already is its own first event, before any command
-    there = tasks.select((-F.row_number().over(_by_id())).cast("long").alias("seq"), "task_id", F.concat(F.lit("seed:"), "task_id").alias("event_key"), F.lit("CREATE").alias("db_action"), F.lit(None).cast("long").alias("expected_version"), "title", "status")
+def to_events(made: DataFrame, tasks: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """Event rows of the commands on top of the stored tasks, with all their fields and versions.
+
+    made: what ``to_commands`` gives; commands that name a version, patch fields or a source key of their own keep them. Each updates
+    the version that its task has at its turn unless it expects another one.
+    """
+    own = set(made.columns)
+    given = lambda c, other: F.col(c) if c in own else other
+    nothing = F.lit(None)
+    key = F.concat_ws(":", F.col("record_id").cast("string"), F.lit("1"))
     new = made.select(
         F.col("seq").cast("long").alias("seq"),
         F.coalesce("target_task_id", T.digest_id("T", 10, F.col("record_id").cast("string"))).alias("task_id"),
-        F.concat_ws(":", F.col("record_id").cast("string"), F.lit("1")).alias("event_key"),
+        key.alias("event_key"),
         "db_action",
-        F.lit(None).cast("long").alias("expected_version"),
-        F.when(F.col("db_action").isin("CREATE", "UPDATE_FIELDS"), T.truncated(F.col("text"), 60)).alias("title"),
+        given("expected_version", nothing.cast("long")).alias("expected_version"),
+        given("title", F.when(F.col("db_action").isin("CREATE", "UPDATE_FIELDS"), T.truncated(F.col("text"), 60))).alias("title"),
+        *(given(f, nothing).alias(f) for f in ("description", "work_items", "assignee_raw", "deadline_raw")),
         "status",
+        F.when(F.col("db_action") == "CREATE", given("source_key", key)).alias("source_key"),
     )
-    return store.apply_commands(there.unionByName(new)).filter("seq >= 0")
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("task_id").orderBy("task_id")
+    return store.apply_commands(new, tasks, log)

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
+from ..sources.scratch import final, settle
+from . import claims
 
 MUTATIONS = ("CREATE", "UPDATE_FIELDS", "UPDATE_STATUS", "SOFT_DELETE")
 
@@ -40,24 +42,22 @@ _OUT = [f.split(" ")[0] for f in RESULT.split(", ")]
 
 
 def _apply(batches):
-    """Folds commands in order of task and seq; only the state of the task at hand is held, however many commands it has."""
+    """Folds commands in order of task and seq on top of the stored task, if any; only the state of the task at hand is held, however many commands it has."""
     task = state = None
     for b in batches:
-        cols = [b.column(c).to_pylist() for c in ("seq", "task_id", "event_key", "db_action", "expected_version", "again", "taken", "status", *FIELDS)]
+        cols = [b.column(c).to_pylist() for c in ("seq", "task_id", "event_key", "db_action", "expected_version", "verdict", "version", "is_deleted", "status", *FIELDS)]
         out: list[list] = [[] for _ in _OUT]
-        for seq, task_id, key, action, expected, again, taken, status, *fields in zip(*cols):
+        for seq, task_id, key, action, expected, verdict, version, deleted, status, *fields in zip(*cols):
             if task_id != task:
                 task, state = task_id, None  # version, status, is_deleted, fields
-            before, why, done = state[0] if state else 0, None, "applied"
-            if again:
-                done = "duplicate"
-            elif action == "NOOP" or action == "CREATE" and taken:
-                done = "noop"
+            if version is not None:  # what is stored
+                state = (version, status, deleted, fields)
+                continue
+            before, why, done = state[0] if state else 0, None, verdict or "applied"
+            if verdict:
+                pass
             elif action == "CREATE":
-                if state:
-                    done = "duplicate"
-                else:
-                    state = (1, status or "open", 0, fields)
+                state = (1, status or "open", 0, fields)
             elif state is None:
                 why = "task_not_found"
             elif state[2]:
@@ -79,28 +79,48 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(_OUT, out)], _OUT)
 
 
-def apply_commands(commands: DataFrame) -> DataFrame:
+def _filled(rows: DataFrame, **kinds: str) -> DataFrame:
+    """rows with null columns of these names and kinds where they lack them."""
+    return rows.withColumns({c: (F.col(c) if c in rows.columns else F.lit(None)).cast(k) for c, k in kinds.items()})
+
+
+def apply_commands(commands: DataFrame, tasks: DataFrame | None = None, log: DataFrame | None = None) -> DataFrame:
     """Event rows of commands(seq, task_id, event_key, db_action, expected_version, status and any of FIELDS and source_key).
 
-    A task's commands depend on each other through its version, so they are folded in order, in a stream over rows sorted by
-    task. What a fold needs not decide is decided before it: a repeated event_key of a task is a duplicate, and a CREATE whose
-    source_key an earlier CREATE of another task has named is a noop. Fields that a patch leaves null stay as they are.
+    tasks: what is stored (task_id, version, status, is_deleted, any of FIELDS and source_key); log: events that are there
+    (event_key). An event_key counts once in the whole store: later commands of any task are duplicates, whatever came of the
+    first. A CREATE whose source_key a stored task has, or one that was created before it, is a noop; one whose task is there
+    already is a duplicate. A refused CREATE claims neither, so creations are settled first, round by round (``claims``).
+    All else depends on the task alone: its commands are folded in order, in a stream over rows sorted by task, through
+    versions. Fields that a patch leaves null stay as they are.
     """
-    null = lambda kind: F.lit(None).cast(kind)
-    have = set(commands.columns)
-    rows = commands.select(
-        F.col("seq").cast("long").alias("seq"), "task_id", "event_key", "db_action", F.col("expected_version").cast("long").alias("expected_version"), "status",
-        *((F.col(f) if f in have else null(k)).alias(f) for f, k in _KINDS.items()), (F.col("source_key") if "source_key" in have else null("string")).alias("source_key"),
+    bin_: list[str] = []
+    kinds = _KINDS | {"source_key": "string"}
+    rows = _filled(commands, **kinds).select(F.col("seq").cast("long").alias("seq"), "task_id", "event_key", "db_action", F.col("expected_version").cast("long").alias("expected_version"), "status", *kinds)
+    rows = split_new(log if log is not None else rows.select("event_key").limit(0), rows)
+    stored = None if tasks is None else _filled(tasks, **kinds, version="long", is_deleted="int", status="string").select("task_id", F.coalesce("version", F.lit(1)).alias("version"), "status", F.coalesce("is_deleted", F.lit(0)).alias("is_deleted"), *kinds)
+    rows = settle(rows, "commands", bin_)
+    made = rows.filter("db_action = 'CREATE' and not duplicate").select("seq", "task_id", "source_key")
+    if stored is not None:
+        free = made.join(stored.select("task_id"), "task_id", "left_anti")
+        made = free.join(stored.filter("source_key is not null").select("source_key"), "source_key", "left_anti")
+    won = settle(claims.winners(made, ["task_id", "source_key"], "seq", bin_), "created", bin_)
+    taken = won.filter("source_key is not null").select("source_key", F.col("seq").alias("_since"))
+    if stored is not None:
+        taken = taken.unionByName(stored.filter("source_key is not null").select("source_key", F.lit(-(1 << 62)).alias("_since")))
+    taken = taken.groupBy("source_key").agg(F.min("_since").alias("_since"))
+    rows = rows.join(won.select("seq", F.lit(True).alias("_won")), "seq", "left").join(taken, "source_key", "left")
+    create = F.col("db_action") == "CREATE"
+    verdict = (
+        F.when(F.col("duplicate"), F.lit("duplicate")).when(F.col("db_action") == "NOOP", F.lit("noop"))
+        .when(create & F.col("_won").isNull(), F.when(F.col("_since") < F.col("seq"), F.lit("noop")).otherwise(F.lit("duplicate")))
     )
-    if "source_key" in have:
-        made = (F.col("db_action") == "CREATE") & F.col("source_key").isNotNull()
-        owner = rows.filter(made).groupBy("source_key").agg(F.min(F.struct("seq", "task_id")).alias("_o"))
-        rows = rows.join(owner, "source_key", "left").withColumn("taken", F.coalesce(made & (F.col("_o.seq") < F.col("seq")) & (F.col("_o.task_id") != F.col("task_id")), F.lit(False)))
-    else:
-        rows = rows.withColumn("taken", F.lit(False))
-    rows = rows.drop("_o", "source_key").repartition("task_id")
-    again = F.row_number().over(Window.partitionBy("task_id", "event_key").orderBy("seq")) > 1
-    return rows.withColumn("again", again).sortWithinPartitions("task_id", "seq").mapInArrow(_apply, RESULT)
+    rows = rows.select("seq", "task_id", "event_key", "db_action", "expected_version", verdict.alias("verdict"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("int").alias("is_deleted"), "status", *_KINDS)
+    if stored is not None:
+        asked = rows.select("task_id").distinct()
+        rows = rows.unionByName(stored.join(asked, "task_id", "left_semi").select(*(F.lit(None).cast(t).alias(c) for c, t in (("seq", "long"), ("event_key", "string"), ("db_action", "string"), ("expected_version", "long"), ("verdict", "string"))), "task_id", "version", "is_deleted", "status", *_KINDS))
+    ordered = rows.repartition("task_id").sortWithinPartitions("task_id", F.col("version").isNull(), "seq")
+    return final(ordered.mapInArrow(_apply, RESULT), "events", bin_)
 
 
 def history(events: DataFrame, runs: DataFrame) -> DataFrame:

@@ -35,48 +35,95 @@ def task_snapshot(spark, sf_dir):
     return store.snapshot(D.task_log(spark, sf_dir))
 
 
-_APPLY = """WITH RECURSIVE""" + D.TASK_LOG + """,
-c AS (SELECT *, CASE WHEN db_action = 'CREATE' THEN 's' || CAST(seq % 400 AS VARCHAR) END AS source_key FROM task_log),
-ow AS (SELECT source_key, min(seq) AS first, arg_min(task_id, seq) AS owner FROM c WHERE source_key IS NOT NULL GROUP BY source_key),
-e AS (SELECT seq, task_id, event_key, db_action, CASE WHEN db_action <> 'CREATE' AND seq % 5 = 0 THEN seq % 9 END AS expected,
-  CASE WHEN seq % 6 > 0 THEN title END AS title, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 4 = 0 THEN 'about ' || CAST(seq % 89 AS VARCHAR) END AS description,
-  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 7 = 0 THEN ['w' || CAST(seq % 5 AS VARCHAR), 'v'] END AS work_items, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 8 = 0 THEN 'a' || CAST(seq % 11 AS VARCHAR) END AS assignee_raw,
-  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND seq % 9 = 0 THEN 'd' || CAST(seq % 13 AS VARCHAR) END AS deadline_raw, status,
-  row_number() OVER (PARTITION BY task_id ORDER BY seq) AS r, row_number() OVER (PARTITION BY event_key ORDER BY seq) AS k, coalesce(first < seq AND owner <> task_id, false) AS taken FROM c LEFT JOIN ow USING (source_key)),
+#: Commands of all tasks, some with an event key that tasks share and source keys that clash; stored tasks; keys that are logged already.
+_COMMANDS = D.TASK_LOG + """,
+st AS (SELECT 'T' || CAST(c_custkey AS VARCHAR) AS task_id, CAST(c_custkey % 4 + 1 AS BIGINT) AS version, CASE c_custkey % 2 WHEN 0 THEN 'open' ELSE 'in_progress' END AS status, CASE WHEN c_custkey % 35 = 0 THEN 1 ELSE 0 END AS is_deleted,
+  c_name AS title, 'held ' || CAST(c_custkey AS VARCHAR) AS description, CASE WHEN c_custkey % 2 = 0 THEN [c_name] END AS work_items, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS assignee_raw, CAST(NULL AS VARCHAR) AS deadline_raw,
+  CASE WHEN c_custkey % 3 = 0 THEN 's' || CAST(c_custkey % 400 AS VARCHAR) END AS source_key FROM customer WHERE c_custkey % 5 = 0),
+c AS (SELECT * REPLACE (CASE WHEN seq % 10 = 0 THEN 'shared:' || CAST(seq % 170 AS VARCHAR) ELSE event_key END AS event_key), CASE WHEN db_action = 'CREATE' AND seq % 11 > 0 THEN 's' || CAST(seq % 400 AS VARCHAR) END AS source_key FROM task_log),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_key ORDER BY seq) > 1 OR event_key = 'shared:0' AS dup FROM c)"""
+#: Rounds of claims: rows that are first for task and source key win, rows that lose a key go.
+_WON = """,
+w(round, seq, task_id, source_key) AS (
+  SELECT 0, seq, task_id, source_key FROM k WHERE db_action = 'CREATE' AND NOT dup AND task_id NOT IN (SELECT task_id FROM st) AND (source_key IS NULL OR source_key NOT IN (SELECT source_key FROM st WHERE source_key IS NOT NULL))
+  UNION ALL
+  SELECT round + 1, seq, task_id, source_key FROM (SELECT *, bool_or(ready) OVER (PARTITION BY task_id) AS t, bool_or(ready) OVER (PARTITION BY coalesce(source_key, 'none ' || seq)) AS s FROM
+    (SELECT *, seq = min(seq) OVER (PARTITION BY task_id) AND seq = min(seq) OVER (PARTITION BY coalesce(source_key, 'none ' || seq)) AS ready FROM w)) WHERE NOT t AND NOT s),
+won AS (SELECT seq, task_id, source_key FROM (SELECT *, seq = min(seq) OVER (PARTITION BY round, task_id) AND seq = min(seq) OVER (PARTITION BY round, coalesce(source_key, 'none ' || seq)) AS ready FROM w) WHERE ready),
+tk AS (SELECT source_key, min(seq) AS since FROM (SELECT source_key, seq FROM won UNION ALL SELECT source_key, -1 FROM st) WHERE source_key IS NOT NULL GROUP BY 1)"""
+_APPLY = "WITH RECURSIVE" + _COMMANDS + _WON + """,
+e AS (SELECT k.seq, k.task_id, k.event_key, db_action, CASE WHEN db_action <> 'CREATE' AND k.seq % 5 = 0 THEN k.seq % 9 END AS expected,
+  CASE WHEN k.seq % 6 > 0 THEN title END AS title, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND k.seq % 4 = 0 THEN 'about ' || CAST(k.seq % 89 AS VARCHAR) END AS description,
+  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND k.seq % 7 = 0 THEN ['w' || CAST(k.seq % 5 AS VARCHAR), 'v'] END AS work_items, CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND k.seq % 8 = 0 THEN 'a' || CAST(k.seq % 11 AS VARCHAR) END AS assignee_raw,
+  CASE WHEN db_action IN ('CREATE','UPDATE_FIELDS') AND k.seq % 9 = 0 THEN 'd' || CAST(k.seq % 13 AS VARCHAR) END AS deadline_raw, status, row_number() OVER (PARTITION BY k.task_id ORDER BY k.seq) AS r,
+  CASE WHEN dup THEN 'duplicate' WHEN db_action = 'NOOP' THEN 'noop' WHEN db_action = 'CREATE' AND won.seq IS NULL THEN CASE WHEN since < k.seq THEN 'noop' ELSE 'duplicate' END END AS verdict
+  FROM k LEFT JOIN won ON won.seq = k.seq LEFT JOIN tk ON tk.source_key = k.source_key),
 f(task_id, r, seq, db_action, st, v0, v, title, description, work_items, assignee_raw, deadline_raw, status, del, made) AS (
-  SELECT task_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), 0, false FROM (SELECT DISTINCT task_id FROM e)
+  SELECT t.task_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), coalesce(st.version, 0), st.title, st.description, st.work_items, st.assignee_raw, st.deadline_raw, st.status, coalesce(st.is_deleted, 0), st.task_id IS NOT NULL
+    FROM (SELECT DISTINCT task_id FROM e) t LEFT JOIN st ON st.task_id = t.task_id
   UNION ALL
-  SELECT x.task_id, x.r, x.seq, x.db_action, x.st, x.v, CASE WHEN x.st = 'applied' THEN x.v + 1 ELSE x.v END,
+  SELECT x.task_id, x.r, x.seq, x.db_action, x.st, x.v, CASE WHEN x.st = 'applied' THEN CASE WHEN x.db_action = 'CREATE' THEN 1 ELSE x.v + 1 END ELSE x.v END,
     CASE WHEN x.patch THEN coalesce(x.nt, x.ot) ELSE x.ot END, CASE WHEN x.patch THEN coalesce(x.nd, x.od) ELSE x.od END, CASE WHEN x.patch THEN coalesce(x.nw, x.ow) ELSE x.ow END, CASE WHEN x.patch THEN coalesce(x.na, x.oa) ELSE x.oa END, CASE WHEN x.patch THEN coalesce(x.nl, x.ol) ELSE x.ol END,
     CASE WHEN x.st = 'applied' THEN CASE x.db_action WHEN 'CREATE' THEN coalesce(x.ns, 'open') WHEN 'SOFT_DELETE' THEN 'cancelled' WHEN 'UPDATE_STATUS' THEN x.ns ELSE x.os END ELSE x.os END,
     CASE WHEN x.st = 'applied' AND x.db_action = 'SOFT_DELETE' THEN 1 ELSE x.del END, x.made OR (x.st = 'applied' AND x.db_action = 'CREATE')
   FROM (SELECT y.*, y.st = 'applied' AND y.db_action IN ('CREATE','UPDATE_FIELDS') AS patch FROM (SELECT e.task_id, e.r, e.seq, e.db_action, f.v, f.title AS ot, f.description AS od, f.work_items AS ow, f.assignee_raw AS oa, f.deadline_raw AS ol, f.status AS os, f.del, f.made,
       e.title AS nt, e.description AS nd, e.work_items AS nw, e.assignee_raw AS na, e.deadline_raw AS nl, e.status AS ns,
-      CASE WHEN e.k > 1 THEN 'duplicate' WHEN e.db_action = 'NOOP' OR e.taken THEN 'noop' WHEN e.db_action = 'CREATE' THEN CASE WHEN f.made THEN 'duplicate' ELSE 'applied' END
+      CASE WHEN verdict IS NOT NULL THEN verdict WHEN e.db_action = 'CREATE' THEN 'applied'
         WHEN NOT f.made OR f.del = 1 OR (e.expected IS NOT NULL AND e.expected <> f.v) THEN 'failed' WHEN e.db_action = 'SOFT_DELETE' OR (e.db_action = 'UPDATE_STATUS' AND e.status IS NOT NULL)
         OR (e.db_action = 'UPDATE_FIELDS' AND (e.title IS NOT NULL OR e.description IS NOT NULL OR e.work_items IS NOT NULL OR e.assignee_raw IS NOT NULL OR e.deadline_raw IS NOT NULL)) THEN 'applied' ELSE 'failed' END AS st
     FROM f JOIN e ON e.task_id = f.task_id AND e.r = f.r + 1) y) x)
 SELECT seq, task_id, db_action, st AS execution_status, v0 AS version_before, v AS version_after, title, description, array_to_string(work_items, '/') AS work_items, assignee_raw, deadline_raw, status, del AS is_deleted FROM f WHERE r > 0"""
 
 
+def _stored(spark, sf_dir):
+    return D.read(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").selectExpr(
+        "concat('T', cast(c_custkey as string)) as task_id", "cast(c_custkey % 4 + 1 as long) as version", "case c_custkey % 2 when 0 then 'open' else 'in_progress' end as status",
+        "case when c_custkey % 35 = 0 then 1 else 0 end as is_deleted", "c_name as title", "concat('held ', cast(c_custkey as string)) as description", "case when c_custkey % 2 = 0 then array(c_name) end as work_items",
+        "case when c_custkey % 3 = 0 then c_mktsegment end as assignee_raw", "case when c_custkey % 3 = 0 then concat('s', cast(c_custkey % 400 as string)) end as source_key",
+    )
+
+
 @query(_APPLY)
 def apply_log(spark, sf_dir):
+    """Commands on top of stored tasks: one key for the whole store, claims of created tasks only, versions, five patch fields."""
     patch = "case when db_action in ('CREATE', 'UPDATE_FIELDS') and seq % {0} = 0 then {1} end"
     rows = D.task_log(spark, sf_dir).withColumns(
         {
+            "event_key": F.expr("case when seq % 10 = 0 then concat('shared:', cast(seq % 170 as string)) else event_key end"),
             "expected_version": F.expr("case when db_action <> 'CREATE' and seq % 5 = 0 then seq % 9 end"),
             "title": F.expr("case when seq % 6 > 0 then title end"),
             "description": F.expr(patch.format(4, "concat('about ', cast(seq % 89 as string))")),
             "work_items": F.expr(patch.format(7, "array(concat('w', cast(seq % 5 as string)), 'v')")),
             "assignee_raw": F.expr(patch.format(8, "concat('a', cast(seq % 11 as string))")),
             "deadline_raw": F.expr(patch.format(9, "concat('d', cast(seq % 13 as string))")),
-            "source_key": F.expr("case when db_action = 'CREATE' then concat('s', cast(seq % 400 as string)) end"),
+            "source_key": F.expr("case when db_action = 'CREATE' and seq % 11 > 0 then concat('s', cast(seq % 400 as string)) end"),
         }
     )
-    out = store.apply_commands(rows)
+    out = store.apply_commands(rows, _stored(spark, sf_dir), rows.filter("event_key = 'shared:0'").select("event_key"))
     return out.select("seq", "task_id", "db_action", "execution_status", "version_before", "version_after", "title", "description", F.array_join("work_items", "/").alias("work_items"), "assignee_raw", "deadline_raw", "status", "is_deleted")
 
 
+_SERVICE = """WITH r AS (SELECT l_orderkey AS k, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_extendedprice) AS seq, l_linenumber AS n, l_returnflag AS text FROM lineitem),
+o AS (SELECT o_orderkey AS k, CAST(o_custkey % 5 + 1 AS BIGINT) AS v0, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS del0, o_orderpriority AS title0, 'about ' || CAST(o_orderkey AS VARCHAR) AS description, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'open' ELSE 'in_progress' END AS status0 FROM orders),
+x AS (SELECT r.*, v0, title0, description, status0, CASE WHEN n = 4 THEN 'SOFT_DELETE' WHEN n = 1 THEN 'UPDATE_FIELDS' WHEN n = 2 THEN 'UPDATE_STATUS' ELSE 'NOOP' END AS db_action,
+  o.k IS NOT NULL AND del0 = 0 AND NOT coalesce(bool_or(n = 4) OVER (PARTITION BY r.k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS live FROM r LEFT JOIN o ON o.k = r.k),
+y AS (SELECT *, live AND db_action <> 'NOOP' AS done FROM x)
+SELECT seq, 'T' || CAST(k AS VARCHAR) AS task_id, db_action, CASE WHEN db_action = 'NOOP' THEN 'noop' WHEN done THEN 'applied' ELSE 'failed' END AS execution_status, coalesce(v0, 0) + count(*) FILTER (WHERE done) OVER w AS version_after,
+  coalesce(last_value(CASE WHEN done AND n = 1 THEN text END IGNORE NULLS) OVER w, title0) AS title, description, CASE WHEN bool_or(done AND n = 4) OVER w THEN 'cancelled' ELSE coalesce(last_value(CASE WHEN done AND n = 2 THEN 'blocked' END IGNORE NULLS) OVER w, status0) END AS status FROM y WINDOW w AS (PARTITION BY k ORDER BY seq)"""
+
+
+@query(_SERVICE)
+def service_events(spark, sf_dir):
+    """Commands of a service on top of stored tasks: fields that a command leaves stay, versions go on from what is stored."""
+    from ..operators import service
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    records = D.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", (F.col("l_orderkey") * 1000 + F.row_number().over(order)).alias("seq"))
+    made = records.selectExpr("seq as record_id", "seq", "l_returnflag as text", "concat('T', cast(l_orderkey as string)) as target_task_id", "case l_linenumber when 4 then 'SOFT_DELETE' when 1 then 'UPDATE_FIELDS' when 2 then 'UPDATE_STATUS' else 'NOOP' end as db_action", "case when l_linenumber = 2 then 'blocked' end as status")
+    tasks = D.read(spark, sf_dir, "orders").selectExpr("concat('T', cast(o_orderkey as string)) as task_id", "cast(o_custkey % 5 + 1 as long) as version", "case when o_orderkey % 10 = 0 then 1 else 0 end as is_deleted", "o_orderpriority as title", "concat('about ', cast(o_orderkey as string)) as description", "case o_orderstatus when 'F' then 'completed' when 'O' then 'open' else 'in_progress' end as status")
+    return service.to_events(made, tasks).select("seq", "task_id", "db_action", "execution_status", "version_after", "title", "description", "status")
+
+
 @query("WITH" + D.RUNS + " SELECT meeting_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS started_at FROM runs GROUP BY meeting_id")
 def latest_run(spark, sf_dir):
     return projects.latest(D.runs(spark, sf_dir), "meeting_id", "started_at").select("meeting_id", "run_id", "started_at")
