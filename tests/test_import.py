@@ -1,9 +1,13 @@
 """Imports, manual edits, approvals, migrations and model edges."""
 
+import hashlib
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from minutary.operators import importer, manual, matching, models, projects
+from minutary.operators import importer, manual, models, projects
 from minutary.sources.config import Settings, require_sections
 
 CAND = "candidate_id string, project_id string, meeting_id string, ord long, allow_continuity boolean, title string, description string, work_items array<string>, department string, assignee string"
@@ -39,12 +43,120 @@ def test_ambiguous_and_continuity(spark):
     assert run(spark, [cand(0, "完全不同", "M", cont=True)], [task(1, "哈拉沟项目网络改造")])["c0"][1] == "project_continuity_requires_review"
 
 
-def test_fold_and_relational_scores_agree(spark):
-    cands = spark.createDataFrame([cand(k, t, "M", desc=d, work=w, who=a) for k, (t, d, w, a) in enumerate([("ERP系统选型", "部门：信息部", ["甲乙", "丙"], "张三"), ("abc def", "Long text", [], ""), ("一", "", ["一二三"], "李四")])], CAND)
-    tasks = spark.createDataFrame([("T1", "P", "OLD", 1, 0, "open", "ERP系统选型与招标", "部门：信息部\n项目", ["甲乙丙"], "信息部", "张三"), ("T2", "P", "OLD", 1, 0, "open", "abc", "text", ["x"], "财务部", "王五")], TASK)
-    got = {(r.candidate_id, r.task_id): r.score for r in matching.score_project(cands, tasks).collect()}
-    view = {r["candidate_id"] if "candidate_id" in r else r["task_id"]: importer._view(r) for df in (cands, tasks) for r in (x.asDict() for x in df.collect())}
-    assert got and all(abs(importer.similarity(view[c], view[t]) - s) < 1e-12 for (c, t), s in got.items())
+KEY = re.compile(r"[\W_]+")
+
+
+def grams(x):
+    k = KEY.sub("", x or "").lower()
+    return {k[i : i + 2] for i in range(max(1, len(k) - 1))} if k else set()
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+
+
+def likeness(c, t):
+    work = [max((dice(grams(x), grams(y)) for y in t["work"]), default=0.0) for x in c["work"]]
+    s = 0.55 * dice(grams(c["title"]), grams(t["title"])) + 0.35 * (sum(work) / len(work) if work and t["work"] else 0.0) + 0.10 * dice(grams(c["desc"]), grams(t["desc"]))
+    for f, gain, loss in (("dept", 0.08, 0.03), ("who", 0.10, 0.05)):
+        x, y = (KEY.sub("", v[f] or "").lower() for v in (c, t))
+        s += 0.0 if not x or not y else gain if x == y else -loss
+    return max(0.0, min(1.0, s))
+
+
+def one_after_another(cands, tasks):
+    """{candidate: (decision, reason, action, task, version)}: a plain loop over candidates and all tasks."""
+    mapped = {"待执行": "open", "进行中": "in_progress", "已完成": "completed", "已延期": "blocked"}
+    names = ("id", "project", "meeting", "version", "del", "status", "title", "desc", "work", "dept", "who")
+    there = {t[0]: dict(zip(names, t)) for t in tasks if not t[4]}
+    out = {}
+    for i, project, meeting, _, cont, title, desc, work, dept, who, status, about in sorted(cands, key=lambda c: c[3]):
+        c = dict(title=title, desc=desc, work=work, dept=dept, who=who)
+        new = dict(project=project, meeting=meeting, version=1, status=mapped.get(status, "open"), title=title, desc=about, work=work, dept=dept, who=who)
+        if not project:
+            out[i] = ("CREATE", "no_project", "CREATE", "N" + i, 1)
+            continue
+        seen = {k: t for k, t in there.items() if t["project"] == project and t["status"] not in ("completed", "cancelled") and (meeting is None or t["meeting"] != meeting)}
+        found = sorted((-likeness(c, t), k) for k, t in seen.items())
+        top, second = -found[0][0] if found else None, -found[1][0] if len(found) > 1 else 0.0
+        if not found:
+            said = "CREATE", "no_project_tasks"
+        elif cont and len(found) == 1:
+            said = ("UPDATE", "unique_project_continuity") if top >= 0.25 else ("REVIEW", "project_continuity_requires_review")
+        elif top >= 0.55 and top - second >= 0.10:
+            said = "UPDATE", "unique_project_task"
+        else:
+            said = ("REVIEW", "ambiguous_project_task") if top >= 0.42 else ("CREATE", "distinct_project_task")
+        if said[0] == "CREATE":
+            there["N" + i] = new
+            out[i] = (*said, "CREATE", "N" + i, 1)
+        elif said[0] == "REVIEW":
+            out[i] = (*said, "NOOP", None, None)
+        else:
+            t = there[found[0][1]]
+            t["version"] += 1
+            if t["status"] != new["status"]:
+                t["status"], action = new["status"], "UPDATE_STATUS"
+            else:
+                t.update({k: new[k] for k in ("title", "desc", "work", "dept")}, who=who or t["who"])
+                action = "UPDATE_FIELDS"
+            out[i] = (*said, action, found[0][1], t["version"])
+    return out
+
+
+def compare(spark, cands, tasks):
+    rows = importer.import_batch(spark.createDataFrame(cands, CAND + ", status string, task_description string").repartition(3), spark.createDataFrame(tasks, TASK))
+    got = {r.candidate_id: (r.decision, r.reason, r.db_action, r.task_id, r.version) for r in rows.collect()}
+    want = one_after_another(cands, tasks)
+    assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {} and len(got) == len(want)
+    return want
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_import_equals_one_candidate_after_another(spark, seed):
+    r = random.Random(seed)
+    heads = ["ERP系统选型", "数据中心施工", "Pump check", "智能分选测试", "安全检查", "平台研发"]
+    say = lambda: r.choice(heads) + r.choice(["", "", "工作", "准备", "推进 2", "二期"])
+    cands = []
+    for k in range(150):
+        title, desc = say(), say() + say()
+        cands.append((f"c{k:03d}", r.choice(["P", "P", "P", "Q", "R", "", None]), r.choice(["M1", "M2", "M3", None]), k, False, title, desc, [say() for _ in range(r.randint(0, 2))], r.choice(["A", "B", ""]), r.choice(["x", "y", "", ""]), r.choice(["待执行", "待执行", "进行中", "已完成"]), "部门：A\n" + desc))
+    tasks = [(f"T{k}", r.choice(["P", "Q", "S"]), r.choice(["M1", "M0", None]), r.randint(1, 5), int(k % 7 == 0), r.choice(["open", "in_progress", "completed"]), say(), say(), [say()], r.choice(["A", "B"]), r.choice(["x", ""])) for k in range(12)]
+    want = compare(spark, cands, tasks)
+    assert {v[0] for v in want.values()} == {"CREATE", "UPDATE", "REVIEW"} and {"UPDATE_STATUS", "UPDATE_FIELDS"} <= {v[2] for v in want.values()} and {"no_project_tasks", "distinct_project_task"} <= {v[1] for v in want.values()}
+
+
+def test_import_with_tasks_that_end_and_continuity(spark):
+    c = lambda i, project, meeting, title, cont=False, status="待执行": (f"c{i}", project, meeting, i, cont, title, title, [title], "A", "", status, title)
+    cands = [c(1, "P", "M1", "水泵检修"), c(2, "P", "M2", "水泵检修", status="已完成"), c(3, "P", "M3", "水泵检修"), c(4, "Q", "M1", "完全不同的事情", True), c(5, "R", "M9", "哈拉沟项目系统升级", True), c(6, "S", "M1", "独自一个", True)]
+    tasks = [("T1", "Q", "M0", 3, 0, "open", "abc", "", [], "A", ""), ("T2", "R", "M0", 1, 0, "open", "哈拉沟项目网络改造", "", [], "A", ""), ("T3", "R", "M9", 1, 0, "open", "哈拉沟项目系统升级", "", [], "A", "")]
+    want = compare(spark, cands, tasks)
+    assert [want[f"c{i}"][1] for i in range(1, 7)] == ["no_project_tasks", "unique_project_task", "no_project_tasks", "project_continuity_requires_review", "unique_project_continuity", "no_project_tasks"]
+    assert compare(spark, cands[:1], []) and compare(spark, cands[:1], tasks)
+
+
+def test_a_crowd_of_copies_makes_one_pair(spark, monkeypatch):
+    """Copies of one text in three meetings: pairs stand between texts, not rows."""
+    made = {}
+    real = importer.settle
+
+    def counted(df, name, bin_):
+        out = real(df, name, bin_)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(importer, "settle", counted)
+    cands = [(f"c{k:03d}", "P", f"M{k // 60}", k, False, "水泵检修", "水泵检修", ["水泵"], "A", "", "待执行", "水泵检修") for k in range(180)]
+    compare(spark, cands, [])
+    assert made["pairs"] == 1 and made["folded"] == 180
+
+
+def test_report_and_reviews(spark):
+    done = importer.import_batch(spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND), spark.createDataFrame([(f"T{k}", "P", "OLD", 1, 0, "open", "平台建设方案编制", "", [], "信息部", "") for k in (1, 2)], TASK))
+    cands = spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND)
+    assert importer.report(done, cands).first().asDict() == {"meeting_id": "M", "extract_count": 2, "created": 1, "field_updates": 0, "status_updates": 0, "review_count": 1, "linked_count": 0}
+    (r,) = importer.reviews(done, cands, "RUN").collect()
+    assert r.candidate_id == "M8" + hashlib.sha256(b"RUN\0c0").hexdigest()[:16].upper() and r.status == "pending"
 
 
 def test_manual_edits(spark):
