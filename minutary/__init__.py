@@ -1 +1 @@
-"""Meeting-record analytics on Spark: documents to task candidates, commands, and an audited task history."""
+"""Session-record analytics on Spark: documents to task candidates, commands, and an audited task history."""

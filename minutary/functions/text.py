@@ -180,7 +180,7 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")
 
 
-def local_meeting_id(path: Column) -> Column:
+def local_session_id(path: Column) -> Column:
     """LOCAL_ and the stem with everything but letters and digits as _, at most 40 characters of it."""
     return F.concat(F.lit("LOCAL_"), F.left(F.regexp_replace(file_stem(path), r"[^\p{L}\p{N}]", "_"), F.lit(40)))
 

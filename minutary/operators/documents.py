@@ -43,13 +43,13 @@ def chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVE
 
 
 def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("file",)) -> DataFrame:
-    """Adds prev_context and next_context: the neighbouring segment's last or first characters, if it is of the same meeting.
+    """Adds prev_context and next_context: the neighbouring segment's last or first characters, if it is of the same session.
 
-    ``by`` names the file, within which the neighbour is that in order; a neighbour of another meeting gives no context, and is
+    ``by`` names the file, within which the neighbour is that in order; a neighbour of another session gives no context, and is
     not skipped.
     """
     w = Window.partitionBy(*by).orderBy("ord")
-    title = F.col("meeting_title")
+    title = F.col("session_title")
     prev, after = F.lag("clean_text").over(w), F.lead("clean_text").over(w)
     same = lambda x: F.coalesce(x == title, F.lit(False))
     return segments.withColumns(

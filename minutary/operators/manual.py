@@ -21,7 +21,7 @@ def payload_fault(creating: bool = True) -> Column:
 def create(payloads: DataFrame) -> DataFrame:
     """HUMAN_CREATE rows of payloads without a fault; blanks become null, the state defaults to open."""
     good = payloads.filter(payload_fault().isNull())
-    return good.withColumns({f: T.nullable(F.col(f)) for f in FIELDS if f != "status"} | {"status": F.coalesce("status", F.lit("open")), "db_action": F.lit("HUMAN_CREATE"), "source_meeting_id": F.coalesce(T.nullable(F.col("source_meeting_id")), F.lit("MANUAL")), "version": F.lit(1)})
+    return good.withColumns({f: T.nullable(F.col(f)) for f in FIELDS if f != "status"} | {"status": F.coalesce("status", F.lit("open")), "db_action": F.lit("HUMAN_CREATE"), "source_session_id": F.coalesce(T.nullable(F.col("source_session_id")), F.lit("MANUAL")), "version": F.lit(1)})
 
 
 def update(tasks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,7 +43,7 @@ def update(tasks: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def approve(reviews: DataFrame, requests: DataFrame) -> DataFrame:
-    """One row for each of requests(candidate_id, seq, payload_json) on reviews(candidate_id, meeting_id, status, candidate_json).
+    """One row for each of requests(candidate_id, seq, payload_json) on reviews(candidate_id, session_id, status, candidate_json).
 
     A value of the payload goes before the candidate's; work items and metadata count as given where the payload has the field at all.
     A request without fault makes the task (version 2 if metadata follow) and settles the review, so that later ones find it resolved.
@@ -57,7 +57,7 @@ def approve(reviews: DataFrame, requests: DataFrame) -> DataFrame:
     kind = lambda d: F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(d), "$.work_items", "variant")), F.lit("VOID"))
     metadata = ("department", "project", "priority")
 
-    rows = requests.select("candidate_id", "seq", "payload_json").join(reviews.select("candidate_id", "meeting_id", F.col("status").alias("_state"), F.coalesce(of("candidate_json", "candidate"), "candidate_json").alias("_doc")), "candidate_id", "left")
+    rows = requests.select("candidate_id", "seq", "payload_json").join(reviews.select("candidate_id", "session_id", F.col("status").alias("_state"), F.coalesce(of("candidate_json", "candidate"), "candidate_json").alias("_doc")), "candidate_id", "left")
     title = T.strip(either(of(said, "title"), of(doc, "title")))
     rows = rows.withColumns({
         "title": title,
@@ -88,7 +88,7 @@ def approve(reviews: DataFrame, requests: DataFrame) -> DataFrame:
     good = lambda c: F.when(F.col("fault").isNull(), c)
     made = {
         "task_id": T.digest_id("T", 10, F.col("candidate_id")),
-        "source_key": F.concat("meeting_id", F.lit(":review_"), "candidate_id", F.lit(":001")),
+        "source_key": F.concat("session_id", F.lit(":review_"), "candidate_id", F.lit(":001")),
         "version": F.when(extra, F.lit(2)).otherwise(F.lit(1)),
         **{f: F.col(f) for f in ("title", "description", "work_items", "assignee_raw", "deadline_raw", "status", "evidence", "reviewer_note")},
         **{f: T.nullable(F.col(f)) for f in metadata},

@@ -72,7 +72,7 @@ def segment_prompt(instruction: str) -> Column:
     return F.concat_ws(
         "\n",
         F.lit(instruction),
-        tagged("meeting", F.col("meeting_title")),
+        tagged("session", F.col("session_title")),
         tagged("before", F.col("prev_context")),
         tagged("current_segment", F.col("clean_text"), id=F.col("segment_id"), speaker=F.col("speaker_id")),
         tagged("after", F.col("next_context")),
@@ -85,7 +85,7 @@ def repair_prompt(instruction: str, fault: Column, response: Column, request: Co
 
 
 def chunk_prompt(chunk: Column, tag: str = "chunk") -> Column:
-    """A chunk of a meeting's text between marks, as it is."""
+    """A chunk of a session's text between marks, as it is."""
     return F.concat(F.lit(f"<{tag}>\n"), F.coalesce(chunk, F.lit("")), F.lit(f"\n</{tag}>"))
 
 

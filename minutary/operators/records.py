@@ -91,5 +91,5 @@ def training_label(tasks: DataFrame, schema_version: str = "training_sample_v1")
     return tasks.select(
         F.col("task_id").alias("sample_id"),
         F.struct("title", "description", "status", "priority").alias("label"),
-        F.struct("source_meeting_id", "created_at", F.lit(schema_version).alias("schema_version")).alias("provenance"),
+        F.struct("source_session_id", "created_at", F.lit(schema_version).alias("schema_version")).alias("provenance"),
     )

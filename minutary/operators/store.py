@@ -124,21 +124,21 @@ def apply_commands(commands: DataFrame, tasks: DataFrame | None = None, log: Dat
 
 
 def history(events: DataFrame, runs: DataFrame) -> DataFrame:
-    """Published versions of each task, newest first: place, is_latest_release; meeting is the latest run of the event's meeting."""
+    """Published versions of each task, newest first: place, is_latest_release; session is the latest run of the event's session."""
     kept = events.filter((F.col("execution_status") == "applied") & F.col("db_action").isin(*C.HISTORY_ACTIONS) & F.try_parse_json("after_json").isNotNull())
-    last = runs.groupBy("meeting_id").agg(F.max_by(F.struct("run_id", "meeting_date"), F.struct("started_at", "run_id")).alias("_m"))
-    rows = kept.join(last, F.col("source_meeting_id") == last["meeting_id"], "left").select(events["*"], F.col("_m.run_id").alias("meeting_run_id"), F.coalesce("_m.meeting_date", "created_at").alias("published_at"))
+    last = runs.groupBy("session_id").agg(F.max_by(F.struct("run_id", "session_date"), F.struct("started_at", "run_id")).alias("_m"))
+    rows = kept.join(last, F.col("source_session_id") == last["session_id"], "left").select(events["*"], F.col("_m.run_id").alias("session_run_id"), F.coalesce("_m.session_date", "created_at").alias("published_at"))
     order = Window.partitionBy("task_id").orderBy(F.coalesce("published_at", F.lit("")).desc(), F.coalesce("created_at", F.lit("")).desc(), F.col("event_id").desc())
     return rows.withColumn("place", F.row_number().over(order)).withColumn("is_latest_release", F.col("place") == 1)
 
 
-def back_fill_meetings(events: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """source_meeting_id of events that lack it: from their run, else the task named in the event key, else the stored JSON (after, then before)."""
-    by_run = runs.groupBy("run_id").agg(F.max_by("meeting_id", F.struct("started_at", "meeting_id")).alias("_by_run"))
+def back_fill_sessions(events: DataFrame, runs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """source_session_id of events that lack it: from their run, else the task named in the event key, else the stored JSON (after, then before)."""
+    by_run = runs.groupBy("run_id").agg(F.max_by("session_id", F.struct("started_at", "session_id")).alias("_by_run"))
     key = events.withColumn("_task", F.regexp_extract("event_key", r"^(?:[a-z-]+:)?([^:]+)", 1))
-    by_task = tasks.select(F.col("task_id").alias("_task"), F.col("source_meeting_id").alias("_by_task"))
+    by_task = tasks.select(F.col("task_id").alias("_task"), F.col("source_session_id").alias("_by_task"))
     out = key.join(by_run, "run_id", "left").join(by_task, "_task", "left")
-    return out.select(*(c for c in events.columns if c != "source_meeting_id"), F.coalesce("source_meeting_id", "_by_run", "_by_task", *_stored(events, "$.source_meeting_id")).alias("source_meeting_id"))
+    return out.select(*(c for c in events.columns if c != "source_session_id"), F.coalesce("source_session_id", "_by_run", "_by_task", *_stored(events, "$.source_session_id")).alias("source_session_id"))
 
 
 def _stored(events: DataFrame, path: str) -> list:
@@ -152,8 +152,8 @@ def run_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").agg(F.count("*").alias("command_count"), F.count_if(s == "applied").alias("applied_count"), F.count_if(s.isin("noop", "duplicate")).alias("noop_count"), F.count_if(s == "failed").alias("failed_count"), F.count_distinct(F.when(s == "applied", F.col("task_id"))).alias("task_count"))
 
 
-def review_id(meeting: str, candidate: str, payload: str):
-    return F.concat(F.lit("R"), F.upper(F.substring(F.sha2(F.concat_ws(":", meeting, candidate, payload), 256), 1, 20)))
+def review_id(session: str, candidate: str, payload: str):
+    return F.concat(F.lit("R"), F.upper(F.substring(F.sha2(F.concat_ws(":", session, candidate, payload), 256), 1, 20)))
 
 
 def resolve_reviews(queue: DataFrame, answers: DataFrame) -> DataFrame:
@@ -170,9 +170,9 @@ def link_projects(tasks: DataFrame, links: DataFrame, projects: DataFrame) -> tu
 
 
 def training_rows(tasks: DataFrame, least: int = C.EXPORT_MIN_CHARS, around: int = C.EXPORT_NEIGHBOURS) -> DataFrame:
-    """Tasks with enough evidence, with the evidence of their neighbours in the meeting, by natural order of source_key."""
+    """Tasks with enough evidence, with the evidence of their neighbours in the session, by natural order of source_key."""
     kept = tasks.filter(F.length(T.strip(F.col("evidence_text"))) >= least).withColumn("_k", T.natural_key(F.col("source_key")))
-    w = Window.partitionBy("source_meeting_id").orderBy("_k", "task_id")
+    w = Window.partitionBy("source_session_id").orderBy("_k", "task_id")
     before = F.array_join(F.collect_list("evidence_text").over(w.rowsBetween(-around, -1)), "\n")
     after = F.array_join(F.collect_list("evidence_text").over(w.rowsBetween(1, around)), "\n")
     return kept.withColumns({"previous_text": before, "following_text": after, "place": F.row_number().over(w)}).drop("_k")

@@ -18,7 +18,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task candidates: documents with labels; a project is five documents of one source."""
+    """Task candidates: documents with labels; a project is a hundred consecutive documents of one source."""
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     d = spread(read(spark, sf_dir, "documents")).join(labels, "doc_id", "left")
     return d.selectExpr(
@@ -34,7 +34,7 @@ def cands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case doc_id % 5 when 0 then '进行中' when 1 then '待执行' when 2 then '已延期' when 3 then '已完成' else '' end as status",
         "case when doc_id % 17 = 0 then '' else split_part(text, '\\n', 1) end as evidence",
         "case quality when 1 then 0.9D when 0 then 0.5D end as confidence",
-        "doc_id % 3 as meeting",
+        "doc_id % 3 as session",
         "concat(source, '-', lang) as team",
         "text",
     )
@@ -54,7 +54,7 @@ cands AS (SELECT d.doc_id AS ord,
   CASE d.doc_id % 5 WHEN 0 THEN '进行中' WHEN 1 THEN '待执行' WHEN 2 THEN '已延期' WHEN 3 THEN '已完成' ELSE '' END AS status,
   CASE WHEN d.doc_id % 17 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS evidence,
   CASE lab.quality WHEN 1 THEN 0.9 WHEN 0 THEN 0.5 END::DOUBLE AS confidence,
-  d.doc_id % 3 AS meeting, source || '-' || lang AS team, text
+  d.doc_id % 3 AS session, source || '-' || lang AS team, text
   FROM documents d LEFT JOIN lab ON lab.doc_id = d.doc_id)"""
 
 #: SQL for stripping white space at both ends, of a placeholder.
@@ -71,18 +71,18 @@ NORM = (
 norm0 AS (SELECT ord, {strip('department')} AS department, {strip('project')} AS project, {strip('title')} AS title, {strip('description')} AS description,
   list_filter(list_transform(work_items, lambda x: {strip('x')}), lambda x: x <> '') AS wi, {strip('assignee')} AS assignee, {strip('deadline')} AS deadline,
   CASE WHEN priority IN ('高','中','低') THEN priority ELSE '中' END AS priority, CASE WHEN status IN ('进行中','待执行','已延期','已完成') THEN status ELSE '待执行' END AS status,
-  {strip('evidence')} AS evidence, confidence, meeting, team FROM cands),
+  {strip('evidence')} AS evidence, confidence, session, team FROM cands),
 norm AS (SELECT * EXCLUDE (wi), CASE WHEN len(wi) = 0 AND description <> '' THEN [description] ELSE list_filter(wi, lambda x, i: list_position(wi, x) = i) END AS work_items
   FROM norm0 WHERE title <> '' AND evidence <> '')"""
 )
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "conversations").selectExpr("conv_id as file", "conv_id div 2 as meeting", "cast(conv_id div 2 as string) as meeting_title", "conv_id * 1000 + turn as ord", "concat(cast(conv_id as string), '-', cast(turn as string)) as segment_id", "role as speaker_id", "text as clean_text")
+    return read(spark, sf_dir, "conversations").selectExpr("conv_id div 4 as file", "conv_id div 2 as session", "cast(conv_id div 2 as string) as session_title", "conv_id * 1000 + turn as ord", "concat(cast(conv_id as string), '-', cast(turn as string)) as segment_id", "role as speaker_id", "text as clean_text")
 
 
 SEGMENTS = """
-segments AS (SELECT conv_id AS file, conv_id // 2 AS meeting, CAST(conv_id // 2 AS VARCHAR) AS meeting_title, conv_id * 1000 + turn AS ord,
+segments AS (SELECT conv_id // 4 AS file, conv_id // 2 AS session, CAST(conv_id // 2 AS VARCHAR) AS session_title, conv_id * 1000 + turn AS ord,
   CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS segment_id, role AS speaker_id, text AS clean_text FROM conversations)"""
 
 
@@ -97,7 +97,7 @@ def task_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when event_type in ('signup', 'click') then concat('title ', cast(event_id % 97 as string)) end as title",
         "case when event_type = 'purchase' then case when value > 30 then 'completed' else 'in_progress' end end as status",
         "concat('R', cast(user_id % 40 as string)) as run_id",
-        "case when event_id % 3 = 0 then null else concat('M', cast(user_id % 25 as string)) end as source_meeting_id",
+        "case when event_id % 3 = 0 then null else concat('M', cast(user_id % 25 as string)) end as source_session_id",
         "date_format(ts, 'yyyy-MM-dd HH:mm:ss') as created_at",
         "lpad(cast(event_id as string), 12, '0') as event_id",
         "case when event_id % 19 = 0 then '{broken' else props end as after_json",
@@ -113,29 +113,29 @@ task_log AS (SELECT event_id AS seq, 'T' || CAST(user_id AS VARCHAR) AS task_id,
   CASE WHEN event_type IN ('signup', 'click') THEN 'title ' || CAST(event_id % 97 AS VARCHAR) END AS title,
   CASE WHEN event_type = 'purchase' THEN CASE WHEN value > 30 THEN 'completed' ELSE 'in_progress' END END AS status,
   'R' || CAST(user_id % 40 AS VARCHAR) AS run_id,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'M' || CAST(user_id % 25 AS VARCHAR) END AS source_meeting_id,
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'M' || CAST(user_id % 25 AS VARCHAR) END AS source_session_id,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, lpad(CAST(event_id AS VARCHAR), 12, '0') AS event_id,
   CASE WHEN event_id % 19 = 0 THEN '{broken' ELSE props END AS after_json, value FROM events)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr("concat('R', cast(o_orderkey as string)) as run_id", "concat('M', cast(o_custkey % 30 as string)) as meeting_id", "date_format(o_orderdate, 'yyyy-MM-dd') as meeting_date", "date_format(o_orderdate, 'yyyy-MM-dd') || '#' || lpad(cast(o_orderkey as string), 10, '0') as started_at", "case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end as status", "o_custkey")
+    return read(spark, sf_dir, "orders").selectExpr("concat('R', cast(o_orderkey as string)) as run_id", "concat('M', cast(o_custkey % 30 as string)) as session_id", "date_format(o_orderdate, 'yyyy-MM-dd') as session_date", "date_format(o_orderdate, 'yyyy-MM-dd') || '#' || lpad(cast(o_orderkey as string), 10, '0') as started_at", "case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end as status", "o_custkey")
 
 
 RUNS = """
-runs AS (SELECT 'R' || CAST(o_orderkey AS VARCHAR) AS run_id, 'M' || CAST(o_custkey % 30 AS VARCHAR) AS meeting_id, strftime(o_orderdate, '%Y-%m-%d') AS meeting_date,
+runs AS (SELECT 'R' || CAST(o_orderkey AS VARCHAR) AS run_id, 'M' || CAST(o_custkey % 30 AS VARCHAR) AS session_id, strftime(o_orderdate, '%Y-%m-%d') AS session_date,
   strftime(o_orderdate, '%Y-%m-%d') || '#' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS started_at,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, o_custkey FROM orders)"""
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "orders").selectExpr("concat('T', cast(o_orderkey as string)) as task_id", "concat('P', cast(o_custkey as string)) as project_id", "concat(o_orderpriority, ' ', cast(o_custkey as string)) as title", "case o_orderstatus when 'F' then 'completed' when 'O' then 'open' else 'in_progress' end as status", "case when o_orderkey % 10 = 0 then 1 else 0 end as is_deleted", "concat('M', cast(o_orderkey % 50 as string)) as source_meeting_id", "date_format(o_orderdate, 'yyyy-MM-dd') as created_at", "split_part(o_orderpriority, '-', 2) as priority", "concat('部门：D', cast(o_custkey % 9 as string), '\\n项目：P', cast(o_custkey % 40 as string), '\\nbody ', cast(o_orderkey as string), '\\n优先级：', o_orderpriority) as description", "o_custkey")
+    return read(spark, sf_dir, "orders").selectExpr("concat('T', cast(o_orderkey as string)) as task_id", "concat('P', cast(o_custkey as string)) as project_id", "concat(o_orderpriority, ' ', cast(o_custkey as string)) as title", "case o_orderstatus when 'F' then 'completed' when 'O' then 'open' else 'in_progress' end as status", "case when o_orderkey % 10 = 0 then 1 else 0 end as is_deleted", "concat('M', cast(o_orderkey % 50 as string)) as source_session_id", "date_format(o_orderdate, 'yyyy-MM-dd') as created_at", "split_part(o_orderpriority, '-', 2) as priority", "concat('部门：D', cast(o_custkey % 9 as string), '\\n项目：P', cast(o_custkey % 40 as string), '\\nbody ', cast(o_orderkey as string), '\\n优先级：', o_orderpriority) as description", "o_custkey")
 
 
 TASKS = """
 tasks AS (SELECT 'T' || CAST(o_orderkey AS VARCHAR) AS task_id, 'P' || CAST(o_custkey AS VARCHAR) AS project_id, o_orderpriority || ' ' || CAST(o_custkey AS VARCHAR) AS title,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'open' ELSE 'in_progress' END AS status, CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END AS is_deleted,
-  'M' || CAST(o_orderkey % 50 AS VARCHAR) AS source_meeting_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, split_part(o_orderpriority, '-', 2) AS priority,
+  'M' || CAST(o_orderkey % 50 AS VARCHAR) AS source_session_id, strftime(o_orderdate, '%Y-%m-%d') AS created_at, split_part(o_orderpriority, '-', 2) AS priority,
   '部门：D' || CAST(o_custkey % 9 AS VARCHAR) || chr(10) || '项目：P' || CAST(o_custkey % 40 AS VARCHAR) || chr(10) || 'body ' || CAST(o_orderkey AS VARCHAR) || chr(10) || '优先级：' || o_orderpriority AS description, o_custkey FROM orders)"""
 
 #: SQL: the bigrams of a key, and Dice of two such lists.

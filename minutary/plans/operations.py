@@ -10,11 +10,11 @@ from . import domain as D, matching as M
 from .registry import query
 
 
-@query()
+@query(M.IMPORT)
 def import_batch(spark, sf_dir):
-    """Every candidate in order against tasks as earlier candidates left them; tests hold known results."""
+    """Every candidate in order against tasks as earlier candidates left them."""
     cands, tasks = M._sides(spark, sf_dir)
-    return importer.import_batch(cands, tasks.withColumn("version", F.lit(1))).select("candidate_id", "decision", "reason", "task_id", "version", F.round("score", 9).alias("score"))
+    return importer.import_batch(cands, tasks.withColumn("version", F.lit(1))).select("candidate_id", "decision", "reason", "db_action", "task_id", "version", F.round("score", 9).alias("score"))
 
 
 _EDITS = "WITH" + D.TASKS + """, ed AS (SELECT 'T' || CAST(l_orderkey AS VARCHAR) AS task_id, l_orderkey * 1000 + l_linenumber * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice) AS seq, CASE WHEN l_linenumber = 4 THEN 'delete' ELSE 'edit' END AS action, CASE l_linenumber WHEN 1 THEN 'n' || CAST(l_orderkey AS VARCHAR) WHEN 2 THEN ' ' END AS priority FROM lineitem),
@@ -72,7 +72,7 @@ def _approvals(spark, sf_dir):
     docs = D.read(spark, sf_dir, "documents")
     key = F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("candidate_id")
     whole = F.struct(F.when(F.col("doc_id") % 2 == 0, F.lit("x")).otherwise(F.lit("")).alias("title"), F.col("text").alias("evidence"), F.when(F.col("doc_id") % 3 == 0, F.col("source")).alias("department"))
-    reviews = docs.select(key, F.lit("M").alias("meeting_id"), F.when(F.col("doc_id") % 7 == 0, F.lit("approved")).otherwise(F.lit("pending")).alias("status"), F.to_json(whole).alias("candidate_json"))
+    reviews = docs.select(key, F.lit("M").alias("session_id"), F.when(F.col("doc_id") % 7 == 0, F.lit("approved")).otherwise(F.lit("pending")).alias("status"), F.to_json(whole).alias("candidate_json"))
     given = F.to_json(F.struct(F.lit("given").alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("completed")).otherwise(F.lit("in_progress")).alias("status"), F.lit("P").alias("project")))
     requests = docs.select(key, F.posexplode(F.array(F.lit("{}"), given, F.lit('{"title":"late"}'))).alias("seq", "payload_json")).withColumn("seq", F.col("seq") + 1)
     return reviews, manual.approve(reviews, requests)
@@ -94,10 +94,10 @@ def resolution_spelling(spark, sf_dir):
     return D.read(spark, sf_dir, "part").select("p_partkey", models.resolution(word, F.when(F.col("p_partkey") % 2 == 0, F.lit("P1")), F.col("p_name")).alias("resolution"))
 
 
-@query("SELECT conv_id, turn, 'UP_' || left(sha256('2026-01-0' || CAST(turn AS VARCHAR) || chr(0) || role || chr(0) || sha256(text)), 20) AS meeting_id, strlen(text) AS n_bytes FROM conversations")
+@query("SELECT conv_id, turn, 'UP_' || left(sha256('2026-01-0' || CAST(turn AS VARCHAR) || chr(0) || role || chr(0) || sha256(text)), 20) AS session_id, strlen(text) AS n_bytes FROM conversations")
 def upload_ids(spark, sf_dir):
     c = D.read(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", T.digest_id("UP_", 20, F.concat(F.lit("2026-01-0"), F.col("turn").cast("string")), F.col("role"), F.sha2("text", 256)).alias("meeting_id"), F.octet_length("text").cast("long").alias("n_bytes"))
+    return c.select("conv_id", "turn", T.digest_id("UP_", 20, F.concat(F.lit("2026-01-0"), F.col("turn").cast("string")), F.col("role"), F.sha2("text", 256)).alias("session_id"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
 @query("WITH" + D.TASKS + r" SELECT task_id, CASE WHEN o_custkey % 9 = 0 THEN 'D0' ELSE regexp_extract(description, '(?:^|\n)部门：\s*([^\n]+)', 1) END AS department, '项目级任务' AS category, 'body ' || substring(task_id, 2) AS body FROM tasks")
@@ -122,12 +122,12 @@ def record_contract(spark, sf_dir):
     return records.labelled_record_fault(rows).select("conv_id", "turn", F.coalesce("fault", F.lit("ok")).alias("fault"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unsupported_suffix' WHEN p_size % 5 = 0 THEN 'empty_file' WHEN p_size > 40 THEN 'too_large' WHEN p_size % 7 = 0 THEN 'bad_date' WHEN p_size % 11 = 0 THEN 'type_required' ELSE 'ok' END AS fault, 'LOCAL_' || left(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '_', 'g') || '_v1', 40) AS meeting_id FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unsupported_suffix' WHEN p_size % 5 = 0 THEN 'empty_file' WHEN p_size > 40 THEN 'too_large' WHEN p_size % 7 = 0 THEN 'bad_date' WHEN p_size % 11 = 0 THEN 'type_required' ELSE 'ok' END AS fault, 'LOCAL_' || left(regexp_replace(p_name, '[^\\p{L}\\p{N}]', '_', 'g') || '_v1', 40) AS session_id FROM part")
 def upload_checks(spark, sf_dir):
     from ..operators import records
 
     rows = D.read(spark, sf_dir, "part").selectExpr("p_partkey", "case when p_size % 5 = 0 then 0L else cast(p_size as bigint) * 786432 end as n", "case when p_size % 6 = 0 then 'exe' else 'pdf' end as suffix", "case when p_size % 7 = 0 then '2026-13-01' else '2026-01-31' end as day", "case when p_size % 11 = 0 then ' ' else 'weekly' end as kind", "concat('/in/a.b/', p_name, '.v1.pdf') as path")
-    return rows.select("p_partkey", F.coalesce(records.upload_fault(F.col("n"), F.col("suffix"), F.col("day"), F.col("kind")), F.lit("ok")).alias("fault"), T.local_meeting_id(F.col("path")).alias("meeting_id"))
+    return rows.select("p_partkey", F.coalesce(records.upload_fault(F.col("n"), F.col("suffix"), F.col("day"), F.col("kind")), F.lit("ok")).alias("fault"), T.local_session_id(F.col("path")).alias("session_id"))
 
 
 @query("WITH" + D.TASKS + ", x AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, task_id) AS row_number FROM tasks WHERE is_deleted = 0) SELECT task_id, project_id, row_number FROM x WHERE row_number BETWEEN 4 AND 6")

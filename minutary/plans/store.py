@@ -124,20 +124,20 @@ def service_events(spark, sf_dir):
     return service.to_events(made, tasks).select("seq", "task_id", "db_action", "execution_status", "version_after", "title", "description", "status")
 
 
-@query("WITH" + D.RUNS + " SELECT meeting_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS started_at FROM runs GROUP BY meeting_id")
+@query("WITH" + D.RUNS + " SELECT session_id, arg_max(run_id, started_at) AS run_id, max(started_at) AS started_at FROM runs GROUP BY session_id")
 def latest_run(spark, sf_dir):
-    return projects.latest(D.runs(spark, sf_dir), "meeting_id", "started_at").select("meeting_id", "run_id", "started_at")
+    return projects.latest(D.runs(spark, sf_dir), "session_id", "started_at").select("session_id", "run_id", "started_at")
 
 
-_HISTORY = "WITH" + D.TASK_LOG + "," + D.RUNS + """, lr AS (SELECT meeting_id, arg_max(meeting_date, started_at) AS meeting_date, arg_max(run_id, started_at) AS meeting_run_id FROM runs GROUP BY meeting_id),
-h AS (SELECT event_id, task_id, meeting_run_id, coalesce(meeting_date, created_at) AS published_at, created_at FROM task_log LEFT JOIN lr ON lr.meeting_id = source_meeting_id WHERE execution_status = 'applied' AND db_action IN ('CREATE','UPDATE_FIELDS','UPDATE_STATUS','HUMAN_CREATE') AND json_valid(after_json)),
+_HISTORY = "WITH" + D.TASK_LOG + "," + D.RUNS + """, lr AS (SELECT session_id, arg_max(session_date, started_at) AS session_date, arg_max(run_id, started_at) AS session_run_id FROM runs GROUP BY session_id),
+h AS (SELECT event_id, task_id, session_run_id, coalesce(session_date, created_at) AS published_at, created_at FROM task_log LEFT JOIN lr ON lr.session_id = source_session_id WHERE execution_status = 'applied' AND db_action IN ('CREATE','UPDATE_FIELDS','UPDATE_STATUS','HUMAN_CREATE') AND json_valid(after_json)),
 hp AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY published_at DESC, created_at DESC, event_id DESC) AS place FROM h)
 """
 
 
-@query(_HISTORY + "SELECT event_id, task_id, meeting_run_id, published_at, place, place = 1 AS is_latest_release FROM hp")
+@query(_HISTORY + "SELECT event_id, task_id, session_run_id, published_at, place, place = 1 AS is_latest_release FROM hp")
 def task_history(spark, sf_dir):
-    return store.history(D.task_log(spark, sf_dir), D.runs(spark, sf_dir)).select("event_id", "task_id", "meeting_run_id", "published_at", "place", "is_latest_release")
+    return store.history(D.task_log(spark, sf_dir), D.runs(spark, sf_dir)).select("event_id", "task_id", "session_run_id", "published_at", "place", "is_latest_release")
 
 
 @query(_HISTORY + ", t AS (SELECT task_id, count(*) AS n_events, max(created_at) AS last_event FROM task_log GROUP BY task_id) SELECT t.task_id, n_events, last_event, hp.event_id AS latest_release FROM t LEFT JOIN hp ON hp.task_id = t.task_id AND place = 1")
@@ -147,11 +147,25 @@ def task_detail(spark, sf_dir):
     return log.groupBy("task_id").agg(F.count("*").alias("n_events"), F.max("created_at").alias("last_event")).join(latest, "task_id", "left")
 
 
-@query("WITH" + D.TASK_LOG + "," + D.RUNS + ", br AS (SELECT run_id, arg_max(meeting_id, started_at) AS m FROM runs GROUP BY run_id) SELECT seq, coalesce(source_meeting_id, br.m, 'TM' || regexp_extract(event_key, '^([^:]+)', 1)) AS source_meeting_id FROM task_log LEFT JOIN br USING (run_id)")
+_BACKFILL = "WITH" + D.TASK_LOG + "," + D.RUNS + """, br AS (SELECT run_id, arg_max(session_id, started_at) AS m FROM runs GROUP BY run_id),
+lg AS (SELECT * REPLACE (CASE WHEN seq % 4 = 0 THEN run_id ELSE 'none' END AS run_id), CASE WHEN seq % 7 = 0 THEN '{"source_session_id": "A' || seq || '"}' WHEN seq % 7 = 1 THEN '{bad' WHEN seq % 7 = 2 THEN '{"source_session_id": ""}' END AS after_, CASE WHEN seq % 3 = 0 THEN '{"source_session_id": "B' || seq || '"}' END AS before_ FROM task_log),
+x AS (SELECT *, 'T' || nullif(regexp_extract(event_key, '^T([0-9]*[02468]):', 1), '') AS known FROM lg),
+j AS (SELECT *, CASE WHEN json_valid(after_) THEN nullif(json_extract_string(after_, '$.source_session_id'), '') END AS a, CASE WHEN json_valid(before_) THEN nullif(json_extract_string(before_, '$.source_session_id'), '') END AS b FROM x)
+SELECT seq, coalesce(source_session_id, br.m, 'TM' || known, a, b) AS source_session_id FROM j LEFT JOIN br USING (run_id)"""
+
+
+@query(_BACKFILL)
 def event_backfill(spark, sf_dir):
-    log = D.task_log(spark, sf_dir)
-    tasks = log.groupBy("task_id").agg(F.concat(F.lit("TM"), F.first("task_id")).alias("source_meeting_id"))
-    return store.back_fill_meetings(log, D.runs(spark, sf_dir), tasks).select("seq", "source_meeting_id")
+    """Runs are there for a quarter of the events and tasks for every second user, so that snapshots decide the rest."""
+    log = D.task_log(spark, sf_dir).withColumns(
+        {
+            "run_id": F.expr("case when seq % 4 = 0 then run_id else 'none' end"),
+            "after_json": F.expr("""case seq % 7 when 0 then concat('{"source_session_id": "A', cast(seq as string), '"}') when 1 then '{bad' when 2 then '{"source_session_id": ""}' end"""),
+            "before_json": F.expr("""case when seq % 3 = 0 then concat('{"source_session_id": "B', cast(seq as string), '"}') end"""),
+        }
+    )
+    tasks = log.filter("cast(substring(task_id, 2) as long) % 2 = 0").groupBy("task_id").agg(F.concat(F.lit("TM"), F.first("task_id")).alias("source_session_id"))
+    return store.back_fill_sessions(log, D.runs(spark, sf_dir), tasks).select("seq", "source_session_id")
 
 
 @query("WITH" + D.TASK_LOG + " SELECT run_id, count(*) AS command_count, count(*) FILTER (WHERE execution_status = 'applied') AS applied_count, count(*) FILTER (WHERE execution_status IN ('noop', 'duplicate')) AS noop_count, count(*) FILTER (WHERE execution_status = 'failed') AS failed_count, count(DISTINCT task_id) FILTER (WHERE execution_status = 'applied') AS task_count FROM task_log GROUP BY run_id")
@@ -171,10 +185,10 @@ def action_counts(spark, sf_dir):
     return D.task_log(spark, sf_dir).groupBy("execution_status").agg(c("CREATE", "creates"), c("UPDATE_FIELDS", "field_updates"), c("UPDATE_STATUS", "status_updates"), c("SOFT_DELETE", "deletes"), F.count("*").alias("n"))
 
 
-@query("WITH" + D.TASKS + " SELECT task_id, project_id, status, source_meeting_id, row_number() OVER (PARTITION BY source_meeting_id ORDER BY created_at DESC, task_id) AS place FROM tasks WHERE is_deleted = 0 AND status <> 'cancelled' AND status = 'open'")
+@query("WITH" + D.TASKS + " SELECT task_id, project_id, status, source_session_id, row_number() OVER (PARTITION BY source_session_id ORDER BY created_at DESC, task_id) AS place FROM tasks WHERE is_deleted = 0 AND status <> 'cancelled' AND status = 'open'")
 def tasks_list(spark, sf_dir):
-    w = Window.partitionBy("source_meeting_id").orderBy(F.desc("created_at"), "task_id")
-    return D.tasks(spark, sf_dir).filter("is_deleted = 0 and status <> 'cancelled' and status = 'open'").select("task_id", "project_id", "status", "source_meeting_id", F.row_number().over(w).alias("place"))
+    w = Window.partitionBy("source_session_id").orderBy(F.desc("created_at"), "task_id")
+    return D.tasks(spark, sf_dir).filter("is_deleted = 0 and status <> 'cancelled' and status = 'open'").select("task_id", "project_id", "status", "source_session_id", F.row_number().over(w).alias("place"))
 
 
 @query("WITH" + D.TASKS + " SELECT project_id, count(*) AS n_active, min(created_at) AS first_created FROM tasks WHERE is_deleted = 0 AND status NOT IN ('completed', 'cancelled') GROUP BY project_id")
@@ -188,27 +202,27 @@ def events_list(spark, sf_dir):
     return D.task_log(spark, sf_dir).select("event_id", "run_id", "task_id", F.row_number().over(w).alias("place"))
 
 
-@query("WITH" + D.RUNS + " SELECT run_id, meeting_id, started_at, row_number() OVER (PARTITION BY meeting_id ORDER BY started_at DESC) AS place, EXISTS (SELECT 1 FROM runs WHERE status = 'running') AS has_active FROM runs")
-def meetings_list(spark, sf_dir):
+@query("WITH" + D.RUNS + " SELECT run_id, session_id, started_at, row_number() OVER (PARTITION BY session_id ORDER BY started_at DESC) AS place, EXISTS (SELECT 1 FROM runs WHERE status = 'running') AS has_active FROM runs")
+def sessions_list(spark, sf_dir):
     runs = D.runs(spark, sf_dir)
     active = runs.filter("status = 'running'").limit(1).agg((F.count("*") > 0).alias("has_active"))  # one row
-    w = Window.partitionBy("meeting_id").orderBy(F.desc("started_at"))
-    return runs.select("run_id", "meeting_id", "started_at", F.row_number().over(w).alias("place")).join(F.broadcast(active))
+    w = Window.partitionBy("session_id").orderBy(F.desc("started_at"))
+    return runs.select("run_id", "session_id", "started_at", F.row_number().over(w).alias("place")).join(F.broadcast(active))
 
 
-_REVIEW = "WITH" + D.CANDS + """, rq AS (SELECT ord, CAST(meeting AS VARCHAR) AS meeting_id, 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS cid, 'R' || upper(left(sha256(CAST(meeting AS VARCHAR) || ':' || 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') || ':' || evidence), 20)) AS candidate_id FROM cands WHERE confidence < 0.8 OR ord % 3 = 0)
+_REVIEW = "WITH" + D.CANDS + """, rq AS (SELECT ord, CAST(session AS VARCHAR) AS session_id, 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') AS cid, 'R' || upper(left(sha256(CAST(session AS VARCHAR) || ':' || 'c-' || lpad(CAST(ord + 1 AS VARCHAR), CAST(greatest(3, length(CAST(ord + 1 AS VARCHAR))) AS INTEGER), '0') || ':' || evidence), 20)) AS candidate_id FROM cands WHERE confidence < 0.8 OR ord % 3 = 0)
 """
 
 
 def _reviews(spark, sf_dir):
-    rows = D.cands(spark, sf_dir).filter("confidence < 0.8 or ord % 3 = 0").withColumns({"meeting_id": F.col("meeting").cast("string"), "cid": T.position_id(F.col("ord") + 1)})
-    return rows.withColumn("candidate_id", store.review_id("meeting_id", "cid", "evidence"))
+    rows = D.cands(spark, sf_dir).filter("confidence < 0.8 or ord % 3 = 0").withColumns({"session_id": F.col("session").cast("string"), "cid": T.position_id(F.col("ord") + 1)})
+    return rows.withColumn("candidate_id", store.review_id("session_id", "cid", "evidence"))
 
 
-@query(_REVIEW + "SELECT candidate_id, ord, meeting_id FROM rq")
+@query(_REVIEW + "SELECT candidate_id, ord, session_id FROM rq")
 def review_enqueue(spark, sf_dir):
-    rows = _reviews(spark, sf_dir).select("candidate_id", "ord", "meeting_id")
-    return projects.insert_or_ignore(rows.limit(0), rows, "candidate_id", "ord").select("candidate_id", "ord", "meeting_id")
+    rows = _reviews(spark, sf_dir).select("candidate_id", "ord", "session_id")
+    return projects.insert_or_ignore(rows.limit(0), rows, "candidate_id", "ord").select("candidate_id", "ord", "session_id")
 
 
 @query(_REVIEW + "SELECT candidate_id, CASE ord % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM rq")
@@ -254,7 +268,7 @@ _TRAIN = "WITH e AS (SELECT doc_id, doc_id // 8 AS m, text AS ev, length(regexp_
 
 
 def _training(spark, sf_dir):
-    return store.training_rows(D.read(spark, sf_dir, "documents").selectExpr("doc_id as task_id", "concat('m', cast(doc_id div 8 as string)) as source_meeting_id", "concat('c-', cast(doc_id as string)) as source_key", "text as evidence_text"))
+    return store.training_rows(D.read(spark, sf_dir, "documents").selectExpr("doc_id as task_id", "concat('m', cast(doc_id div 8 as string)) as source_session_id", "concat('c-', cast(doc_id as string)) as source_key", "text as evidence_text"))
 
 
 @query(_TRAIN + "SELECT doc_id AS task_id, coalesce(string_agg(ev, chr(10) ORDER BY doc_id) OVER (PARTITION BY m ORDER BY doc_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '') AS previous_text, coalesce(string_agg(ev, chr(10) ORDER BY doc_id) OVER (PARTITION BY m ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '') AS following_text, row_number() OVER (PARTITION BY m ORDER BY doc_id) AS place FROM k")
@@ -262,10 +276,10 @@ def training_context(spark, sf_dir):
     return _training(spark, sf_dir).select("task_id", "previous_text", "following_text", "place")
 
 
-@query(_TRAIN + "SELECT 'm' || CAST(m AS VARCHAR) AS meeting_id, count(*) AS sample_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS samples FROM k GROUP BY m")
+@query(_TRAIN + "SELECT 'm' || CAST(m AS VARCHAR) AS session_id, count(*) AS sample_count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS samples FROM k GROUP BY m")
 def training_manifest(spark, sf_dir):
-    rows = _training(spark, sf_dir).groupBy(F.col("source_meeting_id").alias("meeting_id")).agg(F.count("*").alias("sample_count"), F.array_sort(F.collect_list("task_id")).alias("s"))
-    return rows.select("meeting_id", "sample_count", F.array_join("s", ",").alias("samples"))
+    rows = _training(spark, sf_dir).groupBy(F.col("source_session_id").alias("session_id")).agg(F.count("*").alias("sample_count"), F.array_sort(F.collect_list("task_id")).alias("s"))
+    return rows.select("session_id", "sample_count", F.array_join("s", ",").alias("samples"))
 
 
 @query()

@@ -31,11 +31,12 @@ def chunk_counts(spark, sf_dir):
 
 @query(
     "WITH" + D.SEGMENTS + """
-SELECT segment_id, CASE WHEN lag(meeting_title) OVER w = meeting_title THEN right(lag(clean_text) OVER w, 300) ELSE '' END AS prev_context,
-  CASE WHEN lead(meeting_title) OVER w = meeting_title THEN left(lead(clean_text) OVER w, 300) ELSE '' END AS next_context FROM segments WINDOW w AS (PARTITION BY meeting ORDER BY ord)"""
+SELECT segment_id, CASE WHEN lag(session_title) OVER w = session_title THEN right(lag(clean_text) OVER w, 300) ELSE '' END AS prev_context,
+  CASE WHEN lead(session_title) OVER w = session_title THEN left(lead(clean_text) OVER w, 300) ELSE '' END AS next_context FROM segments WINDOW w AS (PARTITION BY file ORDER BY ord)"""
 )
 def segment_context(spark, sf_dir):
-    return documents.with_context(D.segments(spark, sf_dir), by=("meeting",)).select("segment_id", "prev_context", "next_context")
+    """A file holds two sessions, so that neighbours of another title give no context."""
+    return documents.with_context(D.segments(spark, sf_dir)).select("segment_id", "prev_context", "next_context")
 
 
 @query("WITH" + D.SEGMENTS + " SELECT count(*) AS n_segments, count(*) FILTER (WHERE trim(segment_id) = '') AS blank_ids, (SELECT count(*) FROM (SELECT segment_id FROM segments GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids, count(*) FILTER (WHERE trim(clean_text) = '') AS blank_texts FROM segments")

@@ -79,7 +79,7 @@ def snapshot_text(raw):
 
 
 SEGMENT = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("meeting_title", "segment_id", "speaker_id", "speaker_name", "speaker_role", "speaker_department", "timestamp", "raw_text", "clean_text")]
+    [T.StructField(n, T.StringType()) for n in ("session_title", "segment_id", "speaker_id", "speaker_name", "speaker_role", "speaker_department", "timestamp", "raw_text", "clean_text")]
     + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("quality_flags", "uncertainties", "nbest")]
     + [T.StructField("asr_confidence", T.DoubleType())]
 )

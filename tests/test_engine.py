@@ -35,8 +35,8 @@ def test_gate_names_the_first_fault(spark):
     assert got == [("c-001", "missing_department_evidence"), ("c-002", "non_active_initial_status"), ("c-003", "low_model_confidence"), ("c-004", None), ("c-005", None)]
 
 
-def test_context_stays_within_a_meeting(spark):
-    rows = spark.createDataFrame([(0, "会议A", "s1", "甲"), (1, "会议B", "s2", "乙"), (2, "会议B", "s3", "丙")], "ord long, meeting_title string, segment_id string, clean_text string").withColumn("file", F.lit(1))
+def test_context_stays_within_a_session(spark):
+    rows = spark.createDataFrame([(0, "会议A", "s1", "甲"), (1, "会议B", "s2", "乙"), (2, "会议B", "s3", "丙")], "ord long, session_title string, segment_id string, clean_text string").withColumn("file", F.lit(1))
     got = {r.segment_id: (r.prev_context, r.next_context) for r in documents.with_context(rows, by=("file",)).collect()}
     assert got == {"s1": ("", ""), "s2": ("", "丙"), "s3": ("乙", "")}
 
@@ -109,15 +109,15 @@ def test_patches_overlay_all_fields_and_source_keys_are_made_once(spark):
 
 
 def test_context_is_that_of_the_neighbour_in_the_file(spark):
-    rows = spark.createDataFrame([("f", "A", 1, "first A"), ("f", "B", 2, "only B"), ("f", "A", 3, "second A"), ("f", "A", 4, "third A")], "file string, meeting_title string, ord int, clean_text string")
+    rows = spark.createDataFrame([("f", "A", 1, "first A"), ("f", "B", 2, "only B"), ("f", "A", 3, "second A"), ("f", "A", 4, "third A")], "file string, session_title string, ord int, clean_text string")
     got = [(r.prev_context, r.next_context) for r in documents.with_context(rows).orderBy("ord").collect()]
     assert got == [("", ""), ("", ""), ("", "third A"), ("second A", "")]
 
 
 def test_project_matches_say_why(spark):
     side = "{0} string, project_id string, {1} string, title string, description string, work_items array<string>, department string, assignee string"
-    cands = spark.createDataFrame([("c", "P", "M2", "检查主泵", "检查主泵并记录", ["检查主泵"], "机修组", "李")], side.format("candidate_id", "meeting_id"))
-    tasks = spark.createDataFrame([("T1", "P", "M1", "检查主泵", "检查主泵", ["检查主泵"], "机修组", "王", 0, "open"), ("T2", "P", "M1", "别的事情", "", [], "", "", 0, "open")], side.format("task_id", "source_meeting_id") + ", is_deleted int, status string")
+    cands = spark.createDataFrame([("c", "P", "M2", "检查主泵", "检查主泵并记录", ["检查主泵"], "机修组", "李")], side.format("candidate_id", "session_id"))
+    tasks = spark.createDataFrame([("T1", "P", "M1", "检查主泵", "检查主泵", ["检查主泵"], "机修组", "王", 0, "open"), ("T2", "P", "M1", "别的事情", "", [], "", "", 0, "open")], side.format("task_id", "source_session_id") + ", is_deleted int, status string")
     (r,) = matching.reviewed(matching.with_reasons(matching.score_project(cands, tasks, k=5), cands, tasks), tasks).collect()
     first, second = r.candidates
     assert first.task_id == "T1" and first.match_reasons == ["title_similarity:1.000", "work_item_similarity:1.000", f"description_similarity:{2 * 3 / (6 + 3):.3f}", "same_project", "same_department", "different_assignee"]

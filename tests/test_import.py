@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from minutary.operators import importer, manual, models, projects
 from minutary.sources.config import Settings, require_sections
 
-CAND = "candidate_id string, project_id string, meeting_id string, ord long, allow_continuity boolean, title string, description string, work_items array<string>, department string, assignee string"
-TASK = "task_id string, project_id string, source_meeting_id string, version long, is_deleted int, status string, title string, description string, work_items array<string>, department string, assignee string"
+CAND = "candidate_id string, project_id string, session_id string, ord long, allow_continuity boolean, title string, description string, work_items array<string>, department string, assignee string"
+TASK = "task_id string, project_id string, source_session_id string, version long, is_deleted int, status string, title string, description string, work_items array<string>, department string, assignee string"
 
 
-def cand(i, title, meeting, project="P", cont=False, work=(), desc="", dept="信息部", who=""):
-    return (f"c{i}", project, meeting, i, cont, title, desc, list(work), dept, who)
+def cand(i, title, session, project="P", cont=False, work=(), desc="", dept="信息部", who=""):
+    return (f"c{i}", project, session, i, cont, title, desc, list(work), dept, who)
 
 
 def run(spark, cands, tasks=()):
@@ -23,14 +23,14 @@ def run(spark, cands, tasks=()):
     return {r.candidate_id: (r.decision, r.reason, r.task_id, r.version) for r in rows.collect()}
 
 
-def test_later_meetings_update_one_task(spark):
+def test_later_sessions_update_one_task(spark):
     titles = ["ERP系统选型与招标准备", "ERP系统选型与招标准备工作", "ERP系统选型招标准备工作推进"]
     got = run(spark, [cand(k, t, f"M{k}", work=["选型调研", "招标准备"]) for k, t in enumerate(titles)])
     assert [got[f"c{k}"][0] for k in range(3)] == ["CREATE", "UPDATE", "UPDATE"]
     assert {got[f"c{k}"][2] for k in range(3)} == {"Nc0"} and got["c2"][3] == 3
 
 
-def test_one_meeting_never_updates_its_own_task(spark):
+def test_one_session_never_updates_its_own_task(spark):
     got = run(spark, [cand(0, "红沙泉项目建设", "M"), cand(1, "红沙泉项目建设", "M"), cand(2, "x", "M", project="")])
     assert [v[0] for _, v in sorted(got.items())] == ["CREATE"] * 3 and got["c2"][1] == "no_project"
 
@@ -67,16 +67,16 @@ def likeness(c, t):
 def one_after_another(cands, tasks):
     """{candidate: (decision, reason, action, task, version)}: a plain loop over candidates and all tasks."""
     mapped = {"待执行": "open", "进行中": "in_progress", "已完成": "completed", "已延期": "blocked"}
-    names = ("id", "project", "meeting", "version", "del", "status", "title", "desc", "work", "dept", "who")
+    names = ("id", "project", "session", "version", "del", "status", "title", "desc", "work", "dept", "who")
     there = {t[0]: dict(zip(names, t)) for t in tasks if not t[4]}
     out = {}
-    for i, project, meeting, _, cont, title, desc, work, dept, who, status, about in sorted(cands, key=lambda c: c[3]):
+    for i, project, session, _, cont, title, desc, work, dept, who, status, about in sorted(cands, key=lambda c: c[3]):
         c = dict(title=title, desc=desc, work=work, dept=dept, who=who)
-        new = dict(project=project, meeting=meeting, version=1, status=mapped.get(status, "open"), title=title, desc=about, work=work, dept=dept, who=who)
+        new = dict(project=project, session=session, version=1, status=mapped.get(status, "open"), title=title, desc=about, work=work, dept=dept, who=who)
         if not project:
             out[i] = ("CREATE", "no_project", "CREATE", "N" + i, 1)
             continue
-        seen = {k: t for k, t in there.items() if t["project"] == project and t["status"] not in ("completed", "cancelled") and (meeting is None or t["meeting"] != meeting)}
+        seen = {k: t for k, t in there.items() if t["project"] == project and t["status"] not in ("completed", "cancelled") and (session is None or t["session"] != session)}
         found = sorted((-likeness(c, t), k) for k, t in seen.items())
         top, second = -found[0][0] if found else None, -found[1][0] if len(found) > 1 else 0.0
         if not found:
@@ -127,7 +127,7 @@ def test_import_equals_one_candidate_after_another(spark, seed):
 
 
 def test_import_with_tasks_that_end_and_continuity(spark):
-    c = lambda i, project, meeting, title, cont=False, status="待执行": (f"c{i}", project, meeting, i, cont, title, title, [title], "A", "", status, title)
+    c = lambda i, project, session, title, cont=False, status="待执行": (f"c{i}", project, session, i, cont, title, title, [title], "A", "", status, title)
     cands = [c(1, "P", "M1", "水泵检修"), c(2, "P", "M2", "水泵检修", status="已完成"), c(3, "P", "M3", "水泵检修"), c(4, "Q", "M1", "完全不同的事情", True), c(5, "R", "M9", "哈拉沟项目系统升级", True), c(6, "S", "M1", "独自一个", True)]
     tasks = [("T1", "Q", "M0", 3, 0, "open", "abc", "", [], "A", ""), ("T2", "R", "M0", 1, 0, "open", "哈拉沟项目网络改造", "", [], "A", ""), ("T3", "R", "M9", 1, 0, "open", "哈拉沟项目系统升级", "", [], "A", "")]
     want = compare(spark, cands, tasks)
@@ -136,7 +136,7 @@ def test_import_with_tasks_that_end_and_continuity(spark):
 
 
 def test_a_crowd_of_copies_makes_one_pair(spark, monkeypatch):
-    """Copies of one text in three meetings: pairs stand between texts, not rows."""
+    """Copies of one text in three sessions: pairs stand between texts, not rows."""
     made = {}
     real = importer.settle
 
@@ -154,7 +154,7 @@ def test_a_crowd_of_copies_makes_one_pair(spark, monkeypatch):
 def test_report_and_reviews(spark):
     done = importer.import_batch(spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND), spark.createDataFrame([(f"T{k}", "P", "OLD", 1, 0, "open", "平台建设方案编制", "", [], "信息部", "") for k in (1, 2)], TASK))
     cands = spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND)
-    assert importer.report(done, cands).first().asDict() == {"meeting_id": "M", "extract_count": 2, "created": 1, "field_updates": 0, "status_updates": 0, "review_count": 1, "linked_count": 0}
+    assert importer.report(done, cands).first().asDict() == {"session_id": "M", "extract_count": 2, "created": 1, "field_updates": 0, "status_updates": 0, "review_count": 1, "linked_count": 0}
     (r,) = importer.reviews(done, cands, "RUN").collect()
     assert r.candidate_id == "M8" + hashlib.sha256(b"RUN\0c0").hexdigest()[:16].upper() and r.status == "pending"
 
@@ -168,18 +168,18 @@ def test_manual_edits(spark):
 
 
 def test_manual_payloads(spark):
-    cols = [*manual.FIELDS, "evidence_text", "source_meeting_id"]
+    cols = [*manual.FIELDS, "evidence_text", "source_session_id"]
     rows = [{"title": "t", "evidence_text": "e", "priority": " "}, {"title": " ", "evidence_text": "e"}, {"title": "t"}, {"title": "t", "evidence_text": "e", "status": "odd"}]
     df = spark.createDataFrame([tuple(r.get(c) for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols))
     assert [r.f for r in df.select(manual.payload_fault().alias("f")).collect()] == [None, "title_required", "evidence_required", "unknown_status"]
     (r,) = manual.create(df).collect()
-    assert (r.priority, r.status, r.source_meeting_id, r.version) == (None, "open", "MANUAL", 1)
+    assert (r.priority, r.status, r.source_session_id, r.version) == (None, "open", "MANUAL", 1)
 
 
 def test_reviews_are_approved_once_and_only_with_title_and_evidence(spark):
     full = '{"title":"","description":"d","work_items":["w"],"assignee":"a","deadline":"soon","evidence":" E ","department":"D","project":"P"}'
     queue = [("full", full, "pending"), ("nested", '{"candidate":{"title":"T","evidence":"E"}}', "pending"), ("bare", '{"title":"x"}', "pending"), ("old", full, "rejected"), ("src", '{"title":"t","source_text":"S"}', "pending")]
-    reviews = spark.createDataFrame([(k, "M", s, j) for k, j, s in queue], "candidate_id string, meeting_id string, status string, candidate_json string")
+    reviews = spark.createDataFrame([(k, "M", s, j) for k, j, s in queue], "candidate_id string, session_id string, status string, candidate_json string")
     asked = [("full", 1, None), ("full", 2, '{"title":" "}'), ("full", 3, '{"title":"t","status":"completed"}'), ("full", 4, '{"title":"t","work_items":null}'), ("full", 5, '{"title":"t","work_items":"[\\"w\\"]"}'), ("full", 6, '{"title":"t","assignee_raw":" "}'), ("full", 7, '{"title":" t ","project":null,"reviewer_note":"ok"}'), ("full", 8, '{"title":"u"}'), ("nested", 1, "{}"), ("bare", 1, "{}"), ("old", 1, '{"title":"t"}'), ("gone", 1, "{}"), ("src", 1, '{"status":"in_progress","work_items":["v","w"]}')]
     decided = manual.approve(reviews, spark.createDataFrame(asked, "candidate_id string, seq int, payload_json string"))
     got = {(r.candidate_id, r.seq): r for r in decided.collect()}
