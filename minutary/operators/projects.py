@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.scratch import final, settle
 from . import models
 
 
@@ -27,37 +29,114 @@ def look_up(rows: DataFrame, owners: DataFrame, name: str = "source_name") -> Da
     return out.select(*rows.columns, F.col("owner").alias("canonical"), F.when(T.strip(F.col(name)) == "", F.lit("none")).when(F.col("owner").isNotNull(), F.lit("existing")).otherwise(F.lit("unknown")).alias("resolution"))
 
 
+#: Open links (an order and keys) that one task may settle.
+FINISH = 50_000
+_LINK = "ord long, key string, new_key string, asked string, made string, owner string, name string"
+_KNOWN = "key string, project_id string, since long, name string, created boolean"
+
+
+def _link_in_order(batches):
+    """Links in order to names that become known: (key, project, since, name of a project that is made, whether it is)."""
+    known: dict[str, str] = {}
+    made: set[str] = set()
+    for b in batches:
+        out: list[tuple] = []
+        for ord_, key, new_key, asked, project, owner, name in zip(*(b.column(f.split(" ")[0]).to_pylist() for f in _LINK.split(", "))):
+            if key in known:
+                continue
+            if new_key is None:
+                if owner is None and asked not in made:
+                    continue  # there is no such project yet
+                known[key] = owner or asked
+            else:
+                there = owner or known.get(new_key)
+                known[key] = there or project
+                if there is None:
+                    made.add(project)
+                    out.append((new_key, project, ord_, name, True))
+                    known[new_key] = project
+            if key != new_key or out and out[-1][2] != ord_:
+                out.append((key, known[key], ord_, None, False))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_()))], [f.split(" ")[0] for f in _KNOWN.split(", ")])
+
+
+def learn(links: DataFrame, bin_: list[str]) -> DataFrame:
+    """Names that links make known, in order: key, project_id, since, name (of a project that is made), created.
+
+    links(ord, key, new_key, asked, made, owner, name): a row links its name (key, unknown at first) either with a project that is
+    ``asked`` for (owner: that it is there at first) or with the project that has the name new_key (owner: the project that has it at
+    first; otherwise one that was made before, or the project ``made``, whose own name new_key becomes known as well). A row whose
+    name is known by its turn links nothing. Of each name all rows after the first sure one are left out at once; the rest is settled
+    in rounds of rows that come first for all names and projects they speak of, and in one task once few are open.
+    """
+    sure = F.col("owner").isNotNull() | F.col("new_key").isNotNull()
+    least = links.filter(sure).groupBy(F.col("key").alias("_k")).agg(F.min("ord").alias("_o"))
+    open_ = settle(links.join(least, F.col("key") == F.col("_k"), "left").filter("_o is null or ord <= _o").drop("_k", "_o"), "links", bin_)
+    known: DataFrame | None = None
+    while open_.limit(FINISH + 1).count() > FINISH:
+        said = F.array_compact(F.array(F.concat(F.lit("n"), "key"), F.when(F.col("owner").isNull(), F.concat(F.lit("n"), "new_key")), F.when(F.col("owner").isNull(), F.concat(F.lit("p"), F.coalesce("asked", "made")))))
+        each = open_.select("ord", F.explode(F.array_distinct(said)).alias("m"))
+        first = each.groupBy("m").agg(F.min("ord").alias("f"))
+        held = each.join(first, "m").groupBy("ord").agg(F.bool_and(F.col("ord") == F.col("f")).alias("_ready"))
+        marked = settle(open_.join(held, "ord"), "links", bin_)
+        # ready rows speak of different names and projects, so that each is settled alone
+        new = settle(marked.filter("_ready").drop("_ready").mapInArrow(_each_alone, _KNOWN), "known", bin_)
+        known = new if known is None else known.unionByName(new)
+        names = new.select("key", F.col("project_id").alias("_p"))
+        rest = marked.filter("not _ready").drop("_ready").join(names.select("key"), "key", "left_anti")
+        rest = rest.join(names.select(F.col("key").alias("new_key"), "_p"), "new_key", "left").withColumn("owner", F.coalesce("owner", "_p")).drop("_p")
+        there = new.filter("created").select(F.col("project_id").alias("asked"), F.col("project_id").alias("_q"))
+        rest = rest.join(there, "asked", "left").withColumn("owner", F.coalesce("owner", "_q")).drop("_q")
+        open_ = settle(rest.select(*(f.split(" ")[0] for f in _LINK.split(", "))), "links", bin_)
+    last = open_.coalesce(1).sortWithinPartitions("ord").mapInArrow(_link_in_order, _KNOWN)
+    return settle(last if known is None else known.unionByName(last), "known", bin_)
+
+
+def _each_alone(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield from _link_in_order([b.slice(i, 1)])
+
+
 def resolve(rows: DataFrame, projects: DataFrame, aliases: DataFrame, answers: DataFrame) -> DataFrame:
     """Project of each row(record_id, ord, source_name): blank names have none, known names their owner, the rest what a model answered.
 
-    answers(record_id, resolution, project_id, canonical_name, confidence). An existing project must be there; a new one needs a name, and
-    reuses the project that has it. The first answer by ord that links a name makes it known: later rows of that name follow it with
-    confidence 1. Names known from the start need no answer. Faults: no_answer, unknown_project, canonical_name_required. A project made
-    here is known to later rows by the names linked to it, not by its own.
+    answers(record_id, resolution, project_id, canonical_name, confidence). An existing project must be there at the row's turn; a new
+    one needs a name, and reuses the project that has it. The row makes its name known, and a project that it makes by its own name as
+    well: later rows of either name follow it with confidence 1, and later answers reuse it (``learn``). Names known from the start need
+    no answer. Faults: no_answer, unknown_project, canonical_name_required.
     """
+    bin_: list[str] = []
     keys = projects.select("project_id", T.loose_key(F.col("canonical_name")).alias("key")).union(aliases.select("project_id", T.loose_key(F.col("alias_name")).alias("key")))
     known = keys.filter("key <> ''").groupBy("key").agg(F.min("project_id").alias("_owner"))
     names = projects.groupBy("project_id").agg(F.min("canonical_name").alias("_name"))
-    rows = rows.withColumn("_key", T.loose_key(F.col("source_name"))).join(known.withColumnRenamed("key", "_key"), "_key", "left")
     said = answers.select("record_id", models.resolution(F.col("resolution"), F.col("project_id"), F.col("canonical_name")).alias("_said"), F.col("project_id").alias("_asked"), T.nullable(F.col("canonical_name")).alias("_new"), F.coalesce("confidence", F.lit(1.0)).alias("_sure"))
+    rows = rows.select("record_id", F.col("ord").cast("long").alias("ord"), "source_name", T.loose_key(F.col("source_name")).alias("_key")).join(known.withColumnRenamed("key", "_key"), "_key", "left")
     rows = rows.join(said, "record_id", "left").join(names.select(F.col("project_id").alias("_asked"), F.lit(True).alias("_there")), "_asked", "left")
     rows = rows.withColumn("_new_key", T.loose_key(F.col("_new"))).join(known.select(F.col("key").alias("_new_key"), F.col("_owner").alias("_same")), "_new_key", "left")
-    miss = (T.strip(F.col("source_name")) != "") & F.col("_owner").isNull()
-    rows = rows.withColumn("_fault", F.when(miss, F.when(F.col("_said").isNull(), F.lit("no_answer")).when((F.col("_said") == "existing") & F.col("_there").isNull(), F.lit("unknown_project")).when((F.col("_said") == "new") & F.col("_new").isNull(), F.lit("canonical_name_required"))))
-    target = F.when(F.col("_said") == "existing", F.col("_asked")).when(F.col("_said") == "new", F.coalesce("_same", T.digest_id("P", 10, F.col("_new_key"))))
-    rows = rows.withColumn("_target", F.when(miss & F.col("_fault").isNull(), target))
-    first = rows.filter("_target is not null and _key <> ''").groupBy("_key").agg(F.min("ord").alias("_since"), F.min_by(F.struct("_target", "_new"), "ord").alias("_first"))
-    rows = rows.join(first, "_key", "left").withColumn("_late", F.coalesce(miss & (F.col("ord") > F.col("_since")), F.lit(False)))
-    project = F.coalesce("_owner", F.when(F.col("_late"), F.col("_first._target")).otherwise(F.col("_target")))
+    blank = T.strip(F.col("source_name")) == ""
+    rows = settle(rows.withColumn("_miss", ~blank & F.col("_owner").isNull() & (F.col("_key") != "")).withColumn("_blank", blank), "asked", bin_)
+    named = (F.col("_said") == "new") & F.col("_new").isNotNull()
+    links = rows.filter(F.col("_miss") & ((F.col("_said") == "existing") & F.col("_asked").isNotNull() | named)).select(
+        "ord", F.col("_key").alias("key"), F.when(named, F.col("_new_key")).alias("new_key"), F.when(~named, F.col("_asked")).alias("asked"), F.when(named, T.digest_id("P", 10, F.col("_new_key"))).alias("made"),
+        F.when(named, F.col("_same")).otherwise(F.when(F.col("_there"), F.col("_asked"))).alias("owner"), F.when(named, F.col("_new")).alias("name"),
+    )
+    learnt = learn(links, bin_)
+    now = learnt.select(F.col("key").alias("_key"), F.col("project_id").alias("_learnt"), F.col("since").alias("_since"))
+    rows = rows.join(now, "_key", "left")
+    late, own = F.coalesce(F.col("_miss") & (F.col("_since") < F.col("ord")), F.lit(False)), F.coalesce(F.col("_miss") & (F.col("_since") == F.col("ord")), F.lit(False))
+    fault = F.when(F.col("_said").isNull(), F.lit("no_answer")).when((F.col("_said") == "new") & F.col("_new").isNull(), F.lit("canonical_name_required")).when((F.col("_said") == "existing") & ~own, F.lit("unknown_project"))
+    rows = rows.withColumns({
+        "project_id": F.when(~F.col("_blank"), F.coalesce("_owner", F.when(late | own, F.col("_learnt")))),
+        "fault": F.when(F.col("_miss") & ~late, fault),
+    })
     rows = rows.withColumns({
-        "project_id": F.when(T.strip(F.col("source_name")) != "", project),
-        "fault": F.when(~F.col("_late"), F.col("_fault")),
-        "resolution": F.when(F.col("_late") | (F.col("_owner").isNotNull() & (T.strip(F.col("source_name")) != "")), F.lit("existing")).when(~miss, F.lit("none")).when(F.col("_fault").isNull(), F.col("_said")),
-        "confidence": F.when(miss & ~F.col("_late") & F.col("_target").isNotNull(), F.col("_sure")).when(F.col("_late") | ~miss | F.col("_fault").isNull(), F.lit(1.0)),
-        "_made": F.when(F.col("_late"), F.col("_first._new")).otherwise(F.col("_new")),
+        "resolution": F.when(late | (F.col("_owner").isNotNull() & ~F.col("_blank")), F.lit("existing")).when(~F.col("_miss"), F.lit("none")).when(F.col("fault").isNull(), F.col("_said")),
+        "confidence": F.when(own, F.col("_sure")).when(late | ~F.col("_miss") | F.col("fault").isNull(), F.lit(1.0)),
     })
-    rows = rows.drop("_name").join(names, "project_id", "left")
-    return rows.select("record_id", "ord", F.nullif(T.strip(F.col("source_name")), F.lit("")).alias("source_name"), "resolution", "project_id", F.when(F.col("project_id").isNotNull(), F.coalesce("_name", "_made")).alias("canonical_name"), "confidence", "fault")
+    called = names.unionByName(learnt.filter("created").select("project_id", F.col("name").alias("_name")))
+    rows = rows.join(called, "project_id", "left")
+    return final(rows.select("record_id", "ord", F.nullif(T.strip(F.col("source_name")), F.lit("")).alias("source_name"), "resolution", "project_id", F.when(F.col("project_id").isNotNull(), F.col("_name")).alias("canonical_name"), "confidence", "fault"), "resolved", bin_)
 
 
 def grow(projects: DataFrame, aliases: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -130,6 +130,32 @@ def alias_lookup(spark, sf_dir):
     return projects.look_up(rows, owners).select("p_partkey", "canonical", "resolution")
 
 
+_RESOLVE = """WITH RECURSIVE q0 AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 9 = 0 THEN ' ' ELSE 'Name ' || CAST(p_partkey * 7 % 61 AS VARCHAR) END AS source_name, CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 4 = 0 THEN 'existing' WHEN p_partkey % 4 = 3 THEN 'none' ELSE 'new' END AS said,
+  'R' || CAST(p_partkey % 8 AS VARCHAR) AS asked, CASE WHEN p_partkey % 13 = 0 THEN ' ' ELSE 'name-' || CAST(p_partkey * 3 % 67 AS VARCHAR) END AS new, CAST(p_size AS DOUBLE) / 100 AS sure FROM part),
+q AS MATERIALIZED (SELECT *, lower(replace(source_name, ' ', '')) AS key, lower(replace(replace(new, ' ', ''), '-', '')) AS nkey, asked IN (SELECT 'R' || CAST(r_regionkey AS VARCHAR) FROM region) AS there, row_number() OVER (ORDER BY ord) AS rn FROM q0),
+f(rn, known, ord, source_name, resolution, project_id, confidence, fault, made) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT map_from_entries(list({'k': lower(replace(r_name, ' ', '')), 'v': 'R' || CAST(r_regionkey AS VARCHAR)})) FROM region), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT rn, CASE WHEN target IS NULL THEN known WHEN said = 'new' AND same IS NULL THEN map_concat(known, MAP {key: target}, MAP {nkey: target}) ELSE map_concat(known, MAP {key: target}) END, ord, nullif(trim(source_name), ''),
+    CASE WHEN key = '' THEN 'none' WHEN hit IS NOT NULL THEN 'existing' WHEN fault IS NULL THEN said END, coalesce(hit, target), CASE WHEN key = '' OR hit IS NOT NULL OR said = 'none' THEN 1.0 WHEN fault IS NULL THEN sure END, fault, CASE WHEN target IS NOT NULL AND said = 'new' AND same IS NULL THEN new END
+  FROM (SELECT *, CASE WHEN key <> '' AND hit IS NULL AND fault IS NULL THEN CASE said WHEN 'existing' THEN asked WHEN 'new' THEN coalesce(same, 'P' || left(sha256(nkey), 10)) END END AS target FROM
+    (SELECT *, CASE WHEN key = '' OR hit IS NOT NULL THEN NULL WHEN said IS NULL THEN 'no_answer' WHEN said = 'existing' AND NOT there THEN 'unknown_project' WHEN said = 'new' AND trim(new) = '' THEN 'canonical_name_required' END AS fault FROM
+      (SELECT q.*, f.known, f.known[q.key] AS hit, f.known[q.nkey] AS same FROM f JOIN q ON q.rn = f.rn + 1)))),
+n AS (SELECT project_id, made AS name FROM f WHERE made IS NOT NULL UNION ALL SELECT 'R' || CAST(r_regionkey AS VARCHAR), r_name FROM region)
+SELECT ord AS record_id, source_name, resolution, f.project_id, n.name AS canonical_name, confidence, fault FROM f LEFT JOIN n ON n.project_id = f.project_id WHERE rn > 0"""
+
+
+@query(_RESOLVE)
+def catalog_resolve(spark, sf_dir):
+    """Names that become known row by row: projects by their own names and by those linked to them."""
+    part, region = D.read(spark, sf_dir, "part"), D.read(spark, sf_dir, "region")
+    rows = part.selectExpr("p_partkey as record_id", "p_partkey as ord", "case when p_partkey % 9 = 0 then ' ' else concat('Name ', cast(p_partkey * 7 % 61 as string)) end as source_name")
+    answers = part.filter("p_partkey % 11 > 0").selectExpr("p_partkey as record_id", "case p_partkey % 4 when 0 then 'existing' when 3 then 'none' else 'new' end as resolution", "concat('R', cast(p_partkey % 8 as string)) as project_id", "case when p_partkey % 13 = 0 then ' ' else concat('name-', cast(p_partkey * 3 % 67 as string)) end as canonical_name", "cast(p_size as double) / 100 as confidence")
+    there = region.selectExpr("concat('R', cast(r_regionkey as string)) as project_id", "r_name as canonical_name")
+    none = there.filter("false").selectExpr("project_id", "canonical_name as alias_name")
+    return projects.resolve(rows, there, none, answers).drop("ord")
+
+
 @query("SELECT p_brand AS project_id, upper(p_brand) AS canonical_name, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS aliases FROM part GROUP BY p_brand")
 def catalog_list(spark, sf_dir):
     part = D.read(spark, sf_dir, "part")

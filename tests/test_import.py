@@ -210,6 +210,67 @@ def test_project_names_go_to_the_model_only_once_they_are_linked(spark):
     }
 
 
+def resolve_in_order(rows, there, aliases, said):
+    """Plain version: one row after another, with one catalogue of names and projects."""
+    import hashlib
+
+    key = lambda x: re.sub(r"[\s_-]+", "", x or "").lower()
+    names, known, answers = dict(there), {}, {a[0]: a for a in said}
+    for p, n in sorted([*there, *aliases], reverse=True):
+        known[key(n)] = p
+    out = {}
+    for i, name in rows:
+        k = key(name)
+        if not (name or "").strip():
+            out[i] = ("none", None, None, 1.0, None)
+        elif k in known:
+            out[i] = ("existing", known[k], names[known[k]], 1.0, None)
+        elif i not in answers:
+            out[i] = (None, None, None, None, "no_answer")
+        else:
+            _, kind, p, new, sure = answers[i]
+            if kind == "existing" and p not in names:
+                out[i] = (None, None, None, None, "unknown_project")
+            elif kind == "new" and not (new or "").strip():
+                out[i] = (None, None, None, None, "canonical_name_required")
+            elif kind == "none":
+                out[i] = ("none", None, None, 1.0, None)
+            else:
+                if kind == "new":
+                    p = known.get(key(new)) or "P" + hashlib.sha256(key(new).encode()).hexdigest()[:10]
+                    if key(new) not in known:
+                        known[key(new)], names[p] = p, new.strip()
+                known.setdefault(k, p)
+                out[i] = (kind, p, names[p], sure, None)
+    return out
+
+
+@pytest.mark.parametrize("seed, finish", [(1, 50_000), (2, 0), (3, 0), (4, 5)])
+def test_a_growing_catalogue_equals_one_row_after_another(spark, seed, finish, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(projects, "FINISH", finish)
+    r = random.Random(seed)
+    pool = [f"{c}{d}" for c in "abcdef" for d in "123"] + ["A 1", "b-2", "Alpha", " al"]
+    there, aliases = [("P1", "Alpha"), ("P2", "b1")], [("P1", "al"), ("P2", "c3")]
+    rows = [(i, r.choice([*pool, " ", None])) for i in range(120)]
+    digest = lambda x: "P" + hashlib.sha256(x.encode()).hexdigest()[:10]
+    said = [(i, r.choice(["new", "new", "existing", "none"]), r.choice(["P1", "P9", digest(r.choice(pool[:18])), digest("a1")]), r.choice([*pool, " "]), round(r.random(), 2)) for i in range(120) if r.random() < 0.9]
+    out = projects.resolve(spark.createDataFrame([(k, k, n) for k, n in rows], "record_id long, ord long, source_name string").repartition(3), spark.createDataFrame(there, "project_id string, canonical_name string"), spark.createDataFrame(aliases, "project_id string, alias_name string"), spark.createDataFrame(said, "record_id long, resolution string, project_id string, canonical_name string, confidence double"))
+    got = {x.record_id: (x.resolution, x.project_id, x.canonical_name, x.confidence, x.fault) for x in out.collect()}
+    want = resolve_in_order(rows, there, aliases, said)
+    assert {k: (got.get(k), want[k]) for k in want if got.get(k) != want[k]} == {}
+    assert {v[0] for v in want.values()} == {"new", "existing", "none", None} and any(v[1] not in (None, "P1", "P2") and v[0] == "existing" for v in want.values())
+
+
+def test_a_project_made_in_the_batch_is_known_by_its_own_name(spark):
+    rows, said = [(1, "gam"), (2, "Gamma"), (3, "gg")], [(1, "new", None, "Gamma", 0.8), (3, "new", None, "gam", 0.7)]
+    empty = spark.createDataFrame([], "project_id string, canonical_name string"), spark.createDataFrame([], "project_id string, alias_name string")
+    out = projects.resolve(spark.createDataFrame([(k, k, n) for k, n in rows], "record_id long, ord long, source_name string"), *empty, spark.createDataFrame(said, "record_id long, resolution string, project_id string, canonical_name string, confidence double"))
+    got = {x.record_id: (x.resolution, x.canonical_name, x.confidence) for x in out.collect()}
+    assert got == {1: ("new", "Gamma", 0.8), 2: ("existing", "Gamma", 1.0), 3: ("new", "Gamma", 0.7)}
+
+
 def test_prompts(spark):
     import json
 
