@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types
 
 from ..functions import constants as C, text as T
+from ..sources.scratch import filesystem, settle
 
 RETRY_CODES = frozenset((408, 409, 429, 500, 502, 503, 504))
 
@@ -49,6 +56,68 @@ def _call(client, prompt, attempts, wait):
     return None, "no attempt"
 
 
+_ANSWER = pa.schema([("digest", pa.string()), ("prompt", pa.string()), ("response", pa.string())])
+
+
+def answers(spark: SparkSession, folder: str) -> DataFrame:
+    """digest, response of all prompts that were answered into a folder; one answer a prompt."""
+    try:
+        rows = spark.read.schema("digest string, prompt string, response string").parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "digest string, response string")
+    return rows.groupBy("digest").agg(F.min("response").alias("response"))
+
+
+def ask_once(rows: DataFrame, make_client: Callable[[], Callable[[str], str]], folder: str, prompt: str = "prompt", attempts: int = 3, wait: float = 1.0, flush: int = 1) -> DataFrame:
+    """Adds response and error like ``ask``, but no prompt that was answered into ``folder`` is sent again.
+
+    Prompts are told apart by their digest, so that equal ones are sent once. Answers are put into the folder as they come, ``flush`` at
+    a time: at most so many are lost with an executor. A task that runs again first reads what its earlier attempts have put there, and
+    a run that is repeated leaves out all that is answered. Failed calls are not kept, and are made again by the next run.
+    """
+    spark, run_id = rows.sparkSession, uuid.uuid4().hex
+    keyed = rows.withColumn("_digest", F.sha2(F.coalesce(F.col(prompt), F.lit("")), 256))
+    open_ = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first(prompt).alias("prompt")).join(answers(spark, folder).select("digest"), "digest", "left_anti")
+
+    def run(batches):
+        fs, place = filesystem(folder)
+        fs.create_dir(place, recursive=True)
+        mine = f"{run_id}-{TaskContext.get().partitionId()}-"
+        known: set[str] = set()
+        for f in fs.get_file_info(FileSelector(place)):
+            if f.base_name.startswith(mine):
+                known.update(pq.read_table(f.path, filesystem=fs, columns=["digest"]).column(0).to_pylist())
+        client, held = make_client(), []
+
+        def put():
+            name = f"{mine}{uuid.uuid4().hex}"
+            pq.write_table(pa.Table.from_pylist(held, _ANSWER), f"{place}/_{name}", filesystem=fs)  # names with _ are not read
+            fs.move(f"{place}/_{name}", f"{place}/{name}.parquet")
+            held.clear()
+
+        for b in batches:
+            failed = []
+            for digest, text in zip(b.column("digest").to_pylist(), b.column("prompt").to_pylist()):
+                if digest in known:
+                    continue
+                response, error = _call(client, text, attempts, wait)
+                if error:
+                    failed.append((digest, error))
+                    continue
+                held.append({"digest": digest, "prompt": text, "response": response})
+                if len(held) >= flush:
+                    put()
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in failed], pa.string()) for i in (0, 1)], ["_digest", "error"])
+        if held:
+            put()
+
+    failed = settle(open_.mapInArrow(run, "_digest string, error string"), "failed-calls")
+    got = answers(spark, folder).withColumnRenamed("digest", "_digest")
+    return keyed.join(got, "_digest", "left").join(failed, "_digest", "left").drop("_digest")
+
+
 def ask_twice(rows: DataFrame, make_client, fault: Column, repair: Column, **kw) -> DataFrame:
     """Like ask; rows whose response has a fault are asked once more with the repair prompt. Adds calls and fault.
 

@@ -284,7 +284,10 @@ def training_manifest(spark, sf_dir):
 
 @query()
 def zip_export(spark, sf_dir):
-    from ..sources import sinks
+    """Archives of at most a megabyte; their manifest."""
+    import uuid
+
+    from ..sources import scratch, sinks
 
     rows = _training(spark, sf_dir).select(F.col("task_id").cast("string").alias("sample_id"), "evidence_text", F.to_json(F.struct("task_id", "place")).alias("label"))
-    return sinks.training_archives(rows, 4).select("archive", "n_samples", F.length("content").alias("n_bytes"))
+    return sinks.export_archives(rows, f"{scratch.shared_folder(spark)}/export-{uuid.uuid4().hex}", 1 << 20).select("archive", "n_samples", "n_bytes")

@@ -13,6 +13,13 @@ def shared_folder(spark: SparkSession) -> str:
     return (found or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch").rstrip("/")
 
 
+def filesystem(uri: str):
+    """The file system and path of a URI, for executors that write files of other formats to the shared folder."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+
+
 def settle(df: DataFrame, name: str, bin_: list[str] | None = None) -> DataFrame:
     """df written and read again: lineage ends here, and what is used several times is made once. The path is put into bin_."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

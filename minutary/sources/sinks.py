@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import json
 import time
 import traceback
+import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .scratch import filesystem
+
 
 def one_json(df: DataFrame, order: str, **fields) -> DataFrame:
     """One row with one JSON object: the rows as an array in order, and further fields; for results of bounded size."""
@@ -47,22 +49,57 @@ def logged(spark: SparkSession, path: str, run_id: str, stage: str, work: Callab
         append(spark.createDataFrame([row], "run_id string, stage string, status string, seconds double, error string"), path)
 
 
-def training_archives(rows: DataFrame, parts: int = 1, schema_version: str = "training_export_v1") -> DataFrame:
-    """Rows (archive, n_samples, content): a ZIP for each part with samples/<id>/evidence.txt, label.json, and manifest.json.
+#: Bytes of an archive's own records for a sample besides its names, which stand in it several times; what deflating may add at most.
+_ENTRY, _NAMES, _GROWTH = 700, 8, 1.01
 
-    rows(sample_id, evidence_text, label JSON); parts bounds the size of an archive.
-    """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw, names = io.BytesIO(), []
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-            for b in batches:
-                for r in b.itertuples(index=False):
-                    z.writestr(f"samples/{r.sample_id}/evidence.txt", r.evidence_text or "")
-                    z.writestr(f"samples/{r.sample_id}/label.json", r.label or "{}")
-                    names.append(r.sample_id)
-            z.writestr("manifest.json", json.dumps({"schema_version": schema_version, "sample_count": len(names), "samples": names}, ensure_ascii=False))
-        if names:
-            yield pd.DataFrame({"archive": [names[0]], "n_samples": [len(names)], "content": [raw.getvalue()]})
-
-    return rows.select("sample_id", "evidence_text", "label").repartition(parts, "sample_id").mapInPandas(pack, "archive string, n_samples long, content binary")
+def export_archives(rows: DataFrame, folder: str, size: int = 1 << 30, schema_version: str = "training_export_v1") -> DataFrame:
+    """Writes samples as ZIP files of at most ``size`` bytes into a shared folder; the manifest: archive, n_samples, n_bytes, first_id, last_id.
+
+    rows(sample_id, evidence_text, label JSON). Samples are dealt to ranges of their ids by bytes; a task writes the archives of its range
+    one after another, each as a stream, with samples/<id>/evidence.txt, label.json and a manifest.json of its own. A sample that is
+    larger alone is an archive of its own. What a lost task has written is in no manifest; the manifest is written last, to
+    manifest.parquet. Null texts are empty, null labels {}; repeated ids are samples of their own; without rows there is no archive.
+    """
+    spark = rows.sparkSession
+    plain = rows.select(F.col("sample_id").cast("string").alias("sample_id"), F.coalesce("evidence_text", F.lit("")).alias("evidence_text"), F.coalesce("label", F.lit("{}")).alias("label"))
+    total = plain.agg(F.coalesce(F.sum(F.octet_length("evidence_text") + F.octet_length("label") + _ENTRY), F.lit(0))).first()[0]
+    parts = max(1, -(-total // (8 * size)), min(spark.sparkContext.defaultParallelism, total // size))
+
+    def write(batches):
+        fs, place = filesystem(folder)
+        fs.create_dir(place, recursive=True)
+        out = archive = None
+        names: list[str] = []
+
+        def close():
+            nonlocal out
+            archive.writestr("manifest.json", json.dumps({"schema_version": schema_version, "sample_count": len(names), "samples": names}, ensure_ascii=False))
+            archive.close()
+            n = out.tell()
+            out.close()
+            out = None
+            row = ([path], [len(names)], [n], [names[0]], [names[-1]])
+            names.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["archive", "n_samples", "n_bytes", "first_id", "last_id"])
+
+        for b in batches:
+            for sample, text, label in zip(*(b.column(c).to_pylist() for c in ("sample_id", "evidence_text", "label"))):
+                text, label = text.encode(), label.encode()
+                need = int((len(text) + len(label)) * _GROWTH) + _ENTRY + _NAMES * len((sample or "").encode())
+                if out is not None and out.tell() + need + closing > size:
+                    yield close()
+                if out is None:
+                    path, closing = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.zip", 1000
+                    out = fs.open_output_stream(f"{place}/{path.rsplit('/', 1)[1]}")
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(f"samples/{sample}/evidence.txt", text)
+                archive.writestr(f"samples/{sample}/label.json", label)
+                names.append(sample)
+                closing += _ENTRY // 2 + _NAMES * len((sample or "").encode())  # the directory and the manifest grow with each sample
+        if out is not None:
+            yield close()
+
+    made = plain.repartitionByRange(parts, "sample_id").mapInArrow(write, "archive string, n_samples long, n_bytes long, first_id string, last_id string")
+    made.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/manifest.parquet")
+    return spark.read.schema(made.schema).parquet(f"{folder.rstrip('/')}/manifest.parquet")

@@ -302,6 +302,41 @@ def test_model_calls_are_repaired_and_retried(spark):
     assert {r.key: (r.response, r.fault, r.calls) for r in out.collect()} == {"flaky": ("ok", None, 1), "odd": ("ok", None, 2), "down": (None, "model_error", 2)}
 
 
+def test_answered_prompts_are_not_sent_again(spark, tmp_path):
+    """A run that dies after some calls, and its repetition: every prompt is sent once."""
+    calls = tmp_path / "calls"
+
+    def dying(limit):
+        def client():
+            def call(prompt):
+                if limit is not None and len(calls.read_text().splitlines() if calls.exists() else ()) >= limit:
+                    raise RuntimeError("executor lost")
+                with calls.open("a") as f:
+                    f.write(f"{prompt}\n")
+                if prompt == "down":
+                    raise models.ModelError("no", 401)
+                return f"to {prompt}"
+
+            return call
+
+        return client
+
+    prompts = [f"p{k}" for k in range(30)] + ["p1", "p1", None]
+    rows = spark.createDataFrame([(k, p) for k, p in enumerate(prompts)], "id long, prompt string").coalesce(1)
+    folder = f"file://{tmp_path}/answers"
+    with pytest.raises(Exception, match="executor lost"):
+        models.ask_once(rows, dying(12), folder).count()
+    assert len(calls.read_text().splitlines()) == 12
+    for _ in range(2):
+        got = {r.id: (r.response, r.error) for r in models.ask_once(rows, dying(None), folder).collect()}
+        assert got == {k: (f"to {p}", None) for k, p in enumerate(prompts)}
+    sent = calls.read_text().splitlines()
+    assert len(sent) == len(set(sent)) == 31
+    more = models.ask_once(spark.createDataFrame([(1, "down"), (2, "p3")], "id long, prompt string"), dying(None), folder)
+    assert {r.id: (r.response, r.error) for r in more.collect()} == {1: (None, "401: no"), 2: ("to p3", None)}
+    assert models.ask_once(rows.limit(0), dying(0), folder).count() == 0
+
+
 def test_settings():
     s = Settings.load({"use_model": "yes", "chunk_size": "100"}, {"MINUTARY_MODEL_KEY": "secret", "MINUTARY_USE_MODEL": "off"})
     assert (s.use_model, s.chunk_size, s.model_key) == (False, 100, "secret") and "secret" not in repr(s)

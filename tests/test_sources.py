@@ -1,5 +1,5 @@
-import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -60,15 +60,26 @@ def test_record_contract(spark):
     assert got == [([], []), (["b"], ["c"]), (["a", "b"], [])]
 
 
-def test_archives_round_trip(spark):
-    rows = spark.createDataFrame([(str(i), f"text {i}", "{}") for i in range(20)], "sample_id string, evidence_text string, label string")
-    seen = {}
-    for r in sinks.training_archives(rows, 3).collect():
-        with zipfile.ZipFile(io.BytesIO(bytes(r.content))) as z:
+@pytest.mark.parametrize("size", [1 << 30, 6000])
+def test_archives_are_cut_by_size_and_hold_all(spark, tmp_path, size):
+    import random
+
+    r = random.Random(1)
+    texts = {f"s{i:03d}": bytes(r.randrange(97, 123) for _ in range(r.choice([0, 10, 900]))).decode() for i in range(80)} | {"big": "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(9000))}
+    rows = [(k, v, json.dumps({"id": k})) for k, v in texts.items()] + [("none", None, None), ("none", None, None), (None, "x", None)]
+    done = sinks.export_archives(spark.createDataFrame(rows, "sample_id string, evidence_text string, label string").repartition(3), f"file://{tmp_path}/out", size).collect()
+    seen, n = {}, 0
+    for row in done:
+        path = row.archive.removeprefix("file://")
+        with zipfile.ZipFile(path) as z:
             m = json.loads(z.read("manifest.json"))
-            assert m["sample_count"] == r.n_samples == len(m["samples"])
+            assert m["sample_count"] == row.n_samples == len(m["samples"]) and os.path.getsize(path) == row.n_bytes
+            assert row.n_bytes <= size or m["samples"] == ["big"]
+            n += row.n_samples
             seen |= {s: z.read(f"samples/{s}/evidence.txt").decode() for s in m["samples"]}
-    assert seen == {str(i): f"text {i}" for i in range(20)}
+            assert all(json.loads(z.read(f"samples/{s}/label.json")) == {"id": s} for s in m["samples"] if s in texts)
+    assert seen == texts | {"none": "", None: "x"} and n == len(rows) and (len(done) > 8 or size > 6000)
+    assert sinks.export_archives(spark.createDataFrame([], "sample_id string, evidence_text string, label string"), f"file://{tmp_path}/empty").count() == 0
 
 
 def test_segments_and_one_json(spark, tmp_path):
