@@ -248,6 +248,26 @@ def search_page(spark, sf_dir):
     return D.tasks(spark, sf_dir).filter(hit & (F.col("is_deleted") == 0)).select("task_id", "project_id", F.row_number().over(w).alias("row_number"))
 
 
+_KEYWORDS = ("urgent", "HIGH 1", "p7", "特", "body 1")
+
+
+@query("WITH" + D.TASKS + ", k AS (SELECT unnest(['" + "', '".join(_KEYWORDS) + "']) AS keyword) SELECT keyword, task_id FROM k JOIN tasks ON contains(lower(title || ' ' || priority || ' ' || description), lower(keyword))")
+def search_index(spark, sf_dir):
+    """Substring search through postings: all rows of several keywords."""
+    import uuid
+
+    from ..operators.search import SearchTable
+    from ..sources import scratch
+
+    table = SearchTable(f"{scratch.shared_folder(spark)}/search-{uuid.uuid4().hex}", "task_id", ("-created_at", "task_id"), ("title", "priority", "description"), 64)
+    table.write(D.tasks(spark, sf_dir), 16)
+    found = [table.hits(spark, k).select(F.lit(k).alias("keyword"), "task_id") for k in _KEYWORDS]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 _DEPT = r"CASE WHEN o_custkey % 9 = 0 THEN '未标注部门' ELSE regexp_extract(description, '(?:^|\n)部门：\s*([^\n]+)', 1) END"
 
 
