@@ -248,6 +248,14 @@ def search_page(spark, sf_dir):
     return D.tasks(spark, sf_dir).filter(hit & (F.col("is_deleted") == 0)).select("task_id", "project_id", F.row_number().over(w).alias("row_number"))
 
 
+@query("WITH" + D.TASKS + r" SELECT task_id, title, trim(regexp_extract(description, '(?:^|\n)部门：\s*([^\n]+)', 1)) AS department, '' AS assignee FROM tasks WHERE is_deleted = 0 AND status NOT IN ('completed', 'cancelled')")
+def stored_candidates(spark, sf_dir):
+    """Active tasks as candidates: the department is that of the stored description."""
+    from ..operators import matching
+
+    return matching.active(D.tasks(spark, sf_dir)).select("task_id", "title", "department", "assignee")
+
+
 _KEYWORDS = ("urgent", "HIGH 1", "p7", "特", "body 1")
 
 
