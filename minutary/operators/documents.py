@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
 
 
+_CHUNK_ROWS = 512
+_LINE_END = re.compile(r"\r\n?")
+
+
+def spans(n: int, last_mark: Callable[[int, int], int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Starts and ends of the chunks of a text of n characters; last_mark(i, j) is the place of the last mark in that stretch, or -1."""
+    st = en = 0
+    while en < n:
+        hard = min(n, st + size)
+        mark = last_mark(st + size // 2, hard) if hard < n else -1
+        en = mark + 1 if mark >= 0 else hard
+        yield st, en
+        st = max(en - overlap, st + 1)
+
+
 def chunks(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP, marks: str = C.SENTENCE_MARKS) -> DataFrame:
     """doc_id, chunk_no, st, en, chunk: stretches of at most size characters that end behind a mark where one stands in their second half.
 
-    A fold over each document, within its row: nothing is shuffled. Null and blank texts have no chunk.
+    One pass over each document, in its own row: nothing is shuffled, and a long text takes time in proportion to its length. Blank
+    stretches keep their number and give no row; null and blank texts have no chunk.
     """
-    half = size // 2
-    let = lambda v, f: F.get(F.transform(F.array(v), f), F.lit(0))  # noqa: E731  v is evaluated once, however often f names it
-    docs = docs.select("doc_id", T.strip(T.newlines(F.col("text"))).alias("_t"))
-
-    def kept(part: Column) -> Column:
-        """Characters of part up to its last mark; 0 without one."""
-        back = let(F.reverse(part), lambda r: F.array_min(F.filter(F.transform(F.array(*map(F.lit, marks)), lambda m: F.instr(r, m)), lambda p: p > 0)))
-        return F.coalesce(F.length(part) - back + 1, F.lit(0))
-
-    def spans_of(d: Column) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            last = F.get(acc, F.size(acc) - 1)
-            st = F.when(F.size(acc) == 0, F.lit(0)).otherwise(F.greatest(last["en"] - overlap, last["st"] + 1))
-
-            def span(s: Column) -> Column:
-                mark = F.when(s["hard"] < d["n"], let(F.substring(d["t"], s["st"] + half + 1, s["hard"] - s["st"] - half), kept)).otherwise(F.lit(0))
-                return let(mark, lambda k: F.struct(s["st"].alias("st"), F.when(k > 0, s["st"] + half + k).otherwise(s["hard"]).cast("int").alias("en")))
-
-            new = let(st, lambda x: let(F.struct(x.cast("int").alias("st"), F.least(d["n"], x + size).cast("int").alias("hard")), span))
-            return F.when((F.size(acc) > 0) & (last["en"] >= d["n"]), acc).otherwise(F.concat(acc, F.array(new)))
-
-        most = F.ceil(d["n"] / F.lit(max(1, half - overlap))).cast("int") + 1
-        return F.aggregate(F.sequence(F.lit(1), most), F.array().cast("array<struct<st:int,en:int>>"), step)
-
-    spans = let(F.struct(F.col("_t").alias("t"), F.length("_t").alias("n")), spans_of)
-    rows = docs.filter("_t <> ''").withColumn("_spans", spans).select("doc_id", "_t", F.posexplode("_spans").alias("chunk_no", "_s"))
-    rows = rows.select("doc_id", "chunk_no", F.col("_s.st").alias("st"), F.col("_s.en").alias("en"), T.strip(F.substring(F.col("_t"), F.col("_s.st") + 1, F.col("_s.en") - F.col("_s.st"))).alias("chunk"))
-    return rows.filter("chunk <> ''")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            out: list[tuple] = []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                t = _LINE_END.sub("\n", text or "").strip(T.BLANKS)
+                last = lambda i, j, t=t: max(t.rfind(m, i, j) for m in marks)
+                for k, (st, en) in enumerate(spans(len(t), last, size, overlap)):
+                    chunk = t[st:en].strip(T.BLANKS)
+                    if chunk:
+                        out.append((i, k, st, en, chunk))
+                    if len(out) == _CHUNK_ROWS:
+                        yield _chunk_rows(b, out)
+                        out = []
+            if out:
+                yield _chunk_rows(b, out)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, chunk_no int, st int, en int, chunk string")
+
+
+def _chunk_rows(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+    row, no, st, en, chunk = zip(*out)
+    return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int32()) for c in (no, st, en)), pa.array(chunk, pa.string())], ["doc_id", "chunk_no", "st", "en", "chunk"])
 
 
 def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("file",)) -> DataFrame:

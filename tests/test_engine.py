@@ -20,7 +20,11 @@ def spans(spark, text, **kw):
 def test_chunks(spark):
     assert spans(spark, "甲" * 1500 + "。" + "乙" * 2000 + "！" + "丙" * 1700) == [(0, 1501), (1341, 3502), (3342, 5202)]
     assert spans(spark, "x" * 5000) == [(0, 2400), (2240, 4640), (4480, 5000)]
-    assert spans(spark, " \n ") == [] and spans(spark, None) == []
+    assert spans(spark, " \n ") == [] and spans(spark, None) == [] and spans(spark, "") == []
+    assert spans(spark, "a" + " " * 30 + "b", size=8, overlap=2) == [(0, 8), (24, 32)]  # blank stretches give no row
+    assert spans(spark, "\u3000x\r\ny.\r", size=3, overlap=1) == [(0, 2), (1, 4)]
+    long = "abc. " * 400_000
+    assert len(spans(spark, long)) == len(list(documents.spans(len(long) - 1, lambda i, j: -1, 2400, 160)))
 
 
 def test_merge_folds_in_order(spark):
