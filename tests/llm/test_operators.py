@@ -453,6 +453,8 @@ def test_settings_stay_and_scratch_goes(spark, docs, tmp_path):
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "some words to look for in all of these texts here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(0, 300, 7)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, k, "user", "hi") for i in range(5) for k in range(i)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     folder = common.shared_dir(spark).removeprefix("file://")
     for name, query in queries.queries().items():
         settings, before = dict(spark.conf.getAll), set(os.listdir(folder))
