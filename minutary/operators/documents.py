@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import constants as C, text as T
+from . import ordered
 
 
 _CHUNK_ROWS = 512
@@ -58,22 +59,23 @@ def _chunk_rows(b: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), *(pa.array(c, pa.int32()) for c in (no, st, en)), pa.array(chunk, pa.string())], ["doc_id", "chunk_no", "st", "en", "chunk"])
 
 
-def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("file",)) -> DataFrame:
+def with_context(segments: DataFrame, chars: int = C.CONTEXT_CHARS, by: tuple[str, ...] = ("file",), block: int = ordered.BLOCK) -> DataFrame:
     """Adds prev_context and next_context: the neighbouring segment's last or first characters, if it is of the same session.
 
-    ``by`` names the file, within which the neighbour is that in order; a neighbour of another session gives no context, and is
-    not skipped.
+    ``by`` names the file, within which the neighbour is that in order (``ord``); a neighbour of another session gives no context,
+    and is not skipped. A file of more than ``block`` segments is cut into blocks that see each other's edge rows.
     """
-    w = Window.partitionBy(*by).orderBy("ord")
     title = F.col("session_title")
-    prev, after = F.lag("clean_text").over(w), F.lead("clean_text").over(w)
     same = lambda x: F.coalesce(x == title, F.lit(False))
-    return segments.withColumns(
-        {
+
+    def made(w):
+        prev, after = F.lag("clean_text").over(w), F.lead("clean_text").over(w)
+        return {
             "prev_context": F.when(same(F.lag(title).over(w)), F.right(prev, F.lit(chars))).otherwise(F.lit("")),
             "next_context": F.when(same(F.lead(title).over(w)), F.left(after, F.lit(chars))).otherwise(F.lit("")),
         }
-    )
+
+    return ordered.neighbours(segments, list(by), ["ord"], 1, made, block=block)
 
 
 def segment_faults(segments: DataFrame) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..sources.scratch import final, settle
-from . import models
+from . import models, ordered
 
 
 def catalogue(projects: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -170,8 +170,9 @@ def insert_or_ignore(table: DataFrame, rows: DataFrame, key: str, order: str) ->
     return first.join(table.select(key), key, "left_anti")
 
 
-def clusters(rows: DataFrame, group: str, order: list[str], similar: str, least: float) -> DataFrame:
-    """Gaps and islands: cluster number and its first row's id, where ``similar`` to the row before falls under ``least``."""
-    w = Window.partitionBy(group).orderBy(*order)
-    out = rows.withColumn("cluster", F.sum(F.when(F.col(similar) >= least, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out
+def clusters(rows: DataFrame, group: str, order: list[str], similar: str, least: float, block: int = ordered.BLOCK) -> DataFrame:
+    """Gaps and islands: adds cluster, which counts up wherever ``similar`` to the row before falls under ``least`` or is null.
+
+    A group of more than ``block`` rows is summed in blocks, and the sums of the blocks before are added.
+    """
+    return ordered.running(rows, [group], order, F.when(F.col(similar) >= least, 0).otherwise(1), "cluster", block)

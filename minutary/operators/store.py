@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as C, text as T
 from ..sources.scratch import final, settle
-from . import claims
+from . import claims, ordered
 
 MUTATIONS = ("CREATE", "UPDATE_FIELDS", "UPDATE_STATUS", "SOFT_DELETE")
 
@@ -169,10 +169,15 @@ def link_projects(tasks: DataFrame, links: DataFrame, projects: DataFrame) -> tu
     return out, links.join(projects.select("project_id"), "project_id", "left_anti")
 
 
-def training_rows(tasks: DataFrame, least: int = C.EXPORT_MIN_CHARS, around: int = C.EXPORT_NEIGHBOURS) -> DataFrame:
-    """Tasks with enough evidence, with the evidence of their neighbours in the session, by natural order of source_key."""
+def training_rows(tasks: DataFrame, least: int = C.EXPORT_MIN_CHARS, around: int = C.EXPORT_NEIGHBOURS, block: int = ordered.BLOCK) -> DataFrame:
+    """Tasks with enough evidence, with the evidence of their neighbours in the session, by natural order of source_key.
+
+    A session of more than ``block`` tasks is cut into blocks that see each other's edge rows.
+    """
     kept = tasks.filter(F.length(T.strip(F.col("evidence_text"))) >= least).withColumn("_k", T.natural_key(F.col("source_key")))
-    w = Window.partitionBy("source_session_id").orderBy("_k", "task_id")
-    before = F.array_join(F.collect_list("evidence_text").over(w.rowsBetween(-around, -1)), "\n")
-    after = F.array_join(F.collect_list("evidence_text").over(w.rowsBetween(1, around)), "\n")
-    return kept.withColumns({"previous_text": before, "following_text": after, "place": F.row_number().over(w)}).drop("_k")
+
+    def made(w):
+        texts = lambda a, b: F.array_join(F.collect_list("evidence_text").over(w.rowsBetween(a, b)), "\n")
+        return {"previous_text": texts(-around, -1), "following_text": texts(1, around)}
+
+    return ordered.neighbours(kept, ["source_session_id"], ["_k", "task_id"], around, made, "place", block).drop("_k")
