@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..operators import classify, documents, matching, projects, responses
+from ..sources import json_arrays
+from ..sources.scratch import final, shared_folder
 from . import domain as D
 from .registry import query
 
@@ -44,6 +48,25 @@ def segment_contract(spark, sf_dir):
     return documents.segment_faults(D.segments(spark, sf_dir))
 
 
+@query(
+    "WITH" + D.SEGMENTS + """, f AS (SELECT file, row_number() OVER (PARTITION BY file // 256 ORDER BY ord) - 1 AS place, segment_id, session_title, clean_text FROM segments)
+SELECT segment_id, place, session_title, length(clean_text) AS n_chars, sha256(clean_text) AS text_sha FROM f"""
+)
+def segment_files(spark, sf_dir):
+    """Segments written as JSON arrays, 1024 conversations a file, and read again in byte ranges of 256 kB, whose bounds fall anywhere."""
+    bin_: list[str] = []
+    w = Window.partitionBy("file").orderBy("ord")
+    one = F.to_json(F.struct("segment_id", "session_title", "clean_text"))
+    lines = F.concat(F.when(F.row_number().over(w) == 1, F.lit("[")).otherwise(F.lit(",")), one, F.when(F.lead("ord").over(w).isNull(), F.lit("]")).otherwise(F.lit("")))
+    rows = D.segments(spark, sf_dir).withColumn("file", F.expr("file div 256")).select("file", "ord", lines.alias("value"))
+    path = f"{shared_folder(spark)}/segment-files-{uuid.uuid4().hex}"
+    rows.repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
+    bin_.append(path)
+    read = json_arrays.array_items(spark, path, 1 << 18, strict=True)
+    seen = read.select(F.col("ord").alias("place"), F.from_json("value", "segment_id string, session_title string, clean_text string").alias("s"))
+    return final(seen.select("s.segment_id", "place", "s.session_title", F.length("s.clean_text").alias("n_chars"), F.sha2("s.clean_text", 256).alias("text_sha")), "segments", bin_)
+
+
 #: The same rules with words of the test data's language.
 _WORDS = {"action": ["the", "des"], "responsibility": ["with", "pour"], "time": ["this", "dans"], "status": ["not", "pas"], "safety": ["that was", "sich"]}
 

@@ -12,6 +12,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from . import json_arrays
+
 SUFFIXES = ("txt", "json", "pdf", "docx")
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -85,16 +87,15 @@ SEGMENT = T.StructType(
 )
 
 
-def segments(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of JSON array files, with their file and their place in it (ord)."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
-    return raw.select("file", F.posexplode(F.from_json("value", T.ArrayType(SEGMENT))).alias("ord", "s")).select("file", F.col("ord").cast("long").alias("ord"), "s.*")
+def segments(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """Segments of JSON array files of any size, with their file and their place in it (ord); ``json_arrays.array_items`` says what broken files give."""
+    rows = json_arrays.array_items(spark, path, strict=strict)
+    return rows.select("file", "ord", F.from_json("value", SEGMENT).alias("s")).select("file", "ord", "s.*")
 
 
-def json_items(spark: SparkSession, path: str) -> DataFrame:
-    """The items of JSON array files, each as its own JSON text (value), with their file and their place in it (ord)."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), "value")
-    return raw.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("ord", "value")).select("file", F.col("ord").cast("long").alias("ord"), "value")
+def json_items(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The items of JSON array files of any size, each as its own JSON text (value), with their file and their place in it (ord)."""
+    return json_arrays.array_items(spark, path, strict=strict)
 
 
 def record_faults(records: DataFrame, fields: Iterable[str], raw: str = "value") -> DataFrame:
