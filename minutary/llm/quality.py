@@ -35,8 +35,8 @@ REPEATS, TAKES = 3, 2
 MARGIN = 2.0
 #: Documented bound of the labelled rows on which the lexicon is fitted: so many of each language and label, about.
 FIT_ROWS = 500
-#: Characters of a word's beginning, ratio of rates and standard deviations above chance that a term needs, and terms a language.
-STEMS, RATIO, SURE, TERMS = range(3, 11), 8, 6, 40
+#: Characters of a word's beginning, and the ratio of rates and standard deviations above chance that a term needs.
+STEMS, RATIO, SURE = range(3, 11), 8, 6
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,8 @@ class Rule:
 def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[str]:
     """Terms of toxic documents, from docs(doc_id, text, lang if there is one) and labels(doc_id, toxic).
 
-    A term is a word, or with a * a word's beginning. Each word counts once a document; a language with too few toxic
-    rows for a sure term gives none.
+    A term is a word, or with a * a word's beginning; all that are sure are taken. Each word counts once a document; a language with
+    too few toxic rows for a sure term gives none.
     """
     bin_: list[str] = []
     lang = F.coalesce("lang", F.lit("")) if "lang" in docs.columns else F.lit("")
@@ -65,10 +65,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> lis
     terms = counts.select("lang", "p", "n", F.explode(F.array_compact(stems)).alias("term")).groupBy("lang", "term").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).join(F.broadcast(whole), "lang")
     chance = (F.col("p") + F.col("n")) * F.col("all_p") / (F.col("all_p") + F.col("all_n"))
     sure = terms.withColumn("z", (F.col("p") - chance) / F.sqrt(chance)).filter((F.col("z") >= SURE) & (F.col("p") * F.col("all_n") >= RATIO * F.col("n") * F.col("all_p")))
-    best = sure.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), F.desc(F.length(F.translate("term", "*", ""))), "term"))).filter(F.col("place") <= TERMS)
+    best = sure.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("z"), F.desc(F.length(F.translate("term", "*", ""))), "term")))
     # what a surer beginning covers adds nothing, and what widens a surer term adds clean words
-    best = common.settle(best.select("term", F.row_number().over(Window.orderBy("lang", "place")).alias("rank"), F.rtrim("term", F.lit("*")).alias("stem"), F.endswith(F.col("term"), F.lit("*")).alias("wide")), "toxic-terms", bin_)  # at most TERMS a language
-    surer = F.broadcast(best.select(F.col("rank").alias("r"), F.col("stem").alias("x"), F.col("wide").alias("w")))
+    best = common.settle(best.select("term", F.row_number().over(Window.orderBy("lang", "place")).alias("rank"), F.rtrim("term", F.lit("*")).alias("stem"), F.endswith(F.col("term"), F.lit("*")).alias("wide")), "toxic-terms", bin_)  # of a bounded sample
+    surer = common.small(best.select(F.col("rank").alias("r"), F.col("stem").alias("x"), F.col("wide").alias("w")))
     covers = (F.col("x") == F.col("stem")) | (F.col("w") & F.startswith(F.col("stem"), F.col("x"))) | (F.col("wide") & F.startswith(F.col("x"), F.col("stem")))
     found = [r.term for r in best.join(surer, (F.col("r") < F.col("rank")) & (F.left("x", F.lit(3)) == F.left("stem", F.lit(3))) & covers, "left_anti").orderBy("rank").collect()]
     common.discard(bin_)
@@ -194,7 +194,7 @@ each AS (SELECT lang, p, n, word AS term FROM seen UNION ALL SELECT lang, p, n,
 terms AS (SELECT lang, term, sum(p)::BIGINT AS p, sum(n)::BIGINT AS n FROM each GROUP BY lang, term),
 z AS (SELECT lang, term, (p - (p + n) * all_p / (all_p + all_n)) / sqrt((p + n) * all_p / (all_p + all_n)) AS z FROM terms JOIN whole USING (lang) WHERE p * all_n >= 8 * n * all_p AND all_p > 0),
 best AS (SELECT term, row_number() OVER (ORDER BY lang, place) AS rank, rtrim(term, '*') AS stem, ends_with(term, '*') AS wide
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY z DESC, length(rtrim(term, '*')) DESC, term) AS place FROM z WHERE z >= 6) WHERE place <= 40),
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY z DESC, length(rtrim(term, '*')) DESC, term) AS place FROM z WHERE z >= 6)),
 lexicon AS (SELECT stem, wide FROM best b WHERE NOT EXISTS (SELECT 1 FROM best s WHERE s.rank < b.rank AND (s.stem = b.stem OR (s.wide AND starts_with(b.stem, s.stem)) OR (b.wide AND starts_with(s.stem, b.stem))))),
 toxic AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i, unnest(x) AS word FROM words, (SELECT 0 AS i)) w WHERE EXISTS (SELECT 1 FROM lexicon l WHERE w.word = l.stem OR (l.wide AND starts_with(w.word, l.stem))) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(w) AS n_words, greatest(len(w), 1) AS n, length(array_to_string(w, '')) AS word_chars, length(array_to_string(w, '')) - length(regexp_replace(array_to_string(w, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
