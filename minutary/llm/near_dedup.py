@@ -25,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common
 
@@ -179,19 +179,48 @@ def sketch(docs: DataFrame, bands: int, rows: int, bin_: list[str] | None = None
     return common.settle(found.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.max_by("bands", F.size("bands")).alias("bands")), "sketch", bin_)
 
 
-def components(edges: DataFrame, bin_: list[str]) -> DataFrame:
-    """node, root (least node that it is connected with) for every node of edges(a, b)."""
-    both = common.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", bin_)
-    labels = common.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels", bin_)
-    while True:
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        low = labels.join(heard, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("near"))
-        up = labels.select(F.col("node").alias("near"), F.col("root").alias("far"))
-        new = common.settle(low.join(up, "near").select("node", "old", F.least("near", "far").alias("root")), "labels", bin_)
-        changed = new.filter("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
+def _pair(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
+def _rewritten(edges: DataFrame, to: DataFrame) -> DataFrame:
+    """Different edges between the roots of to(node, root); a node that it lacks stays itself."""
+    for end in ("a", "b"):
+        edges = edges.join(to.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    x, y = (F.coalesce(f"root_{end}", end).alias(end) for end in ("a", "b"))
+    return edges.select(x, y).filter("a <> b").select(*_pair("a", "b")).distinct()
+
+
+def _followed(labels: DataFrame, to: DataFrame) -> DataFrame:
+    """labels(node, root) with roots that are nodes of to(node, root) replaced by their roots."""
+    to = common.small(to).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return labels.join(to, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+
+
+def components(edges: DataFrame, bin_: list[str], known: DataFrame | None = None) -> DataFrame:
+    """node, root (least node that it is connected with) for every node of edges(a, b), and of known: components by other edges.
+
+    Each node points to its least neighbour if that is less than itself; pointers are followed to
+    their ends, and the edges are rewritten to these ends. Edges inside a tree go, and of those
+    between two trees one stays, so at most half of the nodes go on to the next round, and no
+    round but the first reads all edges.
+    """
+    edges = edges.filter("a <> b").select(*_pair("a", "b")).distinct() if known is None else _rewritten(edges, known)
+    edges, labels = common.settle(edges, "edges", bin_), None
+    while labels is None or edges.limit(1).count():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        up = common.settle(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root")), "up", bin_)
+        while True:
+            one, two = up.select(F.col("node").alias("root"), F.col("root").alias("mid")), up.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+            jumped = common.settle(up.join(one, "root").join(two, "mid").select("node", "mid", F.col("far").alias("root")), "up", bin_)
+            up = jumped.select("node", "root")
+            if not jumped.filter("mid <> root").limit(1).count():
+                break
+        labels = up if labels is None else common.settle(_followed(labels, up), "labels", bin_)
+        edges = common.settle(_rewritten(edges, up), "edges", bin_)
+    if known is None:
+        return labels
+    return common.settle(_followed(known, labels).union(labels.join(known, "node", "left_anti")), "labels", bin_)
 
 
 def verify(pairs: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
@@ -287,8 +316,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     hub = member.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     crowded = common.settle(member.join(hub, "bucket"), "crowded", bin_)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = common.settle(crowded.filter("node <> hub").select(*pair("node", "hub")).distinct(), "stars", bin_)
+    stars = common.settle(crowded.filter("node <> hub").select(*_pair("node", "hub")).distinct(), "stars", bin_)
 
     # bags of the texts that stand in some pair
     wanted = crowded.select("node").distinct()
@@ -315,7 +343,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
     open_ = common.settle(placed.join(torn, "bucket").join(shingles.select("node", "size"), "node"), "open", bin_)
     few = open_.filter(F.col("n") <= SMALL)
     other = few.select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    across = few.join(other, "bucket").filter("x < node and root <> rx").select(*pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = few.join(other, "bucket").filter("x < node and root <> rx").select(*_pair("x", "node")).distinct().join(stars, ["a", "b"], "left_anti")
     # a bucket of more than CHUNK members or CHUNK_BYTES of bags is dealt out as pairs of its chunks
     heavy = open_.filter(F.col("n") > SMALL).groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("size") / CHUNK_BYTES)).alias("k"))
     many = open_.filter(F.col("n") > SMALL).drop("size").join(heavy, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), "k"))
@@ -329,7 +357,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BAN
                 yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in found], pa.binary()), pa.array([max(p) for p in found], pa.binary())], ["a", "b"])
 
     more = common.settle(verify(across, shingles, threshold).union(whole.select("members").mapInArrow(join_in_bucket, "a binary, b binary")), "links", bin_)
-    roots = components(links.union(more), bin_)
+    roots = components(more, bin_, roots)
 
     # classes of several texts learn their names by a salted join, so that a large class is many keys; all others are their own
     linked = common.settle(nodes.drop("bands").join(roots, "node"), "linked", bin_)

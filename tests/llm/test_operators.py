@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -138,6 +139,47 @@ def test_links_across_components_equal_all_pairs():
     assert groups() == want and 1 < len(want) < 60
 
 
+def rows_joined(spark, run):
+    """Rows that all joins make while run() works, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, total = store.executionsCount(), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    done = store.executionsList()
+    for k in range(before, done.size()):
+        i = done.apply(k).executionId()
+        values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+        for node in (nodes.apply(n) for n in range(nodes.size())):
+            if "Join" in node.name():
+                found = [m for m in (node.metrics().apply(n) for n in range(node.metrics().size())) if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+                total += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in found)
+    return total
+
+
+def test_components_read_all_links_once(spark):
+    """A group of near copies with 24 hubs and a chain: the links are not joined anew in every round."""
+    name, rng = lambda k: hashlib.sha256(str(k).encode()).digest()[:16], random.Random(2)
+    chain = sorted(name(k) for k in range(1000, 1200))
+    edges = {(min(x, y), max(x, y)) for k in range(400) for h in rng.sample(range(400), 24) for x, y in [(name(k), name(h))] if x != y}
+    edges |= set(zip(chain, chain[1:])) | {(name(2000), name(2001))}
+    links = common.settle(spark.createDataFrame(sorted(edges), "a binary, b binary"), "test", [])
+    found = []
+    assert 0 < rows_joined(spark, lambda: found.extend(near_dedup.components(links, []).collect())) < 3 * len(edges)
+    want = {name(k): min(name(n) for n in range(400)) for k in range(400)} | {n: chain[0] for n in chain} | {name(k): min(name(2000), name(2001)) for k in (2000, 2001)}
+    assert {bytes(r.node): bytes(r.root) for r in found} == want and len(found) == len(want)
+
+
+def test_components_go_on_from_known_ones(spark):
+    rng = random.Random(4)
+    edges = [(x.to_bytes(2, "big"), y.to_bytes(2, "big")) for x, y in (rng.sample(range(300), 2) for _ in range(200))]
+    frame = lambda e: spark.createDataFrame(e, "a binary, b binary")
+    whole = got(near_dedup.components(frame(edges), []), "node", "root")
+    known = near_dedup.components(frame(edges[:120]), [])
+    assert got(near_dedup.components(frame(edges[120:]), [], known), "node", "root") == whole
+    assert got(near_dedup.components(frame([]), [], known), "node", "root") == got(known, "node", "root")
+    assert got(near_dedup.components(frame(edges), [], near_dedup.components(frame([]), [])), "node", "root") == whole
+
+
 def test_one_of_each(docs, sample):
     kept = near_dedup.one_of_each(docs)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in classes(sample)}) and kept.columns == docs.columns
