@@ -263,7 +263,8 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
                 log[open_] += np.log(np.maximum(others[0][open_], 1) / np.maximum(rest[open_], 1))
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("doc_ids")]).slice(row, 1).flatten(), pa.array(n_words), pa.array(np.bincount(g.doc, log, len(n_words)).astype(np.float64))], ["doc_id", "n_tokens", "log_score"])
 
-    scored = blocks.join(told, "block", "left").select("doc_ids", "n_words", "uri", "told").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_score double")
+    # told comes from a small table of blocks, so that Spark takes it for small as well and would broadcast all totals
+    scored = blocks.join(told.hint("merge"), "block", "left").select("doc_ids", "n_words", "uri", "told").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_score double")
     scored = scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.nullif(F.col("n_tokens"), F.lit(0)), 4).alias("mean_log_score"))
     if not all_words:  # nothing was coded, and there may be no files
         return scored

@@ -49,6 +49,14 @@ def test_stupid_backoff(docs, empty, sample):
     assert lm_score.score(empty).count() == 0
 
 
+def test_totals_are_not_broadcast(docs, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "final", lambda df, *a: made.append(df) or df)
+    lm_score.score(docs)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_higher_order_scores_are_finite_and_use_trigrams(docs):
     two, three = (dict(got(lm_score.score(docs, order=k), "doc_id", "log_score")) for k in (2, 3))
     assert all(map(math.isfinite, three.values())) and two != three
