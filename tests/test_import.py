@@ -151,6 +151,44 @@ def test_a_crowd_of_copies_makes_one_pair(spark, monkeypatch):
     assert made["pairs"] == 1 and made["folded"] == 180
 
 
+@pytest.mark.parametrize("first, kept, more", [(5, 1, 64), (40, 3, 4)])
+def test_an_import_in_several_runs_equals_one_candidate_after_another(spark, monkeypatch, first, kept, more):
+    """Small heads, few kept pairs and small tiles: texts that act join in later runs, and what a decision lacked is fetched."""
+    for name, value in {"FIRST": first, "KEPT": kept, "TEXTS": 1, "MORE": more, "CHUNKS": (17, 9), "LINKS": 5}.items():
+        monkeypatch.setattr(importer, name, value)
+    runs, real = [], importer._held
+    monkeypatch.setattr(importer, "_held", lambda *a: runs.append(a) or real(*a))
+    r = random.Random(first)
+    heads = ["ERP系统选型", "数据中心施工", "Pump check", "智能分选测试", "安全检查"]
+    say = lambda: r.choice(heads) + r.choice(["", "", "工作", "推进 2", "二期", "abc", "第三批"])
+    cands = []
+    for k in range(120):
+        title, desc = say(), say() + say()
+        cands.append((f"c{k:03d}", r.choice("PPPQ"), r.choice(["M1", "M2", "M3", None]), k, False, title, desc, [say() for _ in range(r.randint(0, 2))], r.choice(["A", "B", ""]), r.choice(["x", "y", "", ""]), r.choice(["待执行", "待执行", "待执行", "已完成"]), desc))
+    tasks = [(f"T{k}", r.choice("PQS"), r.choice(["M1", "M0", None]), 1, 0, "open", say(), say(), [say()], r.choice(["A", "B"]), r.choice(["x", ""])) for k in range(20)]
+    compare(spark, cands, tasks)
+    assert len(runs) > 3
+
+
+def test_texts_that_never_become_tasks_are_held_against_nothing(spark, monkeypatch):
+    """All candidates go to review, so that beyond the head of the project their texts are not paired with each other."""
+    monkeypatch.setattr(importer, "FIRST", 10)
+    made, real = [], importer.settle
+
+    def counted(df, name, bin_):
+        out = real(df, name, bin_)
+        if name == "pairs":
+            made.append(out.selectExpr("coalesce(sum(length(vs)), 0) div 8 as n").first()["n"])
+        return out
+
+    monkeypatch.setattr(importer, "settle", counted)
+    cands = [(f"c{k:03d}", "P", f"M{k % 3}", k, False, f"水泵检修计划{k}", f"水泵检修{k}", ["水泵"], "A", "", "待执行", f"水泵检修{k}") for k in range(150)]
+    tasks = [(f"T{k}", "P", "M9", 1, 0, "open", "水泵检修计划", f"水泵检修第{k}", ["水泵"], "A", "") for k in range(2)]
+    want = compare(spark, cands, tasks)
+    assert {v[0] for v in want.values()} == {"REVIEW"}
+    assert made[-1] == 300 and max(made) < 350  # each with the two tasks; between all there would be 11,175 more
+
+
 def test_report_and_reviews(spark):
     done = importer.import_batch(spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND), spark.createDataFrame([(f"T{k}", "P", "OLD", 1, 0, "open", "平台建设方案编制", "", [], "信息部", "") for k in (1, 2)], TASK))
     cands = spark.createDataFrame([cand(0, "平台建设方案编制", "M"), cand(1, "x", "M", project="")], CAND)
